@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def bytes_of(column: pa.Array) -> list[bytes | None]:
 def chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with few rows and few bytes, so that Python's memory stays bounded."""
     col = batch.column(batch.schema.get_field_index(text))
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
     start = total = 0
     for i, size in enumerate(sizes.tolist()):
         if i > start and (i - start >= BATCH_ROWS or total + size > BATCH_BYTES):

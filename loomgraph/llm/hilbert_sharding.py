@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,7 +95,7 @@ def runs(docs: DataFrame, shards: int = SHARDS, law: str = "bytes", bits: int =
         n = total = 0
         for b in batches:
             n += len(b)
-            total += int(pa.compute.sum(b.column(0)).as_py() or 0)
+            total += int(pc.sum(b.column(0)).as_py() or 0)
         yield pa.RecordBatch.from_pydict({"p": [TaskContext.get().partitionId()], "n": [n], "total": [total]})
 
     parts = sorted(ordered.select("size").mapInArrow(sums, "p long, n long, total long").collect())

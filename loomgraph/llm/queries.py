@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_sharding, source_mixing
+from . import benchmark_decontamination, hilbert_sharding, source_mixing
 
-MODULES = (hilbert_sharding, source_mixing)
+MODULES = (hilbert_sharding, benchmark_decontamination, source_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
