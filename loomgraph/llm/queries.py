@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_decontamination, hilbert_sharding, source_mixing, token_counts
+from . import benchmark_decontamination, hilbert_sharding, language_id, source_mixing, token_counts
 
-MODULES = (hilbert_sharding, benchmark_decontamination, token_counts, source_mixing)
+MODULES = (hilbert_sharding, benchmark_decontamination, token_counts, language_id, source_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
