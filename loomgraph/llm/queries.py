@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_decontamination, hilbert_sharding, language_id, quality_classifier, source_mixing, token_counts
+from . import benchmark_decontamination, embedding_dedup, hilbert_sharding, language_id, quality_classifier, source_mixing, token_counts
 
-MODULES = (hilbert_sharding, quality_classifier, benchmark_decontamination, token_counts, language_id, source_mixing)
+MODULES = (hilbert_sharding, quality_classifier, benchmark_decontamination, token_counts, language_id, source_mixing, embedding_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
