@@ -40,13 +40,13 @@ def bytes_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, text: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with few rows and few bytes, so that Python's memory stays bounded."""
     col = batch.column(batch.schema.get_field_index(text))
     sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
     start = total = 0
     for i, size in enumerate(sizes.tolist()):
-        if i > start and (i - start >= BATCH_ROWS or total + size > BATCH_BYTES):
+        if i > start and (i - start >= BATCH_ROWS or total + size > most):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += size

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_decontamination, embedding_dedup, hilbert_sharding, language_id, ngram_join, quality_classifier, source_mixing, token_counts
+from . import benchmark_decontamination, context_mixing, embedding_dedup, hilbert_sharding, language_id, ngram_join, quality_classifier, source_mixing, token_counts
 
-MODULES = (hilbert_sharding, ngram_join, quality_classifier, benchmark_decontamination, token_counts, language_id, source_mixing, embedding_dedup)
+MODULES = (hilbert_sharding, context_mixing, ngram_join, quality_classifier, benchmark_decontamination, token_counts, language_id, source_mixing, embedding_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
