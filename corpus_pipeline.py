@@ -1,22 +1,65 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five of the operators, one after the other, each on all that the one before it kept.
+
+Every stage takes the rows of its predecessor as they are: null ids, texts, languages
+and sources, repeated rows and empty tables have the results that the operator's own
+module defines.  All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.llm.benchmark_decontamination import drop_contaminated
+from loomgraph.llm.common import checkpoint_dir
 from loomgraph.llm.hilbert_sharding import shard_documents
+from loomgraph.llm.language_id import keep_identified
+from loomgraph.llm.ngram_join import keep_one
+from loomgraph.llm.source_mixing import mix_documents
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (null, or no letter) go."""
+    return keep_identified(docs)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest id stays."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out as their source's share of the mix asks."""
+    return mix_documents(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in Hilbert order with their shard and place on the curve."""
     return shard_documents(docs)
 
 
-STAGES = [("sharding", sharding)]
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", ngram_join),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing),
+    ("sharding", sharding),
+]
+
+#: Language ID by learned automata and the curve have no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Each stage is written as Parquet into the shared folder and read again as the next one's documents."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -174,8 +174,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Only the ids of contaminated rows are joined; a null id is matched as equal, and
     with repeated ids all rows of a contaminated id go.
     """
-    bad = digest(hits(docs, benchmark)).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("_bad")), "left_anti")
+    bad = digest(hits(docs, benchmark)).where("contaminated").select(F.col("doc_id").alias("__bench_bad")).distinct()
+    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("__bench_bad")), "left_anti")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ maxima prune in every dimension at once.
 Defined cases: a null source, language or text takes cell 0 of its dimension; an
 empty or null text has size 1; ties on the curve fall by text hash, then doc_id
 (nulls first); repeated rows each take a slot of their own; an empty table gives an
-empty result; other columns play no part and may have any name.
+empty result; other columns play no part and may have any name (``shard`` and ``curve_index`` are
+replaced by those of :func:`shard_documents`).
 """
 
 from __future__ import annotations
@@ -65,15 +66,15 @@ def size_cell(size: Column, bits: int) -> Column:
 
 
 def keyed(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """Adds ``_size, _place, _tie``; the text itself stays in the JVM."""
+    """Adds the size, the place on the curve and the tie-breaking hash; the text itself stays in the JVM."""
 
     @F.pandas_udf("long")
     def place(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([a, b, c], axis=1), bits))
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    df = docs.withColumns({"_size": size, "_tie": F.xxhash64("text")})
-    return df.withColumn("_place", place(category_cell(F.col("source"), bits), category_cell(F.col("lang"), bits), size_cell(F.col("_size"), bits)))
+    df = docs.withColumns({"__curve_size": size, "__curve_tie": F.xxhash64("text")})
+    return df.withColumn("__curve_place", place(category_cell(F.col("source"), bits), category_cell(F.col("lang"), bits), size_cell(F.col("__curve_size"), bits)))
 
 
 def runs(docs: DataFrame, shards: int = SHARDS, law: str = "bytes", bits: int = BITS) -> DataFrame:
@@ -86,7 +87,7 @@ def runs(docs: DataFrame, shards: int = SHARDS, law: str = "bytes", bits: int =
     if law not in ("bytes", "rows"):
         raise ValueError(f"law {law}")
     compact = keyed(docs.select("doc_id", "text", "source", "lang"), bits).select(
-        "doc_id", F.col("_size").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.col("_place").alias("curve"), F.col("_tie").alias("tie")
+        "doc_id", F.col("__curve_size").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.col("__curve_place").alias("curve"), F.col("__curve_tie").alias("tie")
     )
     order = ["curve", "tie", "doc_id"]
     ordered = cut(cut(compact).repartitionByRange(*order).sortWithinPartitions(*order))
@@ -134,12 +135,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) ->
     bounds = placed.groupBy("shard").agg(F.min(F.struct("pos", key.alias("key"))).alias("first")).orderBy("shard").select("shard", "first.key").collect()
     df = keyed(docs, bits)
     shard = F.lit(bounds[0].shard if bounds else 0)
-    own = F.struct(F.col("_place").alias("curve"), F.col("_tie").alias("tie"), F.col("doc_id"))
+    own = F.struct(F.col("__curve_place").alias("curve"), F.col("__curve_tie").alias("tie"), F.col("doc_id"))
     for r in bounds[1:]:
         bound = F.struct(F.lit(r.key.curve).cast("long").alias("curve"), F.lit(r.key.tie).cast("long").alias("tie"), F.lit(r.key.doc_id).cast("long").alias("doc_id"))
         shard = F.when(own >= bound, F.lit(r.shard)).otherwise(shard)
-    df = df.withColumn("_shard", shard.cast("int")).repartitionByRange("_place", "_tie", "doc_id").sortWithinPartitions("_place", "_tie", "doc_id")
-    return df.select(*docs.columns, F.col("_shard").alias("shard"), F.col("_place").alias("curve_index"))
+    df = df.withColumn("__curve_shard", shard.cast("int")).repartitionByRange("__curve_place", "__curve_tie", "doc_id").sortWithinPartitions("__curve_place", "__curve_tie", "doc_id")
+    own = [c for c in docs.columns if c.lower() not in ("shard", "curve_index")]
+    return df.select(*own, F.col("__curve_shard").alias("shard"), F.col("__curve_place").alias("curve_index"))
 
 
 def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -408,12 +408,12 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component stays, the one of the smallest id; of rows that repeat an id one stays; null ids stay."""
     _, joined = linked_components(docs)
-    kept = docs.join(joined.select(F.col("node").alias("_gone")), docs.doc_id == F.col("_gone"), "left_anti")
-    repeated = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")))
+    kept = docs.join(joined.select(F.col("node").alias("__ngram_gone")), docs.doc_id == F.col("__ngram_gone"), "left_anti")
+    repeated = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__ngram_n")).where("__ngram_n > 1 and doc_id is not null").select(F.col("doc_id").alias("__ngram_again")))
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, kept.doc_id == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, kept.doc_id == F.col("_again"), "left_anti").unionByName(again)
+    again = kept.join(repeated, kept.doc_id == F.col("__ngram_again"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, kept.doc_id == F.col("__ngram_again"), "left_anti").unionByName(again)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,13 +127,13 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix in whole documents: each is repeated as often as its taken words fill its size, rounded."""
     taken = taken_words(docs)
     times = F.floor(F.col("taken") / F.greatest("size", F.lit(1)).cast("double") + 0.5).cast("int")
-    per = taken.groupBy("doc_id", "source", "salt").agg(F.sum(times).cast("int").alias("_times"), F.count(F.lit(1)).cast("int").alias("_rows"))
-    keys = per.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("salt").alias("_salt"), "_times", "_rows").where("_times > 0")
-    df = docs.withColumn("_hash", F.xxhash64("text"))
-    met = df.join(keys, df.doc_id.eqNullSafe(F.col("_id")) & df.source.eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_salt")))
+    per = taken.groupBy("doc_id", "source", "salt").agg(F.sum(times).cast("int").alias("__mix_times"), F.count(F.lit(1)).cast("int").alias("__mix_rows"))
+    keys = per.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("salt").alias("__mix_salt"), "__mix_times", "__mix_rows").where("__mix_times > 0")
+    df = docs.withColumn("__mix_hash", F.xxhash64("text"))
+    met = df.join(keys, df.doc_id.eqNullSafe(F.col("__mix_id")) & df.source.eqNullSafe(F.col("__mix_source")) & (F.col("__mix_hash") == F.col("__mix_salt")))
     # repeated rows share what their group takes, rounded up for the first of it by a share each
-    each = F.greatest(F.lit(1), F.floor(F.col("_times") / F.col("_rows").cast("double") + 0.5)).cast("int")
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
+    each = F.greatest(F.lit(1), F.floor(F.col("__mix_times") / F.col("__mix_rows").cast("double") + 0.5)).cast("int")
+    return met.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
