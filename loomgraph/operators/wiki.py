@@ -1,0 +1,42 @@
+"""Wiki pages to a graph: articles, topics, links between them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import parse
+
+
+def stem(path):
+    return F.lower(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.md$", ""))
+
+
+def wiki_graph(pages: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (``id, type, name, complexity``) and edges of wiki pages (``path, content``) and an index page with ``##`` sections.
+
+    Links meet pages by base name; names that several pages share meet none.  Complexity follows the number of links: over 15, over 5.
+    """
+    own = pages.select("path", stem(F.col("path")).alias("key"))
+    unique = own.join(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n = 1"), "key", "left_semi")
+    article = lambda c: F.concat(F.lit("article:"), F.regexp_replace(c, r"\.md$", ""))
+    links = parse.wikilinks(pages).select(F.col("path").alias("from"), stem(F.col("target")).alias("key")).distinct()
+    met = links.join(unique, "key").where("path != from")
+    related = met.select(article(F.col("from")).alias("source"), article(F.col("path")).alias("target"), F.lit("related").alias("type"), F.lit(0.7).alias("weight"))
+    found = parse.index_categories(index).select("category", stem(F.col("target")).alias("key")).distinct().join(unique, "key")
+    topic = lambda c: F.concat(F.lit("topic:"), F.regexp_replace(F.lower(c), r"\s+", "-"))
+    filed = found.select(article(F.col("path")).alias("source"), topic(F.col("category")).alias("target"), F.lit("categorized_under").alias("type"), F.lit(0.6).alias("weight"))
+    n = links.groupBy(F.col("from").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    title = F.regexp_extract("content", r"(?m)^#\s+(.+)$", 1)
+    size = F.when(F.col("n") > 15, "complex").when(F.col("n") > 5, "moderate").otherwise("simple")
+    nodes = pages.join(n, "path", "left").select(article(F.col("path")).alias("id"), F.lit("article").alias("type"), F.when(title != "", title).otherwise(stem(F.col("path"))).alias("name"), size.alias("complexity"))
+    topics = found.select(topic(F.col("category")).alias("id"), F.lit("topic").alias("type"), F.col("category").alias("name"), F.lit("simple").alias("complexity")).distinct()
+    return nodes.unionByName(topics), related.unionByName(filed)
+
+
+def merge_entities(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities (``id, name, ord``) of one normalised name become the first of them; also ``old, new, ord`` of those that went."""
+    key = F.regexp_replace(F.lower(F.trim("name")), r"[^\p{L}\p{N}]+", " ")
+    first = entities.groupBy(key.alias("key")).agg(F.min_by("id", "ord").alias("new"))
+    met = entities.withColumn("key", key).join(first, "key")
+    return met.where("id = new").select(entities.columns), met.where("id != new").select(F.col("id").alias("old"), "new", "ord")
