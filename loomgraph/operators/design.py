@@ -53,7 +53,7 @@ def design_graph(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = made.groupBy(own.alias("id")).agg(F.first("node").alias("type"), F.first("name").alias("name"))
     edge = lambda df, s, t, k, w: df.select(s.alias("source"), t.alias("target"), F.lit(k).alias("type"), F.lit(w).alias("weight")).distinct()
     consumer = F.when(F.col("node").isNotNull(), own).when(F.col("owner").isNotNull(), above)
-    tokens = flat.select(consumer.alias("c"), F.concat(F.lit("token:"), F.explode("styles")).alias("t")).where("c is not null")
+    tokens = flat.select(consumer.alias("c"), F.explode(F.transform("styles", lambda x: F.concat(F.lit("token:"), x))).alias("t")).where("c is not null")
     edges = (
         edge(made.where("owner is not null and not variant"), above, own, "contains", 1.0)
         .unionByName(edge(made.where("variant"), own, above, "variant_of", 0.9))
