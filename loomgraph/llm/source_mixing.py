@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-``2**SLOT_BITS`` slots are dealt to sources: the slot's golden-ratio point (a Weyl
+As many slots as there are blocks of words (``2**SLOT_BITS`` at most) are dealt to sources: the slot's golden-ratio point (a Weyl
 sequence in 32-bit integers) falls into one source's stretch of the cumulative target
 weights.  A source's slots are ranked; its k-th slot takes the k-th of its shuffled
 equal-token blocks, again from the first when all are used.  DataFrame functions only.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, read
 
-#: Slots of the schedule: their number is fixed, the blocks' length follows the input.
+#: Slots of the schedule, at most: the blocks' length follows the input.
 SLOT_BITS = 17
 #: The golden ratio's fraction times 2**32.
 GOLDEN = 2654435769
@@ -72,10 +72,10 @@ def schedule(spark: SparkSession, targets: DataFrame) -> DataFrame:
     """``source, block_id, epoch`` for every slot that takes something; a block is taken MOST times at most."""
     slots = spark.range(1 << SLOT_BITS).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN).bitwiseAND((1 << 32) - 1).alias("point"))
     blocks = F.ceil(F.col("source_size") / F.col("block").cast("double")).cast("long")
-    t = targets.where("source_size > 0 and high > low").select("source", "low", "high", blocks.alias("blocks"))
+    t = targets.where("source_size > 0 and high > low").select("source", "low", "high", "total", "block", blocks.alias("blocks"))
     # points and stretches meet in cells of 2**20, so the join is by equality
     cells = t.withColumn("cell", F.explode(F.sequence(F.shiftright("low", 20), F.shiftright(F.col("high") - 1, 20))))
-    dealt = slots.withColumn("cell", F.shiftright("point", 20)).join(cells, "cell").where("point >= low and point < high")
+    dealt = slots.withColumn("cell", F.shiftright("point", 20)).join(cells, "cell").where("point >= low and point < high and slot * block < total")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
     return dealt.select("source", "slot", rank.alias("rank"), "blocks").select(
         "source", "slot", (F.col("rank") % F.col("blocks")).alias("block_id"), F.floor(F.col("rank") / F.col("blocks")).alias("epoch")
@@ -171,7 +171,7 @@ bounds AS (SELECT *, coalesce(lag(high) OVER (ORDER BY source NULLS LAST), 0) AS
 points AS (SELECT i AS slot, (i * {GOLDEN}) % 4294967296 AS point FROM range({1 << SLOT_BITS}) r(i)),
 dealt AS (
   SELECT b.k, row_number() OVER (PARTITION BY b.k ORDER BY slot) - 1 AS rank, CAST(ceil(source_size / block) AS BIGINT) AS blocks
-  FROM points JOIN bounds b ON point >= low AND point < high WHERE source_size > 0),
+  FROM points JOIN bounds b ON point >= low AND point < high AND slot * block < total WHERE source_size > 0),
 times AS (SELECT k, rank % blocks AS block_id, count(*) AS times FROM dealt WHERE rank // blocks < 3 GROUP BY ALL),
 placed AS (
   SELECT s.*, b.k, b.source_size, b.target, b.block,
