@@ -81,21 +81,21 @@ class Parser:
         self.codes = np.ones(256, np.uint8)
         for k, b in enumerate(used, 2):
             self.codes[b] = k
-        tables, self.roots, n = [], [], 0
+        tables, self.roots, self.ends, n = [], [], [], 0
         for name in self.languages:
             go = suffix_automaton(samples[name])
-            table = np.full((len(go), self.width), -1, np.int32)
-            table[:, 0] = n
+            table = np.full((len(go) + 1, self.width), -1, np.int32)  # the last state goes nowhere: after a byte that the sample lacks
             at = [(s, int(self.codes[c]), t) for s, edges in enumerate(go) for c, t in edges.items()]
             s, c, t = np.array(at, np.int64).reshape(-1, 3).T
             table[s, c] = t + n
             tables.append(table)
             self.roots.append(n)
-            n += len(go)
+            n += len(go) + 1
+            self.ends.append(n - 1)
         self.table = (np.concatenate(tables) if tables else np.zeros((0, self.width), np.int32)).ravel()
         # a phrase that ends begins anew with the byte that ended it
         start = np.array([self.table[r * self.width : (r + 1) * self.width] for r in self.roots], np.int32).reshape(-1, self.width)
-        self.start = np.where(start < 0, np.array(self.roots, np.int32).reshape(-1, 1), start).astype(np.int32)
+        self.start = np.where(start < 0, np.array(self.ends, np.int32).reshape(-1, 1), start).astype(np.int32)
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text (rows) under each language (columns)."""
@@ -112,8 +112,8 @@ class Parser:
         columns = np.ascontiguousarray(grid[order].T).astype(np.int32)
         alive = np.searchsorted(-filled[order], -np.arange(SEGMENT), side="left")
         out = np.zeros((len(self.languages), len(grid)), np.int64)
-        for k, root in enumerate(self.roots):
-            state, count, start = np.full(len(grid), root, np.int32), np.zeros(len(grid), np.int32), self.start[k]
+        for k, end in enumerate(self.ends):
+            state, count, start = np.full(len(grid), end, np.int32), np.zeros(len(grid), np.int32), self.start[k]
             for i in range(SEGMENT):
                 n = alive[i]
                 if not n:
@@ -123,7 +123,7 @@ class Parser:
                 ended = to < 0
                 count[:n] += ended
                 state[:n] = np.where(ended, start.take(code), to)
-            out[k, order] = count + 1
+            out[k, order] = count
         return np.add.reduceat(out, first, axis=1).T
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
