@@ -113,3 +113,108 @@ def canonical_tests(edges: DataFrame) -> DataFrame:
     turned = t.select(F.when(F.col("__s"), F.col("target")).otherwise(F.col("source")).alias("source"), F.when(F.col("__s"), F.col("source")).otherwise(F.col("target")).alias("target"), "type", "direction", "weight", "ord")
     best = turned.groupBy("source", "target").agg(F.max_by(F.struct("type", "direction", "weight"), F.struct("weight", -F.col("ord"))).alias("r"), F.min("ord").alias("ord"))
     return best.select("source", "target", "r.type", "r.direction", "r.weight", "ord")
+
+
+def required_literals(files: DataFrame) -> DataFrame:
+    """``source, raw`` of ``require('…')`` with a literal, comments left out."""
+    plain = F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/", ""), r"(?m)(^|\s)//[^\n]*", "$1")
+    return files.select(F.col("path").alias("source"), F.explode(F.regexp_extract_all(plain, F.lit(r"\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)"), 1)).alias("raw"))
+
+
+def alias_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``source, raw, target`` by the nearest configuration's path aliases (``config, ord, pattern, substitute, base_url``).
+
+    A pattern has one ``*`` at most; the first pattern in declared order that meets a file wins; no target leaves the root.
+    The rules of a configuration are few, and met by equality on the configuration.
+    """
+    near = nearest_config(imports.select(F.col("source").alias("path")).distinct(), aliases.select("config").distinct())
+    met = imports.join(near.withColumnRenamed("path", "source"), "source").join(aliases, "config")
+    head, tail = F.substring_index("pattern", "*", 1), F.when(F.col("pattern").contains("*"), F.substring_index("pattern", "*", -1)).otherwise("")
+    star = F.col("pattern").contains("*")
+    fits = F.when(star, F.col("raw").startswith(head) & F.col("raw").endswith(tail) & (F.length("raw") >= F.length(head) + F.length(tail))).otherwise(F.col("raw") == F.col("pattern"))
+    middle = F.when(star, F.substr("raw", F.length(head) + 1, F.length("raw") - F.length(head) - F.length(tail))).otherwise("")
+    base = normal_path(F.concat_ws("/", F.when(directory(F.col("config")) != "", directory(F.col("config"))), "base_url", F.replace("substitute", F.lit("*"), middle)))
+    kept = met.where(fits).select("source", "raw", "ord", base.alias("base")).where("base is not null")
+    spread = kept.select("source", "raw", "ord", F.posexplode(F.transform(F.array(*map(F.lit, PROBES)), lambda x: F.concat("base", x))).alias("probe", "candidate"))
+    return _first(spread.select("source", "raw", (F.col("ord") * len(PROBES) + F.col("probe")).alias("rank"), "candidate"), files)
+
+
+def ruby_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """``require_relative`` from the file's folder, ``require`` from lib, app and the root (``relative``: which of them)."""
+    name = F.regexp_replace("raw", r"\.rb$", "")
+    here = F.array(normal_path(F.concat_ws("/", directory(F.col("source")), name)))
+    roots = F.transform(F.array(F.lit("lib/"), F.lit("app/"), F.lit("")), lambda r: F.concat(r, name))
+    spread = imports.select("source", "raw", F.posexplode(F.when(F.col("relative"), here).otherwise(roots)).alias("rank", "base")).where("base is not null")
+    return _first(spread.select("source", "raw", "rank", F.concat("base", F.lit(".rb")).alias("candidate")), files)
+
+
+def psr4_imports(imports: DataFrame, files: DataFrame, rules: DataFrame) -> DataFrame:
+    """PHP classes by the nearest composer file's longest fitting prefix (``config, prefix, folder``), the first folder that has the file."""
+    near = nearest_config(imports.select(F.col("source").alias("path")).distinct(), rules.select("config").distinct())
+    met = imports.join(near.withColumnRenamed("path", "source"), "source").join(rules, "config").where("startswith(raw, prefix)")
+    rest = F.translate(F.expr("substring(raw, length(prefix) + 1)"), "\\", "/")
+    base = normal_path(F.concat_ws("/", F.when(directory(F.col("config")) != "", directory(F.col("config"))), "folder", rest))
+    return _first(met.select("source", "raw", (-F.length("prefix")).alias("rank"), F.concat(base, F.lit(".php")).alias("candidate")), files)
+
+
+def rust_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """``crate``, ``super`` and ``self`` paths: the longest part of the path that is a file, ``x.rs`` before ``x/mod.rs``."""
+    parts = F.split(F.regexp_replace("raw", r"::\{.*$|::\*$", ""), "::")
+    folder = directory(F.col("source"))
+    stem = F.regexp_extract("source", r"([^/]+)\.rs$", 1)
+    own = F.when(stem.isin("mod", "lib", "main"), folder).otherwise(F.concat_ws("/", F.when(folder != "", folder), stem))
+    crate = F.regexp_extract("source", r"^(.*?src)(?:/|$)", 1)
+    base = F.when(parts[0] == "crate", crate).when(parts[0] == "self", own).when(parts[0] == "super", directory(own))
+    cut = F.explode(F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda n: F.struct((F.size(parts) - n).alias("i"), F.array_join(F.slice(parts, F.lit(2), n), "/").alias("rest"))))
+    spread = imports.where("raw rlike '^(crate|self|super)::'").select("source", "raw", base.alias("base"), cut.alias("x"))
+    ends = F.posexplode(F.array(F.lit(".rs"), F.lit("/mod.rs")))
+    spread = spread.select("source", "raw", (F.col("x.i") * 2).alias("i"), F.concat_ws("/", F.when(F.col("base") != "", F.col("base")), "x.rest").alias("base"), ends.alias("j", "end"))
+    return _first(spread.select("source", "raw", (F.col("i") + F.col("j")).alias("rank"), F.concat("base", "end").alias("candidate")), files)
+
+
+def include_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """C and C++ includes: the file's folder, include, src, the root."""
+    here = normal_path(F.concat_ws("/", directory(F.col("source")), "raw"))
+    places = F.array(here, F.concat(F.lit("include/"), "raw"), F.concat(F.lit("src/"), "raw"), F.col("raw"))
+    return _first(imports.select("source", "raw", F.posexplode(places).alias("rank", "candidate")), files)
+
+
+def module_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """Swift modules: every file of the module but the importer (``modules``: module, path)."""
+    return imports.join(modules.select(F.col("module").alias("raw"), F.col("path").alias("target")), "raw").where("target != source").select("source", "raw", "target")
+
+
+def production_candidates(path: Column) -> Column:
+    """Where a test's subject may lie, in order."""
+    base, folder = F.element_at(F.split(path, "/"), -1), directory(path)
+    up = F.when(F.element_at(F.split(folder, "/"), -1).isin("__tests__", "tests", "test"), directory(folder)).otherwise(folder)
+    at = lambda d, name: F.concat_ws("/", F.when(d != "", d), name)
+    js = F.regexp_replace(base, r"\.(test|spec)(\.[cm]?[jt]sx?)$", "$2")
+    stem = F.regexp_replace(js, r"\.[^.]+$", "")
+    py = F.regexp_replace(F.regexp_replace(base, r"^test_", ""), r"_test\.py$", ".py")
+    go = F.regexp_replace(base, r"_test\.go$", ".go")
+    jvm = F.regexp_replace(base, r"(Tests?|IT|Spec)(\.\w+)$", "$2")
+    main = F.regexp_replace(folder, r"(^|/)src/test/", "$1src/main/")
+    none = F.array().cast("array<string>")
+    return (
+        F.when(base.rlike(r"\.(test|spec)\.[cm]?[jt]sx?$"), F.concat(F.array(at(folder, js), at(up, js)), F.transform(F.array(*map(F.lit, (".ts", ".tsx", ".js", ".jsx"))), lambda x: at(up, F.concat(stem, x)))))
+        .when(base.endswith(".py"), F.array(at(folder, py), at(up, py), at(F.lit("src"), py), py))
+        .when(base.endswith("_test.go"), F.array(at(folder, go)))
+        .when(base.rlike(r"\.(java|kt|scala|cs)$"), F.array(at(main, jvm), at(folder, jvm)))
+        .otherwise(none)
+    )
+
+
+def supplied_tests(tests: DataFrame, files: DataFrame, paired: DataFrame) -> DataFrame:
+    """tested_by edges (weight 0.5) from the first candidate that is a file and no test, for tests that have none yet (``paired.target``)."""
+    left = tests.select("path").join(paired.select(F.regexp_replace("target", "^file:", "").alias("path")), "path", "left_anti")
+    spread = left.select(F.col("path").alias("source"), F.lit("").alias("raw"), F.posexplode(production_candidates(F.col("path"))).alias("rank", "candidate"))
+    met = _first(spread, files.where(~is_test_path(F.col("path"))))
+    file = lambda c: F.concat(F.lit("file:"), c)
+    return met.select(file(F.col("target")).alias("source"), file(F.col("source")).alias("target"), F.lit("tested_by").alias("type"), F.lit("forward").alias("direction"), F.lit(0.5).alias("weight"))
+
+
+def tag_tested(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The tag ``tested``, once, on every node that a tested_by edge leaves."""
+    own = edges.where("type = 'tested_by'").select(F.col("source").alias("id"), F.lit(True).alias("__t")).distinct()
+    return nodes.join(own, "id", "left").withColumn("tags", F.when(F.col("__t"), F.array_union("tags", F.array(F.lit("tested")))).otherwise(F.col("tags"))).select(nodes.columns)
