@@ -1,4 +1,10 @@
-"""Communities by synchronous label propagation with deterministic ties, then a size cap."""
+"""Communities by modularity: parallel local moving, then the same on the contracted graph.
+
+Edges count once in either direction, loops not at all; isolated nodes stay alone.  In
+each round half of the nodes (by a hash of id and round) may move to the neighbouring
+community of greatest gain, the smallest name on a tie, so two nodes rarely swap
+places.  Rounds are aggregations and joins; no neighbourhood is collected.
+"""
 
 from __future__ import annotations
 
@@ -8,24 +14,45 @@ from pyspark.sql import functions as F
 from ..plans.loops import cut
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """``id, container``: each node takes the label most of its neighbours (and itself) have, the smallest on a tie.
+def _moved(both: DataFrame, degree: DataFrame, total: float, rounds: int) -> DataFrame:
+    """``id, container`` of a weighted graph given in both directions (``s, t, w``)."""
+    spark = both.sparkSession
+    labels = cut(spark, degree.select("id", F.col("id").alias("container")))
+    still = 0
+    for k in range(rounds):
+        mine = degree.join(labels, "id")
+        sums = mine.groupBy("container").agg(F.sum("k").alias("all"))
+        ties = both.where("s != t").join(labels.select(F.col("id").alias("t"), "container"), "t").groupBy(F.col("s").alias("id"), "container").agg(F.sum("w").alias("w"))
+        stay = mine.select("id", "container", F.lit(0.0).alias("w"))
+        choice = ties.unionByName(stay).groupBy("id", "container").agg(F.sum("w").alias("w"))
+        choice = choice.join(sums, "container").join(mine.select("id", "k", F.col("container").alias("own")), "id")
+        others = F.col("all") - F.when(F.col("container") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - F.col("k") * others / (2 * total), 9)
+        top = choice.withColumn("gain", gain)
+        best = top.groupBy("id").agg(F.max("gain").alias("gain"), F.max(F.when(F.col("container") == F.col("own"), F.col("gain"))).alias("now"), F.first("own").alias("own"))
+        picked = top.select("id", "container", "gain").join(best, ["id", "gain"]).groupBy("id").agg(F.min("container").alias("new"), F.first("gain").alias("gain"), F.first("now").alias("now"), F.first("own").alias("own"))
+        may = (F.pmod(F.xxhash64("id", F.lit(k // 2)), F.lit(2)) == k % 2) & (F.col("gain") > F.col("now"))
+        labels = cut(spark, picked.select("id", F.when(may, F.col("new")).otherwise(F.col("own")).alias("container"), may.alias("moved")))
+        still = 0 if not labels.where("moved").isEmpty() else still + 1
+        labels = labels.select("id", "container")
+        if still == 2:
+            break
+    return labels
+
 
-    Edges count once in either direction, loops not at all; isolated nodes stay alone.
-    Every round is an aggregation with a map-side part, so no neighbourhood is collected.
-    """
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, levels: int = 2) -> DataFrame:
+    """``id, container``: a community's name is one of its members' ids."""
     spark = nodes.sparkSession
-    e = edges.where("source != target").select("source", "target")
-    both = cut(spark, e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
-    labels = cut(spark, nodes.select("id", F.col("id").alias("container")))
-    for _ in range(rounds):
-        votes = both.join(labels.select(F.col("id").alias("target"), "container"), "target").select(F.col("source").alias("id"), "container").unionByName(labels)
-        per = votes.groupBy("id", "container").agg(F.count(F.lit(1)).alias("n"))
-        # max_by on (votes, smaller label first)
-        best = per.groupBy("id").agg(F.max("n").alias("top"))
-        new = cut(spark, per.join(best, "id").where("n = top").groupBy("id").agg(F.min("container").alias("container")))
-        moved = new.join(labels.withColumnRenamed("container", "old"), "id").where("container != old").isEmpty()
-        labels = new
-        if moved:
-            break
-    return labels.join(nodes.select("id"), "id", "left_semi")
+    pairs = edges.where("source != target").select(F.least("source", "target").alias("s"), F.greatest("source", "target").alias("t")).distinct()
+    known = nodes.select("id").distinct()
+    pairs = pairs.join(known.withColumnRenamed("id", "s"), "s", "left_semi").join(known.withColumnRenamed("id", "t"), "t", "left_semi").withColumn("w", F.lit(1.0))
+    both = cut(spark, pairs.unionByName(pairs.select(F.col("t").alias("s"), F.col("s").alias("t"), "w")))
+    total = (both.agg(F.sum("w")).first()[0] or 0.0) / 2
+    out = cut(spark, known.select("id", F.col("id").alias("container")))
+    for _ in range(levels if total else 0):
+        degree = cut(spark, both.groupBy(F.col("s").alias("id")).agg(F.sum("w").alias("k")))
+        found = _moved(both, degree, total, rounds)
+        out = cut(spark, out.join(found.select(F.col("id").alias("container"), F.col("container").alias("new")), "container", "left").select("id", F.coalesce("new", "container").alias("container")))
+        a, b = found.select(F.col("id").alias("s"), F.col("container").alias("cs")), found.select(F.col("id").alias("t"), F.col("container").alias("ct"))
+        both = cut(spark, both.join(a, "s").join(b, "t").groupBy(F.col("cs").alias("s"), F.col("ct").alias("t")).agg(F.sum("w").alias("w")))
+    return out

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..operators import analytics, change, graph, imports, parse, repair, search, traverse
+from ..operators import analytics, build, change, community, graph, imports, parse, repair, search, traverse, views
+from ..streaming import refresh
 from . import projection as p
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -529,3 +530,67 @@ def nearest_ancestor(spark, d):
     files = p.nodes(spark, d, "customer", "supplier").select("id", F.col("file_path").alias("path"))
     near = imports.nearest_config(files.select("path"), p.nodes(spark, d, "nation").select(F.col("file_path").alias("config")))
     return files.join(near, "path").select("id", "config")
+
+
+_ELEMENT = "'file:supplier/3'"
+
+
+@query(f"""SELECT {_ELEMENT} AS id, 'element' AS role UNION ALL SELECT DISTINCT target, 'child' FROM edges WHERE type = 'contains' AND source = {_ELEMENT}
+UNION ALL (SELECT id, 'connected' FROM (SELECT target AS id FROM edges WHERE source = {_ELEMENT} UNION SELECT source FROM edges WHERE target = {_ELEMENT}) WHERE id <> {_ELEMENT} AND id NOT IN (SELECT target FROM edges WHERE type = 'contains' AND source = {_ELEMENT}))
+UNION ALL SELECT layer_id, 'layer' FROM layer_members WHERE node_id = {_ELEMENT}""")
+def explain_element(spark, d):
+    n = p.nodes(spark, d, "supplier")
+    path = n.where("id = 'file:supplier/3'").first().file_path
+    return views.explain(n, p.edges(spark, d, "serves", "supplier"), p.layer_members(spark, d), path)
+
+
+@query("""SELECT 'orphan' AS check, 'warning' AS level, count(*) AS n FROM nodes WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)
+UNION ALL SELECT 'file in no layer', 'critical', count(*) FROM nodes WHERE type IN ('file', 'service') AND id NOT IN (SELECT node_id FROM layer_members)
+UNION ALL SELECT 'self edge', 'warning', count(*) FROM edges WHERE source = target
+UNION ALL SELECT 'weight out of range', 'warning', n FROM (SELECT count(*) AS n FROM edges WHERE weight < 0 OR weight > 1) WHERE n > 0""".replace("AS check", 'AS "check"'))
+def graph_review(spark, d):
+    tour = spark.createDataFrame([(1, "module:region/0")], "step int, id string")
+    return views.review(p.nodes(spark, d), p.edges(spark, d), p.layer_members(spark, d), tour)
+
+
+@query(", f AS (SELECT id, string_split(file_path, '/') AS s FROM nodes WHERE type = 'file'), a AS (SELECT id, s, unnest(range(1, len(s) + 1)) AS n FROM f) SELECT DISTINCT array_to_string(s[1:n - 1], '/') AS parent, s[n] AS name, array_to_string(s[1:n], '/') AS path, n < len(s) AS folder, CASE WHEN n = len(s) THEN id END AS id FROM a")
+def file_tree(spark, d):
+    return views.file_tree(p.nodes(spark, d, "customer", "supplier"))
+
+
+@query(", own AS (SELECT node_id AS id FROM layer_members WHERE layer_id = 'layer:asia' UNION SELECT target FROM edges JOIN layer_members ON node_id = source WHERE layer_id = 'layer:asia' AND type = 'contains') SELECT type, count(*) AS n FROM edges WHERE source IN (SELECT id FROM own) AND target IN (SELECT id FROM own) GROUP BY ALL")
+def layer_detail(spark, d):
+    _, between = views.layer_detail(p.nodes(spark, d, "customer", "supplier", "orders", "part"), p.edges(spark, d), p.layer_members(spark, d), "layer:asia")
+    return between.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT source AS id, count(DISTINCT target) AS children FROM edges WHERE type = 'contains' GROUP BY source")
+def node_children(spark, d):
+    return graph.children(p.edges(spark, d, "nation", "customer", "supplier", "orders"))
+
+
+@query(f", w AS (SELECT type, CASE WHEN type = 'contains' THEN 1.0 WHEN type IN ('depends_on', 'triggers') THEN 0.6 ELSE 0.5 END::DOUBLE AS weight FROM edges) SELECT type, weight, count(*) AS n FROM w GROUP BY ALL")
+def default_weights(spark, d):
+    return p.edges(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("n")).select("type", build.default_weight(F.col("type")).alias("weight"), "n")
+
+
+@query("""SELECT page_id, href, CASE WHEN regexp_matches(href, '\\.[A-Za-z0-9]+$') THEN lower(regexp_extract(href, '\\.([A-Za-z0-9]+)$', 1)) ELSE '' END AS ext FROM hrefs""")
+def link_extensions(spark, d):
+    return p.hrefs(spark, d).select("page_id", "href", F.lower(F.regexp_extract("href", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"))
+
+
+@query()
+def communities(spark, d):
+    return community.communities(p.nodes(spark, d, "region", "nation", "customer", "supplier").select("id"), p.edges(spark, d, "nation", "customer", "supplier"))
+
+
+@query()
+def heuristic_tour(spark, d):
+    n = p.nodes(spark, d, "region", "nation", "supplier")
+    order = traverse.topological_levels(n, p.edges(spark, d, "nation", "supplier")).select("id", "pos")
+    return views.heuristic_tour(order, n, p.layer_members(spark, d))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL", False)
+def event_windows(spark, d):
+    return refresh.event_windows(p.table(spark, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
