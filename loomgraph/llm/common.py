@@ -100,7 +100,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def merged(blobs: DataFrame, merge: Callable[[list[bytes]], bytes], fan: int = 16) -> bytes | None:
-    """Merges a column ``blob`` (about one a partition) in a tree; each task and the driver meet ``fan`` at most."""
+    """Merges a column ``blob`` (about one a partition) in a tree; each task meets ``fan`` of them, the driver the last one."""
 
     def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: bytes | None = None
@@ -112,13 +112,11 @@ def merged(blobs: DataFrame, merge: Callable[[list[bytes]], bytes], fan: int = 1
 
     df = cut(blobs.select("blob"))
     n = df.count()
-    while n > fan:
+    while n > 1:
         n = -(-n // fan)
         df = cut(df.repartition(n).mapInArrow(level, "blob binary"))
-    held: bytes | None = None
-    for row in df.toLocalIterator():
-        held = bytes(row.blob) if held is None else merge([held, bytes(row.blob)])
-    return held
+    row = df.first()
+    return bytes(row.blob) if row else None
 
 
 class Forest:
