@@ -286,6 +286,18 @@ def test_lines_of_repeated_rows(docs):
     assert line_dedup.clean_lines(docs).count() == len(rows())
 
 
+def test_near_lines_of_null_ids_and_repeated_rows(spark):
+    first = prose(40, 21)
+    near = first.split()
+    near[-1] = "changed"
+    other = prose(40, 22)
+    data = [(None, " ".join(near)), (None, " ".join(near)), (0, first), (7, first + "\n" + other), (7, first + "\n" + other), (None, None)]
+    got = line_dedup.clean_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    # null ids are last, so the near line goes; rows that repeat are cleaned alike
+    want = [(None, 1, 1, "")] * 2 + [(0, 1, 0, first)] + [(7, 2, 1, other)] * 2 + [(None, 0, 0, None)]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 # tokens
 
 
