@@ -5,6 +5,11 @@ sequence in 32-bit integers) falls into one source's stretch of the cumulative t
 weights.  A source's slots are ranked; its k-th slot takes the k-th of its shuffled
 equal-token blocks, again from the first when all are used.  DataFrame functions only.
 
+Where blocks hold several words, a source whose target is under SCHEDULED blocks has too
+few slots to come near it.  It takes its target word for word instead: whole epochs, and
+the first words of its shuffled order for the rest.  The SQL has no such case; it gives
+the same on tables where each source's target is SCHEDULED blocks or more.
+
 Defined cases: a null text or one without words has size 0 and nothing is taken of
 it; a null source is a source of its own, last in the order; repeated rows (equal
 doc_id) are shuffled by a hash of all their columns and count once each; an empty table or one
@@ -20,6 +25,8 @@ from .common import cut, read
 
 #: Slots of the schedule, at most: the blocks' length follows the input.
 SLOT_BITS = 17
+#: Blocks from which a source's target is left to the schedule, which errs by a few of them.
+SCHEDULED = 1024
 #: The golden ratio's fraction times 2**32.
 GOLDEN = 2654435769
 WEIGHTS = (5, 2, 1)
@@ -101,6 +108,14 @@ def shuffled(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return df.withColumn("start", F.col("before") + inside)
 
 
+def _exactly() -> Column:
+    """Words taken of a row ``[start, start + size)``, where its source takes its target word for word."""
+    goal = F.round("target").cast("long")
+    epochs = F.floor(goal / F.greatest("source_size", F.lit(1)).cast("double")).cast("long")
+    rest = goal - epochs * F.col("source_size")
+    return epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
+
+
 def taken_words(docs: DataFrame) -> DataFrame:
     """``row, doc_id, size, source, source_size, target, taken``; one row for each of the input's."""
     spark = docs.sparkSession
@@ -111,13 +126,14 @@ def taken_words(docs: DataFrame) -> DataFrame:
     times = schedule(spark, targets).groupBy("source", "block_id").agg(F.count(F.lit(1)).alias("times"))
     last = F.floor((F.col("start") + F.col("size") - 1) / F.col("block").cast("double")).cast("long")
     first = F.floor(F.col("start") / F.col("block").cast("double")).cast("long")
+    placed = placed.withColumn("exact", (F.col("block") > 1) & (F.col("target") < F.col("block") * SCHEDULED))
     # a row lies in size / block + 2 blocks at most: over all rows that is no more than rows and slots together
     ids = ["doc_id", "source", "size", "shuffle", "salt", "source_size", "target", "start"]
-    pieces = placed.withColumn("block_id", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))))
+    pieces = placed.withColumn("block_id", F.explode(F.when((F.col("size") > 0) & ~F.col("exact"), F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))))
     t = times.select(F.col("source").alias("t_source"), F.col("block_id").alias("t_block"), "times")
     met = pieces.join(t, pieces.source.eqNullSafe(t.t_source) & (pieces.block_id == t.t_block), "left")
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block_id") + 1) * F.col("block")) - F.greatest(F.col("start"), F.col("block_id") * F.col("block"))
-    part = F.when(F.col("size") > 0, overlap * F.coalesce("times", F.lit(0))).otherwise(F.lit(0))
+    part = F.when((F.col("size") > 0) & F.col("exact"), _exactly()).when(F.col("size") > 0, overlap * F.coalesce("times", F.lit(0))).otherwise(F.lit(0))
     taken = met.groupBy(*ids).agg(F.sum(part).cast("long").alias("taken"), F.count(F.when(F.col("size") == 0, 1)).alias("empties"))
     # rows without words have no stretch of their own: equal ones meet in a group and part again
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), "empties")))).drop("empties", "copy", "start", "shuffle")

@@ -388,6 +388,21 @@ def test_mixing(docs, empty):
     assert source_mixing.taken_words(empty).count() == 0
 
 
+def test_rare_sources_take_their_targets(spark):
+    big = [(i, "w " * 100_000, "abc"[i % 3]) for i in range(90)]
+    small = [(100 * k + i, "v " * (n // 10), f"r{k}") for k, n in enumerate((10, 100, 300, 1000, 3000), 1) for i in range(10)]
+    df = spark.createDataFrame(big + small, "doc_id long, text string, source string").repartition(4)
+    per = source_mixing.taken_words(df).groupBy("source", "source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(per) == 8
+    for r in per:
+        if r.source in "abc":
+            assert abs(r.taken - r.target) < 0.01 * r.target
+        else:
+            assert r.taken == round(r.target) > 0
+    copies = Counter(r.source for r in source_mixing.mix_documents(df).collect())
+    assert all(copies[r.source] == 10 * r.target / r.source_size for r in per if r.source not in "abc")
+
+
 def test_mixed_documents(docs, empty):
     got = source_mixing.mix_documents(docs)
     assert got.columns == docs.columns and got.count() > 0
