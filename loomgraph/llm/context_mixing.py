@@ -15,8 +15,11 @@ online, and an adaptive map refines the mixed probability.  The sum of -log2 is
 text's bits.
 
 What is counted comes from all training rows: token counts (shuffled), and tables of
-fixed size that tasks sum and a tree merges.  Weights and map start alike for each text and follow it
-block by block, so a text's score depends on the training rows and itself alone.
+fixed size that tasks sum and a tree merges.  Weights and maps of both mixers are learned
+over all training rows (of bytes, over all their words outside the lexicon), each
+decision's own count left out: the mean of what tasks reach, so they vary a little with
+how rows are dealt to tasks.  Each text starts from them, and both mixers follow it block
+by block.
 
 Defined cases: a null text is an empty one, that is its end alone; rows with a null
 doc_id are training rows with a null id in the result; repeated rows train and are
@@ -34,7 +37,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -48,11 +50,15 @@ FREQUENT, BEFORE = 63, 32
 #: Slots of the byte predictors' tables.
 SLOTS = (1 << 16, 1 << 17, 1 << 18)
 DEPTHS, MAP = 24, 64
-#: How fast weights follow inside a text, and the decisions between two steps.
-RATE, BLOCK = 2e-2, 1024
+#: How fast weights follow: tree and bytes, while training and inside a text; and the decisions between two steps.
+RATES_TRAINING, RATES, BLOCK = (2e-5, 2e-4), (2e-2, 1e-3), 1024
+#: Words that are spelled at a time.
+SPELLED = 4096
 #: Words outside the lexicon whose counts are broadcast too; those of all others are joined.
 COUNTED = 1 << 17
 HELD = 1 << 19
+#: Bytes of text that train the mixers at a time.
+TRAINED = 1 << 19
 _END = b"\n"  # no word holds it
 
 
@@ -170,8 +176,20 @@ class Mixer:
         self.met = np.full(MAP, PRIOR)
         self.ones = PRIOR * _MIDDLES
 
-    def bits(self, x: list[np.ndarray], y: np.ndarray, gate: np.ndarray, rate: float, block: int) -> np.ndarray:
-        """Bits of each of the decisions y, in order; what a block teaches holds from the next one on."""
+    def begun(self) -> Mixer:
+        """A copy that follows a text."""
+        own = object.__new__(Mixer)
+        own.weights, own.met, own.ones = [w.copy() for w in self.weights], self.met.copy(), self.ones.copy()
+        return own
+
+    def learn(self, n: int, weights: list[np.ndarray], met: np.ndarray, ones: np.ndarray) -> None:
+        """Starts from weights summed over n rows and from what the map has met; the map still follows a text as fast."""
+        self.weights = [(w / n).astype(np.float32) for w in weights]
+        self.ones = PRIOR * (ones + PRIOR * _MIDDLES) / (met + PRIOR)
+        self.met = np.full(MAP, PRIOR)
+
+    def bits(self, x: list[np.ndarray], y: np.ndarray, gate: np.ndarray, rate: float, block: int, more: bool = False) -> np.ndarray:
+        """Bits of each of the decisions y, in order; what a block teaches holds from the next one on (more: there are others after y)."""
         came = np.empty(len(y), np.float32)  # probability of the bit that came
         one = y.astype(np.float32)
         zero = 1 - one
@@ -193,7 +211,7 @@ class Mixer:
             q *= np.float32(0.5)
             np.subtract(zero[s:e], q, out=q)
             np.abs(q, out=came[s:e])
-            if e < len(y):
+            if more or e < len(y):
                 wrong = one[s:e] - p
                 for w, xk in zip(self.weights, x, strict=True):
                     w += (rate * np.bincount(gs, wrong * xk[s:e], len(w))).astype(np.float32)
@@ -209,12 +227,12 @@ class Mixer:
 
 
 def tree_mixer() -> Mixer:
-    """For the tree, before a text begins."""
+    """For the tree, before training."""
     return Mixer((-0.3, 0.8, 0.5), DEPTHS)
 
 
 def byte_mixer() -> Mixer:
-    """For bytes, before a call's words begin."""
+    """For bytes, before training."""
     return Mixer((0.2, 0.4, 0.5), 8)
 
 
@@ -234,6 +252,7 @@ class Model:
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []  # met, ones: (contexts * nodes) of each tree predictor
         self.bytes_met: list[tuple[np.ndarray, np.ndarray]] = []
         self.rare: dict[bytes, int] = {}
+        self.mixers = fresh_mixers()
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "ids"}
@@ -266,8 +285,8 @@ class Model:
                 self.odds.append(log_odds(ones, met, p0, 2.0).ravel())
         self.byte_odds = [log_odds(ones, met, 0.5, 0.5) for met, ones in self.bytes_met]
 
-    def decisions(self, symbols: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Log-odds of each predictor, bits and gates of the tree's decisions."""
+    def decisions(self, symbols: np.ndarray, own: bool = False) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Log-odds of each predictor, bits and gates of the tree's decisions; own: a training text's, each token's own count left out."""
         tree = self.tree
         lengths = tree.lengths[symbols]
         total = int(lengths.sum())
@@ -275,19 +294,39 @@ class Model:
         at += np.arange(total)
         node = tree.nodes.take(at)
         inner = len(tree.parts)
-        x = [self.odds[0].take(node)]
-        for odds, c in zip(self.odds[1:], self.contexts(symbols)[1:], strict=True):
+        slots = [node]
+        for c in self.contexts(symbols)[1:]:
             slot = np.repeat(c * inner, lengths)
             slot += node
-            x.append(odds.take(slot))
-        return x, tree.bits.take(at), tree.gates.take(at)
+            slots.append(slot)
+        bit = tree.bits.take(at)
+        if not own:
+            x = [odds.take(slot) for odds, slot in zip(self.odds, slots, strict=True)]
+        else:
+            x, p0 = [], None
+            for (met, ones), slot in zip(self.tables, slots, strict=True):
+                m, o = np.maximum(met.ravel().take(slot) - 1, 0), np.maximum(ones.ravel().take(slot) - bit, 0)
+                x.append(log_odds(o, m, 0.5, 0.8) if p0 is None else log_odds(o, m, p0, 2.0))
+                if p0 is None:
+                    p0 = (o + np.float32(0.4)) / (m + np.float32(0.8))
+        return x, bit, tree.gates.take(at)
 
     def spelled(self, words: list[bytes]) -> np.ndarray:
-        """Bits of each word's bytes and blank; the mixer starts anew with each call's words."""
+        """Bits of each word's bytes and blank; the words are those of one text, in order, which the mixer follows."""
+        mixer, out = self.mixers[1].begun(), [np.zeros(0)]
+        for k in range(0, len(words), SPELLED):
+            part = words[k : k + SPELLED]
+            slots, bit, place = byte_contexts(part)
+            x = [o.take(s) for o, s in zip(self.byte_odds, slots, strict=True)]
+            cost = mixer.bits(x, bit, place, RATES[1], BLOCK, k + SPELLED < len(words))
+            out.append(np.add.reduceat(cost, np.cumsum([0, *(8 * len(w) + 8 for w in part[:-1])])))
+        return np.concatenate(out)
+
+    def spell_training(self, words: list[bytes], mixer: Mixer) -> None:
+        """The mixer follows words that training has held; each was counted once, which is left out."""
         slots, bit, place = byte_contexts(words)
-        x = [o.take(s) for o, s in zip(self.byte_odds, slots, strict=True)]
-        cost = byte_mixer().bits(x, bit, place, 0.0, 1 << 30)
-        return np.add.reduceat(cost, np.cumsum([0, *(8 * len(w) + 8 for w in words[:-1])]))
+        x = [log_odds(np.maximum(ones.take(s) - bit, 0), np.maximum(met.take(s) - 1, 0), 0.5, 0.5) for (met, ones), s in zip(self.bytes_met, slots, strict=True)]
+        mixer.bits(x, bit, place, RATES_TRAINING[1], 4 * BLOCK, True)
 
 
 def _sparse(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -319,7 +358,7 @@ def _emit(blob: bytes) -> pa.RecordBatch:
 
 
 def train(docs: DataFrame, vocabulary: DataFrame) -> Model:
-    """Two passes: symbols under their contexts, and spellings of the words outside the lexicon."""
+    """Symbols under their contexts, spellings of the words outside the lexicon, and the mixers over both again."""
     sc = docs.sparkSession.sparkContext
     # words met once stand for those yet unseen: they are escaped, and their spellings are learned
     top = vocabulary.where((F.col("word") != F.lit(_END)) & (F.col("c") > 1)).orderBy(F.desc("c"), "word").limit(LEXICON + COUNTED).toArrow()
@@ -368,6 +407,42 @@ def train(docs: DataFrame, vocabulary: DataFrame) -> Model:
     blob = merged(vocabulary.select("word").mapInArrow(spell, "blob binary"), _add)
     tables = _unpack(blob) if blob else [np.zeros(k, np.int64) for k in (*SLOTS, *SLOTS)]
     model.bytes_met = [(tables[k].astype(np.float32), tables[k + len(SLOTS)].astype(np.float32)) for k in range(len(SLOTS))]
+    held.destroy()
+    learned = sc.broadcast(model)
+
+    def reached(n: int, mixer: Mixer) -> pa.RecordBatch:
+        return _emit(pickle.dumps((n, [n * w.astype(np.float64) for w in mixer.weights], mixer.met - PRIOR, mixer.ones - PRIOR * _MIDDLES)))
+
+    def mix_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, mixer, n = learned.value, tree_mixer(), 0
+        for batch in batches:
+            for part in chunks(batch, "text", TRAINED):
+                for text in bytes_of(part.column(0)):
+                    s = m.symbols(lower_words(text))
+                    for k in range(0, len(s), TRAINED // 8):
+                        mixer.bits(*m.decisions(s[k : k + TRAINED // 8], True), RATES_TRAINING[0], 4 * BLOCK, True)
+                    n += len(s)
+        if n:
+            yield reached(n, mixer)
+
+    def mix_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, mixer, n = learned.value, byte_mixer(), 0
+        for batch in batches:
+            every = [w for w in batch.column(0).to_pylist() if w not in m.ids and w != _END]
+            for k in range(0, len(every), SPELLED):
+                m.spell_training(every[k : k + SPELLED], mixer)
+            n += len(every)
+        if n:
+            yield reached(n, mixer)
+
+    def both(blobs: list[bytes]) -> bytes:
+        (n, w, *s), (k, v, *t) = map(pickle.loads, blobs)
+        return pickle.dumps((n + k, [a + b for a, b in zip(w, v, strict=True)], *(a + b for a, b in zip(s, t, strict=True))))
+
+    for mixer, rows in zip(model.mixers, (docs.select("text").mapInArrow(mix_trees, "blob binary"), vocabulary.select("word").mapInArrow(mix_bytes, "blob binary")), strict=True):
+        if blob := merged(rows, both):
+            mixer.learn(*pickle.loads(blob))
+    learned.destroy()
     model.finish()
     model.bytes_met = []
     model.tables = []
@@ -375,7 +450,7 @@ def train(docs: DataFrame, vocabulary: DataFrame) -> Model:
     return model
 
 
-_FLAT = "word binary, row long, tf long, doc_id long, n_tokens long, n_known long, base double, bits double, n_bytes long"
+_FLAT = "word binary, row long, tf long, spelt double, doc_id long, n_tokens long, n_known long, base double, bits double, n_bytes long"
 
 
 def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -397,21 +472,28 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
         own = {w: (math.log10((c + 1) / per), -math.log2(share * c / escaped)) for w, c in m.rare.items()}
         for batch in batches:
             for part in chunks(batch, "text"):
-                word, key, tf, rows = [], [], [], []
+                word, key, tf, spelt, rows = [], [], [], [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), bytes_of(part.column(1)), strict=True):
                     words = lower_words(text)
                     s = m.symbols(words)
-                    base, bits, seen = float(logs[s].sum()), float(tree_mixer().bits(*m.decisions(s), RATE, BLOCK).sum()), int(np.count_nonzero(known[s]))
-                    others: dict[bytes, int] = {}
+                    base, bits, seen = float(logs[s].sum()), float(m.mixers[0].begun().bits(*m.decisions(s), RATES[0], BLOCK).sum()), int(np.count_nonzero(known[s]))
+                    rare: list[bytes] = []
                     for at in np.flatnonzero(s == m.escape).tolist():
                         w = words[at]
                         if (got := own.get(w)) is not None:
                             base, bits, seen = base + got[0], bits + got[1], seen + 1
                         else:
-                            others[w] = others.get(w, 0) + 1
+                            rare.append(w)
+                    # spelled in the text's order; the join tells which of them training has held
+                    others: dict[bytes, list[float]] = {}
+                    for w, x in zip(rare, m.spelled(rare).tolist(), strict=True):
+                        k = others.setdefault(w, [0, 0.0])
+                        k[0] += 1
+                        k[1] += x
                     word += others
                     key += [row] * len(others)
-                    tf += others.values()
+                    tf += [x[0] for x in others.values()]
+                    spelt += [x[1] for x in others.values()]
                     rows.append((row, doc_id, len(s), seen, base, bits, len(text or b"")))
                     row += 1
                 k, r = len(word), len(rows)
@@ -420,27 +502,16 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 pad = [None] * k
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(word, pa.binary()), pa.array(key + list(cols[0]), pa.int64()), pa.array(tf + [0] * r, pa.int64())]
+                    [pa.array(word, pa.binary()), pa.array(key + list(cols[0]), pa.int64()), pa.array(tf + [0] * r, pa.int64()), pa.array(spelt + [0.0] * r, pa.float64())]
                     + [pa.array(pad + list(c), t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)],
                     names=[x.split()[0] for x in _FLAT.split(", ")],
                 )
 
-    @F.pandas_udf("double")
-    def spell(words: pd.Series) -> pd.Series:
-        """Bits of each word, null for null."""
-        out = np.full(len(words), np.nan)
-        at = np.flatnonzero(words.notna())
-        for k in range(0, len(at), 4096):
-            out[at[k : k + 4096]] = held.value.spelled([bytes(w) for w in words.iloc[at[k : k + 4096]]])
-        return pd.Series(out)
-
     flat = docs.select("doc_id", "text").mapInArrow(score, _FLAT)
     met = flat.join(vocabulary, "word", "left")
-    # only words that training has not held are spelled
-    met = met.withColumn("spelt", spell(F.when(F.col("c").isNull() & F.col("n_tokens").isNull(), F.col("word"))))
     c, tf = F.coalesce(F.col("c"), F.lit(0)), F.col("tf")
     base = F.coalesce("base", tf * F.log10((c + 1) / F.lit(per)))
-    bits = F.coalesce("bits", F.when(c > 0, tf * -F.log2(c * F.lit(share / escaped))).otherwise(tf * (F.col("spelt") - F.lit(math.log2(1 - share)))))
+    bits = F.coalesce("bits", F.when(c > 0, tf * -F.log2(c * F.lit(share / escaped))).otherwise(F.col("spelt") - tf * F.lit(math.log2(1 - share))))
     known = F.coalesce("n_known", F.when(c > 0, tf).otherwise(0))
     summed = met.groupBy("row").agg(
         F.sum("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base_score"), F.sum(bits).alias("bits"), F.sum("n_bytes").alias("n_bytes")

@@ -121,6 +121,18 @@ def test_scores(docs, empty):
     assert context_mixing.scored(empty, empty).count() == 0
 
 
+def test_mixers_learn_from_training_and_follow_a_text(spark):
+    df = spark.createDataFrame([(i, prose(200, i) + f" u{i} x{i * i}y") for i in range(60)], "doc_id long, text string").repartition(3)
+    model = context_mixing.train(df, common.cut(context_mixing.token_counts(df.union(spark.createDataFrame([(i, f"z{i} k{i}") for i in range(3000)], df.schema)))))
+    spelt = model.spelled([b"qjxz"] * 9000)
+    assert spelt[-1] < 0.9 * spelt[0]
+    # the second part of SPELLED words goes on where the first has ended
+    assert len(spelt) == 9000 and abs(spelt[context_mixing.SPELLED] - spelt[context_mixing.SPELLED - 1]) < 0.1 * spelt[0]
+    for learned, fresh in zip(model.mixers, context_mixing.fresh_mixers(), strict=True):
+        assert any((a != b).any() for a, b in zip(learned.weights, fresh.weights, strict=True))
+        assert (learned.ones != fresh.ones).any() and (learned.met == fresh.met).all()
+
+
 def test_bits_are_those_of_a_distribution():
     """Over all symbols of the tree the probabilities sum to one, whatever the context."""
     counts = np.array([50, 20, 7, 3, 1, 4])
