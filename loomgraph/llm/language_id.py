@@ -177,7 +177,10 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Documents with a language; those that are ``und`` go.  The texts pass through Python once and are not shuffled."""
+    """Documents with a language; those that are ``und`` go.  The texts pass through Python once and are not shuffled.
+
+    Where no language could be learned, as no training row has a label, texts that hold a letter stay.
+    """
     names = docs.columns
     held = docs.sparkSession.sparkContext.broadcast(samples(training_rows(docs)))
     text = names.index("text")
@@ -189,8 +192,12 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             _PARSERS[key] = Parser(held.value)
         for batch in batches:
             for part in chunks(batch, "text"):
-                found, _ = _PARSERS[key].predict(part.column(text).to_pylist())
-                yield part.filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
+                texts = part.column(text).to_pylist()
+                if held.value:
+                    found = [x != UNKNOWN for x in _PARSERS[key].predict(texts)[0]]
+                else:
+                    found = [bool(t and _LETTER(t)) for t in texts]
+                yield part.filter(pa.array(found, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -369,6 +369,11 @@ def test_languages(spark, docs, empty):
     assert {r.lang_pred for r in language_id.identify(df, {}).collect()} == {"und"}
 
 
+def test_texts_with_letters_stay_where_no_language_is_known(spark):
+    df = spark.createDataFrame([(1, "kalo mira", None), (2, "12 !", None), (3, None, None), (None, "ü", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language_id.keep_identified(df).collect()} == {1, None}
+
+
 # mixing
 
 
