@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, held_out, read
 
-#: The sample: at most so many texts of a language, and characters of each.
+#: The sample: at most so many texts of a language, and characters of a window of each.
 TEXTS, CHARS = 64, 1024
 SEGMENT = 1024
 UNKNOWN = "und"
@@ -143,11 +143,23 @@ class Parser:
 
 
 def samples(labelled: DataFrame, texts: int = TEXTS, chars: int = CHARS) -> dict[str, bytes]:
-    """Normalised text of each language: a bounded sample, the rows of the smallest hashes of doc_id."""
-    by_hash = Window.partitionBy("lang").orderBy("hash", "part")
-    rows = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("hash"), F.substring("text", 1, chars).alias("part"))
+    """Normalised text of each language: a window at a hashed offset of each of a bounded sample of texts.
+
+    The sample is the texts of the smallest hashes of doc_id, of those that differ and hold a letter; a window without
+    a letter gives way to the text from its first letter on.
+    """
+    text = F.col("text")
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("key"), F.xxhash64("doc_id").alias("hash"))
+    rows = rows.where(text.rlike(r"\p{L}"))
+    by_hash = Window.partitionBy("lang").orderBy("hash", "key")
+    keys = rows.groupBy("lang", "key").agg(F.min("hash").alias("hash")).withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= texts)
+    # as few rows as the sample that is collected
+    met = rows.drop("hash").join(F.broadcast(keys), ["lang", "key"])
+    offset = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.length("text") - (chars - 1)))
+    window = text.substr((offset + 1).cast("int"), F.lit(chars))
+    part = F.when(window.rlike(r"\p{L}"), window).otherwise(F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{chars - 1}}}", 0))
     found: dict[str, list[bytes]] = {}
-    for r in rows.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= texts).orderBy("lang", "k").collect():
+    for r in met.groupBy("lang", "k").agg(F.min(part).alias("part")).orderBy("lang", "k").collect():
         found.setdefault(r.lang, []).append(normalised(r.part))
     return {k: joined for k, v in found.items() if (joined := b" ".join(x for x in v if x))}
 

@@ -369,6 +369,17 @@ def test_languages(spark, docs, empty):
     assert {r.lang_pred for r in language_id.identify(df, {}).collect()} == {"und"}
 
 
+def test_samples_pass_over_headers_copies_and_texts_without_letters(spark):
+    header, own = "licence terms apply " * 60, {"p": "kalo mira tonu ", "q": "strch vlnk prst "}
+    data = [(i, header + own["pq"[i % 2]] * 400, "pq"[i % 2]) for i in range(10)]
+    got = language_id.samples(spark.createDataFrame(data, "doc_id long, text string, lang string"), 1)
+    assert b"kalo" in got["p"] and b"vlnk" in got["q"]
+    data = [(i, "kalo mira", "p") for i in range(300)] + [(i, "1 2", "p") for i in range(300, 600)] + [(i, None, "p") for i in range(600, 700)]
+    data += [(700, "tonu", "p"), (701, "9 " * 3000 + "vlnk", "q")]
+    got = language_id.samples(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3), 2)
+    assert sorted(got["p"].split()) == [b"kalo", b"mira", b"tonu"] and got["q"] == b"vlnk"
+
+
 def test_texts_with_letters_stay_where_no_language_is_known(spark):
     df = spark.createDataFrame([(1, "kalo mira", None), (2, "12 !", None), (3, None, None), (None, "ü", None)], "doc_id long, text string, lang string")
     assert {r.doc_id for r in language_id.keep_identified(df).collect()} == {1, None}
