@@ -7,12 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomgraph.llm import benchmark_decontamination as bench
-from loomgraph.llm import common, context_mixing, embedding_dedup, hilbert_sharding, language_id, line_dedup, ngram_join, quality_classifier, source_mixing, token_counts
+from loomgraph.llm import common, context_mixing, embedding_dedup, hashing, hilbert_sharding, language_id, line_dedup, ngram_join, quality_classifier, source_mixing, token_counts
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, shard string, size string, line string, vec string"
 rng = random.Random(11)
@@ -270,7 +271,7 @@ def cleaned(data):
     lines = []
     for i, t in data:
         for k, x in enumerate((t or "").split("\n") if t is not None else []):
-            if len(words(x)) >= 5:
+            if words(x):
                 lines.append((i, k, shingles(x)))
     lines.sort(key=lambda x: x[:2])
     gone = set()
@@ -298,6 +299,42 @@ def test_lines_of_repeated_rows(docs):
     assert line_dedup.clean_lines(docs).count() == len(rows())
 
 
+def test_lines_in_small_batches(spark, monkeypatch):
+    r = random.Random(14)
+    data = [(i, "\n".join(prose(r.randrange(0, 30), r.randrange(40)) for _ in range(r.randrange(1, 30)))) for i in range(60)]
+    monkeypatch.setattr(line_dedup, "BATCH", 600)
+    held = list(line_dedup.pieces(iter([pa.RecordBatch.from_pydict({"d": [i for i, _ in data], "text": [t for _, t in data]})])))
+    back = {i: [] for i, _ in data}
+    for (i,), line, part in (x for h in held for x in h):
+        assert len(back[i]) == line
+        back[i] += part.decode().split("\n")
+    assert {i: "\n".join(x) for i, x in back.items()} == {i: t for i, t in data}
+    monkeypatch.setattr(line_dedup, "BUCKET", 1 << 12)
+    monkeypatch.setattr(line_dedup, "PART", 2)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.text for x in line_dedup.clean_lines(df).collect()} == cleaned(data)
+
+
+def test_lines_of_rows_whose_short_hashes_are_equal(spark):
+    texts = [f"alpha beta gamma delta number {n} zeta eta theta" for n in (125493, 158551)]
+    df = spark.createDataFrame([(0, texts[0]), (None, texts[0]), (None, texts[1])], "doc_id long, text string")
+    assert len({r.h for r in df.select(F.hash("text").alias("h")).collect()}) <= 2
+    got = Counter((r.doc_id, r.text) for r in line_dedup.clean_lines(df).collect())
+    assert got == Counter([(0, texts[0]), (None, ""), (None, texts[1])])
+
+
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    r = random.Random(3)
+    text = "".join(r.choice("abAB é\n\t  ") for _ in range(5000)).encode()
+    start, h = hashing.word_hashes(np.frombuffer(text, np.uint8))
+    found = [text[s:].split(None, 1)[0].lower() for s in start.tolist()]
+    assert found == text.lower().split()
+    assert len(set(h.tolist())) == len(set(found)) == len(set(zip(found, h.tolist())))
+    monkeypatch.setattr(hashing, "PIECE", 7)
+    again = hashing.word_hashes(np.frombuffer(text, np.uint8))
+    assert (again[0] == start).all() and (again[1] == h).all()
+
+
 def test_near_lines_of_null_ids_and_repeated_rows(spark):
     first = prose(40, 21)
     near = first.split()
