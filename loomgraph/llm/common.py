@@ -30,6 +30,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows in splits that do not change when they are read again: scans as they are, anything else checkpointed."""
+    plans = [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.getClass().getSimpleName() not in ("Project", "Filter", "LogicalRelation", "DataSourceV2ScanRelation", "LogicalRDD", "LocalRelation"):
+            return cut(df)
+        children = plan.children()
+        plans += [children.apply(k) for k in range(children.size())]
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df

@@ -2,16 +2,16 @@
 
 For each language a suffix automaton holds every substring of a bounded sample of its
 labelled text.  A text is parsed greedily into the longest phrases that occur in the
-sample (Ziv and Merhav's cross parsing); the language that needs the fewest phrases
-for each byte wins.  All languages and many stretches of text are parsed in step, as
-lanes of NumPy arrays.
+sample (Ziv and Merhav's cross parsing); the language that needs the fewest normalised phrases wins: a phrase is a pointer
+into the sample, so it counts as the logarithm of the sample's length, and a language is not favoured for having more of it.
+All languages and many stretches of text are parsed in step, as lanes of NumPy arrays.
 
 A text is normalised to its words in lower case (A-Z only) without ASCII digits and
 signs, and parsed in stretches of SEGMENT bytes, whole: a phrase ends at its stretch's
 end, alike for all languages.
 
 Defined cases: a null text, or one without a letter of any script, is ``und`` with score 0; so
-is every text if no labelled row was given; of languages with equally few phrases the
+is every text if no labelled row was given; of languages with equally few normalised phrases the
 first by name wins; rows with a null doc_id count as training rows; repeated rows are
 predicted row by row; an empty table gives an empty result; other columns play no
 part.
@@ -76,6 +76,8 @@ class Parser:
 
     def __init__(self, samples: dict[str, bytes]) -> None:
         self.languages = sorted(samples)
+        #: What a phrase counts: the bits of a pointer into the sample, and one.
+        self.cost = np.array([1 + np.log2(len(samples[k]) + 1) for k in self.languages])
         used = sorted(set().union(*samples.values())) if samples else []
         self.width = len(used) + 2  # codes: 0 pads, 1 is met in no sample
         self.codes = np.ones(256, np.uint8)
@@ -132,13 +134,13 @@ class Parser:
         if not kept:
             return names, scores
         plain = [normalised(texts[i]) for i in kept]
-        table = self.phrases(plain)
+        table = self.phrases(plain) * self.cost
         best = table.argmin(axis=1)
         for row, (i, b) in enumerate(zip(kept, best.tolist(), strict=True)):
             p = table[row]
             names[i] = self.languages[b]
-            other = int(np.delete(p, b).min()) if len(p) > 1 else max(len(plain[row]), int(p[b]))
-            scores[i] = other / (other + int(p[b]))
+            other = float(np.delete(p, b).min()) if len(p) > 1 else max(8.0 * len(plain[row]), float(p[b]))
+            scores[i] = other / (other + float(p[b])) if other > 0 else 0.5
         return names, scores
 
 

@@ -406,6 +406,22 @@ def test_languages(spark, docs, empty):
     assert {r.lang_pred for r in language_id.identify(df, {}).collect()} == {"und"}
 
 
+def test_languages_of_unequal_samples():
+    r = random.Random(5)
+    stems = {"p": ["kalo", "mira", "tonu", "sela", "ravi"], "q": ["strch", "vlnk", "prst", "zmrz", "chrt"]}
+    text = lambda lang, n: " ".join(r.choice(stems[lang]) + r.choice("aeiou") for _ in range(n))
+    samples = {"p": text("p", 9000).encode(), "q": text("q", 60).encode()}
+    # a long sample in which one of the small language's words in ten is met too
+    samples["p"] += b" ".join(text("q", 1).encode() for _ in range(900))
+    parser = language_id.Parser(samples)
+    texts = [text("pq"[i % 2], 40) for i in range(60)]
+    names, scores = parser.predict(texts)
+    plain = parser.phrases([t.encode() for t in texts])
+    want = [min(zip(row * (1 + np.log2([len(samples[k]) + 1 for k in "pq"])), "pq"))[1] for row in plain]
+    assert names == want and names[1::2].count("q") >= 15 and names[::2].count("p") == 30
+    assert all(0.5 <= s <= 1 for s in scores)
+
+
 def test_samples_pass_over_headers_copies_and_texts_without_letters(spark):
     header, own = "licence terms apply " * 60, {"p": "kalo mira tonu ", "q": "strch vlnk prst "}
     data = [(i, header + own["pq"[i % 2]] * 400, "pq"[i % 2]) for i in range(10)]
@@ -449,7 +465,7 @@ def test_mixing(docs, empty):
         free -= over
     for s in size:
         assert math.isclose(target[s], want[s], rel_tol=1e-9, abs_tol=1e-9)
-        assert abs(taken[s] - want[s]) <= 0.01 * total
+        assert abs(taken[s] - want[s]) <= 0.5 + 1e-6
     assert source_mixing.taken_words(empty).count() == 0
 
 
@@ -460,10 +476,7 @@ def test_rare_sources_take_their_targets(spark):
     per = source_mixing.taken_words(df).groupBy("source", "source_size", "target").agg(F.sum("taken").alias("taken")).collect()
     assert len(per) == 8
     for r in per:
-        if r.source in "abc":
-            assert abs(r.taken - r.target) < 0.01 * r.target
-        else:
-            assert r.taken == round(r.target) > 0
+        assert abs(r.taken - r.target) <= 0.5 and r.taken > 0
     copies = Counter(r.source for r in source_mixing.mix_documents(df).collect())
     assert all(copies[r.source] == 10 * r.target / r.source_size for r in per if r.source not in "abc")
 
@@ -474,6 +487,22 @@ def test_mixed_documents(docs, empty):
     assert source_mixing.mix_documents(empty).count() == 0
 
 
+def test_tiny_sources_beside_huge_ones(spark):
+    sized = spark.createDataFrame([("a", 16_000_000, 9), ("b", 9, 3), ("c", 1, 1), (None, 70, 7)], "source string, size long, n int")
+    targets = source_mixing.source_targets(sized)
+    per = {r.source: r for r in targets.collect()}
+    words = {r.source: r.words for r in source_mixing.schedule(spark, targets).groupBy("source").agg(F.sum("words").alias("words")).collect()}
+    assert words == {s: r.goal for s, r in per.items()} and words["b"] > 0
+
+
+def test_repeated_rows_share_copies(spark):
+    data = [(1, "x " * 50, "r", i) for i in range(300)] + [(2, "y " * 30_000, "q", 0), (3, "z " * 30_000, "p", 0)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n int").repartition(4)
+    taken = sum(r.taken // r.size + (2 * (r.taken % r.size) >= r.size) for r in source_mixing.taken_words(df).where("doc_id = 1").collect())
+    copies = Counter(r.n for r in source_mixing.mix_documents(df).where("doc_id = 1").collect())
+    assert sum(copies.values()) == taken and max(copies.values()) - min(copies.values() if len(copies) == 300 else [0]) <= 1
+
+
 # embeddings
 
 
