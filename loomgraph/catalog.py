@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import planted, planted_files, planted_graphs
 from .plans import queries as plans
 
+#: These two fill the tables of planted queries.
+PLANTED = (planted_files, planted_graphs)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(plans.QUERIES)
+    return plans.QUERIES | planted.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(plans.SQL)
+    return plans.SQL | planted.SQL

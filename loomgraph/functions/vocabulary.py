@@ -177,6 +177,56 @@ dist/ build/ out/ coverage/ .next/ .cache/ .turbo/ target/ obj/
 LICENSE .gitignore .editorconfig .prettierrc .eslintrc* *.log
 """.split()
 
+# fixed values: frameworks, the files that name them, and the words that tell them
+FRAMEWORKS = {
+    "django": (["requirements.txt", "pyproject.toml", "setup.py", "setup.cfg", "Pipfile"], ["django", "djangorestframework", "django-rest-framework", "django-cors-headers", "django-filter"]),
+    "express": (["package.json"], ['"express":', "express-validator", "express-session"]),
+    "fastapi": (["requirements.txt", "pyproject.toml", "setup.py"], ["fastapi", "uvicorn", "starlette"]),
+    "flask": (["requirements.txt", "pyproject.toml", "setup.py"], ["flask", "flask-restful", "flask-sqlalchemy"]),
+    "gin": (["go.mod"], ["github.com/gin-gonic/gin"]),
+    "nextjs": (["package.json"], ['"next":', "@next/font", "@next/image"]),
+    "rails": (["Gemfile"], ["rails", "railties", "actionpack"]),
+    "react": (["package.json"], ["react", "react-dom", "@types/react"]),
+    "spring": (["pom.xml", "build.gradle", "build.gradle.kts"], ["spring-boot", "spring-boot-starter", "spring-web"]),
+    "vue": (["package.json"], ["vue", "@vue/cli-service", "nuxt", "vite-plugin-vue"]),
+}
+# fixed values: labels of folders by name
+FOLDER_LABELS = {
+    "api": ["routes", "api", "controllers", "endpoints", "handlers", "serializers", "controller", "routers", "blueprints"],
+    "service": ["services", "core", "lib", "domain", "logic", "signals", "internal", "composables", "mailers", "jobs", "channels"],
+    "data": ["models", "db", "data", "persistence", "repository", "entities", "migrations", "entity", "sql", "database", "schema"],
+    "ui": ["components", "views", "pages", "ui", "layouts", "screens"],
+    "middleware": ["middleware", "plugins", "interceptors", "guards"],
+    "utility": ["utils", "helpers", "common", "shared", "tools", "templatetags", "pkg"],
+    "config": ["config", "constants", "env", "settings", "management", "commands"],
+    "test": ["__tests__", "test", "tests", "spec", "specs"],
+    "types": ["types", "interfaces", "schemas", "contracts", "dtos", "dto", "request", "response"],
+    "hooks": ["hooks"],
+    "state": ["store", "state", "reducers", "actions", "slices"],
+    "assets": ["assets", "static", "public"],
+    "entry": ["cmd", "bin"],
+    "documentation": ["docs", "documentation", "wiki"],
+    "infrastructure": ["deploy", "deployment", "infra", "infrastructure", "k8s", "kubernetes", "helm", "charts", "terraform", "tf", "docker"],
+    "ci-cd": [".github", ".gitlab", ".circleci"],
+}
+# fixed values: labels of files by patterns of their paths, in order
+FILE_LABELS = [
+    ("test", r"\.(test|spec)\.[^/]+$|(^|/)test_[^/]*\.py$|_test\.go$|Test\.java$|_spec\.rb$|Test\.php$|Tests\.cs$"),
+    ("types", r"\.d\.ts$"),
+    ("entry", r"(^|/)(index\.ts|index\.js|__init__\.py|Application\.java|Program\.cs|config\.ru)$|^manage\.py$|(^|/)cmd/[^/]+/main\.go$|(^|/)src/(main|lib)\.rs$"),
+    ("config", r"(^|/)(wsgi\.py|asgi\.py|Cargo\.toml|go\.mod|Gemfile|pom\.xml|build\.gradle|composer\.json)$"),
+    ("infrastructure", r"(^|/)(Dockerfile|docker-compose\.[^/]*|Makefile)$|\.(tf|tfvars)$"),
+    ("ci-cd", r"^\.github/workflows/|(^|/)(\.gitlab-ci\.yml|Jenkinsfile)$"),
+    ("data", r"\.sql$"),
+    ("types", r"\.(graphql|gql|proto)$"),
+    ("documentation", r"\.(md|rst)$"),
+]
+# fixed values: names of files where programs begin
+ENTRY_FILES = [
+    "index.ts", "index.js", "main.ts", "main.js", "app.ts", "app.js", "server.ts", "server.js", "mod.rs", "main.go", "main.py", "main.rs", "manage.py", "app.py", "wsgi.py", "asgi.py",
+    "run.py", "__main__.py", "Application.java", "Main.java", "Program.cs", "config.ru", "index.php", "App.swift", "Application.kt", "main.cpp", "main.c",
+]
+
 
 def inverted(table: dict) -> dict:
     """From ``value: [names]`` to ``name: value``."""

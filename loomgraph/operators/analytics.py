@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import basename, utf16_order
-from ..functions.vocabulary import LAYER_PATTERNS
+from ..functions.columns import basename, lookup, utf16_order
+from ..functions.vocabulary import ENTRY_FILES, FILE_LABELS, FOLDER_LABELS, LAYER_PATTERNS, inverted
+from ..plans.loops import numbered
 
 
 def fan(edges: DataFrame, inward: bool, k: int = 20) -> DataFrame:
@@ -44,7 +45,7 @@ def dominant_direction(between: DataFrame) -> DataFrame:
 
 
 def entry_scores(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
-    """Entry points: name 3, shallow path 1, fan-out in the top tenth 1, fan-in in the bottom quarter 1."""
+    """Entry points: name 3, shallow path 1, fan-out in the top tenth 1, fan-in in the bottom quarter 1; the root's README 5, its other Markdown files 2."""
     base = basename(F.col("file_path"))
     depth = F.size(F.split("file_path", "/")) - 1
     out = edges.groupBy(F.col("source").alias("id")).agg(F.count_distinct("target").alias("fan_out"))
@@ -52,8 +53,9 @@ def entry_scores(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     df = nodes.where("file_path is not null").join(out, "id", "left").join(into, "id", "left").fillna(0, ["fan_out", "fan_in"])
     # the two cuts are order statistics, found without ordering all nodes in one task
     cuts = df.agg(F.expr("percentile_disc(0.9) within group (order by fan_out)").alias("high"), F.expr("percentile_disc(0.25) within group (order by fan_in)").alias("low"))
-    named = base.rlike(r"^(index|main|app|server|cli|__main__|manage)(\..*)?$")
-    score = F.when(named, 3).otherwise(0) + F.when(depth <= 1, 1).otherwise(0) + F.when((F.col("fan_out") >= F.col("high")) & (F.col("fan_out") > 0), 1).otherwise(0) + F.when(F.col("fan_in") <= F.col("low"), 1).otherwise(0)
+    named = base.rlike(r"^(index|main|app|server|cli|__main__|manage)(\..*)?$") | base.isin(ENTRY_FILES)
+    root = F.when(F.col("file_path") == "README.md", 5).when(F.col("file_path").rlike(r"^[^/]+\.md$"), 2).otherwise(0)
+    score = root + F.when(named, 3).otherwise(0) + F.when(depth <= 1, 1).otherwise(0) + F.when((F.col("fan_out") >= F.col("high")) & (F.col("fan_out") > 0), 1).otherwise(0) + F.when(F.col("fan_in") <= F.col("low"), 1).otherwise(0)
     return df.crossJoin(F.broadcast(cuts)).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)  # cuts: one row
 
 
@@ -92,16 +94,8 @@ def apply_patterns(nodes: DataFrame, layers: list[tuple[str, list[str]]]) -> Dat
 
 
 def count_batches(paths: DataFrame, size: int = 12) -> DataFrame:
-    """``path, batch``: paths in code-unit order, so many a batch.
-
-    Ranks are counted by ranges: each range of first characters is ranked on its own, after the sum of those before it.
-    """
-    key = F.substring("path", 1, 12)
-    per = paths.groupBy(key.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(utf16_order(F.col("part"))).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(utf16_order(F.col("path")))) - 1
-    met = paths.withColumn("part", key).join(per.select("part", before.alias("before")), "part")
-    return met.select("path", F.floor((F.col("before") + inside) / size).alias("batch"))
+    """``path, batch``: paths in code-unit order, so many a batch."""
+    return numbered(paths.select("path"), [utf16_order(F.col("path"))], "at").select("path", F.floor(F.col("at") / size).alias("batch"))
 
 
 def split_large(groups: DataFrame, most: int = 35) -> DataFrame:
@@ -117,7 +111,7 @@ def merge_small(groups: DataFrame, least: int = 3, size: int = 25) -> DataFrame:
     """``id, batch``: members of groups below least are pooled, by id, in batches of size; others keep their group's name."""
     n = groups.groupBy("container").agg(F.count(F.lit(1)).alias("n"))
     met = groups.join(n, "container")
-    small = met.where(F.col("n") < least).withColumn("rank", F.row_number().over(Window.orderBy("id")) - 1)
+    small = numbered(met.where(F.col("n") < least).select("id"), [F.col("id")], "rank")
     pooled = small.select("id", F.concat(F.lit("misc/"), F.floor(F.col("rank") / size).cast("string")).alias("batch"))
     return met.where(F.col("n") >= least).select("id", F.col("container").alias("batch")).unionByName(pooled)
 
@@ -138,3 +132,65 @@ def mutual_pairs(edges: DataFrame) -> DataFrame:
     e = edges.select("source", "target").distinct()
     back = e.select(F.col("target").alias("source"), F.col("source").alias("target"))
     return e.join(back, ["source", "target"]).where("source < target").select(F.col("source").alias("a"), F.col("target").alias("b"))
+
+
+def folder_label(name: Column) -> Column:
+    """What a folder's name says about what is in it; null if nothing."""
+    return lookup(name, inverted(FOLDER_LABELS))
+
+
+def path_label(path: Column) -> Column:
+    """A file's own pattern, else the label of the nearest folder above that has one."""
+    own = None
+    for label, pattern in FILE_LABELS:
+        own = F.when(path.rlike(pattern), label) if own is None else own.when(path.rlike(pattern), label)
+    folders = F.reverse(F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1))
+    named = F.get(F.filter(F.transform(folders, folder_label), lambda x: x.isNotNull()), F.lit(0))
+    # the layout of some build tools says more than a folder's name
+    tree = F.when(path.rlike("(^|/)src/main/java/"), "service").when(path.rlike("(^|/)src/test/java/"), "test")
+    return F.coalesce(own, tree, named)
+
+
+def deployment(files: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Whether trees (grouped ``by``) hold a Dockerfile, compose files, Kubernetes manifests, Terraform, CI; and how many such files."""
+    base, path = F.element_at(F.split("path", "/"), -1), F.col("path")
+    kinds = {
+        "dockerfile": base.rlike(r"^Dockerfile(\..*)?$"),
+        "compose": base.rlike(r"^(docker-)?compose[^/]*\.ya?ml$"),
+        "k8s": path.rlike(r"(^|/)(k8s|kubernetes|helm|charts)/"),
+        "terraform": base.rlike(r"\.tf(vars)?$"),
+        "ci": path.rlike(r"(^|/)\.(github/workflows|circleci)/") | base.isin(".gitlab-ci.yml", "Jenkinsfile"),
+    }
+    every = None
+    for hit in kinds.values():
+        every = hit if every is None else every | hit
+    return files.groupBy(*by).agg(*[F.coalesce(F.bool_or(hit), F.lit(False)).alias(f"has_{k}") for k, hit in kinds.items()], F.count_if(every).alias("infra_files"))
+
+
+def documented_groups(files: DataFrame, by: list[str] = ()) -> DataFrame:
+    """``groups, with_docs, coverage`` of trees: top folders that hold a README or that a file in docs is named after."""
+    top, base = F.substring_index("path", "/", 1), F.element_at(F.split("path", "/"), -1)
+    groups = files.where(F.col("path").contains("/") & (top != "docs")).groupBy(*by, top.alias("grp")).agg(F.bool_or(F.lower(base).startswith("readme.")).alias("own"))
+    named = files.where("path like 'docs/%.md'").select(*by, F.regexp_replace(base, r"\.md$", "").alias("grp"), F.lit(True).alias("named")).distinct()
+    met = groups.join(named, [*by, "grp"], "left")
+    return met.groupBy(*by).agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("own") | F.coalesce("named", F.lit(False))).alias("with_docs")).withColumn("coverage", F.round(F.col("with_docs") / F.col("groups"), 4))
+
+
+def inventory_families(nodes: DataFrame) -> DataFrame:
+    """``family, id`` of nodes that are no code: documents, infrastructure, data, configuration."""
+    families = {"documents": ["document"], "infrastructure": ["service", "resource", "pipeline"], "data": ["table", "schema", "endpoint"], "configuration": ["config"]}
+    return nodes.select(lookup(F.col("type"), inverted(families)).alias("family"), "id").where("family is not null")
+
+
+def grouped_folders(paths: DataFrame, by: list[str] = ()) -> DataFrame:
+    """``path, grp``: by the first folder after what all paths of a tree share; trees without folders by extension."""
+    parts = F.split("path", "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    shared = lambda a, b: F.slice(a, F.lit(1), F.size(F.filter(F.transform(F.sequence(F.lit(1), F.least(F.size(a), F.size(b)) + 1), lambda n: (n <= F.least(F.size(a), F.size(b))) & (F.slice(a, F.lit(1), n) == F.slice(b, F.lit(1), n))), lambda x: x)))
+    # the first and the last path in order share what all of them do
+    ends = paths.groupBy(*by).agg(F.min(folders).alias("__a"), F.max(folders).alias("__b"), F.bool_or(F.col("path").contains("/")).alias("__deep"))
+    ends = ends.select(*by, F.size(shared(F.col("__a"), F.col("__b"))).alias("__n"), "__deep")
+    met = paths.join(ends, by) if by else paths.crossJoin(F.broadcast(ends))
+    inner = F.when(F.size(parts) - 1 > F.col("__n"), F.get(parts, F.col("__n"))).otherwise("(root)")
+    ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
+    return met.select(*by, "path", F.when(F.col("__deep"), inner).otherwise(F.when(ext != "", ext).otherwise("(none)")).alias("grp"))

@@ -16,10 +16,7 @@ Found = Iterator[tuple[str, str, int, int, str | None, bool]]
 
 def python_tree(text: str) -> Found:
     """Top-level functions and classes (with methods), imports, and calls as callee text under the innermost function."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return
+    tree = ast.parse(text)
 
     def walk(node: ast.AST, owner: str | None, top: bool) -> Found:
         for x in ast.iter_child_nodes(node):
@@ -73,16 +70,22 @@ def braced(heads: list[tuple[str, str]], inner: dict[str, list[tuple[str, str]]]
     return parse
 
 
-graphql = braced(
+_graphql = braced(
     [(k, rf"^\s*{k}\s+(\w+)[^{{\n]*\{{") for k in ("type", "input", "enum", "interface")] + [("union", r"^\s*union\s+(\w+)"), ("scalar", r"^\s*scalar\s+(\w+)")],
     {k: [("field", r"^\s*(\w+)\s*(?:\([^)]*\))?\s*:")] for k in ("type", "input", "interface")},
 )
+def graphql(text: str) -> Found:
+    """Types and their fields; those of Query, Mutation and Subscription are endpoints."""
+    for kind, name, start, end, parent, exported in _graphql(text):
+        yield ("endpoint" if kind == "field" and parent in ("Query", "Mutation", "Subscription") else kind, name, start, end, parent, exported)
+
+
 protobuf = braced(
     [(k, rf"^\s*{k}\s+(\w+)\s*\{{") for k in ("message", "enum", "service")],
     {"message": [("field", r"^\s*(?:repeated\s+|optional\s+)?[\w.<>, ]+\s+(\w+)\s*=\s*\d+")], "enum": [("value", r"^\s*(\w+)\s*=\s*\d+")], "service": [("endpoint", r"rpc\s+(\w+)")]},
 )
 terraform = braced([("resource", r'^(?:resource|data)\s+"([^"]+)"\s+"([^"]+)"\s*\{'), ("module", r'^module\s+"([^"]+)"\s*\{'), ("variable", r'^variable\s+"([^"]+)"\s*\{'), ("output", r'^output\s+"([^"]+)"\s*\{')], {})
-shell = braced([("function", r"^\s*(?:function\s+)?([A-Za-z_][\w-]*)\s*\(\)\s*\{?"), ("source", r"^\s*(?:source|\.)\s+[\"']?([^\s\"']+)")], {})
+shell = braced([("function", r"^[ \t]*(?:function[ \t]+)?([A-Za-z_][\w-]*)[ \t]*\(\)\s*\{?"), ("function", r"^[ \t]*function[ \t]+([A-Za-z_][\w-]*)\s*\{"), ("source", r"^\s*(?:source|\.)\s+[\"']?([^\s\"']+)")], {})
 
 
 def yaml_keys(text: str) -> Found:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import count
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import neighbours
@@ -62,7 +64,7 @@ def pending(dropped: DataFrame, kinds: list[str] = ("contains_flow", "flow_step"
     return dropped.where(F.col("reason").isNotNull() & F.col("type").isin(list(kinds)))
 
 
-def contains_growth(edges: DataFrame, seeds: DataFrame, rounds: int = 64) -> DataFrame:
+def contains_growth(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``id, at``: what one pass over the contains edges in order reaches from the seeds.
 
     Least fixpoint of: a target is reached at the smallest place of an edge that comes after its source was reached; seeds at -1.
@@ -73,7 +75,7 @@ def contains_growth(edges: DataFrame, seeds: DataFrame, rounds: int = 64) -> Dat
     frontier = reached
     from ..plans.loops import cut
 
-    for k in range(rounds):
+    for k in count():
         step = e.join(frontier.select(F.col("id").alias("source"), "at"), "source").where("ord > at").groupBy(F.col("target").alias("id")).agg(F.min("ord").alias("at"))
         better = step.join(reached.select("id", F.col("at").alias("old")), "id", "left").where("old is null or at < old").select("id", "at")
         frontier = cut(spark, better)
@@ -90,3 +92,58 @@ def impact(nodes: DataFrame, edges: DataFrame, members: DataFrame, changed_paths
     affected = neighbours(edges, changed).join(changed, "id", "left_anti")
     layers = members.join(changed.unionByName(affected).select(F.col("id").alias("node_id")), "node_id", "left_semi").select("layer_id").distinct()
     return changed, affected, layers
+
+
+def structural_fingerprints(files: DataFrame, found: DataFrame) -> DataFrame:
+    """``path, content_hash, analysed, functions, classes, imports, exports`` of files and the rows that parsing gave (see structure)."""
+    line_count = F.col("end") - F.col("start") + 1
+    own = found.groupBy("path").agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "function", F.struct("name", F.coalesce("params", F.lit("")).alias("params"), F.coalesce("returns", F.lit("")).alias("returns"), "exported", line_count.alias("lines"))))).alias("functions"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "class", F.struct("name", "exported")))).alias("classes"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "method", F.struct(F.col("parent").alias("owner"), "name")))).alias("methods"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "import", F.col("name")))).alias("imports"),
+        F.array_sort(F.collect_list(F.when(F.col("exported") & F.col("kind").isin("function", "class", "export"), F.col("name")))).alias("exports"),
+        F.bool_or(F.col("kind") == "parsed").alias("analysed"),
+    )
+    return files.select("path", F.sha2("content", 256).alias("content_hash")).join(own, "path", "left").withColumn("analysed", F.coalesce("analysed", F.lit(False)))
+
+
+def _named(items: Column, name: Column) -> Column:
+    return F.get(F.filter(items, lambda x: x["name"] == name), F.lit(0))
+
+
+def compare_fingerprints(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``path, level, details`` of files in both: NONE, COSMETIC or STRUCTURAL, and what changed of functions, classes, imports and exports.
+
+    A function whose length grows beyond 1.5 times or falls below half is a change of structure too.
+    """
+    o = old.select("path", F.struct(*[c for c in old.columns if c != "path"]).alias("o"))
+    met = o.join(new.select("path", F.struct(*[c for c in new.columns if c != "path"]).alias("n")), "path")
+    names = lambda xs: F.transform(xs, lambda x: x["name"])
+    said = lambda text, xs: F.transform(xs, lambda x: F.concat(F.lit(text), x))
+    gone = lambda kind: said(f"removed {kind}: ", F.array_except(names(F.col(f"o.{kind}s".replace("classs", "classes"))), names(F.col(f"n.{kind}s".replace("classs", "classes")))))
+    fresh = lambda kind: said(f"new {kind}: ", F.array_except(names(F.col(f"n.{kind}s".replace("classs", "classes"))), names(F.col(f"o.{kind}s".replace("classs", "classes")))))
+
+    def altered(text: str, items: str, differs) -> Column:
+        both = F.filter(F.col(f"n.{items}"), lambda x: _named(F.col(f"o.{items}"), x["name"]).isNotNull() & differs(_named(F.col(f"o.{items}"), x["name"]), x))
+        return said(text, names(both))
+
+    methods = lambda side, name: F.array_sort(F.transform(F.filter(F.col(f"{side}.methods"), lambda m: m["owner"] == name), lambda m: m["name"]))
+    details = F.concat(
+        fresh("function"), gone("function"),
+        altered("params changed: ", "functions", lambda a, b: a["params"] != b["params"]),
+        altered("return type changed: ", "functions", lambda a, b: a["returns"] != b["returns"]),
+        altered("export status changed: ", "functions", lambda a, b: a["exported"] != b["exported"]),
+        altered("significant size change: ", "functions", lambda a, b: (b["lines"] / a["lines"] > 1.5) | (b["lines"] / a["lines"] < 0.5)),
+        fresh("class"), gone("class"),
+        altered("methods changed: ", "classes", lambda a, b: methods("o", b["name"]) != methods("n", b["name"])),
+        altered("export status changed: ", "classes", lambda a, b: a["exported"] != b["exported"]),
+        F.when(F.col("o.imports") != F.col("n.imports"), F.array(F.lit("imports changed"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("o.exports") != F.col("n.exports"), F.array(F.lit("exports changed"))).otherwise(F.array().cast("array<string>")),
+    )
+    same = F.col("o.content_hash") == F.col("n.content_hash")
+    blind = ~F.col("o.analysed") | ~F.col("n.analysed")
+    what = met.select("path", same.alias("same"), blind.alias("blind"), F.when(~same & ~blind, details).alias("d"))
+    level = F.when(F.col("same"), "NONE").when(F.col("blind") | (F.size("d") > 0), "STRUCTURAL").otherwise("COSMETIC")
+    told = F.when(F.col("same"), F.array().cast("array<string>")).when(F.col("blind"), F.array(F.lit("no structural analysis"))).when(F.size("d") > 0, F.col("d")).otherwise(F.array(F.lit("internal logic changed")))
+    return what.select("path", level.alias("level"), told.alias("details"))

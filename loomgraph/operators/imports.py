@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # fixed values: what a relative import may stand for, in order
 PROBES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
 
+# fixed values: sources of compiled names, in order
+COMPILED = {".js": [".ts", ".tsx", ".js", ".jsx"], ".jsx": [".tsx", ".jsx"], ".mjs": [".mts", ".mjs", ".ts"], ".cjs": [".cts", ".cjs", ".ts"]}
+
 
 def normal_path(path: Column) -> Column:
     """Without ``.`` and ``..`` parts; null if it leaves the root."""
@@ -41,14 +44,26 @@ def _first(candidates: DataFrame, files: DataFrame) -> DataFrame:
 def relative_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """``source, raw, target`` of imports that begin with a dot: exact, then the source of a compiled name, then the probes."""
     rel = imports.where("raw rlike '^[.]{1,2}(/|$)'").select("source", "raw", normal_path(F.concat_ws("/", directory(F.col("source")), "raw")).alias("base")).where("base is not null")
-    stem = F.regexp_extract("base", r"^(.*)\.(?:js|jsx|mjs|cjs)$", 1)
-    compiled = F.when(stem != "", F.transform(F.array(*map(F.lit, (".ts", ".tsx", ".js", ".jsx"))), lambda x: F.concat(stem, x))).otherwise(F.array().cast("array<string>"))
-    probes = F.transform(F.array(*map(F.lit, PROBES)), lambda x: F.concat("base", x))
-    return _first(rel.select("source", "raw", F.posexplode(F.concat(F.array("base"), compiled, probes)).alias("rank", "candidate")), files)
+    return _first(rel.select("source", "raw", F.posexplode(script_candidates(F.col("base"))).alias("rank", "candidate")), files)
+
+
+def script_candidates(base: Column) -> Column:
+    """What a script's path may stand for, in order: of a compiled name itself and its sources, and nothing else; of others the probes."""
+    stem, out = F.regexp_replace(base, r"\.[^./]+$", ""), F.transform(F.array(*map(F.lit, PROBES)), lambda x: F.concat(base, x))
+    for compiled, sources in COMPILED.items():
+        out = F.when(base.endswith(compiled), F.concat(F.array(base), F.transform(F.array(*map(F.lit, sources)), lambda x: F.concat(stem, x)))).otherwise(out)
+    return out
 
 
 def python_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """``source, raw, target``: dots climb; absolute names are tried from every folder above, the deepest first."""
+    """``source, raw, target``: dots climb; absolute names are tried from every folder above, the deepest first.
+
+    Names that are imported from a package (``names``, where there is such a column) are tried as its modules too.
+    """
+    if "names" in imports.columns:
+        whole = imports.select("source", "raw")
+        parts = imports.select("source", F.col("raw").alias("own"), F.explode("names").alias("n")).select("source", F.concat("own", F.when(F.col("own").rlike(r"^\.*$"), "").otherwise("."), "n").alias("raw"))
+        return python_imports(whole.unionByName(parts).distinct(), files)
     dots = F.length(F.regexp_extract("raw", r"^(\.*)", 1))
     name = F.replace(F.regexp_replace("raw", r"^\.+", ""), F.lit("."), F.lit("/"))
     above = ancestors(directory(F.col("source")))
@@ -135,7 +150,7 @@ def alias_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame) -> D
     middle = F.when(star, F.substr("raw", F.length(head) + 1, F.length("raw") - F.length(head) - F.length(tail))).otherwise("")
     base = normal_path(F.concat_ws("/", F.when(directory(F.col("config")) != "", directory(F.col("config"))), "base_url", F.replace("substitute", F.lit("*"), middle)))
     kept = met.where(fits).select("source", "raw", "ord", base.alias("base")).where("base is not null")
-    spread = kept.select("source", "raw", "ord", F.posexplode(F.transform(F.array(*map(F.lit, PROBES)), lambda x: F.concat("base", x))).alias("probe", "candidate"))
+    spread = kept.select("source", "raw", "ord", F.posexplode(script_candidates(F.col("base"))).alias("probe", "candidate"))
     return _first(spread.select("source", "raw", (F.col("ord") * len(PROBES) + F.col("probe")).alias("rank"), "candidate"), files)
 
 
@@ -149,12 +164,12 @@ def ruby_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def psr4_imports(imports: DataFrame, files: DataFrame, rules: DataFrame) -> DataFrame:
-    """PHP classes by the nearest composer file's longest fitting prefix (``config, prefix, folder``), the first folder that has the file."""
+    """PHP classes by the nearest composer file's longest fitting prefix (``config, prefix, ord, folder``), whole segments of it, the first folder that has the file."""
     near = nearest_config(imports.select(F.col("source").alias("path")).distinct(), rules.select("config").distinct())
-    met = imports.join(near.withColumnRenamed("path", "source"), "source").join(rules, "config").where("startswith(raw, prefix)")
-    rest = F.translate(F.expr("substring(raw, length(prefix) + 1)"), "\\", "/")
+    met = imports.join(near.withColumnRenamed("path", "source"), "source").join(rules, "config").withColumn("whole", F.when(F.col("prefix") == "", "").otherwise(F.concat(F.rtrim("prefix", F.lit("\\")), F.lit("\\")))).where("startswith(raw, whole)")
+    rest = F.translate(F.expr("substring(raw, length(whole) + 1)"), "\\", "/")
     base = normal_path(F.concat_ws("/", F.when(directory(F.col("config")) != "", directory(F.col("config"))), "folder", rest))
-    return _first(met.select("source", "raw", (-F.length("prefix")).alias("rank"), F.concat(base, F.lit(".php")).alias("candidate")), files)
+    return _first(met.select("source", "raw", F.struct((-F.length("whole")).alias("a"), F.col("ord").alias("b")).alias("rank"), F.concat(base, F.lit(".php")).alias("candidate")), files)
 
 
 def rust_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -164,12 +179,14 @@ def rust_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     stem = F.regexp_extract("source", r"([^/]+)\.rs$", 1)
     own = F.when(stem.isin("mod", "lib", "main"), folder).otherwise(F.concat_ws("/", F.when(folder != "", folder), stem))
     crate = F.regexp_extract("source", r"^(.*?src)(?:/|$)", 1)
+    mods = imports.where("raw rlike '^mod '").select("source", "raw", own.alias("own"), F.regexp_extract("raw", r"^mod\s+(\w+)", 1).alias("m"))
+    named = mods.select("source", "raw", F.posexplode(F.array(*[F.concat_ws("/", F.when(F.col("own") != "", F.col("own")), F.concat("m", F.lit(e))) for e in (".rs", "/mod.rs")])).alias("rank", "candidate"))
     base = F.when(parts[0] == "crate", crate).when(parts[0] == "self", own).when(parts[0] == "super", directory(own))
     cut = F.explode(F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda n: F.struct((F.size(parts) - n).alias("i"), F.array_join(F.slice(parts, F.lit(2), n), "/").alias("rest"))))
     spread = imports.where("raw rlike '^(crate|self|super)::'").select("source", "raw", base.alias("base"), cut.alias("x"))
     ends = F.posexplode(F.array(F.lit(".rs"), F.lit("/mod.rs")))
     spread = spread.select("source", "raw", (F.col("x.i") * 2).alias("i"), F.concat_ws("/", F.when(F.col("base") != "", F.col("base")), "x.rest").alias("base"), ends.alias("j", "end"))
-    return _first(spread.select("source", "raw", (F.col("i") + F.col("j")).alias("rank"), F.concat("base", "end").alias("candidate")), files)
+    return _first(spread.select("source", "raw", (F.col("i") + F.col("j")).alias("rank"), F.concat("base", "end").alias("candidate")).unionByName(named), files)
 
 
 def include_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -194,7 +211,7 @@ def production_candidates(path: Column) -> Column:
     py = F.regexp_replace(F.regexp_replace(base, r"^test_", ""), r"_test\.py$", ".py")
     go = F.regexp_replace(base, r"_test\.go$", ".go")
     jvm = F.regexp_replace(base, r"(Tests?|IT|Spec)(\.\w+)$", "$2")
-    main = F.regexp_replace(folder, r"(^|/)src/test/", "$1src/main/")
+    main = F.regexp_replace(folder, r"(^|/)src/test(/|$)", "$1src/main$2")
     none = F.array().cast("array<string>")
     return (
         F.when(base.rlike(r"\.(test|spec)\.[cm]?[jt]sx?$"), F.concat(F.array(at(folder, js), at(up, js)), F.transform(F.array(*map(F.lit, (".ts", ".tsx", ".js", ".jsx"))), lambda x: at(up, F.concat(stem, x)))))
@@ -218,3 +235,30 @@ def tag_tested(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The tag ``tested``, once, on every node that a tested_by edge leaves."""
     own = edges.where("type = 'tested_by'").select(F.col("source").alias("id"), F.lit(True).alias("__t")).distinct()
     return nodes.join(own, "id", "left").withColumn("tags", F.when(F.col("__t"), F.array_union("tags", F.array(F.lit("tested")))).otherwise(F.col("tags"))).select(nodes.columns)
+
+
+def scala_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """``source, raw, target``: plain names, lists in braces, and wildcards (all files of the package), by path suffixes; else the package object's file."""
+    head, inner = F.regexp_replace("raw", r"\.\{.*$", ""), F.regexp_extract("raw", r"\{([^}]*)\}", 1)
+    picked = F.transform(F.filter(F.split(inner, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(F.regexp_replace(x, r"=>.*$|\bas\b.*$", "")))
+    names = F.when(inner != "", F.transform(picked, lambda x: F.concat(head, F.lit("."), x))).otherwise(F.array("raw"))
+    each = imports.select("source", "raw", F.explode(names).alias("name"))
+    wild = each.where("name rlike '[.](_|[*])$'").select("source", "raw", F.translate(F.regexp_replace("name", r"\.(_|\*)$", ""), ".", "/").alias("suffix"))
+    plain = each.where("name not rlike '[.](_|[*])$'").select("source", "raw", F.translate("name", ".", "/").alias("suffix"))
+    scala = files.where("path like '%.scala'").select(F.col("path").alias("target"))
+    ends = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda n: F.array_join(F.slice(F.split(c, "/"), n, F.size(F.split(c, "/"))), "/"))
+    by_name = scala.select("target", F.explode(ends(F.regexp_replace("target", r"\.scala$", ""))).alias("suffix"))
+    by_folder = scala.select("target", F.explode(ends(directory(F.col("target")))).alias("suffix"))
+    met = plain.join(by_name, "suffix").select("source", "raw", "target")
+    package = plain.select("source", "raw", F.concat(F.regexp_replace("suffix", "/[^/]*$", ""), F.lit("/package")).alias("suffix")).join(met.select("source", "raw").distinct(), ["source", "raw"], "left_anti")
+    return met.unionByName(wild.join(by_folder, "suffix").select("source", "raw", "target")).unionByName(package.join(by_name, "suffix").select("source", "raw", "target")).where("target != source").distinct()
+
+
+def swift_modules(files: DataFrame, manifests: DataFrame) -> DataFrame:
+    """``module, path``: targets of package manifests (``path, content``), with their own path or ``Sources/name`` and ``Tests/name``, beside the manifest."""
+    block = F.explode(F.regexp_extract_all("content", F.lit(r"(?s)(\.(?:target|executableTarget|testTarget)\s*\((?:[^()]|\([^()]*\))*\))"), 1)).alias("t")
+    found = manifests.select(directory(F.col("path")).alias("root"), block).select("root", F.regexp_extract("t", r'name:\s*"([^"]+)"', 1).alias("module"), F.regexp_extract("t", r'path:\s*"([^"]+)"', 1).alias("own"), F.col("t").startswith(".testTarget").alias("test"))
+    place = F.when(F.col("own") != "", F.col("own")).otherwise(F.concat(F.when(F.col("test"), "Tests/").otherwise("Sources/"), "module"))
+    at = found.select("module", F.concat_ws("/", F.when(F.col("root") != "", F.col("root")), place).alias("dir"))
+    own = files.where("path like '%.swift'").select("path", F.explode(ancestors(directory(F.col("path")))).alias("dir"))
+    return own.join(at, "dir").select("module", "path").distinct()

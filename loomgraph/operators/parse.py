@@ -151,3 +151,43 @@ def declarations(files: DataFrame, language: str) -> DataFrame:
         one = lines(files).select("path", "line", F.lit(kind).alias("kind"), F.trim(name).alias("name"), (exported & F.lit(kind != "import")).alias("exported")).where("name != ''")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def dockerfile_steps(files: DataFrame) -> DataFrame:
+    """``path, line, name``: instructions other than FROM and EXPOSE, 60 characters of each."""
+    word = F.regexp_extract("text", r"(?i)^\s*(RUN|CMD|ENTRYPOINT|COPY|ADD|WORKDIR|ENV|ARG|USER|VOLUME|HEALTHCHECK|LABEL)\s+(.*)$", 1)
+    return lines(files).where(word != "").select("path", "line", F.substring(F.trim("text"), 1, 60).alias("name"))
+
+
+def sql_columns(files: DataFrame) -> DataFrame:
+    """``path, table, name`` of the columns of CREATE TABLE statements, up to the closing bracket and semicolon."""
+    pattern = r"(?is)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"]?\w+[`\"]?\s*\(.*?\)\s*;"
+    found = files.select("path", F.explode(F.regexp_extract_all("content", F.lit(pattern), 0)).alias("m"))
+    name = F.regexp_extract("m", r"(?is)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"]?(\w+)", 1)
+    body = F.regexp_replace(F.regexp_replace("m", r"(?s)^[^(]*\(", ""), r"(?s)\)\s*;$", "")
+    part = F.explode(F.split(F.regexp_replace(body, r"\([^()]*\)", ""), ",")).alias("c")
+    column = F.regexp_extract("c", r"^\s*[`\"]?(\w+)", 1)
+    rest = found.select("path", name.alias("table"), part).select("path", "table", column.alias("name"))
+    return rest.where("name != '' and upper(name) not in ('PRIMARY', 'FOREIGN', 'UNIQUE', 'CHECK', 'CONSTRAINT', 'INDEX', 'KEY')")
+
+
+def wiki_text(pages: DataFrame) -> DataFrame:
+    """``path, title, paragraph`` (200 characters of the first one), ``headings, languages`` of code fences, ``links`` without repeats."""
+    body = F.regexp_replace("content", r"(?s)^---\n.*?\n---\n?", "")
+    title = F.regexp_extract(body, r"(?m)^#\s+(.+?)\s*$", 1)
+    blocks = F.filter(F.transform(F.split(F.regexp_replace(body, r"(?s)```.*?```", ""), r"\n\s*\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^(#|>|[-*|])"))
+    headings = F.regexp_extract_all(body, F.lit(r"(?m)^#{2,6}\s+(.+?)\s*$"), 1)
+    code = F.array_distinct(F.regexp_extract_all(body, F.lit(r"(?m)^```(\w+)"), 1))
+    links = F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"\[\[([^\]|]+)"), 1), lambda x: F.trim(x)))
+    return pages.select("path", title.alias("title"), F.substring(F.coalesce(F.get(blocks, F.lit(0)), F.lit("")), 1, 200).alias("paragraph"), headings.alias("headings"), code.alias("languages"), links.alias("links"))
+
+
+def file_answer(text: Column) -> Column:
+    """A model's answer about a file as ``struct(summary, tags, complexity)``: fields of a wrong kind take their defaults."""
+    doc = json_block(text)
+    size = F.try_variant_get(doc, "$.complexity", "string")
+    return F.struct(
+        F.coalesce(F.try_variant_get(doc, "$.summary", "string"), F.lit("")).alias("summary"),
+        F.coalesce(F.try_variant_get(doc, "$.tags", "array<string>"), F.array().cast("array<string>")).alias("tags"),
+        F.when(size.isin("simple", "moderate", "complex"), size).otherwise("moderate").alias("complexity"),
+    )

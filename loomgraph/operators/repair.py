@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
@@ -69,9 +69,10 @@ def id_fix(original: Column, corrected: Column) -> Column:
 
 
 def last_nodes(nodes: DataFrame) -> DataFrame:
-    """Of nodes with equal ids the last one's values, at the first one's place."""
-    w = Window.partitionBy("id")
-    return nodes.withColumns({"__first": F.min("ord").over(w), "__rank": F.row_number().over(w.orderBy(F.desc("ord")))}).where("__rank = 1").withColumn("ord", F.col("__first")).drop("__first", "__rank")
+    """Of nodes with equal ids the last one's values, at the first one's place; an aggregate with a map-side part."""
+    rest = [c for c in nodes.columns if c not in ("id", "ord")]
+    best = nodes.groupBy("id").agg(F.max_by(F.struct(*rest), "ord").alias("__row"), F.min("ord").alias("ord"))
+    return best.select(*[F.col(c) if c in ("id", "ord") else F.col(f"__row.{c}") for c in nodes.columns])
 
 
 def dedup_edges(edges: DataFrame, keys: tuple[str, ...] = ("source", "target", "type", "direction"), winner: str = "weight") -> DataFrame:
@@ -129,3 +130,29 @@ def recovered_imports(edges: DataFrame, imports: DataFrame, files: DataFrame) ->
     want = want.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
     have = edges.where("type = 'imports'").select("source", "target")
     return want.join(have, ["source", "target"], "left_anti").select("source", "target", F.lit("imports").alias("type"), F.lit("forward").alias("direction"), F.lit(0.7).alias("weight"))
+
+
+def peeled_id(node_id: Column, node_type: Column, name: Column, file_path: Column, flow: Column) -> Column:
+    """The other dialect of ids: segments before the last valid prefix go; bare paths get their type's prefix.
+
+    Functions and classes without a prefix are named after file and name, steps after flow, file and slug.
+    """
+    any_prefix = "|".join(PREFIXES)
+    path = F.coalesce(file_path, F.lit(""))
+    plain = F.trim(node_id)
+    # what stands before the first valid prefix goes, then all valid prefixes but the last of a row of them
+    led = F.regexp_replace(plain, rf"^(?:(?!(?:{any_prefix}):)[^:]+:)+(?=(?:{any_prefix}):)", "")
+    once = F.regexp_replace(led, rf"^(?:(?:{any_prefix}):)+(?=(?:{any_prefix}):)", "")
+    valid = once.rlike(f"^(?:{any_prefix}):")
+    rest = F.regexp_replace(once, "^[^:]+:", "")
+    parts = F.split(rest, ":")
+    own = F.element_at(F.split(once, ":"), 1)
+    step = F.when(F.size(parts) > 1, F.concat_ws(":", own, F.element_at(parts, -2), path, F.element_at(parts, -1))).otherwise(F.concat_ws(":", own, path, F.element_at(parts, -1)))
+    bare = F.regexp_replace(plain, r"^(?:[^:]+:)+", "")
+    slug = F.regexp_replace(F.lower(bare), r"\s+", "-")
+    named = (
+        F.when(node_type.isin("function", "class") & (path != "") & (F.coalesce(name, F.lit("")) != ""), F.concat_ws(":", node_type, path, name))
+        .when((node_type == "step") & (path != ""), F.concat_ws(":", F.lit("step"), flow, path, slug))
+        .otherwise(F.concat_ws(":", node_type, bare))
+    )
+    return F.when(plain == "", plain).when(valid, F.when((node_type == "step") & (path != ""), step).otherwise(once)).when(node_type.isin(PREFIXES), named).otherwise(plain)

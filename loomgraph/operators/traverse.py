@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.loops import cut
-
-#: Levels, at most.
-LEVELS = 64
+from ..plans.loops import cut, numbered
 
 
-def bfs_depth(edges: DataFrame, start: DataFrame, levels: int = LEVELS) -> DataFrame:
+def bfs_depth(edges: DataFrame, start: DataFrame) -> DataFrame:
     """``id, depth`` along directed edges from ``start.id``."""
     spark = edges.sparkSession
     e = cut(spark, edges.select("source", "target").where("source != target").distinct())
     seen = cut(spark, start.select("id", F.lit(0).alias("depth")).distinct())
     frontier = seen
-    for k in range(1, levels + 1):
+    for k in count(1):
         step = e.join(frontier.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
         frontier = cut(spark, step.join(seen, "id", "left_anti").select("id", F.lit(k).alias("depth")))
         if frontier.isEmpty():
@@ -26,7 +25,7 @@ def bfs_depth(edges: DataFrame, start: DataFrame, levels: int = LEVELS) -> DataF
     return seen
 
 
-def shortest_path(edges: DataFrame, a: str, b: str, levels: int = LEVELS) -> DataFrame:
+def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``pos, id`` of the path that a first-in first-out search finds, edges taken in order and in either direction; empty if there is none."""
     spark = edges.sparkSession
     both = edges.select(F.col("source").alias("x"), F.col("target").alias("y"), (F.col("ord") * 2).alias("at")).unionByName(edges.select(F.col("target").alias("x"), F.col("source").alias("y"), (F.col("ord") * 2 + 1).alias("at")))
@@ -34,13 +33,14 @@ def shortest_path(edges: DataFrame, a: str, b: str, levels: int = LEVELS) -> Dat
     schema = "id string, parent string, pos long, depth int"
     seen = cut(spark, spark.createDataFrame([(a, None, 0, 0)], schema))
     frontier, found = seen, a == b
-    for k in range(1, levels + 1):
+    for k in count(1):
         if found:
             break
         step = both.join(frontier.select(F.col("id").alias("x"), "pos"), "x").join(seen.select(F.col("id").alias("y")), "y", "left_anti")
         best = step.groupBy(F.col("y").alias("id")).agg(F.min(F.struct("pos", "at", "x")).alias("m"))
         # places in the level's queue: the parent's place, then the edge's
-        frontier = cut(spark, best.select("id", F.col("m.x").alias("parent"), (F.row_number().over(Window.orderBy("m")) - 1).cast("long").alias("pos"), F.lit(k).alias("depth")))
+        queued = numbered(best.select("id", "m"), [F.col("m")], "pos")
+        frontier = cut(spark, queued.select("id", F.col("m.x").alias("parent"), "pos", F.lit(k).alias("depth")))
         if frontier.isEmpty():
             return spark.createDataFrame([], "pos int, id string")
         seen = cut(spark, seen.unionByName(frontier))
@@ -54,7 +54,7 @@ def shortest_path(edges: DataFrame, a: str, b: str, levels: int = LEVELS) -> Dat
     return spark.createDataFrame(list(enumerate(reversed(path))), "pos int, id string")
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, levels: int = 4096) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, level, pos``: Kahn's order by levels; nodes on cycles come last, level -1, in node order."""
     spark = nodes.sparkSession
     ids = nodes.select("id", "ord")
@@ -63,29 +63,29 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, levels: int = 4096) -
     degree = e.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     left = cut(spark, ids.join(degree, "id", "left").fillna(0, ["n"]).select("id", "ord", "n", F.lit(None).cast("struct<pos:bigint,at:bigint>").alias("last")))
     done, offset = None, 0
-    for k in range(levels):
+    for k in count():
         ready = left.where("n = 0")
         order = [F.col("last").asc_nulls_first(), F.col("ord")]
-        level = cut(spark, ready.select("id", F.lit(k).alias("level"), (F.row_number().over(Window.orderBy(*order)) - 1 + offset).cast("long").alias("pos")))
-        count = level.count()
-        if not count:
+        level = cut(spark, numbered(ready, order, "pos", offset).select("id", F.lit(k).alias("level"), "pos"))
+        size = level.count()
+        if not size:
             break
-        offset += count
+        offset += size
         done = level if done is None else cut(spark, done.unionByName(level), k, 8)
         freed = e.join(level.select(F.col("id").alias("source"), "pos"), "source").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("pos", F.col("ord").alias("at"))).alias("late"))
         left = left.where("n > 0").join(freed, "id", "left").select("id", "ord", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), F.when(F.col("late").isNull(), F.col("last")).otherwise(F.greatest("late", F.coalesce("last", "late"))).alias("last"))
         left = cut(spark, left)
-    rest = left.select("id", F.lit(-1).alias("level"), (F.row_number().over(Window.orderBy("ord")) - 1 + offset).cast("long").alias("pos"))
+    rest = numbered(left.select("id", "ord"), [F.col("ord")], "pos", offset).select("id", F.lit(-1).alias("level"), "pos")
     return rest if done is None else done.unionByName(rest)
 
 
-def coupling_clusters(pairs: DataFrame, links: DataFrame, largest: int = 5, rounds: int = 3) -> DataFrame:
+def coupling_clusters(pairs: DataFrame, links: DataFrame, largest: int = 5) -> DataFrame:
     """``cluster, id``: mutual pairs, grown by nodes tied to two members or more, up to a size."""
     spark = pairs.sparkSession
     name = F.concat_ws("|", "a", "b")
     members = cut(spark, pairs.select(name.alias("cluster"), F.explode(F.array("a", "b")).alias("id")))
     both = links.select(F.col("source").alias("id"), F.col("target").alias("other")).unionByName(links.select(F.col("target").alias("id"), F.col("source").alias("other"))).distinct()
-    for _ in range(rounds):
+    while True:  # ends when no cluster has room or ties left
         tied = both.join(members, "id").groupBy("cluster", F.col("other").alias("id")).agg(F.count_distinct(both.id).alias("n")).where("n >= 2")
         new = tied.join(members, ["cluster", "id"], "left_anti")
         room = members.groupBy("cluster").agg((F.lit(largest) - F.count(F.lit(1))).alias("room")).where("room > 0")

@@ -107,9 +107,9 @@ def review(nodes: DataFrame, edges: DataFrame, members: DataFrame, tour: DataFra
 
 
 def sound_layers(members: DataFrame, layers: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``layer_id, nodes``: members that exist, in order; layers that lose all of theirs stay, empty."""
+    """``layer_id, nodes``: members (``layer_id, member_ord, node_id``) that exist, in order; layers that lose all of theirs stay, empty."""
     kept = members.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
-    per = kept.groupBy("layer_id").agg(F.array_sort(F.collect_list("node_id")).alias("nodes"))
+    per = kept.groupBy("layer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("member_ord", "node_id"))), lambda x: x["node_id"]).alias("nodes"))
     return layers.select("layer_id").join(per, "layer_id", "left").select("layer_id", F.coalesce("nodes", F.array().cast("array<string>")).alias("nodes"))
 
 
@@ -126,7 +126,125 @@ def freshness(commits: DataFrame, built: str, head: str, changed: DataFrame) ->
 
     def above(a: str, b: str) -> bool:
         start = links.sparkSession.createDataFrame([(a,)], "id string")
-        return not bfs_depth(links, start, 1 << 20).where(F.col("id") == b).isEmpty()
+        return not bfs_depth(links, start).where(F.col("id") == b).isEmpty()
 
     relation = "behind" if above(head, built) else "ahead" if above(built, head) else "diverged"
     return {"state": "stale", "relation": relation, "files": changed.count()}
+
+
+def focus(nodes: DataFrame, edges: DataFrame, seen: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of what is seen (``id``), a hop around a node."""
+    inside = induced(edges, seen)
+    near = inside.where((F.col("source") == seed) | (F.col("target") == seed)).select(F.explode(F.array("source", "target")).alias("id"))
+    ids = near.unionByName(seen.where(F.col("id") == seed).select("id")).distinct()
+    return nodes.join(ids, "id", "left_semi"), induced(inside, ids)
+
+
+def matches_per_layer(found: DataFrame, members: DataFrame) -> DataFrame:
+    """``layer_id, n``: search results (``id``) by the first layer of each."""
+    return found.select(F.col("id").alias("node_id")).distinct().join(first_layer(members), "node_id").groupBy("layer_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def node_details(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """``role, id, place`` for one node: wikilinks, backlinks, category (the first), flows, steps by weight, children and other ties."""
+    out, into = edges.where(F.col("source") == node), edges.where(F.col("target") == node)
+    first = into.sparkSession.createDataFrame([], "role string, id string, weight double, ord long")
+    rows = [
+        out.where("type = 'related'").select(F.lit("wikilink").alias("role"), F.col("target").alias("id"), "weight", "ord"),
+        into.where("type = 'related'").select(F.lit("backlink").alias("role"), F.col("source").alias("id"), "weight", "ord"),
+        out.where("type = 'categorized_under'").orderBy("ord").limit(1).select(F.lit("category").alias("role"), F.col("target").alias("id"), "weight", "ord"),
+        out.where("type = 'contains_flow'").select(F.lit("flow").alias("role"), F.col("target").alias("id"), "weight", "ord"),
+        out.where("type = 'flow_step'").select(F.lit("step").alias("role"), F.col("target").alias("id"), "weight", "ord"),
+        out.where("type = 'contains'").select(F.lit("child").alias("role"), F.col("target").alias("id"), "weight", "ord"),
+        out.where("type not in ('related', 'categorized_under', 'contains_flow', 'flow_step', 'contains')").select(F.lit("other").alias("role"), F.col("target").alias("id"), "weight", "ord"),
+        into.where("type != 'related'").select(F.lit("other").alias("role"), F.col("source").alias("id"), "weight", "ord"),
+    ]
+    every = reduce(DataFrame.unionByName, rows, first).join(nodes.select("id"), "id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("role").orderBy(F.when(F.col("role") == "step", F.col("weight")), "ord"))  # one node's ties
+    return every.select("role", "id", place.alias("place"))
+
+
+def domain_detail(edges: DataFrame, domain: str) -> DataFrame:
+    """``flow, step, position`` of one domain, steps by their edges' weights; flows without steps have a null one."""
+    own = edges.where((F.col("type") == "contains_flow") & (F.col("source") == domain)).select(F.col("target").alias("flow")).distinct()
+    return own.join(flow_steps(edges), "flow", "left").select("flow", "step", "position")
+
+
+def knowledge_visible(nodes: DataFrame, shown: dict[str, bool]) -> DataFrame:
+    """Nodes of knowledge types that are switched on; all others stay."""
+    off = [k for k, on in shown.items() if not on]
+    return nodes.where(~F.col("type").isin(off)) if off else nodes
+
+
+def has_active_filters(current: dict[str, set], default: dict[str, set]) -> bool:
+    return any(set(current.get(k, x)) != set(x) for k, x in default.items())
+
+
+def exported(nodes: DataFrame, edges: DataFrame, members: DataFrame, tour: DataFrame, seen: DataFrame) -> DataFrame:
+    """``part, json`` of what is seen (``id``): nodes, edges between them, layers and steps with the members that are left."""
+    n = nodes.join(seen, "id", "left_semi")
+    m = members.join(seen.withColumnRenamed("id", "node_id"), "node_id", "left_semi")
+    t = tour.join(seen, "id", "left_semi")
+    layers = m.groupBy("layer_id").agg(F.array_sort(F.collect_list("node_id")).alias("nodes"))
+    steps = t.groupBy("step").agg(F.array_sort(F.collect_list("id")).alias("nodes"))
+    parts = {"node": n, "edge": induced(edges, seen), "layer": layers, "step": steps}
+    return reduce(DataFrame.unionByName, (df.select(F.lit(k).alias("part"), F.to_json(F.struct(*sorted(df.columns))).alias("json")) for k, df in parts.items()))
+
+
+def answered_layers(answer: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``layer_id, name, node_id, member_ord`` of a model's layers (``json``: a list, or one under ``layers``); ``nodes``, ``node_ids`` and ``files`` all name members.
+
+    A layer without id gets one of its name; paths become file ids; members that do not exist go.
+    """
+    doc = F.try_parse_json("json")
+    items = F.coalesce(F.try_variant_get(doc, "$.layers", "array<variant>"), F.try_variant_get(doc, "$", "array<variant>"))
+    rows = answer.select(F.posexplode(items).alias("at", "x"))
+    name = F.try_variant_get("x", "$.name", "string")
+    slug = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-|-$", "")
+    lists = [F.try_variant_get("x", f"$.{k}", "array<string>") for k in ("nodeIds", "node_ids", "nodes", "files")]
+    spread = rows.select(F.coalesce(F.try_variant_get("x", "$.id", "string"), F.concat(F.lit("layer:"), slug)).alias("layer_id"), name.alias("name"), F.posexplode(F.coalesce(*lists)).alias("member_ord", "m"))
+    node = F.when(F.col("m").rlike("^[A-Za-z]+:"), F.col("m")).otherwise(F.concat(F.lit("file:"), F.regexp_replace("m", r"^\./", "")))
+    return spread.select("layer_id", "name", node.alias("node_id"), "member_ord").join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi").select("layer_id", "name", "node_id", "member_ord")
+
+
+def sound_tour(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``step, title, nodes``: steps (``ord, title, nodes``) with the members that exist, in order, numbered anew; steps without title go."""
+    spread = steps.where("trim(coalesce(title, '')) != ''").select("ord", "title", F.posexplode_outer("nodes").alias("at", "id"))
+    known = nodes.select("id", F.lit(True).alias("__k"))
+    met = spread.join(known, "id", "left")
+    per = met.groupBy("ord", "title").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("__k"), F.struct("at", "id")))), lambda x: x["id"]).alias("nodes"))
+    return per.withColumn("step", F.row_number().over(Window.orderBy("ord"))).select("step", "title", "nodes")  # one row a step
+
+
+def fatal(project: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``problem`` rows that no repair mends: no name of the project, or no node with id and name."""
+    bad = project.agg(F.count_if(F.trim(F.coalesce("name", F.lit(""))) != "").alias("n")).where("n = 0").select(F.lit("bad project").alias("problem"))
+    none = nodes.agg(F.count_if(F.col("id").isNotNull() & F.col("name").isNotNull()).alias("n")).where("n = 0").select(F.lit("no valid node").alias("problem"))
+    return bad.unionByName(none)
+
+
+def checked_rows(nodes: DataFrame) -> DataFrame:
+    """All nodes with ``problem``: of those that must go the first reason, else null; repeated ids stay."""
+    known = [t for types in v.NODE_TYPES.values() for t in types]
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    why = F.when(blank("id"), "missing id").when(blank("name"), "missing name").when(~F.col("type").isin(known), "unknown type").when(~F.col("complexity").isin(v.COMPLEXITIES), "unknown complexity")
+    return nodes.withColumn("problem", why)
+
+
+def repaired_layout(items: DataFrame, width: float = 200.0, height: float = 60.0) -> DataFrame:
+    """``id, parent, width, height`` of boxes (``id, parent, ord, width, height``): default sizes, one box an id and parent, no parent that is missing or lies inside its own child."""
+    one = items.groupBy("id", "parent").agg(F.min_by(F.struct("width", "height"), "ord").alias("s"), F.min("ord").alias("ord"))
+    known = one.select(F.col("id").alias("parent"), F.lit(True).alias("__p")).distinct()
+    met = one.join(known, "parent", "left").where("parent is null or __p")
+    from ..plans.loops import cut
+
+    spark = items.sparkSession
+    up = met.where("parent is not null").select(F.col("id").alias("at"), F.col("parent").alias("above"))
+    reach = cut(spark, up.select(F.col("at").alias("id"), F.col("above").alias("at")).distinct())
+    seen = reach
+    while not reach.isEmpty():  # parents of parents, until nothing is new
+        step = reach.join(up, "at").select("id", F.col("above").alias("at")).distinct()
+        reach = cut(spark, step.join(seen, ["id", "at"], "left_anti"))
+        seen = cut(spark, seen.unionByName(reach))
+    loops = seen.where("id = at").select("id").distinct().withColumn("__loop", F.lit(True))
+    return met.join(loops, "id", "left").select("id", F.when(F.col("__loop").isNull(), F.col("parent")).alias("parent"), F.coalesce("s.width", F.lit(width)).alias("width"), F.coalesce("s.height", F.lit(height)).alias("height"))

@@ -1,17 +1,50 @@
-"""Lineage cuts for iterative operators."""
+"""Lineage cuts and numbering for iterative operators."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Rows that one task may number; more are numbered by ranges.
+FEW = 1 << 16
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, an own one in local mode, and an error on a cluster."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomgraph-"))
+    return sc.getCheckpointDir()
 
 
 def cut(spark: SparkSession, df: DataFrame, turn: int = 0, every: int = 1) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir`` (an own one where it is unset), each so many turns."""
+    """A reliable checkpoint in the shared folder, each so many turns."""
     if turn % every:
         return df
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
+    checkpoint_dir(spark)
     return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0, few: int = FEW) -> DataFrame:
+    """Adds the rows' places in an order, from start on.
+
+    Many rows are dealt by ranges, each range is numbered in its task, and the ranges' sizes (one number a
+    partition) give the offsets; so no task holds them all.
+    """
+    spark = df.sparkSession
+    df = cut(spark, df)
+    if df.count() <= few:
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("long"))
+    dealt = cut(spark, df.repartitionByRange(*order)).withColumn("__range", F.spark_partition_id())
+    sizes = {r[0]: r[1] for r in dealt.groupBy("__range").count().collect()}
+    offsets, at = [], start
+    for k in range(max(sizes) + 1):
+        offsets.append(at)
+        at += sizes.get(k, 0)
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return dealt.withColumn(name, (own + F.element_at(F.array(*map(F.lit, offsets)), F.col("__range") + 1)).cast("long")).drop("__range")

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Rows of a section.
+#: Rows of a section; that there are more is said.
 SHOWN = 200
 
 
 def section(title: str, rows: DataFrame, columns: list[str]) -> str:
     lines = [f"## {title}", ""]
-    for r in rows.select(*columns).limit(SHOWN).collect():
+    found = rows.select(*columns).limit(SHOWN + 1).collect()
+    for r in found[:SHOWN]:
         lines.append("- " + " — ".join(str(x) for x in r if x is not None))
+    if len(found) > SHOWN:
+        lines.append(f"- … and more than {SHOWN}")
     return "\n".join([*lines, ""])
 
 

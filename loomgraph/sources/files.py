@@ -16,7 +16,9 @@ def read_tree(spark: SparkSession, root: str, patterns: list[str] = (), most: in
     """``path (relative), size, content`` of the files that no pattern ignores; contents beyond most bytes are null."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/") + "/"
-    path = F.regexp_extract("path", f"{base.removeprefix('file:')}(.*)$", 1)
+    # the root may hold characters that patterns take for their own, so it is cut off by its length
+    begin = F.instr("path", base.removeprefix("file:")) + len(base.removeprefix("file:"))
+    path = F.substr(F.col("path"), begin)
     df = files.select(path.alias("path"), F.col("length").alias("size"), F.when(F.col("length") <= most, F.col("content").cast("string")).alias("content"))
     return df.where(~ignored(F.col("path"), list(patterns)))
 
@@ -72,13 +74,54 @@ def scan_stats(found: DataFrame) -> DataFrame:
 
 
 def content_digest(tree: DataFrame) -> str:
-    """A hash of all files in code-unit order of their paths: each file's hash is made by Spark, and a sorted stream of them is folded."""
+    """A hash of all files, framed: a tag, then of each file in code-unit order of the paths the path's length (4 bytes), the path, the content's length (8 bytes) and the content.
+
+    The fold is sequential by its nature; files come one after the other and the driver holds one of them at a time.
+    """
     h = hashlib.sha256(b"tree\0")
-    for r in tree.select("path", F.sha2("content", 256).alias("h")).orderBy(utf16_order(F.col("path"))).toLocalIterator():
-        h.update(len(r.path.encode()).to_bytes(8, "big") + r.path.encode() + (r.h or "").encode())
+    for r in tree.select("path", F.col("content").cast("binary").alias("content")).orderBy(utf16_order(F.col("path"))).toLocalIterator():
+        name, content = r.path.encode(), bytes(r.content or b"")
+        h.update(len(name).to_bytes(4, "big") + name + len(content).to_bytes(8, "big") + content)
     return h.hexdigest()
 
 
+def tree_digests(files: DataFrame) -> DataFrame:
+    """``root, digest`` of many trees (``root, path, content``): of each file a hash of path and content, and of these, in order, one of the tree."""
+    each = files.select("root", utf16_order(F.col("path")).alias("at"), F.sha2(F.concat("path", F.lit("\n"), F.sha2(F.coalesce("content", F.lit("")), 256)), 256).alias("h"))
+    return each.groupBy("root").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
+
+
+def frameworks(manifests: DataFrame) -> DataFrame:
+    """``path, framework``: manifests (``path, content``) by name that hold one of a framework's words, in any case."""
+    base, low = basename(F.col("path")), F.lower("content")
+    found = []
+    for name, (files, words) in v.FRAMEWORKS.items():
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | low.contains(w.lower())
+        found.append(F.when(base.isin(files) & hit, F.lit(name)))
+    return manifests.select("path", F.explode(F.array_compact(F.array(*found))).alias("framework"))
+
+
+def registered_language(path: Column, names: dict[str, str], extensions: dict[str, str]) -> Column:
+    """By file name in any case, else by the last extension; null if neither is registered."""
+    base = F.lower(basename(path))
+    ext = F.regexp_extract(base, r"\.([^.]+)$", 1)
+    by_name = lookup(base, {k.lower(): x for k, x in names.items()})
+    return F.coalesce(by_name, lookup(ext, {k.lower(): x for k, x in extensions.items()}))
+
+
+def starter_ignore(files: DataFrame) -> DataFrame:
+    """``root, line``: commented suggestions for trees (``root, path, content``): folders that are known to hold no source, tests by language, and what their .gitignore names beyond the defaults."""
+    folder = F.regexp_extract("path", "^([^/]+)/", 1)
+    known = files.select("root", folder.alias("f")).where(F.col("f").isin("docs", "examples", "fixtures", "scripts", "public", "assets", "migrations")).select("root", F.concat(F.lit("# "), "f", F.lit("/")).alias("line"))
+    language = detect_language(F.col("path"))
+    tests = files.select("root", F.when(language.isin("typescript", "javascript"), "# **/*.test.*").when(language == "python", "# **/test_*.py").when(language == "go", "# **/*_test.go").alias("line")).where("line is not null")
+    own = files.where("path = '.gitignore'").select("root", F.explode(F.split("content", "\n")).alias("p")).select("root", F.trim("p").alias("p"))
+    rest = own.where((F.col("p") != "") & ~F.col("p").startswith("#") & ~F.col("p").isin(v.IGNORED)).select("root", F.concat(F.lit("# "), "p").alias("line"))
+    return known.unionByName(tests).unionByName(rest).distinct()
+
+
 def safe_path(path: Column, root: str) -> Column:
     """Absolute paths inside the root become relative, others their base name."""
     inside = path.startswith(root.rstrip("/") + "/")
