@@ -17,10 +17,13 @@ BATCH_BYTES = 4 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where it is unset (tests), an own one."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, an own one in local mode (tests), and an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomgraph-"))
     return sc.getCheckpointDir()
 
 
@@ -85,23 +88,38 @@ def is_star(edges: DataFrame) -> bool:
     return per.where("own > 1 or (own > 0 and hub > 0)").isEmpty()
 
 
+#: A node with more than a HUB-th of all edges meets its least neighbour by broadcast (so fewer than 2 * HUB of them are).
+HUB = 512
+
+
+def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Rows ``u, v`` with ``m`` of their u.  Rows of hubs stay where they are, all others are dealt by u; so no task gathers a hub's rows."""
+    hub = F.col("n") > total / HUB
+    hubs = cut(least.where(hub).select("u", "m"))
+    if hubs.isEmpty():
+        return rows.join(least.select("u", "m"), "u")
+    few = F.broadcast(hubs)
+    return rows.join(few, "u").unionByName(rows.join(few.select("u"), "u", "left_anti").join(least.where(~hub).select("u", "m"), "u"))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     Takes pairs of long ids; gives ``node, component`` (the smallest id reachable)
     for every node that is not the smallest of its component.  Each round is two
     aggregations with map-side minima and two joins; nothing is collected, and a
-    hub is only ever the key of a minimum or the small side of a join.
+    hub's rows are met by broadcast of its least neighbour, where they lie.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     e = cut(e)
     while not is_star(e):
+        total = e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = cut(_with_least(both, least, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = (
-            large.join(least, "u")
+            _with_least(large, least, large.count())
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))
             .where("u > v")

@@ -1,11 +1,13 @@
 """Near-duplicate vectors: random-hyperplane sign hashing, exact cosine, components.
 
 Equal vectors of a label are one class, with a count.  Each of TABLES tables signs a
-class by the sides of BITS random hyperplanes; classes that share a sign in some table
+class by the sides of some random hyperplanes; classes that share a sign in some table
 are compared by their cosine in double precision.  Two vectors at cosine 0.98 differ
 in a sign bit with probability 0.064, so all tables miss such a pair with probability
-(1 - 0.936**BITS)**TABLES, below 1e-4.
+(1 - 0.936**bits)**tables.  The bits follow the largest label, so that chance meetings do not
+grow with it (see :func:`shape`), and the tables the bits, so that the probability stays below MISS.
 
+Buckets of several tables with equal members are one, that of the first; so a group of near copies moves once.
 A pair is counted in the first table where it meets, so links are counted without
 listing pairs: a bucket gives a count for each class and the edges of a forest.  Large
 buckets are cut into blocks of at most BLOCK classes; each pair of blocks is a task's
@@ -20,40 +22,61 @@ result; other columns play no part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Forest, components, cut, read
 
 COSINE = 0.98
-BITS, TABLES = 16, 24
+#: Probability that a pair at the least cosine meets in no table, at most; and classes that share a bucket by chance, about.
+MISS, CHANCE = 1e-4, 16
+#: Bits of a table, at least and at most.
+BITS = (8, 40)
 BLOCK = 1024
 SEED = 7
 
 
-def planes(dims: int, bits: int = BITS, tables: int = TABLES) -> np.ndarray:
+def shape(rows: int, least: float = COSINE) -> tuple[int, int]:
+    """Bits and tables for a label of so many classes."""
+    bits = min(max(math.ceil(math.log2(max(1, rows) / CHANCE)), BITS[0]), BITS[1])
+    same = (1 - math.acos(least) / math.pi) ** bits
+    return bits, math.ceil(math.log(MISS) / math.log(1 - same))
+
+
+def planes(dims: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([SEED, dims]).normal(size=(dims, bits * tables))
 
 
-def signatures(vectors: np.ndarray, bits: int = BITS, tables: int = TABLES) -> np.ndarray:
+def signatures(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """(n, tables) sign words."""
     side = (vectors @ planes(vectors.shape[1], bits, tables) > 0).reshape(len(vectors), tables, bits)
     return side @ (1 << np.arange(bits, dtype=np.int64))
 
 
+def _sound(v: Column) -> Column:
+    """Whether a vector can link: no null or non-finite component, and not all of them zero."""
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
 def classes(vectors: DataFrame) -> DataFrame:
-    """``class_id`` (its smallest vec_id), ``copies``, ``label``, ``vec``: the distinct linkable vectors of each label."""
+    """``class_id`` (its smallest vec_id), ``copies``, ``label``, ``k1, k2, vec``: the distinct linkable vectors of each label."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    linkable = vectors.where(F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
+    linkable = vectors.where(F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _sound(v))
     # adding 0.0 makes the two zeros equal
-    rows = linkable.select("vec_id", "label", F.transform(v, lambda x: x + 0.0).alias("vec"))
-    return rows.groupBy("label", "vec").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    rows = linkable.select("vec_id", "label", F.transform(v, lambda x: x + 0.0).alias("vec")).select("*", *_key("vec"))
+    return rows.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
+
+
+def _key(vec: str) -> list[Column]:
+    """128 bits of a vector."""
+    return [F.xxhash64(vec).alias("k1"), F.xxhash64(vec, F.lit(1)).alias("k2")]
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -98,11 +121,17 @@ def _compare(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, sa: n
     return np.stack([x[keep], y[keep]])
 
 
-def linked(found: DataFrame, least: float = COSINE, bits: int = BITS, tables: int = TABLES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def linked(found: DataFrame, least: float = COSINE, bits: int | None = None, tables: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``class_id, links`` (linked vectors of other classes) in parts to be summed, and ``a, b`` edges that connect the classes."""
+    if bits is None or tables is None:
+        largest = found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        bits, tables = shape(largest or 1, least)
     own = keys(found, bits, tables)
     bucket = ["label", "dims", "t", "sign"]
-    sizes = own.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mark = [F.bit_xor(F.xxhash64("class_id", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    sizes = own.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), *mark).where("n > 1")
+    # of buckets with equal members the first table's stays: a pair's first meeting is never in another one
+    sizes = sizes.groupBy("label", "dims", "n", "x0", "x1").agg(F.min(F.struct("t", "sign")).alias("at")).select("label", "dims", "at.t", "at.sign", "n")
     met = own.join(sizes, bucket).withColumn("blocks", F.ceil(F.col("n") / float(block)).cast("int"))
     mine = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
     # a class goes to each pair of blocks with its own; most buckets have one block
@@ -165,7 +194,7 @@ def linked(found: DataFrame, least: float = COSINE, bits: int = BITS, tables: in
     return got.where("b is null").select(F.col("a").alias("class_id"), "links"), got.where("b is not null").select("a", "b")
 
 
-def near_duplicates(vectors: DataFrame, least: float = COSINE, bits: int = BITS, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = COSINE, bits: int | None = None, tables: int | None = None, block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, a row for each vector."""
     vectors = vectors.select("vec_id", "embedding", "label")
     found = cut(classes(vectors))
@@ -175,12 +204,12 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, bits: int = BITS,
     per = (
         found.join(links, "class_id", "left")
         .join(joined, F.col("class_id") == F.col("node"), "left")
-        .select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+        .select("label", "k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
     )
     v = F.transform("embedding", lambda x: x.cast("double") + 0.0)
-    rows = vectors.withColumn("_vec", v)
-    per = per.select(F.col("label").alias("_label"), F.col("vec").alias("_v"), "n_links", "component_id")
-    met = rows.join(per, (rows.label == F.col("_label")) & (F.col("_vec") == F.col("_v")) & F.col("vec_id").isNotNull(), "left")
+    rows = vectors.select("vec_id", "label", v.alias("_vec")).select("vec_id", "label", *[F.when(_sound(F.col("_vec")), k).alias(n) for k, n in zip(_key("_vec"), ("k1", "k2"), strict=True)])
+    per = per.select(F.col("label").alias("_label"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "n_links", "component_id")
+    met = rows.join(per, (rows.label == F.col("_label")) & (rows.k1 == F.col("_k1")) & (rows.k2 == F.col("_k2")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("component_id", "vec_id")
     return met.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 

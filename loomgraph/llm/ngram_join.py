@@ -38,41 +38,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, bytes_of, chunks, components, cut, lower_words, read
+from .common import Forest, bytes_of, chunks, components, cut, read
+from .hashing import buffer_sets
 
-WORDS = 5
 #: Sets of a block that meet in one tree.
 BLOCK = 4096
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
-    return h ^ (h >> np.uint64(32))
+#: Bytes of text that a bucket of shingles comes from, about; and buckets, at most (from 16 TB on they grow instead).
+BUCKET, BUCKETS = 1 << 26, 1 << 18
 
 
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words = [lower_words(t) for t in texts]
-    known = {w: xxhash.xxh3_64_intdigest(w) for w in set().union(*words)} if words else {}
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((h for w in words for h in map(known.__getitem__, w)), np.uint64, int(sizes.sum()))
-    n = max(0, len(flat) - WORDS + 1)
-    h = np.zeros(n, np.uint64)
-    for j, f in enumerate(_FACTORS):
-        h += flat[j : j + n] * f
-    h = _mixed(h)
-    out, at = [], 0
-    for w, size in zip(words, sizes.tolist(), strict=True):
-        if size >= WORDS:
-            out.append(np.unique(h[at : at + size - WORDS + 1]))
-        elif size:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(w), seed=size)], np.uint64))
-        else:
-            out.append(np.zeros(0, np.uint64))
-        at += size
-    return out
+    owner, h = buffer_sets([t or b"" for t in texts])
+    return np.split(h, np.searchsorted(owner, np.arange(1, len(texts)))) if texts else []
 
 
 def _blob(x: np.ndarray) -> bytes:
@@ -257,21 +235,6 @@ class Trie:
     def near(self, overlap: int, a: int, b: int) -> bool:
         return 180 * overlap >= 80 * int(self.n[a] + self.n[b])
 
-    def stars(self, rounds: int = 16) -> None:
-        """Links to central sets first: most of a group of near copies is joined by then, and its subtrees are skipped."""
-        free = np.ones(len(self.n), bool)
-        for _ in range(rounds):
-            if not free.any():
-                return
-            hub = int(np.argmax(np.where(free, self.central, -1)))
-            free[hub] = False
-            self.inside[self.ranks[hub]] = True
-            for k in range(len(self.n)):
-                if k != hub and 5 * self.n[k] >= 4 * self.n[hub] and 4 * self.n[k] <= 5 * self.n[hub] and self.near(int(np.count_nonzero(self.inside[self.ranks[k]])), hub, k):
-                    self.forest.join(hub, k)
-                    free[k] = False
-            self.inside[self.ranks[hub]] = False
-
     def build(self) -> Node:
         order = sorted(range(len(self.n)), key=lambda k: self.ranks[k].astype(">u4").tobytes())
         top = Node(np.zeros(0, np.int64))
@@ -319,9 +282,13 @@ class Trie:
         q, n, find = self.ranks[k], int(self.n[k]), self.forest.find
         self.inside[q] = True
         low, high = -(-4 * n // 5), 5 * n // 4
-        stack = [(top, 0)]
+        stack: list[tuple[Node, int]] = [(top, 0)]
         while stack:
             x, overlap = stack.pop()
+            if overlap < 0:  # all below x is done: if it is one component by now, others need not go down
+                roots = {find(e) for e in x.ends} | {find(c.root) if c.root >= 0 else -1 for c in x.children}
+                x.root = roots.pop() if len(roots) == 1 else -1
+                continue
             if x.most < low or x.least > high or (x.root >= 0 and find(x.root) == find(k)):
                 continue
             if len(x.tokens):
@@ -332,16 +299,17 @@ class Trie:
             if x.children:
                 left = len(q) - int(np.searchsorted(q, x.last, "right")) if x.last >= 0 else len(q)
                 if 180 * (overlap + min(left, x.rest)) >= 80 * (n + max(x.least, low)):
+                    if x.root < 0:
+                        stack.append((x, -1))
                     stack += [(c, overlap) for c in x.children]
         self.inside[q] = False
 
     def join(self) -> Iterator[tuple[int, int]]:
         """Edges of a forest that connects exactly the linked sets."""
-        self.stars()
-        if len({self.forest.find(k) for k in range(len(self.n))}) > 1:
-            top = self.build()
-            for k in range(len(self.n)):
-                self.walk(top, k)
+        top = self.build()
+        # sets of frequent shingles first: they link most of a group of near copies, whose subtrees the others pass by
+        for k in np.argsort(-self.central, kind="stable").tolist():
+            self.walk(top, k)
         return self.forest.links()
 
 
@@ -377,7 +345,8 @@ def tree_links(reps: DataFrame, block: int = BLOCK) -> DataFrame:
 def linked_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``doc_id, n_shingles`` of every row, and ``node, component`` of the documents that are not their component's smallest."""
     docs = docs.select("doc_id", "text")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, min(BUCKETS, -(-total // BUCKET)))
     found = cut(prefixes(answers(requests(docs, buckets), buckets)))
     members = cut(blocks(found))
 
@@ -412,7 +381,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     repeated = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__ngram_n")).where("__ngram_n > 1 and doc_id is not null").select(F.col("doc_id").alias("__ngram_again")))
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, kept.doc_id == F.col("__ngram_again"), "left_semi").dropDuplicates(["doc_id"])
+    # the smallest text of an id stays, then the smallest of its other columns, so reruns agree
+    own = F.struct(F.xxhash64("text").alias("__h"), *[F.col(c) for c in docs.columns])
+    again = kept.join(repeated, kept.doc_id == F.col("__ngram_again"), "left_semi").groupBy("doc_id").agg(F.min(own).alias("__row")).select(*[F.col(f"__row.{c}").alias(c) for c in docs.columns])
     return kept.join(repeated, kept.doc_id == F.col("__ngram_again"), "left_anti").unionByName(again)
 
 
