@@ -1,10 +1,14 @@
 """Sharding along a Hilbert curve.
 
-Source, language and size are each quantised to ``2**bits`` cells; rows are sorted
+Source, language and size are each quantised to ``2**bits`` cells, in the order of their values: a name's cell
+is its rank among the distinct names where they are few, else that among names at equal distances in their order.  Rows are sorted
 by their cell's place on the Hilbert curve, and the order is cut into runs.  Rows
 that are near in all dimensions meet in the same run, so the files' minima and
 maxima prune in every dimension at once.
 
+The one law that holds is ``bytes`` (or ``rows``): it cuts groups of equal texts where a run ends, and equal texts of different
+source or language lie apart; equal texts of one cell follow one another, as ties fall by the texts' hash.
+
 Defined cases: a null source, language or text takes cell 0 of its dimension; an
 empty or null text has size 1; ties on the curve fall by text hash, then doc_id
 (nulls first); repeated rows each take a slot of their own; an empty table gives an
@@ -14,6 +18,7 @@ replaced by those of :func:`shard_documents`).
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,26 +60,57 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
-def category_cell(column: Column, bits: int) -> Column:
-    """A name's cell: equal names share one, nulls have cell 0."""
-    return F.when(column.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(column.cast("string")), F.lit((1 << bits) - 1)) + 1).cast("int")
+#: Distinct names that the driver ranks, at most; of more it ranks about 2**bits at equal distances.
+NAMES = 1 << 16
+
+
+def cell_bounds(docs: DataFrame, column: str, bits: int = BITS) -> list[str]:
+    """Sorted names at which the cells of a column begin: all distinct ones, or as many as there are cells, in their order."""
+    cells = (1 << bits) - 1
+    names = docs.select(F.col(column).cast("string").alias("name")).where("name is not null").distinct()
+    few = sorted((r.name for r in names.limit(NAMES + 1).collect()), key=str.encode)
+    if len(few) <= NAMES:
+        step = -(-len(few) // cells) if few else 1
+        return few[::step]
+    dealt = cut(names.repartitionByRange("name").sortWithinPartitions("name"))
+    total = dealt.count()
+    parts = dealt.rdd.getNumPartitions()
+    step = max(1, total // max(1, cells - parts))
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for b in batches:
+            yield b.take(pa.array(range(-at % step, len(b), step), pa.int64()))
+            at += len(b)
+
+    return sorted((r.name for r in dealt.mapInArrow(every, "name string").collect()), key=str.encode)[:cells]
+
+
+def category_cells(names: pd.Series, bounds: list[bytes], bits: int) -> np.ndarray:
+    """Cells of names: 0 for null, else by the number of bounds up to the name, spread over all cells, so that few names part the curve first; each distinct name is looked up once."""
+    codes, distinct = pd.factorize(names)
+    last = (1 << bits) - 1
+    cells = np.array([0 if x is None else bisect_right(bounds, x.encode()) * last // len(bounds) for x in distinct] + [0], np.int64)
+    return cells[codes]
 
 
 def size_cell(size: Column, bits: int) -> Column:
-    """Logarithmic cells, eight for each doubling."""
-    return F.least(F.floor(F.log2(size.cast("double")) * 8), F.lit((1 << bits) - 1)).cast("int")
+    """Logarithmic cells, twelve for each doubling."""
+    return F.least(F.floor(F.log2(size.cast("double")) * 12), F.lit((1 << bits) - 1)).cast("int")
 
 
 def keyed(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """Adds the size, the place on the curve and the tie-breaking hash; the text itself stays in the JVM."""
 
+    bounds = [[x.encode() for x in cell_bounds(docs, c, bits)] for c in ("source", "lang")]
+
     @F.pandas_udf("long")
     def place(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series(hilbert_index(np.stack([a, b, c], axis=1), bits))
+        return pd.Series(hilbert_index(np.stack([category_cells(a, bounds[0], bits), category_cells(b, bounds[1], bits), c], axis=1), bits))
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     df = docs.withColumns({"__curve_size": size, "__curve_tie": F.xxhash64("text")})
-    return df.withColumn("__curve_place", place(category_cell(F.col("source"), bits), category_cell(F.col("lang"), bits), size_cell(F.col("__curve_size"), bits)))
+    return df.withColumn("__curve_place", place(F.col("source").cast("string"), F.col("lang").cast("string"), size_cell(F.col("__curve_size"), bits)))
 
 
 def runs(docs: DataFrame, shards: int = SHARDS, law: str = "bytes", bits: int = BITS) -> DataFrame:
@@ -125,7 +161,7 @@ def runs(docs: DataFrame, shards: int = SHARDS, law: str = "bytes", bits: int =
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """Whole rows with ``shard`` and ``curve_index``, sorted along the curve, so each written file is a run.
+    """Whole rows with ``shard`` and ``curve_index``, sorted along the curve, so each written file is a stretch of it; a file in which a shard ends holds the next one's first rows too.
 
     The shards' first keys (at most ``shards`` of them) are compared as constants; the
     texts are moved once, by range, and no shard is gathered into one task.

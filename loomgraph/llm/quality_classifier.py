@@ -4,7 +4,7 @@ Statistics of each text (shares of byte classes, word and line repetition, lengt
 are standardised and mapped to cosine features that approximate a Gaussian kernel
 (Rahimi and Recht).  Every task sums its part of the normal equations; the sums meet
 in a tree, and the driver solves one ridge system of FEATURES + 1 unknowns.  Isotonic
-regression over BINS bins of the raw scores turns them into shares of label 1.
+regression over BINS bins of the raw scores of a fifth of the labelled rows, which the system has not seen, turns them into shares of label 1.
 
 Defined cases: a null or empty text has statistics of 0 and is scored like any other; rows
 whose label is null, or whose doc_id is null, teach nothing; if several labels share
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from .common import bytes_of, chunks, cut, held_out, merged, read
 
 FEATURES = 256
-WIDTH = 4.0
 RIDGE = 1e-3
 BINS = 2048
 SEED = 20240229
@@ -36,6 +35,10 @@ for _b in range(256):
     _CLASSES[0 if 0x61 <= _b <= 0x7A else 1 if 0x41 <= _b <= 0x5A else 2 if 0x30 <= _b <= 0x39 else 3 if _b in (32, 9, 10, 11, 12, 13) else 4 if 0x80 <= _b < 0xC0 else 5 if _b >= 0xC0 else 6, _b] = 1
 _MARKS = [ord(c) for c in ".,!?#$%*@<>/=|{}_"]
 STATISTICS = 6 + 7 + len(_MARKS) + 9
+#: The kernel's width: two rows of standardised statistics are the square root of twice their number apart, on average.
+WIDTH = (2 * STATISTICS) ** 0.5 / 2
+#: A row of so many labelled ones calibrates, and does not fit.
+FOLDS = 5
 
 
 def statistics(text: bytes | None) -> np.ndarray:
@@ -153,8 +156,12 @@ class Scorer:
 
 
 def fit(labelled: DataFrame) -> Scorer:
-    """Fits on all rows ``x, y``: three sums over them, each of a fixed size."""
+    """Fits on all rows ``id, x, y``: three sums over them, each of a fixed size.  The calibrating fold goes by the id's hash; where it or the rest is empty, all rows do both."""
     labelled = cut(labelled)
+    calibrates = F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0
+    fitting, calibrating = labelled.where(~calibrates), labelled.where(calibrates)
+    if fitting.isEmpty() or calibrating.isEmpty():
+        fitting = calibrating = labelled
     got = _summed(labelled, lambda x, y: (x.sum(0), (x**2).sum(0), np.array([len(y), y.sum()])))
     if got is None:
         return Scorer(None, None, None, 0.5)
@@ -168,14 +175,14 @@ def fit(labelled: DataFrame) -> Scorer:
         z = fourier(x)
         return z.T @ z, z.T @ y
 
-    a, b = _summed(labelled, equations)
-    scorer = Scorer(fourier, np.linalg.solve(a + RIDGE * n * np.eye(len(a)) / FEATURES, b), None, 0.5)
+    a, b = _summed(fitting, equations)
+    scorer = Scorer(fourier, np.linalg.solve(a + RIDGE * a[-1, -1] * np.eye(len(a)) / FEATURES, b), None, 0.5)
 
     def histogram(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = scorer.bins(scorer.raw(x))
         return np.bincount(at, y, BINS), np.bincount(at, minlength=BINS).astype(float)
 
-    one, rows = _summed(labelled, histogram)
+    one, rows = _summed(calibrating, histogram)
     seen = np.flatnonzero(rows)
     middles = (np.arange(BINS) + 0.5) / BINS * 2 - 0.5
     scorer.curve = np.interp(middles, middles[seen], isotonic(one[seen], rows[seen]))
@@ -186,7 +193,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, score``: learned from the labelled rows outside the held-out third, given to every row."""
     measured = cut(document_statistics(docs))
     y = labels.where("quality is not null").select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("y"))
-    train = measured.where(~held_out(F.col("doc_id"), 3, 1)).join(y, F.col("doc_id") == F.col("_id")).select("x", "y")
+    train = measured.where(~held_out(F.col("doc_id"), 3, 1)).join(y, F.col("doc_id") == F.col("_id")).select(F.col("_id").alias("id"), "x", "y")
     held = docs.sparkSession.sparkContext.broadcast(fit(train))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,40 @@ def test_shards(docs, law):
     assert shards == sorted(shards)
 
 
+def test_names_cells_follow_their_order(spark, monkeypatch):
+    names = [f"s{i:03d}" for i in range(300)]
+    df = spark.createDataFrame([(n,) for n in names * 2] + [(None,)], "source string").repartition(3)
+    for most in (1 << 16, 100):
+        monkeypatch.setattr(hilbert_sharding, "NAMES", most)
+        bounds = [b.encode() for b in hilbert_sharding.cell_bounds(df, "source", 6)]
+        assert 20 <= len(bounds) <= 63 and bounds == sorted(bounds)
+        cells = hilbert_sharding.category_cells(pd.Series([None, *names]), bounds, 6).tolist()
+        assert cells[0] == 0 and cells[1:] == sorted(cells[1:]) and len(set(cells)) > 20
+
+
+def test_runs_prune_in_every_dimension(spark):
+    """The share of 64 runs that a filter on one value must read: along the curve, and sorted by source alone."""
+    r = random.Random(12)
+    data = [(i, "x" * int(2 ** r.uniform(0, 12)), "abcdefgh"[r.randrange(8)], f"s{r.randrange(8)}") for i in range(6000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(3)
+    place = {x.doc_id: x.pos for x in hilbert_sharding.runs(df, 64, "rows").collect()}
+    plain = {i: k for k, (i, *_) in enumerate(sorted(data, key=lambda x: (x[3], x[0])))}
+
+    def read(order):
+        shares = []
+        for value in (lambda x: x[2], lambda x: x[3], lambda x: len(x[1]).bit_length()):
+            runs = {}
+            for x in data:
+                runs.setdefault(order[x[0]] * 64 // len(data), []).append(value(x))
+            ends = [(min(v), max(v)) for v in runs.values()]
+            values = sorted({value(x) for x in data})
+            shares.append(sum(a <= v <= b for v in values for a, b in ends) / len(ends) / len(values))
+        return shares
+
+    curve, one = read(place), read(plain)
+    assert all(s < 0.6 for s in curve) and sum(curve) < sum(one)
+
+
 def test_sharded_documents(docs, empty):
     got = hilbert_sharding.shard_documents(docs, 4)
     assert got.count() == len(rows()) and len(set(got.columns)) == len(got.columns)
@@ -232,6 +267,30 @@ def test_quality(spark, empty):
     assert [r.score for r in none] == [0.5]
 
 
+def test_scores_are_those_of_one_system(spark):
+    """The fit against all rows in one matrix, and the calibration against the greatest least mean of later bins."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, quality_classifier.STATISTICS))
+    y = (x[:, 0] + 0.3 * r.normal(size=300) > 0).astype(float)
+    df = spark.createDataFrame([(i, a.tolist(), b) for i, (a, b) in enumerate(zip(x, y.tolist()))], "id long, x array<double>, y double").repartition(3)
+    fold = {q.id: q.f == 0 for q in df.select("id", F.pmod(F.xxhash64("id"), F.lit(quality_classifier.FOLDS)).alias("f")).collect()}
+    late = np.array([fold[i] for i in range(300)])
+    scorer = quality_classifier.fit(df)
+    fourier = quality_classifier.Fourier(x.mean(0), x.std(0))
+    z, target = fourier(x[~late]), y[~late]
+    w = np.linalg.solve(z.T @ z + quality_classifier.RIDGE * len(z) * np.eye(z.shape[1]) / quality_classifier.FEATURES, z.T @ target)
+    assert np.allclose(scorer.weights, w)
+    bins = quality_classifier.BINS
+    at = np.minimum(((np.clip(fourier(x[late]) @ w, -0.5, 1.5) + 0.5) / 2 * bins).astype(int), bins - 1)
+    seen = np.unique(at)
+    ones, rows_of = np.array([y[late][at == b].sum() for b in seen]), np.array([(at == b).sum() for b in seen])
+    mean = lambda i, j: ones[i : j + 1].sum() / rows_of[i : j + 1].sum()
+    plain = [max(min(mean(i, j) for j in range(k, len(seen))) for i in range(k + 1)) for k in range(len(seen))]
+    assert np.allclose(scorer.curve[seen], plain)
+    order = np.argsort(scorer.raw(x))
+    assert (np.diff(scorer(x)[order]) >= -1e-12).all()
+
+
 def test_isotonic():
     got = quality_classifier.isotonic(np.array([1.0, 0, 3, 1]), np.array([2.0, 2, 4, 1]))
     assert got.tolist() == [0.25, 0.25, 0.75, 1.0]
