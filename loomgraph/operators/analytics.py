@@ -194,3 +194,21 @@ def grouped_folders(paths: DataFrame, by: list[str] = ()) -> DataFrame:
     inner = F.when(F.size(parts) - 1 > F.col("__n"), F.get(parts, F.col("__n"))).otherwise("(root)")
     ext = F.regexp_extract("path", r"\.([^./]+)$", 1)
     return met.select(*by, "path", F.when(F.col("__deep"), inner).otherwise(F.when(ext != "", ext).otherwise("(none)")).alias("grp"))
+
+
+def histogram(rows: DataFrame, *by: str) -> DataFrame:
+    """How many rows there are of each combination of values."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cross_check(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id, problem``: files (``id``) without a node, nodes without a file."""
+    f, n = files.select("id", F.lit(1).alias("__f")).distinct(), nodes.select("id", F.lit(1).alias("__n")).distinct()
+    return f.join(n, "id", "full_outer").where("__f is null or __n is null").select("id", F.when(F.col("__f").isNull(), "no file").otherwise("no node").alias("problem"))
+
+
+def coverage(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: how many ids were expected and are covered, and their share to four places; 1 where nothing was expected."""
+    met = wanted.select("id").join(found.select("id", F.lit(1).alias("__c")).distinct(), "id", "left")
+    share = F.when(F.col("expected") == 0, 1.0).otherwise(F.round(F.col("covered") / F.col("expected"), 4))
+    return met.agg(F.count(F.lit(1)).alias("expected"), F.count("__c").alias("covered")).select("expected", "covered", share.alias("coverage"))

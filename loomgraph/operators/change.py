@@ -147,3 +147,8 @@ def compare_fingerprints(old: DataFrame, new: DataFrame) -> DataFrame:
     level = F.when(F.col("same"), "NONE").when(F.col("blind") | (F.size("d") > 0), "STRUCTURAL").otherwise("COSMETIC")
     told = F.when(F.col("same"), F.array().cast("array<string>")).when(F.col("blind"), F.array(F.lit("no structural analysis"))).when(F.size("d") > 0, F.col("d")).otherwise(F.array(F.lit("internal logic changed")))
     return what.select("path", level.alias("level"), told.alias("details"))
+
+
+def equal_contents(files: DataFrame, content: str, key: str) -> DataFrame:
+    """``content_hash, n, first``: contents that several files have."""
+    return files.groupBy(F.sha2(content, 256).alias("content_hash")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).where("n > 1")

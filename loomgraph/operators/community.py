@@ -40,8 +40,11 @@ def _moved(both: DataFrame, degree: DataFrame, total: float, rounds: int) -> Dat
     return labels
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, levels: int = 2) -> DataFrame:
-    """``id, container``: a community's name is one of its members' ids."""
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 32) -> DataFrame:
+    """``id, container``: a community's name is one of its members' ids.
+
+    A level ends when nothing has moved for two rounds, or after so many rounds; levels follow one another until one moves nothing.
+    """
     spark = nodes.sparkSession
     pairs = edges.where("source != target").select(F.least("source", "target").alias("s"), F.greatest("source", "target").alias("t")).distinct()
     known = nodes.select("id").distinct()
@@ -49,10 +52,12 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, levels: in
     both = cut(spark, pairs.unionByName(pairs.select(F.col("t").alias("s"), F.col("s").alias("t"), "w")))
     total = (both.agg(F.sum("w")).first()[0] or 0.0) / 2
     out = cut(spark, known.select("id", F.col("id").alias("container")))
-    for _ in range(levels if total else 0):
+    while total:
         degree = cut(spark, both.groupBy(F.col("s").alias("id")).agg(F.sum("w").alias("k")))
         found = _moved(both, degree, total, rounds)
         out = cut(spark, out.join(found.select(F.col("id").alias("container"), F.col("container").alias("new")), "container", "left").select("id", F.coalesce("new", "container").alias("container")))
+        if found.where("id != container").isEmpty():
+            break
         a, b = found.select(F.col("id").alias("s"), F.col("container").alias("cs")), found.select(F.col("id").alias("t"), F.col("container").alias("ct"))
         both = cut(spark, both.join(a, "s").join(b, "t").groupBy(F.col("cs").alias("s"), F.col("ct").alias("t")).agg(F.sum("w").alias("w")))
     return out

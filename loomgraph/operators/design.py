@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..plans.loops import cut
 DESIGN_TYPES = {"CANVAS": "page", "FRAME": "screen", "COMPONENT": "component", "COMPONENT_SET": "componentSet", "INSTANCE": "instance"}
 
 
-def flatten(documents: DataFrame, levels: int = 64) -> DataFrame:
+def flatten(documents: DataFrame) -> DataFrame:
     """Every element of the trees (``doc, json``): ``doc, id, kind, node, name, component, styles, owner, owner_node, variant``.
 
     ``node`` is the node type it becomes, if any: pages, what lies on a page or in its
@@ -23,7 +25,7 @@ def flatten(documents: DataFrame, levels: int = 64) -> DataFrame:
     root = documents.select("doc", F.variant_get(F.try_parse_json("json"), "$.document", "variant").alias("x"))
     level = root.select("doc", "x", *[F.lit(None).cast("string").alias(c) for c in ("owner", "owner_node", "parent_kind")], F.lit(False).alias("open"))
     done = None
-    for depth in range(levels):
+    for depth in count():
         eid, kind = F.variant_get("x", "$.id", "string"), F.variant_get("x", "$.type", "string")
         styles = F.map_values(F.coalesce(F.variant_get("x", "$.styles", "map<string,string>"), F.create_map().cast("map<string,string>")))
         variant = (kind == "COMPONENT") & F.coalesce(F.col("parent_kind") == "COMPONENT_SET", F.lit(False)) & F.coalesce(F.col("owner_node") == "componentSet", F.lit(False))

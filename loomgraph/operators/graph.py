@@ -147,3 +147,14 @@ def risk(changed: DataFrame, affected: DataFrame, layers: DataFrame, unmapped: i
 def ranked_first(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__rank = 1").drop("__rank")
+
+
+def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, type`` of nodes that no edge touches."""
+    ends = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id")))
+    return nodes.join(ends, "id", "left_anti").select("id", "type")
+
+
+def in_several_layers(members: DataFrame) -> DataFrame:
+    """``node_id, n`` of nodes that more than one layer names."""
+    return members.groupBy("node_id").agg(F.count_distinct("layer_id").alias("n")).where("n > 1")

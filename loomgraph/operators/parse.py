@@ -191,3 +191,12 @@ def file_answer(text: Column) -> Column:
         F.coalesce(F.try_variant_get(doc, "$.tags", "array<string>"), F.array().cast("array<string>")).alias("tags"),
         F.when(size.isin("simple", "moderate", "complex"), size).otherwise("moderate").alias("complexity"),
     )
+
+
+def host(url: Column) -> Column:
+    return F.regexp_extract(url, "^[a-z]+://([^/]+)", 1)
+
+
+def link_extension(href: Column) -> Column:
+    """Lower case, without the dot; empty without one."""
+    return F.lower(F.regexp_extract(href, r"\.([A-Za-z0-9]+)$", 1))

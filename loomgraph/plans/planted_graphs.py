@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics, batches, build, change, graph, merge, repair, structure, traverse, views, wiki
+from ..operators import analytics, batches, build, change, community, merge, repair, search, structure, traverse, views, wiki
 from . import render
 from .planted import SQL, example, planted, tree
 
@@ -430,7 +430,7 @@ SQL["canonical_digest"] = "SELECT true AS same"
 
 @example("pos id", [(0, "x")])
 def chain_path(spark, d):
-    """A path through all documents' nodes: as many levels as there are documents, of the first 80 ids here."""
+    """First found by edge order, either way along edges."""
     e = edges(spark, d, [("c{id}", "d{id}", "calls", 1.0, 0), ("d{id}", "e{id}", "calls", 1.0, 1), ("c{id}", "e{id}", "related", 1.0, 2), ("e{id}", "f{id}", "calls", 1.0, 3)])
     first = spark.read.parquet(f"{d}/documents.parquet").agg(F.min("doc_id")).first()[0]
     return traverse.shortest_path(e, f"f{first}", f"c{first}")
@@ -445,12 +445,42 @@ def coupling(spark, d):
     return traverse.coupling_clusters(analytics.mutual_pairs(e), e)
 
 
-@example("id level", [("a{id}", 0), ("b{id}", 1), ("c{id}", 2), ("x{id}", -1), ("y{id}", -1)])
-def kahn_levels(spark, d):
+@example("id level pos", [("a{id}", 0, 0), ("b{id}", 1, 0), ("c{id}", 2, 0), ("x{id}", -1, 0), ("y{id}", -1, 0)])
+def kahn_order(spark, d):
+    """Levels, and the whole order: of each level by the last edge that freed a node; cycles come last, in node order."""
     nodes = planted(spark, d, NODES, [(f"{c}{{id}}", "file", "n", None, None, k) for k, c in enumerate("abcxy")])
     return traverse.topological_levels(nodes, edges(spark, d, [("a{id}", "b{id}", "calls", 1.0, 0), ("b{id}", "c{id}", "calls", 1.0, 1), ("a{id}", "c{id}", "calls", 1.0, 2), ("x{id}", "y{id}", "calls", 1.0, 3), ("y{id}", "x{id}", "calls", 1.0, 4)]))
 
 
+@example("id community", [("a{id}", "a{id}"), ("b{id}", "a{id}"), ("c{id}", "a{id}"), ("d{id}", "a{id}"), ("w{id}", "w{id}"), ("x{id}", "w{id}"), ("y{id}", "w{id}"), ("z{id}", "w{id}"), ("lone{id}", "lone{id}")])
+def planted_communities(spark, d):
+    """Two cliques with one edge between them; a community is named here by its smallest member."""
+    pairs = [(a, b) for group in ("abcd", "wxyz") for k, a in enumerate(group) for b in group[k + 1 :]] + [("d", "w"), ("a", "a"), ("b", "a")]
+    nodes = planted(spark, d, "id string", [(f"{c}{{id}}",) for c in [*"abcdwxyz", "lone"]])
+    found = community.communities(nodes, edges(spark, d, [(f"{a}{{id}}", f"{b}{{id}}", "imports", 1.0, k) for k, (a, b) in enumerate(pairs)]))
+    names = found.groupBy("container").agg(F.min("id").alias("community"))
+    return found.join(names, "container").select("id", "community")
+
+
+@example("id score", [("a{id}", 0.0), ("b{id}", 0.1)])
+def planted_search(spark, d):
+    nodes = planted(spark, d, NODES, [("a{id}", "file", "zebra", None, None, 0), ("b{id}", "file", "the Zebra house", None, None, 1), ("c{id}", "file", "quite other", None, None, 2), ("d{id}", "class", "zebra", None, None, 3)])
+    return search.fuzzy(nodes.select("id", "type", "name", "ord"), " Zebra ", ["file"], 2**31 - 1)
+
+
+@example("title id", [("layer:{id}", "a{id}"), ("layer:{id}", "b{id}"), ("Concepts", "c{id}"), ("Supporting", "s{id}")])
+def planted_tour(spark, d):
+    kinds = [("a{id}", "file"), ("b{id}", "file"), ("c{id}", "concept"), ("s{id}", "file")]
+    nodes = planted(spark, d, NODES, [(i, t, "n", None, None, k) for k, (i, t) in enumerate(kinds)])
+    order = nodes.select("id", F.col("ord").alias("pos"))
+    members = planted(spark, d, "layer_id string, layer_ord long, node_id string", [("layer:{id}", 0, "a{id}"), ("layer:{id}", 0, "b{id}"), ("layer:{id}", 0, "c{id}")])
+    return views.heuristic_tour(order, nodes, members).select("title", "id")
+
+
+SQL["kahn_order"] = """WITH ids AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents WHERE doc_id IS NOT NULL)
+SELECT c || doc_id AS id, CAST(level AS BIGINT) AS level, CAST(CASE WHEN level >= 0 THEN level * n + r ELSE 3 * n + 2 * r + k END AS BIGINT) AS pos FROM ids, (VALUES ('a', 0, 0), ('b', 1, 0), ('c', 2, 0), ('x', -1, 0), ('y', -1, 1)) v(c, level, k)"""
+
+
 @example("id at", [("a{id}", -1), ("b{id}", 0), ("c{id}", 1)])
 def contains_reach(spark, d):
     e = edges(spark, d, [("a{id}", "b{id}", "contains", 1.0, 0), ("b{id}", "c{id}", "contains", 1.0, 1), ("d{id}", "e{id}", "contains", 1.0, 2)])
@@ -469,5 +499,3 @@ def onboarding_text(spark, d):
 
 
 SQL["onboarding_text"] = "SELECT least(count(*), 200) AS n, CASE WHEN count(*) > 200 THEN 'more rows' ELSE 'whole' END AS text FROM documents WHERE doc_id IS NOT NULL"
-
-__all__ = ["graph"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
 from ..operators import analytics, build, change, community, graph, imports, parse, repair, search, traverse, views
+from ..sources import files as sources
 from ..streaming import refresh
 from . import projection as p
 
@@ -55,7 +56,7 @@ def container_edges(spark, d):
 
 @query("SELECT type, complexity, count(*) AS n FROM nodes GROUP BY ALL")
 def nodes_by_type_complexity(spark, d):
-    return p.nodes(spark, d).groupBy("type", "complexity").agg(F.count(F.lit(1)).alias("n"))
+    return analytics.histogram(p.nodes(spark, d), "type", "complexity")
 
 
 @query(", ends AS (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) SELECT n.id, count(*) AS degree FROM ends JOIN nodes n USING (id) GROUP BY n.id, n.ord ORDER BY degree DESC, n.ord LIMIT 5")
@@ -151,22 +152,19 @@ def all_layers(spark, d):
 
 @query(_DOUBLE + " SELECT node_id, count(DISTINCT layer_id) AS n FROM double_members GROUP BY node_id HAVING count(DISTINCT layer_id) > 1")
 def multi_layer_nodes(spark, d):
-    return double_members(spark, d).groupBy("node_id").agg(F.count_distinct("layer_id").alias("n")).where("n > 1")
+    return graph.in_several_layers(double_members(spark, d))
 
 
 @query("SELECT id, type FROM nodes WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)")
 def orphans(spark, d):
-    e = p.edges(spark, d)
-    ends = e.select(F.col("source").alias("id")).unionByName(e.select(F.col("target").alias("id")))
-    return p.nodes(spark, d).join(ends, "id", "left_anti").select("id", "type")
+    return graph.orphans(p.nodes(spark, d), p.edges(spark, d))
 
 
 @query("""SELECT id, CASE WHEN l_suppkey IS NULL THEN 'no file' ELSE 'no node' END AS problem FROM
 (SELECT s.id, l_suppkey, s_suppkey FROM (SELECT DISTINCT l_suppkey, 'file:supplier/' || l_suppkey AS id FROM lineitem WHERE l_suppkey % 7 <> 0) l FULL JOIN (SELECT s_suppkey, 'file:supplier/' || s_suppkey AS id FROM supplier) s ON l_suppkey = s_suppkey) WHERE l_suppkey IS NULL OR s_suppkey IS NULL""")
 def inventory_diff(spark, d):
-    used = p.table(spark, d, "lineitem").where("l_suppkey % 7 != 0").select(F.concat(F.lit("file:supplier/"), F.col("l_suppkey").cast("string")).alias("id"), F.lit(1).alias("f")).distinct()
-    known = p.nodes(spark, d, "supplier").select("id", F.lit(1).alias("n"))
-    return used.join(known, "id", "full_outer").where("f is null or n is null").select("id", F.when(F.col("f").isNull(), "no file").otherwise("no node").alias("problem"))
+    used = p.table(spark, d, "lineitem").where("l_suppkey % 7 != 0").select(F.concat(F.lit("file:supplier/"), F.col("l_suppkey").cast("string")).alias("id"))
+    return analytics.cross_check(used, p.nodes(spark, d, "supplier"))
 
 
 _DIRTY = """, dirty AS (SELECT 'file:supplier/' || s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'Func' WHEN 1 THEN 'INTERFACE' WHEN 2 THEN 'pod' WHEN 3 THEN 'page' WHEN 4 THEN 'table' ELSE 'Database' END AS type,
@@ -324,9 +322,8 @@ def distribution(spark, d):
 
 @query("SELECT count(*) AS expected, count(DISTINCT l_suppkey) AS covered, round(count(DISTINCT l_suppkey) / count(*), 4) AS coverage FROM (SELECT s_suppkey, l_suppkey FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey % 5 <> 0) ON l_suppkey = s_suppkey)", False)
 def integrity(spark, d):
-    used = p.table(spark, d, "lineitem").where("l_suppkey % 5 != 0").select("l_suppkey").distinct()
-    met = p.table(spark, d, "supplier").join(used, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    return met.agg(F.count(F.lit(1)).alias("expected"), F.count("l_suppkey").alias("covered")).select("*", F.round(F.col("covered") / F.col("expected"), 4).alias("coverage"))
+    used = p.table(spark, d, "lineitem").where("l_suppkey % 5 != 0").select(F.col("l_suppkey").alias("id"))
+    return analytics.coverage(p.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), used)
 
 
 @query(", n AS (SELECT id, string_split(file_path, '/') AS s FROM nodes WHERE type = 'file') SELECT id, s[1] AS container FROM n")
@@ -502,7 +499,7 @@ def doc_line_counts(spark, d):
 
 @query("SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1", False)
 def doc_hash_dups(spark, d):
-    return p.table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    return change.equal_contents(p.table(spark, d, "documents"), "text", "doc_id")
 
 
 @query("SELECT page_id, pos, href FROM hrefs")
@@ -512,7 +509,7 @@ def page_links(spark, d):
 
 @query("SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, count(*) AS n FROM pages GROUP BY ALL", False)
 def page_hosts(spark, d):
-    return p.table(spark, d, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+    return analytics.histogram(p.table(spark, d, "pages").select(parse.host(F.col("url")).alias("host")), "host")
 
 
 @query("SELECT doc_id, array_to_string(list_filter(['license', 'the', 'de', 'und', '@'], lambda k: contains(lower(text), k)), ',') AS concepts FROM documents", False)
@@ -522,7 +519,7 @@ def concepts(spark, d):
 
 @query("SELECT lang, source, grouping_id(lang, source) AS level, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())", False)
 def language_stats(spark, d):
-    return p.table(spark, d, "documents").groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"))
+    return sources.grouped_counts(p.table(spark, d, "documents"), "lang", "source")
 
 
 @query("SELECT id, 'region_' || r || '/nation_' || n || '/index' AS config FROM (SELECT id, split_part(split_part(file_path, '/', 1), '_', 2) AS r, split_part(split_part(file_path, '/', 2), '_', 2) AS n FROM nodes WHERE type = 'file')")
@@ -576,7 +573,7 @@ def default_weights(spark, d):
 
 @query("""SELECT page_id, href, CASE WHEN regexp_matches(href, '\\.[A-Za-z0-9]+$') THEN lower(regexp_extract(href, '\\.([A-Za-z0-9]+)$', 1)) ELSE '' END AS ext FROM hrefs""")
 def link_extensions(spark, d):
-    return p.hrefs(spark, d).select("page_id", "href", F.lower(F.regexp_extract("href", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"))
+    return p.hrefs(spark, d).select("page_id", "href", parse.link_extension(F.col("href")).alias("ext"))
 
 
 @query()

@@ -68,6 +68,11 @@ def inventory(tree: DataFrame) -> DataFrame:
     return tree.select("path", detect_language(F.col("path")).alias("language"), detect_category(F.col("path")).alias("category"), F.coalesce(lines, F.lit(0)).cast("long").alias("lines"))
 
 
+def grouped_counts(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """Rows by one column, by the other and in all, ``level`` telling which."""
+    return rows.groupingSets([[first], [second], []], first, second).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"))
+
+
 def scan_stats(found: DataFrame) -> DataFrame:
     """Counts by category, by language and in all."""
     return found.groupingSets([["category"], ["language"], []], "category", "language").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"))

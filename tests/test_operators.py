@@ -180,3 +180,34 @@ def test_heaviest_edge_wins(spark, rows):
         if (s, t) not in want or (w or 0) > want[s, t][0]:
             want[s, t] = (w or 0, i)
     assert {(r.source, r.target): r.ord for r in repair.dedup_edges(df).collect()} == {k: i for k, (_, i) in want.items()}
+
+
+def test_long_chains_are_walked_whole(spark):
+    from loomgraph.operators import change, traverse
+
+    n = 90
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "contains", i) for i in range(n)], "source string, target string, type string, ord long")
+    start = spark.createDataFrame([("n0",)], "id string")
+    assert traverse.bfs_depth(e, start).count() == n + 1
+    assert traverse.shortest_path(e, "n0", f"n{n}").count() == n + 1
+    assert change.contains_growth(e.withColumn("ord", n - e.ord), start).count() == 2
+    assert change.contains_growth(e, start).count() == n + 1
+
+
+def test_numbers_by_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.plans.loops import numbered
+
+    df = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "x int").repartition(5)
+    for few in (1 << 16, 10):
+        got = numbered(df, [F.col("x")], "at", 3, few).collect()
+        assert all(r.at == r.x + 3 for r in got) and len(got) == 101
+
+
+def test_compiled_names_do_not_fall_through(spark):
+    from loomgraph.operators import imports
+
+    files = spark.createDataFrame([("src/a.js/index.ts",), ("src/b.mts",)], "path string")
+    want = spark.createDataFrame([("src/x.ts", "./a.js"), ("src/x.ts", "./b.mjs")], "source string, raw string")
+    assert [(r.raw, r.target) for r in imports.relative_imports(want, files).collect()] == [("./b.mjs", "src/b.mts")]
