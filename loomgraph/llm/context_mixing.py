@@ -19,7 +19,7 @@ fixed size that tasks sum and a tree merges.  Weights and maps of both mixers ar
 over all training rows (of bytes, over all their words outside the lexicon), each
 decision's own count left out: the mean of what tasks reach, so they vary a little with
 how rows are dealt to tasks.  Each text starts from them, and both mixers follow it block
-by block.
+by block: short texts too, as the first block has FIRST decisions.  Many texts' mixers run in step, as lanes.
 
 Defined cases: a null text is an empty one, that is its end alone; rows with a null
 doc_id are training rows with a null id in the result; repeated rows train and are
@@ -39,10 +39,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bytes_of, chunks, cut, held_out, lower_words, merged, read
+from .hashing import word_hashes
 
 LEXICON = 1 << 16
 #: Contexts of the tree: classes of the last frequent word (one more for none), and hashed tokens before.
@@ -50,8 +51,14 @@ FREQUENT, BEFORE = 63, 32
 #: Slots of the byte predictors' tables.
 SLOTS = (1 << 16, 1 << 17, 1 << 18)
 DEPTHS, MAP = 24, 64
+#: Counts below which a training decision's own is left out.
+FEW = 256
 #: How fast weights follow: tree and bytes, while training and inside a text; and the decisions between two steps.
 RATES_TRAINING, RATES, BLOCK = (2e-5, 2e-4), (2e-2, 1e-3), 1024
+#: A text's first block in the tree; each is twice the one before, up to BLOCK.
+FIRST = 128
+#: Tokens of one text whose decisions are held at a time.
+TOKENS = 1 << 16
 #: Words that are spelled at a time.
 SPELLED = 4096
 #: Words outside the lexicon whose counts are broadcast too; those of all others are joined.
@@ -128,6 +135,17 @@ class Tree:
         return met, ones
 
 
+def word_at(data: bytes, starts: np.ndarray) -> list[bytes]:
+    """The lower-case words that start at these places."""
+    out = []
+    for s in starts.tolist():
+        size = 64
+        while len(part := data[s : s + size].split(None, 1)) == 1 and s + size < len(data):
+            size *= 8
+        out.append(part[0].lower())
+    return out
+
+
 def log_odds(ones: np.ndarray, met: np.ndarray, prior: np.ndarray | float, strength: float) -> np.ndarray:
     p = (ones + strength * prior) / (met + strength)
     p = np.clip(p, 1e-6, 1 - 1e-6)
@@ -226,6 +244,50 @@ class Mixer:
         return cost
 
 
+class Lanes:
+    """A mixer for each of several texts, all begun alike, that follow their texts in step; one text's results are those of a mixer of its own."""
+
+    def __init__(self, mixer: Mixer, texts: int) -> None:
+        self.gates = len(mixer.weights[0])
+        self.weights = [np.tile(w, texts) for w in mixer.weights]
+        self.met, self.ones = np.tile(mixer.met, texts), np.tile(mixer.ones, texts)
+        self.block = FIRST
+
+    def bits(self, x: list[np.ndarray], y: np.ndarray, gate: np.ndarray, counts: np.ndarray, rate: float) -> np.ndarray:
+        """Bits of the decisions y, those of each text one after the other (counts of them); a call goes on where the last one ended."""
+        came = np.empty(len(y), np.float32)
+        start, at = np.cumsum(counts) - counts, 0
+        while len(lanes := np.flatnonzero(counts > at)):
+            size = np.minimum(counts[lanes] - at, self.block)
+            index = np.repeat(start[lanes] + at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            lane = np.repeat(lanes, size)
+            slot = lane * self.gates + gate.take(index)
+            xs = [v.take(index) for v in x]
+            t = np.zeros(len(index), np.float32)
+            for w, v in zip(self.weights, xs, strict=True):
+                t += w.take(slot) * v
+            np.maximum(np.minimum(t, 14, out=t), -14, out=t)
+            p = np.exp(-t)
+            p += 1
+            np.reciprocal(p, out=p)
+            bins = _map_bins(t)
+            bins += lane * MAP
+            one = y.take(index).astype(np.float32)
+            q = (self.ones.take(bins) / self.met.take(bins)).astype(np.float32)
+            q += p
+            q *= np.float32(0.5)
+            came[index] = np.abs(1 - one - q)
+            wrong = one - p
+            for w, v in zip(self.weights, xs, strict=True):
+                w += (rate * np.bincount(slot, wrong * v, len(w))).astype(np.float32)
+            self.met += np.bincount(bins, minlength=len(self.met))
+            self.ones += np.bincount(bins, one, len(self.ones))
+            at += self.block
+            self.block = min(2 * self.block, BLOCK)
+        np.maximum(np.minimum(came, np.float32(1 - 1e-6), out=came), np.float32(1e-6), out=came)
+        return -np.log2(came, out=came)
+
+
 def tree_mixer() -> Mixer:
     """For the tree, before training."""
     return Mixer((-0.3, 0.8, 0.5), DEPTHS)
@@ -253,17 +315,45 @@ class Model:
         self.bytes_met: list[tuple[np.ndarray, np.ndarray]] = []
         self.rare: dict[bytes, int] = {}
         self.mixers = fresh_mixers()
+        self._index()
+
+    def _index(self) -> None:
+        """Symbols by the words' hashes: a table by the first bits of a hash gives the place where its run of sorted hashes begins."""
+        start, h = word_hashes(np.frombuffer(b" ".join(self.tree.words), np.uint8))
+        order = np.argsort(h)
+        self.hashes, self.places = np.append(h[order], np.uint64(0)), np.append(order, 0)
+        self.first = np.searchsorted(h[order], np.arange(1 << 18, dtype=np.uint64) << np.uint64(46))
+        self.run = int(np.bincount((h >> np.uint64(46)).astype(np.int64), minlength=1).max()) if len(h) else 0
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "ids"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "hashes", "places", "first")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.ids = {w: k for k, w in enumerate(self.tree.words)}
-
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        get, escape = self.ids.get, self.escape
-        return np.array([get(w, escape) for w in words] + [self.end], np.int64)
+        self._index()
+
+    def known(self, h: np.ndarray) -> np.ndarray:
+        """Symbols of words by their hashes; the escape for those outside the lexicon."""
+        out = np.full(len(h), self.escape, np.int64)
+        at = self.first.take((h >> np.uint64(46)).astype(np.int64))
+        for j in range(self.run):
+            place = np.minimum(at + j, len(self.hashes) - 1)
+            hit = (self.hashes.take(place) == h) & (place < len(self.hashes) - 1)
+            out[hit] = self.places[place[hit]]
+        return out
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+        """Symbols of all texts, each with its end; where each text's begin; the texts joined, and where in them each symbol's word starts (-1 for ends)."""
+        data = b"\n".join(t or b"" for t in texts)
+        start, h = word_hashes(np.frombuffer(data, np.uint8))
+        upto = np.searchsorted(start, np.cumsum([len(t or b"") + 1 for t in texts]))
+        ends = upto + np.arange(len(texts))  # places of the ends among all symbols
+        symbols, places = np.full(len(h) + len(texts), self.end, np.int64), np.full(len(h) + len(texts), -1, np.int64)
+        inner = np.ones(len(symbols), bool)
+        inner[ends] = False
+        symbols[inner], places[inner] = self.known(h), start
+        return symbols, np.concatenate([[0], ends[:-1] + 1]).astype(np.int64), data, places
 
     def contexts(self, symbols: np.ndarray) -> list[np.ndarray]:
         n = len(symbols)
@@ -285,7 +375,35 @@ class Model:
                 self.odds.append(log_odds(ones, met, p0, 2.0).ravel())
         self.byte_odds = [log_odds(ones, met, 0.5, 0.5) for met, ones in self.bytes_met]
 
-    def decisions(self, symbols: np.ndarray, own: bool = False) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    def all_contexts(self, symbols: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """Contexts of all texts' symbols; those of a text know nothing of the text before."""
+        n = len(symbols)
+        begin = np.repeat(first, np.diff(np.append(first, n)))
+        frequent = np.where((symbols < FREQUENT) & (symbols < self.end), np.arange(n), -1)
+        last = np.concatenate([[-1], np.maximum.accumulate(frequent)[:-1]]) if n else frequent
+        one = np.where(last >= begin, symbols[last] + 1, 0)
+        before = np.concatenate([[self.hashed[self.end]], self.hashed[symbols[:-1]]]) if n else frequent
+        before[first] = self.hashed[self.end]
+        return [np.zeros(n, np.int64), one, before]
+
+    def tree_bits(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Bits of each text in the tree; the mixers follow all texts in step, and of very long ones some tokens at a time."""
+        counts = np.diff(np.append(first, len(symbols)))
+        contexts, out = self.all_contexts(symbols, first), np.zeros(len(first))
+        lanes = Lanes(self.mixers[0], len(first))
+        for at in range(0, int(counts.max()) if len(counts) else 0, TOKENS):
+            size = np.clip(counts - at, 0, TOKENS)
+            whole = size.sum() == len(symbols)
+            index = slice(None) if whole else np.repeat(first + at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            part = symbols[index]
+            x, bit, gate = self.decisions(part, contexts=[c[index] for c in contexts])
+            owner = np.repeat(np.arange(len(first)), size)
+            made = np.bincount(owner, self.tree.lengths[part], len(first)).astype(np.int64)
+            cost = lanes.bits(x, bit, gate, made, RATES[0])
+            out += np.bincount(np.repeat(np.arange(len(first)), made), cost, len(first))
+        return out
+
+    def decisions(self, symbols: np.ndarray, own: bool = False, contexts: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Log-odds of each predictor, bits and gates of the tree's decisions; own: a training text's, each token's own count left out."""
         tree = self.tree
         lengths = tree.lengths[symbols]
@@ -295,7 +413,7 @@ class Model:
         node = tree.nodes.take(at)
         inner = len(tree.parts)
         slots = [node]
-        for c in self.contexts(symbols)[1:]:
+        for c in (self.contexts(symbols) if contexts is None else contexts)[1:]:
             slot = np.repeat(c * inner, lengths)
             slot += node
             slots.append(slot)
@@ -303,12 +421,18 @@ class Model:
         if not own:
             x = [odds.take(slot) for odds, slot in zip(self.odds, slots, strict=True)]
         else:
-            x, p0 = [], None
-            for (met, ones), slot in zip(self.tables, slots, strict=True):
-                m, o = np.maximum(met.ravel().take(slot) - 1, 0), np.maximum(ones.ravel().take(slot) - bit, 0)
-                x.append(log_odds(o, m, 0.5, 0.8) if p0 is None else log_odds(o, m, p0, 2.0))
-                if p0 is None:
-                    p0 = (o + np.float32(0.4)) / (m + np.float32(0.8))
+            # a decision's own count matters where there are few: there the log-odds are made anew
+            x = [odds.take(slot) for odds, slot in zip(self.odds, slots, strict=True)]
+            for k, ((met, ones), slot) in enumerate(zip(self.tables, slots, strict=True)):
+                met, ones = met.ravel(), ones.ravel()
+                few = np.flatnonzero(met.take(slot) < FEW)
+                there, mine = slot[few], bit[few]
+                m, o = np.maximum(met.take(there) - 1, 0), np.maximum(ones.take(there) - mine, 0)
+                if k == 0:
+                    x[k][few] = log_odds(o, m, 0.5, 0.8)
+                else:
+                    m0, o0 = self.tables[0][0].ravel().take(node[few]) - 1, self.tables[0][1].ravel().take(node[few]) - mine
+                    x[k][few] = log_odds(o, m, (np.maximum(o0, 0) + np.float32(0.4)) / (np.maximum(m0, 0) + np.float32(0.8)), 2.0)
         return x, bit, tree.gates.take(at)
 
     def spelled(self, words: list[bytes]) -> np.ndarray:
@@ -378,13 +502,9 @@ def train(docs: DataFrame, vocabulary: DataFrame) -> Model:
         tables = [np.zeros(k * size, np.int64) for k in shapes]
         for batch in batches:
             for part in chunks(batch, "text"):
-                keys: list[list[np.ndarray]] = [[], []]
-                for text in bytes_of(part.column(0)):
-                    s = m.symbols(lower_words(text))
-                    for own, c in zip(keys, m.contexts(s)[1:], strict=True):
-                        own.append(c * size + s)
-                for table, own in zip(tables, keys, strict=True):
-                    table += np.bincount(np.concatenate(own), minlength=len(table))
+                s, first, _, _ = m.encode(bytes_of(part.column(0)))
+                for table, c in zip(tables, m.all_contexts(s, first)[1:], strict=True):
+                    table += np.bincount(c * size + s, minlength=len(table))
         yield _emit(_pack([len(t) for t in tables], tables))
 
     blob = merged(docs.select("text").mapInArrow(gather, "blob binary"), _add)
@@ -408,6 +528,7 @@ def train(docs: DataFrame, vocabulary: DataFrame) -> Model:
     tables = _unpack(blob) if blob else [np.zeros(k, np.int64) for k in (*SLOTS, *SLOTS)]
     model.bytes_met = [(tables[k].astype(np.float32), tables[k + len(SLOTS)].astype(np.float32)) for k in range(len(SLOTS))]
     held.destroy()
+    model.finish()
     learned = sc.broadcast(model)
 
     def reached(n: int, mixer: Mixer) -> pa.RecordBatch:
@@ -417,11 +538,12 @@ def train(docs: DataFrame, vocabulary: DataFrame) -> Model:
         m, mixer, n = learned.value, tree_mixer(), 0
         for batch in batches:
             for part in chunks(batch, "text", TRAINED):
-                for text in bytes_of(part.column(0)):
-                    s = m.symbols(lower_words(text))
-                    for k in range(0, len(s), TRAINED // 8):
-                        mixer.bits(*m.decisions(s[k : k + TRAINED // 8], True), RATES_TRAINING[0], 4 * BLOCK, True)
-                    n += len(s)
+                s, first, _, _ = m.encode(bytes_of(part.column(0)))
+                contexts = m.all_contexts(s, first)
+                for k in range(0, len(s), TOKENS):
+                    some = slice(k, k + TOKENS)
+                    mixer.bits(*m.decisions(s[some], True, [c[some] for c in contexts]), RATES_TRAINING[0], 4 * BLOCK, True)
+                n += len(s)
         if n:
             yield reached(n, mixer)
 
@@ -443,7 +565,6 @@ def train(docs: DataFrame, vocabulary: DataFrame) -> Model:
         if blob := merged(rows, both):
             mixer.learn(*pickle.loads(blob))
     learned.destroy()
-    model.finish()
     model.bytes_met = []
     model.tables = []
     model.rare = dict(zip(names[LEXICON:], counted[LEXICON:].tolist(), strict=True))
@@ -453,8 +574,11 @@ def train(docs: DataFrame, vocabulary: DataFrame) -> Model:
 _FLAT = "word binary, row long, tf long, spelt double, doc_id long, n_tokens long, n_known long, base double, bits double, n_bytes long"
 
 
-def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of every row of docs."""
+def scored(docs: DataFrame, training: DataFrame, trained: Column | None = None) -> DataFrame:
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of every row of docs.
+
+    ``trained`` tells rows of docs that are training rows too: all of their words are known, so none needs to be spelled.
+    """
     vocabulary = cut(token_counts(training))
     n, v, once = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1))).first()
     model = train(training, vocabulary)
@@ -471,22 +595,25 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
         known = np.append(m.counts[:-1] > 0, False)
         own = {w: (math.log10((c + 1) / per), -math.log2(share * c / escaped)) for w, c in m.rare.items()}
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", TRAINED):
                 word, key, tf, spelt, rows = [], [], [], [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), bytes_of(part.column(1)), strict=True):
-                    words = lower_words(text)
-                    s = m.symbols(words)
-                    base, bits, seen = float(logs[s].sum()), float(m.mixers[0].begun().bits(*m.decisions(s), RATES[0], BLOCK).sum()), int(np.count_nonzero(known[s]))
+                texts, told = bytes_of(part.column(1)), part.column(2).to_pylist()
+                s, first, data, places = m.encode(texts)
+                bases, tree, met = np.add.reduceat(logs[s], first).tolist(), m.tree_bits(s, first).tolist(), np.add.reduceat(known[s].astype(np.int64), first).tolist()
+                escapes = np.flatnonzero(s == m.escape)
+                escaped, parted = word_at(data, places[escapes]), np.searchsorted(escapes, np.append(first, len(s))).tolist()
+                sizes = np.diff(np.append(first, len(s))).tolist()
+                for j, (doc_id, text) in enumerate(zip(part.column(0).to_pylist(), texts, strict=True)):
+                    base, bits, seen = bases[j], tree[j], met[j]
                     rare: list[bytes] = []
-                    for at in np.flatnonzero(s == m.escape).tolist():
-                        w = words[at]
+                    for w in escaped[parted[j] : parted[j + 1]]:
                         if (got := own.get(w)) is not None:
                             base, bits, seen = base + got[0], bits + got[1], seen + 1
                         else:
                             rare.append(w)
                     # spelled in the text's order; the join tells which of them training has held
                     others: dict[bytes, list[float]] = {}
-                    for w, x in zip(rare, m.spelled(rare).tolist(), strict=True):
+                    for w, x in zip(rare, [0.0] * len(rare) if told[j] else m.spelled(rare).tolist(), strict=True):
                         k = others.setdefault(w, [0, 0.0])
                         k[0] += 1
                         k[1] += x
@@ -494,7 +621,7 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
                     key += [row] * len(others)
                     tf += [x[0] for x in others.values()]
                     spelt += [x[1] for x in others.values()]
-                    rows.append((row, doc_id, len(s), seen, base, bits, len(text or b"")))
+                    rows.append((row, doc_id, sizes[j], seen, base, bits, len(text or b"")))
                     row += 1
                 k, r = len(word), len(rows)
                 # a row's own figures come under a key that no word has, so they are spread over all tasks
@@ -507,7 +634,7 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
                     names=[x.split()[0] for x in _FLAT.split(", ")],
                 )
 
-    flat = docs.select("doc_id", "text").mapInArrow(score, _FLAT)
+    flat = docs.select("doc_id", "text", F.coalesce(F.lit(False) if trained is None else trained, F.lit(False)).alias("trained")).mapInArrow(score, _FLAT)
     met = flat.join(vocabulary, "word", "left")
     c, tf = F.coalesce(F.col("c"), F.lit(0)), F.col("tf")
     base = F.coalesce("base", tf * F.log10((c + 1) / F.lit(per)))
@@ -524,7 +651,8 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
 
 def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    found = scored(docs, docs.where(~held_out(F.col("doc_id"), 7, 2)))
+    learned = ~held_out(F.col("doc_id"), 7, 2)
+    found = scored(docs, docs.where(learned), learned)
     return found.withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
 
 

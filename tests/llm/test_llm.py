@@ -142,6 +142,8 @@ def test_sharded_documents(docs, empty):
 def test_scores(docs, empty):
     held = common.held_out(F.col("doc_id"), 7, 2)
     got = {(r.doc_id, r.n_tokens): r for r in context_mixing.scored(docs, docs.where(~held)).collect()}
+    again = {(r.doc_id, r.n_tokens): r for r in context_mixing.scored(docs, docs.where(~held), ~held).collect()}
+    assert all(math.isclose(again[k].score, r.score, rel_tol=1e-3) for k, r in got.items())
     count = Counter()
     for i, t, *_ in rows():
         if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
@@ -169,6 +171,61 @@ def test_mixers_learn_from_training_and_follow_a_text(spark):
         assert (learned.ones != fresh.ones).any() and (learned.met == fresh.met).all()
 
 
+def plain_mixing(model, symbols):
+    """One text's bits by a loop over its decisions: what a block has taught holds from the next one on."""
+    mixer, tree = model.mixers[0], model.tree
+    weights = [w.astype(float).copy() for w in mixer.weights]
+    met, ones = mixer.met.copy(), mixer.ones.copy()
+    last, before, todo = 0, model.hashed[model.end], []
+    for s in symbols.tolist():
+        for j in range(tree.lengths[s]):
+            node, bit, gate = (x[tree.starts[s] + j] for x in (tree.nodes, tree.bits, tree.gates))
+            todo.append(([model.odds[0][node], model.odds[1][last * len(tree.parts) + node], model.odds[2][before * len(tree.parts) + node]], bit, gate))
+        last, before = s + 1 if s < min(context_mixing.FREQUENT, model.end) else last, model.hashed[s]
+    total, at, size = 0.0, 0, context_mixing.FIRST
+    while at < len(todo):
+        steps, learned = [np.zeros_like(w) for w in weights], []
+        for x, bit, gate in todo[at : at + size]:
+            t = min(max(sum(w[gate] * v for w, v in zip(weights, x)), -14), 14)
+            p = 1 / (1 + math.exp(-t))
+            bin_ = min(max(int((t + 8) * context_mixing.MAP / 16), 0), context_mixing.MAP - 1)
+            q = (p + ones[bin_] / met[bin_]) / 2
+            total -= math.log2(min(max(q if bit else 1 - q, 1e-6), 1 - 1e-6))
+            for step, v in zip(steps, x):
+                step[gate] += context_mixing.RATES[0] * (bit - p) * v
+            learned.append((bin_, bit))
+        weights = [w + s for w, s in zip(weights, steps)]
+        for bin_, bit in learned:
+            met[bin_] += 1
+            ones[bin_] += bit
+        at, size = at + size, min(2 * size, context_mixing.BLOCK)
+    return total
+
+
+def test_lanes_are_plain_loops(monkeypatch):
+    """Texts that are mixed in step against one loop a text, short ones and one of several pieces."""
+    texts = [prose(n, n).encode() for n in (3, 40, 700, 90)] + [None, b"", b"unseen words only"]
+    count = Counter(w for t in texts[:4] for w in words(t.decode())).most_common(200)
+    counts = np.array([n for _, n in count])
+    model = context_mixing.Model(context_mixing.Tree([w for w, _ in count], np.append(counts, [9, 30])), np.append(counts, [9, 0]))
+    size, r = model.tree.size, np.random.default_rng(2)
+    model.tables = [model.tree.sums(r.integers(0, 9, (n, size))) for n in (1, context_mixing.FREQUENT + 1, context_mixing.BEFORE)]
+    model.bytes_met = [(np.ones(k, np.float32), np.zeros(k, np.float32)) for k in context_mixing.SLOTS]
+    model.finish()
+    s, first, data, places = model.encode(texts)
+    parts = np.split(s, first[1:])
+    for t, part in zip(texts, parts):
+        assert part.tolist() == [model.ids.get(w, model.escape) for w in common.lower_words(t)] + [model.end]
+    at = np.flatnonzero(s == model.escape)
+    assert context_mixing.word_at(data, places[at]) == [w for t in texts for w in common.lower_words(t) if w not in model.ids]
+    want = [plain_mixing(model, part) for part in parts]
+    assert np.allclose(model.tree_bits(s, first), want, rtol=2e-4)
+    monkeypatch.setattr(context_mixing, "TOKENS", 256)
+    assert np.allclose(model.tree_bits(s, first), [plain_mixing(model, p) for p in parts], rtol=0.02)
+    # a text of a single block keeps its weights, one of several does not
+    assert model.tree_bits(parts[2], np.array([0]))[0] != sum(context_mixing.fresh_mixers()[0].bits(*model.decisions(parts[2]), 0.0, 1 << 30))
+
+
 def test_bits_are_those_of_a_distribution():
     """Over all symbols of the tree the probabilities sum to one, whatever the context."""
     counts = np.array([50, 20, 7, 3, 1, 4])
