@@ -7,26 +7,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 FEED = "path string, content string, op string, ts timestamp"
+CHANGE = "path string, content_hash string, since int, at int"
+
+
+#: Batches between two snapshots; a batch between them writes its own changes alone.
+COMPACT = 16
+
+
+def state(spark: SparkSession, table: str, upto: int) -> DataFrame:
+    """``path, content_hash, since`` after the batch of that number: the last snapshot, and the changes of the batches after it."""
+    full = (upto + 1) // COMPACT * COMPACT - 1
+    parts = [f"{table}/changes/{k}" for k in range(full + 1, upto + 1)]
+    rows = spark.createDataFrame([], CHANGE)
+    if full >= 0:
+        rows = rows.unionByName(spark.read.schema(CHANGE).parquet(f"{table}/snapshots/{full}"))
+    if parts:
+        rows = rows.unionByName(spark.read.schema(CHANGE).parquet(*parts))
+    newest = rows.groupBy("path").agg(F.max_by(F.struct("content_hash", "since"), "at").alias("r"))
+    return newest.where("r.content_hash is not null").select("path", "r.content_hash", "r.since")
+
+
+def current(spark: SparkSession, table: str) -> DataFrame:
+    """The state after the newest batch."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{table}/changes")
+    names = [f.getPath().getName() for f in folder.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(folder)]
+    return state(spark, table, max(int(n) for n in names if n.isdigit()))
 
 
 def refresh(feed: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keeps ``table`` (a folder of Parquet snapshots, one a batch) at one row a path: its newest hash, or none once deleted.
+    """Keeps ``table`` (a folder) at one row a path: its newest hash and the batch that brought it, or none once deleted.
 
-    A batch writes the snapshot of its own number from the newest one before it, so a
-    batch that is run again after a failure writes the same again.
+    A batch writes the changes of its own number, a row a changed path, so its cost follows the batch; each COMPACT-th writes
+    a snapshot too.  A batch that is run again after a failure writes the same again.  Contents that come again unchanged keep their batch.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         newest = batch.groupBy("path").agg(F.max_by(F.struct("content", "op"), "ts").alias("r"))
-        fresh = newest.where("r.op != 'delete'").select("path", F.sha2("r.content", 256).alias("content_hash"), F.lit(number).alias("since"))
+        fresh = newest.select("path", F.when(F.col("r.op") != "delete", F.sha2("r.content", 256)).alias("content_hash"), F.lit(number).alias("since"), F.lit(number).alias("at"))
         if number:
-            old = spark.read.parquet(f"{table}/{number - 1}")
-            same = fresh.join(old.select("path", "content_hash"), ["path", "content_hash"], "left_semi").select("path")
-            changed = newest.select("path").join(same, "path", "left_anti")
-            kept = old.join(changed, "path", "left_anti")
-            fresh = kept.unionByName(fresh.join(same, "path", "left_anti"))
-        fresh.write.mode("overwrite").parquet(f"{table}/{number}")
+            old = state(spark, table, number - 1).select("path", F.col("content_hash").alias("old"))
+            fresh = fresh.join(old, "path", "left").where(~F.col("content_hash").eqNullSafe(F.col("old"))).drop("old")
+        fresh.write.mode("overwrite").parquet(f"{table}/changes/{number}")
+        if (number + 1) % COMPACT == 0:
+            # from the changes alone: the snapshot of this number is what is being written
+            before = state(spark, table, number - 1).select("path", "content_hash", "since", F.lit(number - 1).alias("at"))
+            whole = before.unionByName(spark.read.schema(CHANGE).parquet(f"{table}/changes/{number}")).groupBy("path").agg(F.max_by(F.struct("content_hash", "since"), "at").alias("r"))
+            whole.where("r.content_hash is not null").select("path", "r.content_hash", "r.since", F.lit(number).alias("at")).write.mode("overwrite").parquet(f"{table}/snapshots/{number}")
 
     return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

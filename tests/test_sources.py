@@ -50,7 +50,8 @@ def test_synthetic_is_seeded(spark):
     assert a[1].count() == 85
 
 
-def test_refresh(spark, tmp_path):
+def test_refresh(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(refresh, "COMPACT", 2)
     feed, table = tmp_path / "feed", str(tmp_path / "table")
     feed.mkdir()
 
@@ -59,9 +60,13 @@ def test_refresh(spark, tmp_path):
         refresh.refresh(refresh.read_feed(spark, str(feed)), table, str(tmp_path / "check")).awaitTermination()
 
     put("1.json", [("a", "x", "put", "2024-01-01T00:00:00"), ("b", "y", "put", "2024-01-01T00:00:00"), ("a", "z", "put", "2024-01-02T00:00:00")])
-    assert spark.read.parquet(f"{table}/0").count() == 2
+    assert refresh.current(spark, table).count() == 2
     put("2.json", [("a", "z", "put", "2024-01-03T00:00:00"), ("b", "", "delete", "2024-01-03T00:00:00"), ("c", "q", "put", "2024-01-03T00:00:00")])
-    assert {r.path: r.since for r in spark.read.parquet(f"{table}/1").collect()} == {"a": 0, "c": 1}
+    assert {r.path: r.since for r in refresh.current(spark, table).collect()} == {"a": 0, "c": 1}
+    assert (tmp_path / "table/snapshots/1").exists()
+    put("3.json", [("b", "y", "put", "2024-01-04T00:00:00"), ("c", "q", "put", "2024-01-04T00:00:00")])
+    assert {r.path: r.since for r in refresh.current(spark, table).collect()} == {"a": 0, "b": 2, "c": 1}
+    assert spark.read.parquet(f"{table}/changes/2").count() == 1
 
 
 def test_event_windows(spark):
