@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .loops import checkpoint_dir
+
 #: Places of a kind's rows in the graph's order: kind number times SPAN, plus the row's own number.
 SPAN = 1 << 40
 
 
+#: Folders of whole graphs that this application has written, by application, tables and part.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, part: str, df: DataFrame) -> DataFrame:
+    """The whole graph's nodes or edges are made of the tables once an application, and read from the shared folder after that.
+
+    So links are cut from pages, contents hashed and events ordered once, and columns and filters reach the scan. Tables must not change under a running application.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, part)
+    if key not in _WRITTEN:
+        folder = f"{checkpoint_dir(spark)}/graph-{part}-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        _WRITTEN[key] = folder
+    return spark.read.parquet(_WRITTEN[key])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -97,7 +117,9 @@ def nodes(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
         "region": of_region, "nation": of_nation, "customer": of_customer, "supplier": of_supplier, "part": of_part, "orders": of_orders,
         "documents": of_documents, "pages": of_pages, "benchmark": of_benchmark, "users": of_users, "steps": of_steps, "topics": of_topics,
     }
-    return reduce(DataFrame.unionByName, (made[k]() for k in kinds or made))
+    if not kinds:
+        return _once(spark, sf_dir, "nodes", reduce(DataFrame.unionByName, (f() for f in made.values())))
+    return reduce(DataFrame.unionByName, (made[k]() for k in kinds))
 
 
 def _edge(kind: int, df: DataFrame, source: Column, target: Column, kind_name: str, weight: Column | float, number: Column) -> DataFrame:
@@ -133,7 +155,9 @@ def edges(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
         "events": of_events,
         "copies": of_copies,
     }
-    return reduce(DataFrame.unionByName, (made[k]() for k in kinds or made))
+    if not kinds:
+        return _once(spark, sf_dir, "edges", reduce(DataFrame.unionByName, (f() for f in made.values())))
+    return reduce(DataFrame.unionByName, (made[k]() for k in kinds))
 
 
 def layer_members(spark: SparkSession, sf_dir: str) -> DataFrame:
