@@ -33,8 +33,10 @@ from .common import chunks, merged, read
 FREQUENT = 1 << 15
 #: Pre-tokens whose counts a task of the first pass holds, and those that it hands on.
 HELD = 1 << 18
-#: Entries of a worker's cache; a full one is begun anew.
-CACHE = 1 << 19
+#: Entries of a worker's cache, and characters of all of them; a full one is begun anew.
+CACHE, CACHED = 1 << 19, 1 << 25
+#: Characters of a pre-token that either tier holds; a longer one is encoded where it is met.
+LONG = 256
 #: Tokens beyond which a text is over the limit.
 LIMIT = 1024
 
@@ -62,6 +64,14 @@ class Splitter:
         return [w for p in parts for w in self.pre(p)], len(parts) - 1
 
 
+def checked(vocabulary: bytes) -> None:
+    """Refuses a vocabulary file that parts texts in another way than PRE_TOKEN does, or alters them first."""
+    spec = json.loads(vocabulary)
+    pre = spec.get("pre_tokenizer") or {}
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+        raise ValueError("the vocabulary file is not a plain byte-level BPE")
+
+
 def special_strings(vocabulary: bytes) -> list[str]:
     return [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
 
@@ -86,7 +96,7 @@ def frequent(docs: DataFrame, specials: list[str]) -> list[str]:
             for part in chunks(batch, "text"):
                 for text in part.column(0).to_pylist():
                     if text:
-                        held.update(split(text)[0])
+                        held.update(w for w in split(text)[0] if len(w) <= LONG)
                 if len(held) > HELD:
                     held = Counter(dict(held.most_common(HELD // 2)))
         if held:
@@ -106,12 +116,14 @@ class Lengths:
         self.encoder.no_truncation()
         self.encoder.no_padding()
         self.encoder.encode_special_tokens = True  # a miss is a piece of text, never a special string
-        self.split, self.first, self.cache = Splitter(special_strings(vocabulary)), first, dict(first)
+        self.split, self.first, self.cache, self.size = Splitter(special_strings(vocabulary)), first, dict(first), 0
 
     def encode(self, words: list[str]) -> None:
         """Learns the lengths of distinct pre-tokens."""
-        if len(self.cache) + len(words) > len(self.first) + CACHE:
-            self.cache = dict(self.first)
+        size = sum(map(len, words))
+        if len(self.cache) + len(words) > len(self.first) + CACHE or self.size + size > CACHED:
+            self.cache, self.size = dict(self.first), 0
+        self.size += size
         for w, e in zip(words, self.encoder.encode_batch(words, add_special_tokens=False), strict=True):
             self.cache[w] = len(e.ids)
 
@@ -124,13 +136,17 @@ class Lengths:
             if self.cache is not before:  # begun anew: what the old one held is missing now
                 self.encode([w for w in set().union(*(words for words, _ in parted)) if w not in self.cache])
         look = self.cache.__getitem__
-        return [sum(map(look, words)) + specials for words, specials in parted]
+        counts = [sum(map(look, words)) + specials for words, specials in parted]
+        for w in [w for w in missing if len(w) > LONG]:  # held for these texts alone
+            self.cache.pop(w, None)
+        return counts
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_tokens``; the vocabulary file is read by the driver alone and travels with the lookup table."""
     with open(vocabulary_path or default_vocabulary(), "rb") as f:
         vocabulary = f.read()
+    checked(vocabulary)
     sc = docs.sparkSession.sparkContext
     words = frequent(docs, special_strings(vocabulary))
     table = Lengths(vocabulary, {})

@@ -475,6 +475,18 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_token_counts_of_long_pre_tokens(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_counts.default_vocabulary())
+    monkeypatch.setattr(token_counts, "CACHED", 500)
+    data = [(i, ("ab" * 400 if i % 3 else "xyz ") * (i % 5) + f" tail{i} " + "q" * 300) for i in range(60)]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark.createDataFrame(data, "doc_id long, text string").repartition(2)).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in data}
+    with pytest.raises(ValueError):
+        token_counts.checked(b'{"pre_tokenizer": {"type": "Whitespace"}}')
+
+
 # languages
 
 
