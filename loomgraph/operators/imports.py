@@ -169,7 +169,7 @@ def psr4_imports(imports: DataFrame, files: DataFrame, rules: DataFrame) -> Data
     met = imports.join(near.withColumnRenamed("path", "source"), "source").join(rules, "config").withColumn("whole", F.when(F.col("prefix") == "", "").otherwise(F.concat(F.rtrim("prefix", F.lit("\\")), F.lit("\\")))).where("startswith(raw, whole)")
     rest = F.translate(F.expr("substring(raw, length(whole) + 1)"), "\\", "/")
     base = normal_path(F.concat_ws("/", F.when(directory(F.col("config")) != "", directory(F.col("config"))), "folder", rest))
-    return _first(met.select("source", "raw", F.struct((-F.length("whole")).alias("a"), F.col("ord").alias("b")).alias("rank"), F.concat(base, F.lit(".php")).alias("candidate")), files)
+    return _first(met.select("source", "raw", F.struct((-F.length("whole")).alias("a"), (F.col("ord") if "ord" in rules.columns else F.col("folder")).alias("b")).alias("rank"), F.concat(base, F.lit(".php")).alias("candidate")), files)
 
 
 def rust_imports(imports: DataFrame, files: DataFrame) -> DataFrame:

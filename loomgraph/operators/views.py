@@ -107,9 +107,10 @@ def review(nodes: DataFrame, edges: DataFrame, members: DataFrame, tour: DataFra
 
 
 def sound_layers(members: DataFrame, layers: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``layer_id, nodes``: members (``layer_id, member_ord, node_id``) that exist, in order; layers that lose all of theirs stay, empty."""
+    """``layer_id, nodes``: members (``layer_id, member_ord, node_id``) that exist, in order (without ``member_ord`` by id); layers that lose all of theirs stay, empty."""
     kept = members.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
-    per = kept.groupBy("layer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("member_ord", "node_id"))), lambda x: x["node_id"]).alias("nodes"))
+    place = F.col("member_ord") if "member_ord" in members.columns else F.lit(0)
+    per = kept.groupBy("layer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("member_ord"), "node_id"))), lambda x: x["node_id"]).alias("nodes"))
     return layers.select("layer_id").join(per, "layer_id", "left").select("layer_id", F.coalesce("nodes", F.array().cast("array<string>")).alias("nodes"))
 
 
