@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import Forest, components, cut, read
 
 COSINE = 0.98
-#: Probability that a pair at the least cosine meets in no table, at most; and classes that share a bucket by chance, about.
-MISS, CHANCE = 1e-4, 16
+#: Probability that a pair at the least cosine meets in no table, at most; and other classes that a class shares a bucket with by chance, about.
+MISS, CHANCE = 1e-4, 0.25
 #: Bits of a table, at least and at most.
 BITS = (8, 40)
 BLOCK = 1024
