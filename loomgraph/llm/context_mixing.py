@@ -601,12 +601,12 @@ def scored(docs: DataFrame, training: DataFrame, trained: Column | None = None)
                 s, first, data, places = m.encode(texts)
                 bases, tree, met = np.add.reduceat(logs[s], first).tolist(), m.tree_bits(s, first).tolist(), np.add.reduceat(known[s].astype(np.int64), first).tolist()
                 escapes = np.flatnonzero(s == m.escape)
-                escaped, parted = word_at(data, places[escapes]), np.searchsorted(escapes, np.append(first, len(s))).tolist()
+                outside, parted = word_at(data, places[escapes]), np.searchsorted(escapes, np.append(first, len(s))).tolist()
                 sizes = np.diff(np.append(first, len(s))).tolist()
                 for j, (doc_id, text) in enumerate(zip(part.column(0).to_pylist(), texts, strict=True)):
                     base, bits, seen = bases[j], tree[j], met[j]
                     rare: list[bytes] = []
-                    for w in escaped[parted[j] : parted[j + 1]]:
+                    for w in outside[parted[j] : parted[j + 1]]:
                         if (got := own.get(w)) is not None:
                             base, bits, seen = base + got[0], bits + got[1], seen + 1
                         else:
