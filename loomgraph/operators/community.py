@@ -1,63 +1,125 @@
-"""Communities by modularity: parallel local moving, then the same on the contracted graph.
+"""Communities by modularity (Louvain): local moving in parallel, then the same on the contracted graph.
 
-Edges count once in either direction, loops not at all; isolated nodes stay alone.  In
-each round half of the nodes (by a hash of id and round) may move to the neighbouring
-community of greatest gain, the smallest name on a tie, so two nodes rarely swap
-places.  Rounds are aggregations and joins; no neighbourhood is collected.
+Edges count once in either direction, loops not at all; isolated nodes stay alone.  In a round
+every node that may have a reason looks for the neighbouring community of greatest gain (the smallest name on
+a tie).  Of all moves that are wanted at once, a set is carried out that surely gains:
+
+* A community either takes nodes in or lets nodes go in a round.  Each wanted move has a hash of its own; what the least hash at a
+  community asks for is what the community does.
+* Moves into, and out of, one community stand in the order of 16 ranges of their hashes.  A move is
+  carried out if it gains even with the weight of all moves up to its own range added to its goal and taken from its
+  origin, or if it is the first of both.  Ties between nodes that move together only add to that.
+
+So the modularity rises in every round that moves a node, the move of least hash is always carried out, and no cap on
+rounds is needed.  After a round only neighbours of moved nodes, and those whose move had to wait, look again; when none is left all nodes
+look once more, and a level ends when none of them wants to move.  Levels end when one of them moves nothing.
+
+Rounds are aggregations and joins; no neighbourhood or community is collected in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.loops import cut
 
+#: Ranges of hashes within which moves into or out of one community are summed.
+RANGES = 16
+#: Gains (in edges) that are no more than rounding.
+LEAST = 1e-7
 
-def _moved(both: DataFrame, degree: DataFrame, total: float, rounds: int) -> DataFrame:
-    """``id, container`` of a weighted graph given in both directions (``s, t, w``)."""
-    spark = both.sparkSession
-    labels = cut(spark, degree.select("id", F.col("id").alias("container")))
-    still = 0
-    for k in range(rounds):
-        mine = degree.join(labels, "id")
-        sums = mine.groupBy("container").agg(F.sum("k").alias("all"))
-        ties = both.where("s != t").join(labels.select(F.col("id").alias("t"), "container"), "t").groupBy(F.col("s").alias("id"), "container").agg(F.sum("w").alias("w"))
-        stay = mine.select("id", "container", F.lit(0.0).alias("w"))
-        choice = ties.unionByName(stay).groupBy("id", "container").agg(F.sum("w").alias("w"))
-        choice = choice.join(sums, "container").join(mine.select("id", "k", F.col("container").alias("own")), "id")
-        others = F.col("all") - F.when(F.col("container") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - F.col("k") * others / (2 * total), 9)
-        top = choice.withColumn("gain", gain)
-        best = top.groupBy("id").agg(F.max("gain").alias("gain"), F.max(F.when(F.col("container") == F.col("own"), F.col("gain"))).alias("now"), F.first("own").alias("own"))
-        picked = top.select("id", "container", "gain").join(best, ["id", "gain"]).groupBy("id").agg(F.min("container").alias("new"), F.first("gain").alias("gain"), F.first("now").alias("now"), F.first("own").alias("own"))
-        may = (F.pmod(F.xxhash64("id", F.lit(k // 2)), F.lit(2)) == k % 2) & (F.col("gain") > F.col("now"))
-        labels = cut(spark, picked.select("id", F.when(may, F.col("new")).otherwise(F.col("own")).alias("container"), may.alias("moved")))
-        still = 0 if not labels.where("moved").isEmpty() else still + 1
-        labels = labels.select("id", "container")
-        if still == 2:
-            break
-    return labels
 
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``modularity`` of communities (``id, container``) under edges counted once in either direction, without loops."""
+    both = _both(edges, labels.select("id")).where("s != t")
+    s = labels.select(F.col("id").alias("s"), F.col("container").alias("cs"))
+    t = labels.select(F.col("id").alias("t"), F.col("container").alias("ct"))
+    inside = F.sum(F.when(F.col("cs") == F.col("ct"), F.col("w")).otherwise(0.0))
+    per = both.join(s, "s").join(t, "t").groupBy("cs").agg(inside.alias("inside"), F.sum("w").alias("all"))
+    # sums of squares and of weights, so one pass tells the share of each against the total
+    sums = per.agg(F.sum("inside").alias("i"), F.sum(F.col("all") * F.col("all")).alias("q"), F.sum("all").alias("m"))
+    return sums.select((F.col("i") / F.col("m") - F.col("q") / (F.col("m") * F.col("m"))).alias("modularity"))
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 32) -> DataFrame:
-    """``id, container``: a community's name is one of its members' ids.
 
-    A level ends when nothing has moved for two rounds, or after so many rounds; levels follow one another until one moves nothing.
-    """
-    spark = nodes.sparkSession
+def _both(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``s, t, w``: both directions of every pair of known nodes that an edge joins."""
     pairs = edges.where("source != target").select(F.least("source", "target").alias("s"), F.greatest("source", "target").alias("t")).distinct()
     known = nodes.select("id").distinct()
     pairs = pairs.join(known.withColumnRenamed("id", "s"), "s", "left_semi").join(known.withColumnRenamed("id", "t"), "t", "left_semi").withColumn("w", F.lit(1.0))
-    both = cut(spark, pairs.unionByName(pairs.select(F.col("t").alias("s"), F.col("s").alias("t"), "w")))
+    return pairs.unionByName(pairs.select(F.col("t").alias("s"), F.col("s").alias("t"), "w"))
+
+
+def _wanted(ties: DataFrame, look: DataFrame | None, labels: DataFrame, total: float, turn: int) -> DataFrame:
+    """``id, k, own, goal, gain, hash``: the best move of each node that looks (all without ``look``), if it gains."""
+    near = ties if look is None else ties.join(look.withColumnRenamed("id", "s"), "s", "left_semi")
+    sums = labels.groupBy("container").agg(F.sum("k").alias("all"))
+    met = near.join(labels.select(F.col("id").alias("t"), "container"), "t").groupBy(F.col("s").alias("id"), "container").agg(F.sum("w").alias("w"))
+    mine = labels.select("id", "k", F.col("container").alias("own"))
+    met = met.join(sums, "container").join(mine, "id")
+    at_home = F.col("container") == F.col("own")
+    value = F.col("w") - F.col("k") * (F.col("all") - F.when(at_home, F.col("k")).otherwise(0.0)) / (2 * total)
+    # the greatest value, and of equal ones the smallest name
+    first = F.min(F.when(~at_home, F.struct((-F.round(value, 9)).alias("value"), F.col("container").alias("goal"))))
+    per = met.groupBy("id").agg(first.alias("best"), F.max(F.when(at_home, value)).alias("stay"), F.first("k").alias("k"), F.first("own").alias("own")).where("best is not null")
+    # a node without ties inside its community still leaves its weight behind
+    home = F.coalesce("stay", -F.col("k") * (F.col("home") - F.col("k")) / (2 * total))
+    per = per.join(sums.select(F.col("container").alias("own"), F.col("all").alias("home")), "own")
+    moves = per.select("id", "k", "own", F.col("best.goal").alias("goal"), (-F.col("best.value") - home).alias("gain"), F.xxhash64("id", F.lit(turn)).alias("hash"))
+    return moves.where(F.col("gain") > LEAST)
+
+
+def _carried(moves: DataFrame, total: float) -> DataFrame:
+    """``id, goal`` of the moves that are carried out together."""
+    out = moves.select(F.col("own").alias("c"), F.lit(True).alias("leaves"), "k", "hash")
+    into = moves.select(F.col("goal").alias("c"), F.lit(False).alias("leaves"), "k", "hash")
+    span = F.shiftright("hash", 65 - RANGES.bit_length()).alias("span")
+    spans = out.unionByName(into).groupBy("c", "leaves", span).agg(F.sum("k").alias("k"), F.min("hash").alias("first"))
+    # at most 2 * RANGES rows a community
+    upto = Window.partitionBy("c", "leaves").orderBy("span")
+    every = Window.partitionBy("c", "leaves")
+    spans = spans.select("c", "leaves", "span", F.sum("k").over(upto).alias("upto"), F.min("first").over(every).alias("first"))
+    role = spans.groupBy("c").agg(F.min(F.struct("first", "leaves"))["leaves"].alias("lets"))
+    told = spans.join(role, "c").where("leaves = lets")
+    side = lambda leaves, name, n: told.where(F.col("leaves") == leaves).select(F.col("c").alias(name), "span", F.col("upto").alias(f"k{n}"), F.col("first").alias(f"f{n}"))
+    met = moves.withColumn("span", span).join(side(True, "own", 0), ["own", "span"]).join(side(False, "goal", 1), ["goal", "span"])
+    first = (F.col("hash") == F.col("f0")) & (F.col("hash") == F.col("f1"))
+    sure = F.col("gain") > F.col("k") * (F.col("k0") + F.col("k1") - 2 * F.col("k")) / (2 * total) + LEAST
+    return met.where(first | sure).select("id", "goal")
+
+
+def _moved(both: DataFrame, degree: DataFrame, total: float) -> DataFrame:
+    """``id, k, container`` of a weighted graph given in both directions (``s, t, w``)."""
+    spark = both.sparkSession
+    ties = cut(spark, both.where("s != t"))
+    labels = cut(spark, degree.select("id", "k", F.col("id").alias("container")))
+    look, turn = None, 0
+    while True:
+        wanted = cut(spark, _wanted(ties, look, labels, total, turn))
+        if wanted.isEmpty():
+            if look is None:
+                return labels
+            look = None
+            continue
+        moved = cut(spark, _carried(wanted, total))
+        labels = cut(spark, labels.join(moved, "id", "left").select("id", "k", F.coalesce("goal", "container").alias("container")))
+        around = ties.join(moved.select(F.col("id").alias("s")), "s", "left_semi").select(F.col("t").alias("id"))
+        look = cut(spark, around.unionByName(wanted.select("id")).distinct())
+        turn += 1
+
+
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, container``: a community's name is one of its members' ids."""
+    spark = nodes.sparkSession
+    both = cut(spark, _both(edges, nodes))
     total = (both.agg(F.sum("w")).first()[0] or 0.0) / 2
-    out = cut(spark, known.select("id", F.col("id").alias("container")))
+    out = cut(spark, nodes.select("id", F.col("id").alias("container")).distinct())
     while total:
         degree = cut(spark, both.groupBy(F.col("s").alias("id")).agg(F.sum("w").alias("k")))
-        found = _moved(both, degree, total, rounds)
-        out = cut(spark, out.join(found.select(F.col("id").alias("container"), F.col("container").alias("new")), "container", "left").select("id", F.coalesce("new", "container").alias("container")))
+        found = _moved(both, degree, total)
         if found.where("id != container").isEmpty():
             break
+        out = cut(spark, out.join(found.select(F.col("id").alias("container"), F.col("container").alias("new")), "container", "left").select("id", F.coalesce("new", "container").alias("container")))
         a, b = found.select(F.col("id").alias("s"), F.col("container").alias("cs")), found.select(F.col("id").alias("t"), F.col("container").alias("ct"))
         both = cut(spark, both.join(a, "s").join(b, "t").groupBy(F.col("cs").alias("s"), F.col("ct").alias("t")).agg(F.sum("w").alias("w")))
     return out

@@ -1,4 +1,11 @@
-"""Traversals as frontier loops: each level is a join, stopped by an empty frontier."""
+"""Traversals: chains are jumped over by pointer doubling, what is left is walked by frontiers.
+
+A node through which a walk can only pass on (one way in and one way out, apart from turning
+back) is passed in no round of its own: every edge that begins at such a node points back to the one edge that leads there, and
+pointers are doubled until they reach an edge from elsewhere.  So a chain of n nodes
+takes log2(n) rounds, and becomes one edge as long as the chain.  The frontier then goes over these
+edges and keeps what is nearer than before; it is empty when all nodes have their depth.
+"""
 
 from __future__ import annotations
 
@@ -7,51 +14,108 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.loops import cut, numbered
+from ..plans.loops import Grown, cut, numbered
+
+
+def _passages(arcs: DataFrame, ends: DataFrame) -> DataFrame:
+    """``id, before, other``: nodes that a walk only passes, and the one or two that it may come from; never the given ends."""
+    null = F.lit(None).cast("string")
+    per = (
+        arcs.select(F.col("v").alias("id"), F.col("u").alias("i"), null.alias("o"))
+        .unionByName(arcs.select(F.col("u").alias("id"), null.alias("i"), F.col("v").alias("o")))
+        .groupBy("id")
+        .agg(F.count("i").alias("ins"), F.count("o").alias("outs"), F.min("i").alias("before"), F.max("i").alias("other"), F.min("o").alias("after"), F.max("o").alias("last"))
+    )
+    one_way = "ins = 1 and outs = 1 and before != after"
+    both_ways = "ins = 2 and outs = 2 and before = after and other = last"
+    return per.where(f"({one_way}) or ({both_ways})").select("id", "before", "other").join(ends, "id", "left_anti")
+
+
+def _jumped(arcs: DataFrame, ends: DataFrame) -> DataFrame:
+    """``u, v, w``: the edges from nodes that are more than passages, to every node that a walk then only passes, and their lengths."""
+    spark = arcs.sparkSession
+    via = cut(spark, _passages(arcs, ends))
+    if via.isEmpty():
+        return arcs.withColumn("w", F.lit(1).cast("long"))
+    met = arcs.join(via.withColumnRenamed("id", "u"), "u", "left")
+    came = F.when(F.col("before") != F.col("v"), F.col("before")).otherwise(F.col("other"))
+    # an edge whose tail is a passage points to the edge before it (pu, pv = its tail); any other is at its root
+    state = met.select("u", "v", F.when(F.col("before").isNull(), F.col("u")).alias("root"), came.alias("pu"), F.when(F.col("before").isNotNull(), F.col("u")).alias("pv"), F.lit(1).cast("long").alias("w"))
+    made = Grown(state)
+    open_ = made.all().where("root is null")
+    left = open_.count()
+    while left:
+        # what can be pointed at: edges that lead to passages, at their roots or on their way
+        done = made.all().where("root is not null").join(via.select(F.col("id").alias("v")), "v", "left_semi").select(*state.columns)
+        at = done.unionByName(open_).select(F.col("u").alias("pu"), F.col("v").alias("pv"), "root", F.col("pu").alias("qu"), F.col("pv").alias("qv"), F.col("w").alias("more"))
+        step = open_.drop("root").join(at, ["pu", "pv"]).select("u", "v", "root", F.col("qu").alias("pu"), F.col("qv").alias("pv"), (F.col("w") + F.col("more")).alias("w"))
+        open_ = made.add(step, lambda df: df.where("root is not null")).where("root is null")
+        before, left = left, open_.count()
+        if left == before:  # doubling ends every chain in time: these are rings that nothing leads into
+            break
+    done = made.all().where("root is not null")
+    return done.select(F.col("root").alias("u"), "v", "w").groupBy("u", "v").agg(F.min("w").alias("w"))
+
+
+def distances(arcs: DataFrame, start: DataFrame, end: str | None = None) -> DataFrame:
+    """``id, depth`` along arcs ``u, v`` (distinct, no loops) from ``start.id``; with an end, all that are no farther than it (others may be left out)."""
+    spark = arcs.sparkSession
+    seeds = cut(spark, start.select("id").distinct())
+    ends = seeds if end is None else seeds.unionByName(spark.createDataFrame([(end,)], "id string"))
+    edges = cut(spark, _jumped(arcs, ends))
+    nearest = lambda df: df.groupBy("id").agg(F.min("depth").alias("depth"))
+    known = Grown(seeds.withColumn("depth", F.lit(0).cast("long")))
+    frontier = known.all()
+    while True:
+        step = nearest(edges.join(frontier.withColumnRenamed("id", "u"), "u").select(F.col("v").alias("id"), (F.col("depth") + F.col("w")).alias("depth")))
+        better = step.join(nearest(known.all()).withColumnRenamed("depth", "was"), "id", "left").where("was is null or depth < was")
+        frontier = known.add(better, nearest)
+        least = frontier.agg(F.min("depth")).first()[0]
+        if least is None:
+            break
+        if end is not None:
+            reached = known.all().where(F.col("id") == end).agg(F.min("depth")).first()[0]
+            if reached is not None and reached <= least:
+                break
+    return nearest(known.all())
 
 
 def bfs_depth(edges: DataFrame, start: DataFrame) -> DataFrame:
     """``id, depth`` along directed edges from ``start.id``."""
     spark = edges.sparkSession
-    e = cut(spark, edges.select("source", "target").where("source != target").distinct())
-    seen = cut(spark, start.select("id", F.lit(0).alias("depth")).distinct())
-    frontier = seen
-    for k in count(1):
-        step = e.join(frontier.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
-        frontier = cut(spark, step.join(seen, "id", "left_anti").select("id", F.lit(k).alias("depth")))
-        if frontier.isEmpty():
-            break
-        seen = cut(spark, seen.unionByName(frontier))
-    return seen
+    arcs = cut(spark, edges.select(F.col("source").alias("u"), F.col("target").alias("v")).where("u != v").distinct())
+    return distances(arcs, start).withColumn("depth", F.col("depth").cast("int"))
 
 
 def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``pos, id`` of the path that a first-in first-out search finds, edges taken in order and in either direction; empty if there is none."""
+    """``pos, id`` of the path that a first-in first-out search finds, edges taken in order and in either direction; empty if there is none.
+
+    That path is, of all shortest ones, the one whose edges come first, compared from its beginning on.  So depths from both ends
+    tell the edges of shortest paths, each node keeps its first one, and the path is followed by doubling steps.
+    """
     spark = edges.sparkSession
-    both = edges.select(F.col("source").alias("x"), F.col("target").alias("y"), (F.col("ord") * 2).alias("at")).unionByName(edges.select(F.col("target").alias("x"), F.col("source").alias("y"), (F.col("ord") * 2 + 1).alias("at")))
-    both = cut(spark, both.where("x != y").groupBy("x", "y").agg(F.min("at").alias("at")))
-    schema = "id string, parent string, pos long, depth int"
-    seen = cut(spark, spark.createDataFrame([(a, None, 0, 0)], schema))
-    frontier, found = seen, a == b
-    for k in count(1):
-        if found:
-            break
-        step = both.join(frontier.select(F.col("id").alias("x"), "pos"), "x").join(seen.select(F.col("id").alias("y")), "y", "left_anti")
-        best = step.groupBy(F.col("y").alias("id")).agg(F.min(F.struct("pos", "at", "x")).alias("m"))
-        # places in the level's queue: the parent's place, then the edge's
-        queued = numbered(best.select("id", "m"), [F.col("m")], "pos")
-        frontier = cut(spark, queued.select("id", F.col("m.x").alias("parent"), "pos", F.lit(k).alias("depth")))
-        if frontier.isEmpty():
-            return spark.createDataFrame([], "pos int, id string")
-        seen = cut(spark, seen.unionByName(frontier))
-        found = not frontier.where(F.col("id") == b).isEmpty()
-    if a == b or not found:
-        return spark.createDataFrame([], "pos int, id string")
-    path, at = [b], b
-    while at != a:  # one row a level
-        at = seen.where(F.col("id") == at).first().parent
-        path.append(at)
-    return spark.createDataFrame(list(enumerate(reversed(path))), "pos int, id string")
+    none = spark.createDataFrame([], "pos int, id string")
+    both = edges.select(F.col("source").alias("u"), F.col("target").alias("v"), (F.col("ord") * 2).alias("at")).unionByName(edges.select(F.col("target").alias("u"), F.col("source").alias("v"), (F.col("ord") * 2 + 1).alias("at")))
+    both = cut(spark, both.where("u != v").groupBy("u", "v").agg(F.min("at").alias("at")))
+    if a == b:
+        return none
+    arcs = both.select("u", "v")
+    there = cut(spark, distances(arcs, spark.createDataFrame([(a,)], "id string"), b))
+    far = there.where(F.col("id") == b).first()
+    if far is None:
+        return none
+    back = distances(arcs, spark.createDataFrame([(b,)], "id string"), a).withColumnRenamed("depth", "left")
+    on = cut(spark, there.join(back, "id").where(F.col("depth") + F.col("left") == far.depth).select("id", "depth"))
+    ways = both.join(on.select(F.col("id").alias("u"), F.col("depth").alias("du")), "u").join(on.select(F.col("id").alias("v"), F.col("depth").alias("dv")), "v").where("dv = du + 1")
+    jump = cut(spark, ways.groupBy("u").agg(F.min_by("v", "at").alias("v")))
+    path, steps = cut(spark, on.where(F.col("id") == a)), 1
+    while steps <= far.depth:  # the nodes within twice as many steps of the beginning
+        ahead = path.select(F.col("id").alias("u")).join(jump, "u").select(F.col("v").alias("id")).join(on, "id")
+        path = cut(spark, path.unionByName(ahead))
+        steps *= 2
+        if steps <= far.depth:
+            jump = cut(spark, jump.join(jump.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").select("u", F.col("w").alias("v")))
+    return path.select(F.col("depth").cast("int").alias("pos"), "id")
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,17 +130,18 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for k in count():
         ready = left.where("n = 0")
         order = [F.col("last").asc_nulls_first(), F.col("ord")]
-        level = cut(spark, numbered(ready, order, "pos", offset).select("id", F.lit(k).alias("level"), "pos"))
+        rows = numbered(ready, order, "pos", offset).select("id", F.lit(k).alias("level"), "pos")
+        level = Grown(rows) if done is None else done.add(rows)
+        done, level = (level, level.all()) if done is None else (done, level)
         size = level.count()
         if not size:
             break
         offset += size
-        done = level if done is None else cut(spark, done.unionByName(level), k, 8)
         freed = e.join(level.select(F.col("id").alias("source"), "pos"), "source").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("pos", F.col("ord").alias("at"))).alias("late"))
         left = left.where("n > 0").join(freed, "id", "left").select("id", "ord", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), F.when(F.col("late").isNull(), F.col("last")).otherwise(F.greatest("late", F.coalesce("last", "late"))).alias("last"))
         left = cut(spark, left)
     rest = numbered(left.select("id", "ord"), [F.col("ord")], "pos", offset).select("id", F.lit(-1).alias("level"), "pos")
-    return rest if done is None else done.unionByName(rest)
+    return done.all().unionByName(rest)
 
 
 def coupling_clusters(pairs: DataFrame, links: DataFrame, largest: int = 5) -> DataFrame:

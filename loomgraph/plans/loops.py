@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one task may number; more are numbered by ranges.
 FEW = 1 << 16
+#: Written tables that a growing one may consist of before they are written as one.
+PIECES = 8
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -22,12 +25,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def write(df: DataFrame) -> str:
+    """Writes a table into the shared folder; gives its place."""
+    folder = f"{checkpoint_dir(df.sparkSession)}/loop-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return folder
+
+
 def cut(spark: SparkSession, df: DataFrame, turn: int = 0, every: int = 1) -> DataFrame:
-    """A reliable checkpoint in the shared folder, each so many turns."""
+    """The rows written to the shared folder and read again, each so many turns.
+
+    A checkpoint of a DataFrame keeps its plan's constraints and its estimate of size, and both grow from round to round of a
+    loop until planning takes longer than the work; a written table has neither, and its true size lets small sides be broadcast.
+    """
     if turn % every:
         return df
-    checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    return spark.read.schema(df.schema).parquet(write(df))
+
+
+class Grown:
+    """A table that a loop adds to: each addition is written once, and now and then all of them as one."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self.spark, self.schema, self.folders = first.sparkSession, first.schema, [write(first)]
+
+    def add(self, more: DataFrame, merge: object = None) -> DataFrame:
+        """Writes rows and gives them back; ``merge`` makes of all the table that is kept, where rows replace one another or are used up."""
+        self.folders.append(write(more.select(*self.schema.names)))
+        added = self.spark.read.schema(self.schema).parquet(self.folders[-1])
+        if len(self.folders) > PIECES:
+            self.folders = [write(merge(self.all()) if merge else self.all())]
+        return added
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.folders)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0, few: int = FEW) -> DataFrame:
@@ -40,7 +71,7 @@ def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0, few:
     df = cut(spark, df)
     if df.count() <= few:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("long"))
-    dealt = cut(spark, df.repartitionByRange(*order)).withColumn("__range", F.spark_partition_id())
+    dealt = cut(spark, df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
     sizes = {r[0]: r[1] for r in dealt.groupBy("__range").count().collect()}
     offsets, at = [], start
     for k in range(max(sizes) + 1):

@@ -452,16 +452,6 @@ def kahn_order(spark, d):
     return traverse.topological_levels(nodes, edges(spark, d, [("a{id}", "b{id}", "calls", 1.0, 0), ("b{id}", "c{id}", "calls", 1.0, 1), ("a{id}", "c{id}", "calls", 1.0, 2), ("x{id}", "y{id}", "calls", 1.0, 3), ("y{id}", "x{id}", "calls", 1.0, 4)]))
 
 
-@example("id community", [("a{id}", "a{id}"), ("b{id}", "a{id}"), ("c{id}", "a{id}"), ("d{id}", "a{id}"), ("w{id}", "w{id}"), ("x{id}", "w{id}"), ("y{id}", "w{id}"), ("z{id}", "w{id}"), ("lone{id}", "lone{id}")])
-def planted_communities(spark, d):
-    """Two cliques with one edge between them; a community is named here by its smallest member."""
-    pairs = [(a, b) for group in ("abcd", "wxyz") for k, a in enumerate(group) for b in group[k + 1 :]] + [("d", "w"), ("a", "a"), ("b", "a")]
-    nodes = planted(spark, d, "id string", [(f"{c}{{id}}",) for c in [*"abcdwxyz", "lone"]])
-    found = community.communities(nodes, edges(spark, d, [(f"{a}{{id}}", f"{b}{{id}}", "imports", 1.0, k) for k, (a, b) in enumerate(pairs)]))
-    names = found.groupBy("container").agg(F.min("id").alias("community"))
-    return found.join(names, "container").select("id", "community")
-
-
 @example("id score", [("a{id}", 0.0), ("b{id}", 0.1)])
 def planted_search(spark, d):
     nodes = planted(spark, d, NODES, [("a{id}", "file", "zebra", None, None, 0), ("b{id}", "file", "the Zebra house", None, None, 1), ("c{id}", "file", "quite other", None, None, 2), ("d{id}", "class", "zebra", None, None, 3)])

@@ -452,7 +452,16 @@ def bfs_depth(spark, d):
     return traverse.bfs_depth(p.edges(spark, d), spark.createDataFrame([("module:region/1",)], "id string"))
 
 
-@query()
+def _levels(start: str, most: int) -> str:
+    """SQL of a search level by level: each node's least list of edge places, of all shortest ones."""
+    parts = [f", few AS (SELECT * FROM edges WHERE type IN ('contains', 'serves') AND source NOT LIKE 'file:customer/%'), arcs AS (SELECT u, v, min(place) AS place FROM (SELECT source AS u, target AS v, 2 * ord AS place FROM few UNION ALL SELECT target, source, 2 * ord + 1 FROM few) GROUP BY ALL)",
+             f", l0 AS (SELECT '{start}' AS id, [0::BIGINT] AS places, ['{start}'] AS ids), s0 AS (SELECT id FROM l0)"]
+    for k in range(1, most + 1):
+        parts.append(f", l{k} AS (SELECT v AS id, min(list_append(places, place)) AS places, arg_min(list_append(ids, v), list_append(places, place)) AS ids FROM l{k - 1} JOIN arcs ON u = id WHERE v NOT IN (SELECT id FROM s{k - 1}) GROUP BY v), s{k} AS (SELECT id FROM s{k - 1} UNION ALL SELECT id FROM l{k})")
+    return "".join(parts)
+
+
+@query(_levels("file:customer/1", 6) + f", found AS ({' UNION ALL '.join(f'SELECT ids FROM l{k} WHERE id = {chr(39)}class:part/1{chr(39)}' for k in range(1, 7))}) SELECT CAST(unnest(range(len(ids))) AS INTEGER) AS pos, unnest(ids) AS id FROM found")
 def shortest_path(spark, d):
     return traverse.shortest_path(p.edges(spark, d, "nation", "customer", "supplier", "serves"), "file:customer/1", "class:part/1")
 
@@ -576,9 +585,55 @@ def link_extensions(spark, d):
     return p.hrefs(spark, d).select("page_id", "href", parse.link_extension(F.col("href")).alias("ext"))
 
 
+def _containers(spark, d):
+    return p.nodes(spark, d, "region", "nation", "customer", "supplier").select("id"), p.edges(spark, d, "nation", "customer", "supplier")
+
+
 @query()
 def communities(spark, d):
-    return community.communities(p.nodes(spark, d, "region", "nation", "customer", "supplier").select("id"), p.edges(spark, d, "nation", "customer", "supplier"))
+    return community.communities(*_containers(spark, d))
+
+
+def _regions(spark, d):
+    """``id, container``: every node of the containers' graph in its region."""
+    e = _containers(spark, d)[1].select("source", "target")
+    top = e.where("source like 'module:%'").select(F.col("source").alias("container"), F.col("target").alias("id"))
+    low = e.where("source like 'service:%'").join(top.withColumnRenamed("id", "source"), "source").select("container", F.col("target").alias("id"))
+    return top.unionByName(low).unionByName(top.select("container", F.col("container").alias("id")).distinct())
+
+
+_REGIONS = """, few AS (SELECT source, target FROM edges WHERE source LIKE 'module:%' OR source LIKE 'service:%'), top AS (SELECT source AS container, target AS id FROM few WHERE source LIKE 'module:%'),
+part AS (SELECT * FROM top UNION ALL SELECT top.container, few.target FROM few JOIN top ON top.id = few.source UNION ALL SELECT DISTINCT container, container FROM top),
+ends AS (SELECT source AS s, target AS t FROM few UNION ALL SELECT target, source FROM few),
+per AS (SELECT a.container, count(*) AS k, count(*) FILTER (WHERE a.container = b.container) AS inside FROM ends JOIN part a ON a.id = s JOIN part b ON b.id = t GROUP BY 1)"""
+
+
+@query(_REGIONS + " SELECT round(sum(inside) / (SELECT count(*) FROM ends) - sum(k * k) / ((SELECT count(*) FROM ends) * (SELECT count(*) FROM ends)), 6) AS modularity FROM per")
+def modularity_of_regions(spark, d):
+    return community.modularity(_containers(spark, d)[1], _regions(spark, d)).select(F.round("modularity", 6).alias("modularity"))
+
+
+@query("SELECT true AS whole, true AS better", False)
+def communities_quality(spark, d):
+    """Every node has one community, and their modularity is no less than that of the regions."""
+    nodes, e = _containers(spark, d)
+    found = community.communities(nodes, e)
+    whole = found.agg((F.count(F.lit(1)) == F.count_distinct("id")).alias("once"), F.count(F.lit(1)).alias("n")).crossJoin(nodes.agg(F.count(F.lit(1)).alias("all")))  # one row each
+    both = community.modularity(e, found).crossJoin(community.modularity(e, _regions(spark, d)).withColumnRenamed("modularity", "known"))
+    return whole.crossJoin(both).select((F.col("once") & (F.col("n") == F.col("all"))).alias("whole"), (F.col("modularity") >= F.col("known")).alias("better"))
+
+
+@query("SELECT 'd' || doc_id AS id, 'd' || (doc_id % 8) AS community FROM documents", False)
+def planted_communities(spark, d):
+    """Documents in eight blocks: each is tied to twelve hashed ones of its block, and one in four to one of the next; whatever their number, the blocks are the best partition."""
+    docs = p.table(spark, d, "documents").select("doc_id")
+    size = docs.agg(F.floor((F.max("doc_id") + 1) / 8).alias("size"))
+    drawn = docs.crossJoin(F.broadcast(size)).select("doc_id", "size", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("k")).where("k < 12 or doc_id % 4 = 1")  # one row
+    other = (F.col("doc_id") + F.when(F.col("k") == 12, 1).otherwise(0)) % 8 + 8 * F.pmod(F.xxhash64("doc_id", "k"), F.col("size"))
+    name = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    found = community.communities(docs.select(name(F.col("doc_id")).alias("id")), drawn.select(name(F.col("doc_id")).alias("source"), name(other).alias("target")))
+    least = found.groupBy("container").agg(F.min(F.substring("id", 2, 20).cast("long")).alias("least"))
+    return found.join(least, "container").select("id", name(F.col("least")).alias("community"))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -185,13 +186,105 @@ def test_heaviest_edge_wins(spark, rows):
 def test_long_chains_are_walked_whole(spark):
     from loomgraph.operators import change, traverse
 
-    n = 90
+    n = 200
     e = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "contains", i) for i in range(n)], "source string, target string, type string, ord long")
     start = spark.createDataFrame([("n0",)], "id string")
     assert traverse.bfs_depth(e, start).count() == n + 1
     assert traverse.shortest_path(e, "n0", f"n{n}").count() == n + 1
-    assert change.contains_growth(e.withColumn("ord", n - e.ord), start).count() == 2
-    assert change.contains_growth(e, start).count() == n + 1
+    few = e.where("ord < 40")
+    assert change.contains_growth(few.withColumn("ord", n - few.ord), start).count() == 2
+    assert change.contains_growth(few, start).count() == 41
+
+
+def test_chains_of_ten_thousand(spark):
+    from loomgraph.operators import traverse
+
+    n = 10_000
+    e = spark.range(n).selectExpr("concat('n', id) as source", "concat('n', id + 1) as target", "id as ord")
+    e = e.unionByName(spark.createDataFrame([(f"n{n}", "r0", n), ("r0", "r1", n + 1), ("r1", "r2", n + 2), ("r2", "r0", n + 3), ("x0", "x1", n + 4), ("x1", "x0", n + 5)], e.schema))
+    got = {r.id: r.depth for r in traverse.bfs_depth(e, spark.createDataFrame([("n0",), ("n9000",)], "id string")).collect()}
+    assert got == {**{f"n{i}": i if i < 9000 else i - 9000 for i in range(n + 1)}, "r0": 1001, "r1": 1002, "r2": 1003}
+
+
+def test_depths_are_those_of_a_queue(spark):
+    from loomgraph.operators import traverse
+
+    rng = random.Random(9)
+    for density in (1.1, 1.6):
+        n = 40
+        pairs = {(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(int(density * n))} | {(f"c{i}", f"c{i + 1}") for i in range(20)} | {("c20", "n1"), ("n0", "c0")}
+        depth, queue = {"n0": 0, "n5": 0}, ["n0", "n5"]
+        for x in queue:
+            for a, b in pairs:
+                if a == x and b not in depth:
+                    depth[b] = depth[x] + 1
+                    queue.append(b)
+        e = spark.createDataFrame(list(pairs), "source string, target string")
+        assert {r.id: r.depth for r in traverse.bfs_depth(e, spark.createDataFrame([("n0",), ("n5",)], "id string")).collect()} == depth
+
+
+def plain_louvain(ids, pairs):
+    """One node after the other, as the method was first told; the modularity that it reaches."""
+    weight = {}
+    for a, b in {tuple(sorted(p)) for p in pairs if p[0] != p[1]}:
+        weight.setdefault(a, {})[b] = weight.setdefault(b, {})[a] = 1.0
+    total, where = sum(sum(x.values()) for x in weight.values()) / 2, {i: i for i in ids}
+    first = {a: dict(x) for a, x in weight.items()}
+    while True:
+        k = {a: sum(x.values()) for a, x in weight.items()}
+        label, sums, moved, again = {a: a for a in weight}, dict(k), False, True
+        while again:
+            again = False
+            for a in weight:
+                near = {}
+                for b, w in weight[a].items():
+                    if b != a:
+                        near[label[b]] = near.get(label[b], 0) + w
+                sums[label[a]] -= k[a]
+                value = lambda c: near.get(c, 0) - k[a] * sums.get(c, 0) / (2 * total)  # noqa: B023, E731
+                best = max(near, key=value, default=label[a])
+                if value(best) > value(label[a]) + 1e-12:
+                    label[a], again, moved = best, True, True
+                sums[label[a]] += k[a]
+        if not moved:
+            break
+        where = {i: label.get(c, c) for i, c in where.items()}
+        packed = {}
+        for a, x in weight.items():
+            for b, w in x.items():
+                row = packed.setdefault(label[a], {})
+                row[label[b]] = row.get(label[b], 0) + w
+        weight = packed
+    inside = sum(w for a, x in first.items() for b, w in x.items() if where[a] == where[b])
+    sums = {}
+    for a, x in first.items():
+        sums[where[a]] = sums.get(where[a], 0) + sum(x.values())
+    return inside / (2 * total) - sum(s * s for s in sums.values()) / (2 * total) ** 2
+
+
+def graph_of(kind):
+    rng = random.Random(kind)
+    if kind == "blocks":
+        ids = [f"b{i}" for i in range(120)]
+        pairs = [(f"b{i}", f"b{j}") for i in range(120) for j in range(i) if rng.random() < (0.4 if i % 6 == j % 6 else 0.02)]
+    elif kind == "ring":
+        ids = [f"k{g}.{i}" for g in range(12) for i in range(5)]
+        pairs = [(f"k{g}.{i}", f"k{g}.{j}") for g in range(12) for i in range(5) for j in range(i)] + [(f"k{g}.0", f"k{(g + 1) % 12}.1") for g in range(12)]
+    else:  # sizes and degrees far apart, with hubs
+        ids = [f"s{i}" for i in range(150)]
+        block = [min(rng.randrange(8), rng.randrange(8)) for _ in ids]
+        pairs = [(f"s{i}", f"s{j}") for i in range(150) for j in range(i) if rng.random() < (0.3 if block[i] == block[j] else 0.03) * (3 if j < 5 else 1)]
+    return ids, pairs
+
+
+@pytest.mark.parametrize("kind", ["blocks", "ring", "sizes"])
+def test_communities_are_as_good_as_one_node_at_a_time(spark, kind):
+    ids, pairs = graph_of(kind)
+    e = spark.createDataFrame(edge_rows(pairs), EDGE)
+    got = community.communities(spark.createDataFrame([(i,) for i in [*ids, "alone"]], "id string"), e)
+    assert sorted(r.id for r in got.collect()) == sorted([*ids, "alone"])
+    reached = community.modularity(e, got).first()[0]
+    assert reached >= 0.99 * plain_louvain(ids, pairs)
 
 
 def test_numbers_by_ranges(spark):
