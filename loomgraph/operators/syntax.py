@@ -167,12 +167,12 @@ def tokens(files: DataFrame) -> DataFrame:
     return nested(known.select("path", "language", F.posexplode(found).alias("at", "token")), ["path", "language"])
 
 
-def nested(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Lines and open braces and brackets of a table of tokens (``key, at, token``), comments and line feeds left out."""
+def nested(rows: DataFrame, key: list[str], comments: bool = True) -> DataFrame:
+    """Lines and open braces and brackets of a table of tokens (``key, at, token``), line feeds and (if there are any) comments left out."""
     before = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     feeds = F.length("token") - F.length(F.replace("token", F.lit("\n")))
     lined = rows.withColumn("line", (1 + F.coalesce(F.sum(feeds).over(before), F.lit(0))).cast("int"))
-    comment = F.col("token").rlike(r"^(?://|/\*|<\?|\?>|\n)|^#.")
+    comment = F.col("token").rlike(r"^(?://|/\*|<\?|\?>|\n)|^#." if comments else r"^\n")
     step = lambda up, down: F.when(F.col("token").isin(*up), 1).when(F.col("token").isin(*down), -1).otherwise(0)
     open_ = lambda up, down: F.coalesce(F.sum(step(up, down)).over(before), F.lit(0)).cast("int")
     return lined.where(~comment).select(*key, "at", "token", "line", open_(["{"], ["}"]).alias("level"), open_(["(", "["], [")", "]"]).alias("inside"))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..operators import analytics, build, change, community, graph, imports, parse, repair, search, traverse, views
+from ..operators import analytics, build, change, community, graph, imports, parse, repair, search, syntax, traverse, views
 from ..sources import files as sources
+from ..sources import ignore
 from ..streaming import refresh
 from . import projection as p
 
@@ -643,6 +644,26 @@ def heuristic_tour(spark, d):
     return views.heuristic_tour(order, n, p.layer_members(spark, d))
 
 
+@query("""SELECT concat_ws('/', source, lang, doc_id || '.txt') AS path, coalesce(source = 'de' OR lang = 'de', false) OR (doc_id % 10 = 7 AND NOT coalesce(lang = 'en' AND source IS NOT NULL, false)) AS ignored FROM documents""", False)
+def ignored_documents(spark, d):
+    """Documents as files of a tree: a folder's rule in other case, an ending, and files that are taken back."""
+    rules = spark.createDataFrame([("", ignore.TREE, 0, "DE/"), ("", ignore.CALLER, 0, "*7.txt"), ("", ignore.CALLER, 1, "!*/en/*7.txt"), ("", ignore.DATA, 0, "*.txt"), ("", ignore.DATA, 1, "!*.txt"), ("", ignore.CALLER, 2, "# en/")], "dir string, layer int, line int, pattern string")
+    paths = p.table(spark, d, "documents").select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return ignore.ignored_paths(paths, rules).select("path", "ignored")
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS place, unnest(x) AS token FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_]+|[0-9]+|\\n|[^A-Za-z_0-9 \\t\\n\\f\\r\\v]') AS x FROM documents)),
+n AS (SELECT *, sum(CASE WHEN token IN ('(', '[') THEN 1 WHEN token IN (')', ']') THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside,
+sum(CASE WHEN token = '\n' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS feeds FROM t)
+SELECT doc_id, count(*) AS tokens, max(1 + coalesce(feeds, 0))::INTEGER AS last_line, max(coalesce(inside, 0))::INTEGER AS deepest, min(coalesce(inside, 0))::INTEGER AS lowest FROM n WHERE token <> '\n' GROUP BY doc_id""".replace("'\n'", "chr(10)"), False)
+def text_nesting(spark, d):
+    """Tokens of whole texts with their lines and open brackets."""
+    docs = p.table(spark, d, "documents").where("text is not null")
+    found = F.regexp_extract_all("text", F.lit(r"[A-Za-z_]+|[0-9]+|\n|[^A-Za-z_0-9 \t\n\f\r\x0B]"), F.lit(0))
+    toks = syntax.nested(docs.select("doc_id", F.posexplode(found).alias("at", "token")), ["doc_id"], comments=False)
+    return toks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.max("line").alias("last_line"), F.max("inside").alias("deepest"), F.min("inside").alias("lowest"))
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL", False)
 def event_windows(spark, d):
     return refresh.event_windows(p.table(spark, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
