@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,9 @@ from ..functions import vocabulary as v
 from ..operators import analytics, build, change, community, graph, imports, parse, repair, search, syntax, traverse, views
 from ..sources import files as sources
 from ..sources import ignore
-from ..streaming import refresh
+from ..streaming import incremental, refresh
 from . import projection as p
+from .loops import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -489,9 +491,30 @@ def name_search(spark, d):
     return search.fuzzy(p.nodes(spark, d, "customer").select("id", "type", "name", "ord"), "00001", k=10)
 
 
-@query()
+def _fuzzy(tokens: list[str], nodes: str) -> str:
+    """SQL of each node's score (its name alone) for the tokens of a query."""
+    one = lambda t: f"CASE WHEN low = '{t}' THEN 0.0 WHEN contains(low, '{t}') THEN 0.1 WHEN near_{tokens.index(t)} <= {max(1, int(len(t) * 0.4))} THEN 0.2 + near_{tokens.index(t)} / {float(len(t))} * 0.8 END"
+    near = ", ".join(f"list_min(list_transform(list_filter(regexp_split_to_array(low, '[^a-z0-9#_]+'), lambda w: w <> ''), lambda w: levenshtein(w, '{t}'))) AS near_{k}" for k, t in enumerate(tokens))
+    return f", low AS (SELECT id, type, ord, lower(name) AS low FROM nodes WHERE {nodes}), near AS (SELECT *, {near} FROM low), scored AS (SELECT id, type, ord, round(least({', '.join(map(one, tokens))}), 6)::DOUBLE AS score FROM near)"
+
+
+@query(_fuzzy(["custmer", "000012"], "id LIKE 'file:customer/%' OR type = 'class'") + " SELECT id, score FROM scored WHERE score IS NOT NULL AND type = 'file' ORDER BY score, ord LIMIT 20")
 def fuzzy_search(spark, d):
-    return search.fuzzy(p.nodes(spark, d, "customer", "part"), "custmer 000012", ["file"], 20)
+    return search.indexed(search.index(p.nodes(spark, d, "customer", "part")), "custmer 000012", ["file"], 20)
+
+
+_CHAT = _fuzzy(["gremany", "#000000003"], "id LIKE 'file:%' OR type = 'service'") + """, hits AS (SELECT id FROM scored WHERE score IS NOT NULL ORDER BY score, ord LIMIT 15), few AS (SELECT * FROM edges WHERE type = 'contains' AND source LIKE 'service:%'),
+around AS (SELECT id FROM hits UNION SELECT target FROM few WHERE source IN (SELECT id FROM hits) UNION SELECT source FROM few WHERE target IN (SELECT id FROM hits))"""
+
+
+@query(_CHAT + """ SELECT 'node' AS part, id AS a, type AS b FROM nodes WHERE id IN (SELECT id FROM around) AND (type = 'file' OR type = 'service')
+UNION ALL SELECT 'edge', source, target FROM few WHERE source IN (SELECT id FROM around) AND target IN (SELECT id FROM around) UNION ALL SELECT DISTINCT 'layer', layer_id, NULL FROM layer_members WHERE node_id IN (SELECT id FROM around)""")
+def chat_context(spark, d):
+    """Search, neighbourhood, inner edges and layers of a question, as one operator."""
+    n = p.nodes(spark, d, "nation", "customer", "supplier")
+    got = search.chat_context(search.index(n), n, p.edges(spark, d, "customer", "supplier"), p.layer_members(spark, d), "gremany #000000003")
+    text = lambda c: F.col(c).cast("string")
+    return got["nodes"].select(F.lit("node").alias("part"), text("id").alias("a"), text("type").alias("b")).unionByName(got["edges"].select(F.lit("edge").alias("part"), text("source").alias("a"), text("target").alias("b"))).unionByName(got["layers"].select(F.lit("layer").alias("part"), text("layer_id").alias("a"), F.lit(None).cast("string").alias("b")))
 
 
 @query("""SELECT vec_id AS id, 1 - s AS score FROM (SELECT e.vec_id, round(list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))), 6) AS s
@@ -664,6 +687,25 @@ def text_nesting(spark, d):
     return toks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.max("line").alias("last_line"), F.max("inside").alias("deepest"), F.min("inside").alias("lowest"))
 
 
+@query("""WITH e AS (SELECT DISTINCT doc_id AS a, doc_id + 7 AS b FROM documents), known AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 11 <> 3)
+SELECT CASE WHEN b IN (SELECT * FROM known) THEN 'live' ELSE 'waiting' END AS status, a AS source, b AS target FROM e WHERE a IN (SELECT * FROM known)""", False)
+def incremental_edges(spark, d):
+    """Documents come in three batches, each with a flow to one seven further on; then some of them go: edges wait while their end is missing."""
+    name = lambda c: F.concat(F.lit("step:"), c.cast("string"))
+    docs = p.table(spark, d, "documents").where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+    node = F.array(F.struct(name(F.col("doc_id")).alias("id"), F.lit("step").alias("type"), F.col("doc_id").cast("string").alias("name")))
+    edge = F.array(F.struct(name(F.col("doc_id")).alias("source"), name(F.col("doc_id") + 7).alias("target"), F.lit("flow_step").alias("type"), F.lit(0.5).alias("weight")))
+    rows = docs.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("path"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.lit("put").alias("op"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), F.lit("").alias("signature"), node.alias("nodes"), edge.alias("edges"), "doc_id")
+    kept = incremental.GraphState(spark, f"{checkpoint_dir(spark)}/state-{uuid.uuid4().hex}")
+    for k in range(3):
+        kept.apply(rows.where(F.col("doc_id") % 3 == k).drop("doc_id"), k)
+    kept.apply(rows.where("doc_id % 11 = 3").withColumn("op", F.lit("delete")).drop("doc_id"), 3)
+    _, live, waiting = kept.graph(3)
+    number = lambda c: F.substring_index(c, ":", -1).cast("long").alias(c)
+    both = live.withColumn("status", F.lit("live")).unionByName(waiting.withColumn("status", F.lit("waiting")))
+    return both.select("status", number("source"), number("target"))
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL", False)
 def event_windows(spark, d):
     return refresh.event_windows(p.table(spark, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
