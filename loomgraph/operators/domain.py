@@ -98,3 +98,80 @@ def fitted(size: Column, most: int = 512 * 1024) -> Column:
     for k in range(3, -1, -1):
         out = F.when(F.aggregate(F.slice(size, k + 1, 16), F.lit(0).cast("long"), lambda s, x: s + x) <= most, k).otherwise(out)
     return out
+
+
+# fixed values: folders that no scan enters (the caller adds its own data folder)
+SKIPPED = [
+    "node_modules", ".git", ".svn", ".hg", "__pycache__", ".tox", "venv", ".venv", "env", ".env", "dist", "build", "out", ".next", ".nuxt", "target", "vendor",
+    ".idea", ".vscode", "coverage", ".pytest_cache", ".mypy_cache", "Pods", "DerivedData", ".gradle", "bin", "obj",
+]
+# fixed values: files at a project's root that tell about it
+ABOUT = [
+    "package.json", "Cargo.toml", "go.mod", "pyproject.toml", "setup.py", "setup.cfg", "pom.xml", "build.gradle", "Gemfile", "composer.json", "mix.exs", "Makefile",
+    "docker-compose.yml", "docker-compose.yaml", "README.md", "README.rst", "README.txt", "README",
+]
+#: Bytes of a whole context.
+CONTEXT = 512 * 1024
+
+
+def scanned_trees(files: DataFrame, skip: list[str] = (), most: int = FILES, per_folder: int = PER_FOLDER) -> DataFrame:
+    """Source files of many trees (``root, path``, and any other columns) with their place ``ord`` in a walk that takes folders before files, both by name in any case.
+
+    Folders of SKIPPED (and skip) are not entered, nor is what lies deeper than DEPTH folders; of a folder the first per_folder files count, of a tree the first ``most``.
+    """
+    parts = F.split("path", "/")
+    inside = F.slice(parts, 1, F.size(parts) - 1)
+    kept = files.where((F.size(inside) <= DEPTH) & ~F.arrays_overlap(inside, F.array(*map(F.lit, [*SKIPPED, *skip]))) & F.regexp_extract("path", r"[^/]\.([^./]+)$", 1).isin(EXTENSIONS))
+    key = F.transform(parts, lambda x, k: F.concat(F.when(k < F.size(parts) - 1, "0").otherwise("1"), F.lower(x), F.lit("\x00"), x))
+    walked = kept.withColumn("__key", key)
+    first = walked.withColumn("__rank", F.row_number().over(Window.partitionBy("root", directory(F.col("path"))).orderBy("__key"))).where(F.col("__rank") <= per_folder)
+    return first.withColumn("ord", F.row_number().over(Window.partitionBy("root").orderBy("__key"))).where(F.col("ord") <= most).drop("__rank", "__key")
+
+
+def project_facts(files: DataFrame) -> DataFrame:
+    """``root, file, name, description, scripts, dependencies, dev_dependencies, text`` of the ABOUT files at the roots of trees (``root, path, content``).
+
+    A package file gives its name, description and the names of its scripts and dependencies, in their order, or its first 500 characters if it is no JSON object;
+    readmes give 2,000 characters, files of settings 1,000, others nothing.
+    """
+    kept = files.where(F.col("path").isin(ABOUT))
+    package = F.col("path") == "package.json"
+    keys = F.json_object_keys("content")
+    sound = package & keys.isNotNull()
+    names = lambda k: F.when(sound, F.coalesce(F.json_object_keys(F.get_json_object("content", f"$.{k}")), F.array().cast("array<string>")))
+    value = lambda k: F.when(sound, F.get_json_object("content", f"$.{k}"))
+    size = F.when(package, 500).when(F.col("path").rlike(r"^README|\.(?:md|rst|txt)$"), 2000).when(F.col("path").rlike(r"\.(?:toml|cfg|mod|json|yml|yaml|xml|gradle)$"), 1000)
+    told = kept.where(size.isNotNull())
+    return told.select("root", F.col("path").alias("file"), value("name").alias("name"), value("description").alias("description"), names("scripts").alias("scripts"), names("dependencies").alias("dependencies"), names("devDependencies").alias("dev_dependencies"), F.when(~sound, F.substr(F.col("content"), F.lit(1), size)).alias("text"))
+
+
+def fitted_context(tree: DataFrame, entries: DataFrame, found: DataFrame, most: int = CONTEXT) -> dict[str, DataFrame]:
+    """``tree`` (root, ord, path), ``entries`` (root, ord, snippet, ...) and ``signatures`` (root, ord, preview, ...) of contexts that are cut until they fit, and ``cuts`` (root, cuts).
+
+    The cuts, one after the other: the list of files to 200; previews to 200 characters; snippets to 100; signatures to 20 and entries to 100.
+    A context's size is that of its rows as JSON, in bytes.
+    """
+    sized = lambda df, text, keep: (
+        df.select("root", "ord", F.octet_length(F.to_json(F.struct(*[c for c in df.columns if c not in ("root", "ord")]))).alias("whole"), (F.octet_length(F.to_json(F.struct(F.col(text)))) - F.octet_length(F.to_json(F.struct(F.substring(text, 1, keep).alias(text))))).alias("saved"))
+    )
+    rows = sized(tree, "path", 1 << 30).withColumn("kind", F.lit("tree")).unionByName(sized(found, "preview", 200).withColumn("kind", F.lit("signature"))).unionByName(sized(entries, "snippet", 100).withColumn("kind", F.lit("entry")))
+    is_ = lambda k: F.col("kind") == k
+    sums = rows.groupBy("root").agg(
+        F.sum("whole").alias("s0"),
+        F.sum(F.when(is_("tree") & (F.col("ord") > 200), F.col("whole")).otherwise(0)).alias("c1"),
+        F.sum(F.when(is_("signature"), F.col("saved")).otherwise(0)).alias("c2"),
+        F.sum(F.when(is_("entry"), F.col("saved")).otherwise(0)).alias("c3"),
+    )
+    size = [F.col("s0"), F.col("s0") - F.col("c1"), F.col("s0") - F.col("c1") - F.col("c2"), F.col("s0") - F.col("c1") - F.col("c2") - F.col("c3")]
+    cuts = F.lit(4)
+    for k in range(3, -1, -1):
+        cuts = F.when(size[k] <= most, k).otherwise(cuts)
+    told = sums.select("root", cuts.alias("cuts"))
+    met = lambda df: df.join(told, "root")
+    at = F.col("cuts")
+    return {
+        "tree": met(tree).where((at < 1) | (F.col("ord") <= 200)).drop("cuts"),
+        "signatures": met(found).where((at < 4) | (F.col("ord") <= 20)).withColumn("preview", F.when(at >= 2, F.substring("preview", 1, 200)).otherwise(F.col("preview"))).drop("cuts"),
+        "entries": met(entries).where((at < 4) | (F.col("ord") <= 100)).withColumn("snippet", F.when(at >= 3, F.substring("snippet", 1, 100)).otherwise(F.col("snippet"))).drop("cuts"),
+        "cuts": told,
+    }

@@ -205,6 +205,46 @@ def domain_files(spark, d):
 SQL["domain_files"] = "SELECT path FROM (" + SQL["domain_files"] + f") ORDER BY path LIMIT {domain.FILES}"
 
 
+def rooted(spark, d, files: dict[str, str]):
+    """``root, path, content`` of a tree for every document."""
+    return planted(spark, d, "root string, path string, content string", [("t{id}", f, c) for f, c in files.items()])
+
+
+@example("root file name description scripts dependencies dev_dependencies text", [
+    ("t{id}", "package.json", "n{id}", None, ["b", "a"], ["z", "y"], [], None), ("t{id}", "go.mod", None, None, None, None, None, "m" * 1000),
+    ("t{id}", "composer.json", None, None, None, None, None, "{bad"), ("t{id}", "README", None, None, None, None, None, "r" * 2000), ("t{id}", "setup.cfg", None, None, None, None, None, "[x]"),
+])
+def project_facts(spark, d):
+    return domain.project_facts(rooted(spark, d, {"package.json": '{"name": "n{id}", "scripts": {"b": "1", "a": "2"}, "dependencies": {"z": "1", "y": "2"}}', "go.mod": "m" * 1500, "composer.json": "{bad", "README": "r" * 2500, "setup.cfg": "[x]", "Makefile": "all:", "sub/go.mod": "no", "other.txt": "x", "setup.py": "x"}))
+
+
+@example("root file text", [("t{id}", "package.json", "[" * 500)])
+def broken_package(spark, d):
+    """A package file that is no JSON object keeps its first 500 characters."""
+    return domain.project_facts(rooted(spark, d, {"package.json": "[" * 600})).select("root", "file", "text")
+
+
+@example("root path place", [("t{id}", "B/x.py", 1), ("t{id}", "src/deep/z.go", 2), ("t{id}", "src/A.ts", 3), ("t{id}", "src/b.ts", 4), ("t{id}", "c.py", 5)])
+def walked_trees(spark, d):
+    """Folders before files, names in any case, folders that are skipped, three files a folder."""
+    files = ["c.py", "src/b.ts", "src/A.ts", "src/deep/z.go", "B/x.py", "node_modules/x.js", "src/dist/y.js", "own/q.py", "1/2/3/4/5/6/7/d.py", "src/n.txt", ".py"]
+    return domain.scanned_trees(rooted(spark, d, dict.fromkeys(files, "")), ["own"], 5, 3).select("root", "path", F.col("ord").alias("place"))
+
+
+@example("root cuts paths preview snippet signatures", [("t{id}", 0, 1, 300, 150, 1), ("u{id}", 1, 200, 300, 150, 1), ("v{id}", 3, 200, 200, 100, 1), ("w{id}", 4, 1, 200, 100, 20)])
+def fitted_contexts(spark, d):
+    """Each root needs more cuts than the one before; what is left of its parts."""
+    rows = [("t{id}", 1, 1, 1), ("u{id}", 300, 1, 1), ("v{id}", 300, 1, 1), ("w{id}", 1, 25, 1)]
+    base = planted(spark, d, "root string, files int, sigs int, entries int", rows)
+    spread = lambda n: base.select("root", F.explode(F.sequence(F.lit(1), F.col(n))).alias("ord"))
+    wide = F.when(F.col("root").startswith("v"), 12).otherwise(10)
+    tree = spread("files").withColumn("path", F.repeat(F.lit("p"), F.when(F.col("root").startswith("t"), 10).otherwise(wide)))
+    got = domain.fitted_context(tree, spread("entries").withColumn("snippet", F.repeat(F.lit("s"), 150)), spread("sigs").withColumn("preview", F.repeat(F.lit("v"), 300)), 4950)
+    longest = lambda df, c, n: df.groupBy("root").agg(F.count(F.lit(1)).alias(n), F.max(F.length(c)).alias(c))
+    met = got["cuts"].join(longest(got["tree"], "path", "paths").drop("path"), "root").join(longest(got["signatures"], "preview", "signatures"), "root").join(longest(got["entries"], "snippet", "n").drop("n"), "root")
+    return met.select("root", "cuts", "paths", "preview", "snippet", "signatures")
+
+
 @example("path cuts", [("a{id}", 0), ("b{id}", 1), ("c{id}", 4)])
 def output_cuts(spark, d):
     df = planted(spark, d, "path string, sizes array<long>", [("a{id}", [1, 2, 3, 4]), ("b{id}", [600_000, 10, 500_000, 9]), ("c{id}", [0, 0, 0, 0, 600_000])])
