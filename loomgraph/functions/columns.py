@@ -6,17 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def lookup(key: Column, table: dict, default: Column | None = None) -> Column:
-    """A small fixed table as one CASE, inside code generation; without a default, null where the key is not in it."""
-    by_value: dict = {}
-    for k, v in table.items():
-        by_value.setdefault(v, []).append(k)
-    out = None
-    for value, keys in by_value.items():
-        out = F.when(key.isin(keys), F.lit(value)) if out is None else out.when(key.isin(keys), F.lit(value))
+def lookup(key: Column, *tables: dict, default: Column | None = None) -> Column:
+    """Small fixed tables (``value: [keys]``) as one CASE, inside code generation; of several tables the last that has a key counts. Without a default, null where none has it."""
+    out = F
+    for table in reversed(tables):
+        for value, keys in table.items():
+            out = out.when(key.isin(keys), F.lit(value))
     return out if default is None else out.otherwise(default)
 
 
+def mapped(key: Column, table: dict) -> Column:
+    """A caller's table (``key: value``) as a map; null where the key is not in it."""
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair]).cast("map<string,string>")[key]
+
+
 def utf16_order(text: Column) -> Column:
     """A key that orders strings by their UTF-16 code units."""
     return F.encode(text, "UTF-16BE")

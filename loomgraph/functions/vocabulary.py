@@ -226,8 +226,3 @@ ENTRY_FILES = [
     "index.ts", "index.js", "main.ts", "main.js", "app.ts", "app.js", "server.ts", "server.js", "mod.rs", "main.go", "main.py", "main.rs", "manage.py", "app.py", "wsgi.py", "asgi.py",
     "run.py", "__main__.py", "Application.java", "Main.java", "Program.cs", "config.ru", "index.php", "App.swift", "Application.kt", "main.cpp", "main.c",
 ]
-
-
-def inverted(table: dict) -> dict:
-    """From ``value: [names]`` to ``name: value``."""
-    return {name: value for value, names in table.items() for name in names}

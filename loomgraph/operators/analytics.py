@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import basename, lookup, utf16_order
-from ..functions.vocabulary import ENTRY_FILES, FILE_LABELS, FOLDER_LABELS, LAYER_PATTERNS, inverted
+from ..functions.vocabulary import ENTRY_FILES, FILE_LABELS, FOLDER_LABELS, LAYER_PATTERNS
 from ..plans.loops import numbered
 
 
@@ -136,7 +136,7 @@ def mutual_pairs(edges: DataFrame) -> DataFrame:
 
 def folder_label(name: Column) -> Column:
     """What a folder's name says about what is in it; null if nothing."""
-    return lookup(name, inverted(FOLDER_LABELS))
+    return lookup(name, FOLDER_LABELS)
 
 
 def path_label(path: Column) -> Column:
@@ -179,7 +179,7 @@ def documented_groups(files: DataFrame, by: list[str] = ()) -> DataFrame:
 def inventory_families(nodes: DataFrame) -> DataFrame:
     """``family, id`` of nodes that are no code: documents, infrastructure, data, configuration."""
     families = {"documents": ["document"], "infrastructure": ["service", "resource", "pipeline"], "data": ["table", "schema", "endpoint"], "configuration": ["config"]}
-    return nodes.select(lookup(F.col("type"), inverted(families)).alias("family"), "id").where("family is not null")
+    return nodes.select(lookup(F.col("type"), families).alias("family"), "id").where("family is not null")
 
 
 def grouped_folders(paths: DataFrame, by: list[str] = ()) -> DataFrame:

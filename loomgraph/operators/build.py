@@ -14,7 +14,7 @@ DEFINITION_NODES = {"table": ["table", "view", "index"], "schema": ["message", "
 
 
 def default_weight(edge_type: Column) -> Column:
-    return lookup(edge_type, v.inverted(v.EDGE_WEIGHTS), F.lit(0.5))
+    return lookup(edge_type, v.EDGE_WEIGHTS, default=F.lit(0.5))
 
 
 def complexity_of_lines(lines: Column) -> Column:
@@ -29,13 +29,13 @@ def significant(kind: Column, lines: Column, methods: Column, exported: Column)
 
 def file_nodes(files: DataFrame) -> DataFrame:
     """``id, type, name, file_path, complexity, ord`` of files (``path, category, lines, ord``)."""
-    kind = lookup(F.col("category"), v.inverted(FILE_NODES), F.lit("file"))
+    kind = lookup(F.col("category"), FILE_NODES, default=F.lit("file"))
     return files.select(F.concat(kind, F.lit(":"), "path").alias("id"), kind.alias("type"), basename(F.col("path")).alias("name"), F.col("path").alias("file_path"), complexity_of_lines(F.col("lines")).alias("complexity"), "ord")
 
 
 def children(declared: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and contains edges of declarations (``path, kind, name, line``) in files (``id, file_path``); of equal ids the first stays."""
-    kind = F.when(F.col("kind").isin("function", "class"), F.col("kind")).otherwise(lookup(F.col("kind"), v.inverted(DEFINITION_NODES), F.lit("concept")))
+    kind = F.when(F.col("kind").isin("function", "class"), F.col("kind")).otherwise(lookup(F.col("kind"), DEFINITION_NODES, default=F.lit("concept")))
     named = declared.select(F.concat_ws(":", kind, "path", "name").alias("id"), kind.alias("type"), "name", F.col("path").alias("file_path"), "line")
     nodes = named.groupBy("id").agg(F.min_by(F.struct("type", "name", "file_path"), "line").alias("r"), F.min("line").alias("ord")).select("id", "r.*", "ord")
     edges = nodes.join(parents.select(F.col("id").alias("source"), "file_path"), "file_path").select("source", F.col("id").alias("target"), F.lit("contains").alias("type"), F.lit("forward").alias("direction"), F.lit(1.0).alias("weight"), "ord")

@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import lookup
+from ..functions.columns import mapped
 from ..plans.loops import cut
 
 # fixed values: node types of a design tree
@@ -31,7 +31,7 @@ def flatten(documents: DataFrame) -> DataFrame:
         variant = (kind == "COMPONENT") & F.coalesce(F.col("parent_kind") == "COMPONENT_SET", F.lit(False)) & F.coalesce(F.col("owner_node") == "componentSet", F.lit(False))
         becomes = (
             F.when((kind == "CANVAS") & F.lit(depth == 1), "page")
-            .when(F.col("open") & kind.isin("FRAME", "COMPONENT", "COMPONENT_SET"), lookup(kind, DESIGN_TYPES))
+            .when(F.col("open") & kind.isin("FRAME", "COMPONENT", "COMPONENT_SET"), mapped(kind, DESIGN_TYPES))
             .when(variant, "component")
             .when((kind == "INSTANCE") & (F.col("owner_node") == "screen"), "instance")
         )

@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lookup
-from ..functions.vocabulary import EDGE_CATEGORIES, NODE_CATEGORIES, inverted
+from ..functions.vocabulary import EDGE_CATEGORIES, NODE_CATEGORIES
 
 
 def node_category(node_type: Column) -> Column:
     """Filter category of a node type; unknown types are code."""
-    return lookup(node_type, inverted(NODE_CATEGORIES), F.lit("code"))
+    return lookup(node_type, NODE_CATEGORIES, default=F.lit("code"))
 
 
 def edge_category(edge_type: Column) -> Column:
     """Filter category of an edge type, null for unknown ones."""
-    return lookup(edge_type, inverted(EDGE_CATEGORIES))
+    return lookup(edge_type, EDGE_CATEGORIES)
 
 
 def filter_nodes(nodes: DataFrame, types: list[str], complexities: list[str], members: DataFrame | None = None, layers: list[str] = ()) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.loops import cut
 from . import change, imports, repair
 
 # fixed values: structural edges that wait for their ends in a later run
@@ -123,8 +126,6 @@ def page_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Parents are climbed a step a round, until no node moves.
     """
-    from ..plans.loops import cut
-
     spark = nodes.sparkSession
     up = edges.where("type = 'contains'").groupBy(F.col("target").alias("at")).agg(F.min("source").alias("above"))
     at = cut(spark, nodes.select("id", F.col("id").alias("at")))
@@ -160,15 +161,32 @@ def category_tour(layers: DataFrame, nodes: DataFrame, most: int = 3) -> DataFra
     return met.withColumn("place", place).where(F.col("place") <= most).select("layer_id", "place", "node_id")
 
 
+#: Hashes of one inner node of a digest's tree, on average, at most.
+FAN = 256
+
+
 def canonical_digest(rows: DataFrame) -> DataFrame:
-    """One row: the SHA-256 of all rows as JSON with sorted keys, in code-unit order of their texts.
+    """One row: a digest of a table that depends on its rows alone, not on their order or partitions.
 
-    Each row's hash is made where the row is; what is folded in order is one hash a bucket of hashes.
+    Leaves are the SHA-256 of a row as JSON with sorted keys, with the number of rows that are equal to it.  They are the leaves
+    of a tree over the hashes' own digits: a node is the hash of what is below it in order, and there are as many levels as it takes for a
+    node to have about FAN below it (hashes spread evenly).
     """
     cols = sorted(rows.columns)
-    text = F.to_json(F.struct(*[F.col(c) for c in cols]))
-    each = rows.select(F.sha2(text, 256).alias("h")).groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("x"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "x"))), lambda r: r["x"]), ""), 256).alias("digest"))
+    text = F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})
+    equal = rows.groupBy(F.sha2(text, 256).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    spark = rows.sparkSession
+    level = cut(spark, equal.select(F.col("h").alias("at"), F.sha2(F.concat_ws(":", "h", F.col("n").cast("string")), 256).alias("x")))
+    below, digits = level.count(), 64
+    while True:
+        digits = min(digits - 1, max(0, math.ceil(math.log(max(1, below) / FAN, 16))))  # as many nodes as leave FAN below each
+        inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda r: r["x"]), "")
+        level = level.groupBy(F.substring("at", 1, digits).alias("at")).agg(F.sha2(inside, 256).alias("x"))
+        if digits == 0:
+            break
+        below = 16**digits
+    empty = spark.createDataFrame([("", hashlib.sha256(b"").hexdigest())], "at string, y string")
+    return empty.join(level, "at", "left").select(F.coalesce("x", "y").alias("digest"))
 
 
 def bounded_warnings(warnings: DataFrame, most: int = 5) -> DataFrame:

@@ -12,20 +12,20 @@ PREFIXES = sorted({t for types in v.NODE_TYPES.values() for t in types})
 
 
 def canonical_node_type(kind: Column, design: bool = False) -> Column:
-    table = v.inverted(v.NODE_ALIASES) | v.inverted(v.DESIGN_NODE_ALIASES if design else v.OTHER_NODE_ALIASES)
+    tables = v.NODE_ALIASES, v.DESIGN_NODE_ALIASES if design else v.OTHER_NODE_ALIASES
     low = F.lower(kind)
-    return lookup(low, table, low)
+    return lookup(low, *tables, default=low)
 
 
 def canonical_edge_type(kind: Column, design: bool = False) -> Column:
-    table = v.inverted(v.EDGE_ALIASES) | v.inverted(v.DESIGN_EDGE_ALIASES if design else v.OTHER_EDGE_ALIASES)
+    tables = v.EDGE_ALIASES, v.DESIGN_EDGE_ALIASES if design else v.OTHER_EDGE_ALIASES
     low = F.lower(kind)
-    return lookup(low, table, low)
+    return lookup(low, *tables, default=low)
 
 
 def canonical_direction(direction: Column) -> Column:
     low = F.lower(direction)
-    known = lookup(low, v.inverted(v.DIRECTION_ALIASES) | {d: d for d in v.DIRECTION_ALIASES})
+    known = lookup(low, v.DIRECTION_ALIASES, {d: [d] for d in v.DIRECTION_ALIASES})
     return F.coalesce(known, F.lit("forward"))
 
 
@@ -33,7 +33,7 @@ def canonical_complexity(value: Column) -> Column:
     """Names and aliases, numbers up to 3 and 6, else moderate; ``struct(complexity, status)``."""
     low = F.lower(F.trim(value))
     number = F.floor(F.when(low.rlike(r"^[+-]?\d+(\.\d+)?$"), low).try_cast("double"))
-    named, alias = low.isin(v.COMPLEXITIES), lookup(low, v.inverted(v.COMPLEXITY_ALIASES))
+    named, alias = low.isin(v.COMPLEXITIES), lookup(low, v.COMPLEXITY_ALIASES)
     found = F.when(named, low).when(alias.isNotNull(), alias).when(number <= 3, "simple").when(number <= 6, "moderate").when(number.isNotNull(), "complex").otherwise("moderate")
     status = F.when(named, "valid").when(alias.isNotNull() | number.isNotNull(), "mapped").otherwise("unknown")
     return F.struct(found.alias("complexity"), status.alias("status"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
+from ..plans.loops import cut, numbered
 from .graph import first_layer, induced
 
 
@@ -237,8 +238,6 @@ def repaired_layout(items: DataFrame, width: float = 200.0, height: float = 60.0
     one = items.groupBy("id", "parent").agg(F.min_by(F.struct("width", "height"), "ord").alias("s"), F.min("ord").alias("ord"))
     known = one.select(F.col("id").alias("parent"), F.lit(True).alias("__p")).distinct()
     met = one.join(known, "parent", "left").where("parent is null or __p")
-    from ..plans.loops import cut
-
     spark = items.sparkSession
     up = met.where("parent is not null").select(F.col("id").alias("at"), F.col("parent").alias("above"))
     reach = cut(spark, up.select(F.col("at").alias("id"), F.col("above").alias("at")).distinct())
@@ -249,3 +248,36 @@ def repaired_layout(items: DataFrame, width: float = 200.0, height: float = 60.0
         seen = cut(spark, seen.unionByName(reach))
     loops = seen.where("id = at").select("id").distinct().withColumn("__loop", F.lit(True))
     return met.join(loops, "id", "left").select("id", F.when(F.col("__loop").isNull(), F.col("parent")).alias("parent"), F.coalesce("s.width", F.lit(width)).alias("width"), F.coalesce("s.height", F.lit(height)).alias("height"))
+
+
+# fixed values: containers by folder need so many of them, none with a greater share; from so many nodes on, one node makes no container
+LEAST_BUCKETS, SHARE, FEW_NODES = 2, 0.7, 3
+
+
+def derived_containers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, container, strategy`` of a layer's nodes (``id, file_path, ord``): the folder after the part that all folders' names share, ``~`` for what has none; communities
+    (``cluster-0`` and so on, in the order of their first nodes) where folders part badly; null where a node would be alone in its container."""
+    from .community import communities
+
+    spark = nodes.sparkSession
+    held = F.col("file_path").isNotNull() & (F.col("file_path") != "")
+    folder = F.regexp_replace("file_path", "/?[^/]*$", "")
+    ends = nodes.where(held).agg(F.min(folder).alias("a"), F.max(folder).alias("b"))
+    # what the least and the greatest name share, all share; it ends after its last slash
+    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.length("a"), F.length("b")), F.lit(1))), lambda k: F.substr(F.col("a"), F.lit(1), k) == F.substr(F.col("b"), F.lit(1), k)))
+    shared = F.regexp_replace(F.substr(F.col("a"), F.lit(1), F.when((F.length("a") == 0) | (F.length("b") == 0), 0).otherwise(same)), "[^/]*$", "")
+    met = nodes.crossJoin(F.broadcast(ends.select(F.coalesce(F.length(shared), F.lit(0)).alias("skip"))))  # one row
+    rest = F.substr(F.col("file_path"), F.col("skip") + 1)
+    own = cut(spark, met.select("id", "ord", F.when(held & rest.contains("/"), F.substring_index(rest, "/", 1)).otherwise("~").alias("container")))
+    sizes = own.groupBy("container").agg(F.count(F.lit(1)).alias("n"))
+    told = sizes.agg(F.count(F.lit(1)).alias("buckets"), F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    if not told.all:
+        return own.select("id", "container", F.lit("folder").alias("strategy"))
+    by_folder = told.buckets >= LEAST_BUCKETS and told.most <= SHARE * told.all
+    if not by_folder:
+        found = communities(nodes.select("id"), edges).join(nodes.select("id", "ord"), "id")
+        first = found.groupBy("container").agg(F.min("ord").alias("first"))
+        own = cut(spark, found.join(numbered(first, [F.col("first")], "nth"), "container").select("id", F.concat(F.lit("cluster-"), "nth").alias("container")))
+        sizes = own.groupBy("container").agg(F.count(F.lit(1)).alias("n"))
+    alone = (F.col("n") == 1) & F.lit(told.all >= FEW_NODES)
+    return own.join(sizes, "container").select("id", F.when(~alone, F.col("container")).alias("container"), F.lit("folder" if by_folder else "community").alias("strategy"))

@@ -14,16 +14,28 @@ from .loops import checkpoint_dir
 SPAN = 1 << 40
 
 
-#: Folders of whole graphs that this application has written, by application, tables and part.
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+#: Folders of whole graphs that this application has written, by application, tables, their files' state and part.
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the tables' files."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = folder.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(folder, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def _once(spark: SparkSession, sf_dir: str, part: str, df: DataFrame) -> DataFrame:
-    """The whole graph's nodes or edges are made of the tables once an application, and read from the shared folder after that.
+    """The whole graph's nodes or edges are made of the tables once an application, and read from the shared folder after that; again if a table's files have changed.
 
-    So links are cut from pages, contents hashed and events ordered once, and columns and filters reach the scan. Tables must not change under a running application.
+    So links are cut from pages, contents hashed and events ordered once, and columns and filters reach the scan.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, part)
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), part)
     if key not in _WRITTEN:
         folder = f"{checkpoint_dir(spark)}/graph-{part}-{uuid.uuid4().hex}"
         df.write.parquet(folder)

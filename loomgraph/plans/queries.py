@@ -36,8 +36,9 @@ def listed(names: list[str]) -> str:
     return "(" + ", ".join(f"'{x}'" for x in names) + ")"
 
 
-def case(column: str, table: dict, default: str) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in table.items()) + f" ELSE {default} END"
+def case(column: str, default: str, *tables: dict) -> str:
+    """SQL of tables ``value: [keys]``; of several the last that has a key counts."""
+    return "CASE " + " ".join(f"WHEN {column} IN {listed(keys)} THEN '{x}'" for table in reversed(tables) for x, keys in table.items()) + f" ELSE {default} END"
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def type_matrix(spark, d):
     return analytics.type_matrix(p.nodes(spark, d), p.edges(spark, d))
 
 
-@query(f"SELECT {case('type', v.inverted(v.NODE_CATEGORIES), chr(39) + 'code' + chr(39))} AS category, count(*) AS n FROM nodes GROUP BY ALL")
+@query(f"SELECT {case('type', chr(39) + 'code' + chr(39), v.NODE_CATEGORIES)} AS category, count(*) AS n FROM nodes GROUP BY ALL")
 def node_categories(spark, d):
     return p.nodes(spark, d).groupBy(graph.node_category(F.col("type")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -97,7 +98,7 @@ def filter_nodes(spark, d):
 
 
 @query(f"""SELECT source, target, type, count(*) AS n FROM edges WHERE source IN (SELECT id FROM nodes WHERE complexity = 'complex') AND target IN (SELECT id FROM nodes WHERE complexity = 'complex')
-AND {case('type', v.inverted(v.EDGE_CATEGORIES), 'NULL')} IN ('structural', 'infrastructure') GROUP BY ALL""")
+AND {case('type', 'NULL', v.EDGE_CATEGORIES)} IN ('structural', 'infrastructure') GROUP BY ALL""")
 def filter_edges(spark, d):
     seen = p.nodes(spark, d).where("complexity = 'complex'").select("id")
     return graph.filter_edges(p.edges(spark, d), seen, ["structural", "infrastructure"]).groupBy("source", "target", "type").agg(F.count(F.lit(1)).alias("n"))
@@ -182,7 +183,7 @@ def dirty(spark, d):
     )
 
 
-@query(_DIRTY + f" SELECT id, {case('lower(type)', v.inverted(v.NODE_ALIASES) | v.inverted(v.OTHER_NODE_ALIASES), 'lower(type)')} AS type FROM dirty")
+@query(_DIRTY + f" SELECT id, {case('lower(type)', 'lower(type)', v.NODE_ALIASES, v.OTHER_NODE_ALIASES)} AS type FROM dirty")
 def sanitize_alias(spark, d):
     return dirty(spark, d).select("id", repair.canonical_node_type(F.col("type")).alias("type"))
 
@@ -193,7 +194,7 @@ def complexity_normalize(spark, d):
     return dirty(spark, d).select("id", repair.canonical_complexity(F.col("complexity")).alias("c")).select("id", "c.*")
 
 
-@query(f"SELECT o_orderkey, {case('e', v.inverted(v.EDGE_ALIASES) | v.inverted(v.OTHER_EDGE_ALIASES), 'e')} AS type, CASE g WHEN 'to' THEN 'forward' WHEN 'from' THEN 'backward' WHEN 'mutual' THEN 'bidirectional' ELSE 'forward' END AS direction FROM (SELECT o_orderkey, ['uses', 'invokes', 'similar', 'calls', 'instance_of'][o_orderkey % 5 + 1] AS e, ['to', 'from', 'mutual', 'sideways'][o_orderkey % 4 + 1] AS g FROM orders)", False)
+@query(f"SELECT o_orderkey, {case('e', 'e', v.EDGE_ALIASES, v.OTHER_EDGE_ALIASES)} AS type, CASE g WHEN 'to' THEN 'forward' WHEN 'from' THEN 'backward' WHEN 'mutual' THEN 'bidirectional' ELSE 'forward' END AS direction FROM (SELECT o_orderkey, ['uses', 'invokes', 'similar', 'calls', 'instance_of'][o_orderkey % 5 + 1] AS e, ['to', 'from', 'mutual', 'sideways'][o_orderkey % 4 + 1] AS g FROM orders)", False)
 def edge_alias(spark, d):
     k = F.col("o_orderkey")
     pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))

@@ -8,18 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.columns import basename, lookup, utf16_order
+from ..functions.columns import basename, lookup, mapped, utf16_order
 from .ignore import ignored
 
 
-def read_tree(spark: SparkSession, root: str, patterns: list[str] = (), most: int = 1 << 20) -> DataFrame:
-    """``path (relative), size, content`` of the files that no pattern ignores; contents beyond most bytes are null."""
+def read_tree(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataFrame:
+    """``path (relative), size, content`` of the files that no pattern ignores, whole."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/") + "/"
     # the root may hold characters that patterns take for their own, so it is cut off by its length
     begin = F.instr("path", base.removeprefix("file:")) + len(base.removeprefix("file:"))
     path = F.substr(F.col("path"), begin)
-    df = files.select(path.alias("path"), F.col("length").alias("size"), F.when(F.col("length") <= most, F.col("content").cast("string")).alias("content"))
+    df = files.select(path.alias("path"), F.col("length").alias("size"), F.col("content").cast("string").alias("content"))
     return df.where(~ignored(F.col("path"), list(patterns)))
 
 
@@ -37,8 +37,8 @@ def extension(path: Column) -> Column:
 def detect_language(path: Column) -> Column:
     base, ext = basename(path), extension(path)
     dotted = F.regexp_extract(base, r"^\.(env)(?:\..*)?$", 1)
-    by_ext = lookup(ext, v.inverted(v.LANGUAGE_EXTENSIONS))
-    by_name = lookup(base, v.inverted(v.LANGUAGE_FILES))
+    by_ext = lookup(ext, v.LANGUAGE_EXTENSIONS)
+    by_name = lookup(base, v.LANGUAGE_FILES)
     return F.when(base.rlike(r"^Dockerfile(\..*)?$"), "dockerfile").when(dotted != "", "config").when(by_ext.isNotNull(), by_ext).when(ext != "", ext).otherwise(F.coalesce(by_name, F.lit("unknown")))
 
 
@@ -54,7 +54,7 @@ def detect_category(path: Column) -> Column:
         | base.rlike(r"(?i)\.k8s\.ya?ml$")
     )
     dotted = F.regexp_extract(base, r"^\.(env)(?:\..*)?$", 1)
-    by_ext = lookup(F.when(extension(path) != "", extension(path)).otherwise(dotted), v.inverted(v.CATEGORY_EXTENSIONS))
+    by_ext = lookup(F.when(extension(path) != "", extension(path)).otherwise(dotted), v.CATEGORY_EXTENSIONS)
     return F.when(base == "LICENSE", "code").when(infra, "infra").when(dotted != "", "config").otherwise(F.coalesce(by_ext, F.lit("code")))
 
 
@@ -112,8 +112,8 @@ def registered_language(path: Column, names: dict[str, str], extensions: dict[st
     """By file name in any case, else by the last extension; null if neither is registered."""
     base = F.lower(basename(path))
     ext = F.regexp_extract(base, r"\.([^.]+)$", 1)
-    by_name = lookup(base, {k.lower(): x for k, x in names.items()})
-    return F.coalesce(by_name, lookup(ext, {k.lower(): x for k, x in extensions.items()}))
+    by_name = mapped(base, {k.lower(): x for k, x in names.items()})
+    return F.coalesce(by_name, mapped(ext, {k.lower(): x for k, x in extensions.items()}))
 
 
 def starter_ignore(files: DataFrame) -> DataFrame:

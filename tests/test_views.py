@@ -86,3 +86,33 @@ def test_design(spark):
     assert {r.id for r in nodes.collect()} == {"page:1", "screen:2", "instance:4", "component:5", "componentSet:6", "token:st"}
     got = {(r.source, r.target, r.type) for r in edges.collect()}
     assert got == {("page:1", "screen:2", "contains"), ("screen:2", "instance:4", "contains"), ("page:1", "componentSet:6", "contains"), ("component:5", "componentSet:6", "variant_of"), ("instance:4", "component:5", "instance_of"), ("screen:2", "token:st", "uses_token")}
+
+
+def test_containers_of_a_layer(spark):
+    def run(paths, pairs=()):
+        n = spark.createDataFrame([(f"n{k}", p, k) for k, p in enumerate(paths)], "id string, file_path string, ord long")
+        e = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "source string, target string")
+        got = {r.id: (r.container, r.strategy) for r in views.derived_containers(n, e).collect()}
+        return [got[f"n{k}"][0] for k in range(len(paths))], {s for _, s in got.values()}
+
+    assert run(["src/auth/a.ts", "src/auth/b.ts", "src/cart/c.ts", "src/cart/x/d.ts", "src/e/f.ts", None, ""]) == (["auth", "auth", "cart", "cart", None, "~", "~"], {"folder"})
+    # a file at the top of what is shared: all names share less, and one folder holds too much
+    assert run(["src/auth/a.ts", "src/cart/c.ts", "src/e.ts"])[1] == {"community"}
+    # what names share ends at a slash, so that of equal folders the last part is told
+    assert run(["src/auth/a.ts", "src/author/b.ts"]) == (["auth", "author"], {"folder"})
+    assert run(["a/x.ts", "b/y.ts", "b/z.ts"]) == ([None, "b", "b"], {"folder"})
+    ring = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 3)]
+    assert run([f"src/app/{k}.ts" for k in range(7)], ring) == (["cluster-0"] * 3 + ["cluster-1"] * 3 + [None], {"community"})
+    assert run(["a/1", "a/2", "a/3", "a/4", "b/5"], [(0, 1), (2, 3), (3, 4)])[1] == {"community"}
+    assert run([]) == ([], set())
+
+
+def test_digests_depend_on_rows_alone(spark, monkeypatch):
+    from loomgraph.operators import merge
+
+    monkeypatch.setattr(merge, "FAN", 4)
+    df = spark.range(3000).selectExpr("id % 2000 as a", "if(id % 7 = 0, null, concat('x', id % 2000)) as b")
+    digest = lambda d: merge.canonical_digest(d).first().digest
+    whole = digest(df)
+    assert digest(df.repartition(5).select("b", "a").orderBy("b")) == whole
+    assert len({whole, digest(df.limit(2999)), digest(df.unionByName(df.limit(1))), digest(df.where("false")), digest(df.withColumnRenamed("b", "c"))}) == 5
