@@ -108,15 +108,16 @@ def import_map(files: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def is_test_path(path: Column) -> Column:
-    """Test files by their names."""
+    """Test files by their names (specs of Kotlin too)."""
     base = F.element_at(F.split(path, "/"), -1)
     return (
-        base.rlike(r"\.(test|spec)\.[cm]?[jt]sx?$")
+        base.rlike(r"\.(test|spec)\.([jt]sx?|[cm]js|vue)$")
         | base.rlike(r"^(test_.*|.*_test)\.py$")
         | base.endswith("_test.go")
         | base.rlike(r"(Test|Tests|IT)\.java$")
-        | base.rlike(r"(Test|Tests|Spec)\.(kt|scala)$")
-        | base.rlike(r"Tests?\.cs$")
+        | base.rlike(r"(Test|Tests)\.cs$")
+        | base.rlike(r"(Spec|Test|Tests)\.kt$")
+        | base.rlike(r"(Spec|Suite|Test|Tests)\.scala$")
         | base.rlike(r"(^test_.*|_test)\.(c|cc|cpp)$")
     )
 
@@ -201,25 +202,60 @@ def module_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     return imports.join(modules.select(F.col("module").alias("raw"), F.col("path").alias("target")), "raw").where("target != source").select("source", "raw", "target")
 
 
+# fixed values: extensions of one family of scripts, in the order they are tried, and folders that a tree of tests mirrors
+SCRIPTS, MIRRORED = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue"], ["src", "app", "lib", ""]
+
+
 def production_candidates(path: Column) -> Column:
-    """Where a test's subject may lie, in order."""
+    """Where a test's subject may lie, in order: beside it, outside the folder of tests it is in, in the tree that its tree mirrors."""
     base, folder = F.element_at(F.split(path, "/"), -1), directory(path)
-    up = F.when(F.element_at(F.split(folder, "/"), -1).isin("__tests__", "tests", "test"), directory(folder)).otherwise(folder)
+    ext = F.regexp_extract(base, r"^.+(\.[^.]+)$", 1)
+    stem = F.when(ext != "", F.substr(base, F.lit(1), F.length(base) - F.length(ext))).otherwise(base)
+    segments = F.filter(F.split(folder, "/"), lambda x: x != "")
+    n = F.size(segments)
+    to = lambda xs: F.array_join(xs, "/")
     at = lambda d, name: F.concat_ws("/", F.when(d != "", d), name)
-    js = F.regexp_replace(base, r"\.(test|spec)(\.[cm]?[jt]sx?)$", "$2")
-    stem = F.regexp_replace(js, r"\.[^.]+$", "")
-    py = F.regexp_replace(F.regexp_replace(base, r"^test_", ""), r"_test\.py$", ".py")
-    go = F.regexp_replace(base, r"_test\.go$", ".go")
-    jvm = F.regexp_replace(base, r"(Tests?|IT|Spec)(\.\w+)$", "$2")
-    main = F.regexp_replace(folder, r"(^|/)src/test(/|$)", "$1src/main$2")
+    parent, tail = to(F.slice(segments, 1, F.greatest(n - 1, F.lit(0)))), to(F.slice(segments, 2, F.greatest(n - 1, F.lit(0))))
+    first, last = F.coalesce(F.get(segments, F.lit(0)), F.lit("")), F.coalesce(F.get(segments, n - 1), F.lit(""))
     none = F.array().cast("array<string>")
-    return (
-        F.when(base.rlike(r"\.(test|spec)\.[cm]?[jt]sx?$"), F.concat(F.array(at(folder, js), at(up, js)), F.transform(F.array(*map(F.lit, (".ts", ".tsx", ".js", ".jsx"))), lambda x: at(up, F.concat(stem, x)))))
-        .when(base.endswith(".py"), F.array(at(folder, py), at(up, py), at(F.lit("src"), py), py))
-        .when(base.endswith("_test.go"), F.array(at(folder, go)))
-        .when(base.rlike(r"\.(java|kt|scala|cs)$"), F.array(at(main, jvm), at(folder, jvm)))
+    cut_ = lambda pattern: F.regexp_replace(stem, pattern, "")
+    only = lambda test, xs: F.when(test, xs).otherwise(none)
+    mirrors = [F.concat_ws("/", F.when(F.lit(root != ""), F.lit(root)), F.when(tail != "", tail)) for root in MIRRORED]
+
+    script = cut_(r"\.(test|spec)$")
+    family = lambda d: F.array(at(d, F.concat(script, ext)), *(at(d, F.concat(script, F.lit(x))) for x in SCRIPTS))
+    scripts = F.concat(family(folder), only(last.isin("__tests__", "test", "spec", "tests"), family(parent)), only(first.isin("tests", "test", "__tests__"), F.concat(*map(family, mirrors))))
+    plain = F.when(stem.startswith("test_"), F.substr(stem, F.lit(6))).otherwise(cut_("_test$"))
+    py = F.concat(plain, F.lit(".py"))
+    python = F.concat(F.array(at(folder, py)), only(last.isin("tests", "test"), F.array(at(parent, py))), only(first.isin("tests", "test"), F.array(*(at(d, py) for d in mirrors))))
+
+    def layout(name: str, suffixes: str, anywhere: bool = False) -> Column:
+        """The main tree of a build's layout, the folder itself, then the main tree of a layout without a folder for the language."""
+        own = F.concat(cut_(f"({suffixes})$"), ext)
+        there = rf"^(|.*?/)src/test/{name}(/|$)" if anywhere else rf"^()src/test/{name}(/|$)"
+        return F.concat(only(folder.rlike(there), F.array(at(F.regexp_replace(folder, there, f"$1src/main/{name}$2"), own))), F.array(at(folder, own), at(F.regexp_replace(folder, r"(^|/)src/test(/|$)", "$1src/main$2"), own)))
+
+    cs = F.concat(cut_("(Tests|Test)$"), F.lit(".cs"))
+    place = F.array_max(F.transform(segments, lambda x, k: F.when(F.lower(x).isin("tests", "test"), k + 1).otherwise(0)))  # the last folder of tests, from 1
+    above, below = F.slice(segments, 1, F.greatest(place - 1, F.lit(0))), F.slice(segments, place + 1, n)
+    sibling = F.regexp_replace(first, r"\.Tests?$", "")
+    sharp = F.concat(
+        F.array(at(folder, cs)),
+        only(F.coalesce(place, F.lit(0)) > 0, F.array(at(to(above), cs), at(to(F.concat(above, F.array(F.lit("src")), below)), cs))),
+        only((sibling != first) & (sibling != ""), F.array(at(F.concat_ws("/", sibling, F.when(tail != "", tail)), cs))),
+    )
+    found = (
+        F.when(ext.isin(SCRIPTS) & stem.rlike(r"\.(test|spec)$"), scripts)
+        .when((ext == ".go") & stem.endswith("_test"), F.array(at(folder, F.concat(cut_("_test$"), ext))))
+        .when((ext == ".py") & (stem.startswith("test_") | stem.endswith("_test")), python)
+        .when((ext == ".java") & stem.rlike("(Tests|Test|IT)$"), layout("java", "Tests|Test|IT"))
+        .when((ext == ".kt") & stem.rlike("(Tests|Test|Spec)$"), layout("kotlin", "Tests|Test|Spec"))
+        .when((ext == ".scala") & stem.rlike("(Spec|Suite|Tests|Test)$"), layout("scala", "Spec|Suite|Tests|Test", True))
+        .when((ext == ".cs") & stem.rlike("(Tests|Test)$"), sharp)
+        .when(ext.isin(".c", ".cpp", ".cc") & (stem.startswith("test_") | stem.endswith("_test")), F.array(at(folder, F.concat(plain, ext))))
         .otherwise(none)
     )
+    return F.array_distinct(found)
 
 
 def supplied_tests(tests: DataFrame, files: DataFrame, paired: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from loomgraph.operators import imports
 
 
@@ -44,3 +46,19 @@ def test_tests_find_their_subject(spark):
     assert {(r.source, r.target) for r in got.collect()} == {("file:src/a.ts", "file:src/__tests__/a.test.ts"), ("file:src/m.py", "file:tests/test_m.py"), ("file:p/q.go", "file:p/q_test.go"), ("file:src/main/java/K/A.java", "file:src/test/java/K/ATest.java")}
     nodes = frame(spark, [("file:src/a.ts", ["x"]), ("file:n", ["y"])], "id string, tags array<string>")
     assert {r.id: r.tags for r in imports.tag_tested(nodes, got).collect()} == {"file:src/a.ts": ["x", "tested"], "file:n": ["y"]}
+
+
+def test_candidates_by_language(spark):
+    cases = {
+        "a/x.test.ts": ["a/x.ts", "a/x.tsx", "a/x.js"], "a/__tests__/x.spec.jsx": ["a/__tests__/x.jsx", "a/__tests__/x.ts", "a/x.jsx", "a/x.ts"], "tests/ui/x.test.vue": ["tests/ui/x.vue", "src/ui/x.vue", "app/ui/x.ts", "lib/ui/x.js", "ui/x.vue"],
+        "p/tests/test_m.py": ["p/tests/m.py", "p/m.py"], "tests/u/m_test.py": ["tests/u/m.py", "src/u/m.py", "app/u/m.py", "lib/u/m.py", "u/m.py"], "test_m.py": ["m.py"], "g/x_test.go": ["g/x.go"],
+        "src/test/java/a/FooTests.java": ["src/main/java/a/Foo.java", "src/test/java/a/Foo.java"], "m/src/test/java/FooIT.java": ["m/src/test/java/Foo.java", "m/src/main/java/Foo.java"], "src/test/kotlin/FooTest.kt": ["src/main/kotlin/Foo.kt", "src/test/kotlin/Foo.kt"],
+        "m/core/src/test/scala/a/FooSuite.scala": ["m/core/src/main/scala/a/Foo.scala", "m/core/src/test/scala/a/Foo.scala"], "svc/tests/u/BarTests.cs": ["svc/tests/u/Bar.cs", "svc/Bar.cs", "svc/src/u/Bar.cs"], "My.App.Tests/u/BarTest.cs": ["My.App.Tests/u/Bar.cs", "My.App/u/Bar.cs"],
+        "c/test_q.cc": ["c/q.cc"], "c/q_test.cpp": ["c/q.cpp"], "c/q.cpp": [], "a/helpers.ts": [], "k/FooSpec.kt": ["k/Foo.kt"],
+    }
+    df = spark.createDataFrame([(p,) for p in cases], "path string")
+    got = {r.path: r for r in df.select("path", imports.production_candidates(F.col("path")).alias("found"), imports.is_test_path(F.col("path")).alias("test")).collect()}
+    for path, want in cases.items():
+        found = list(got[path].found)
+        assert [x for x in found if x in want] == want and len(set(found)) == len(found), path
+        assert bool(want) == got[path].test and (found == want or ".test." in path or ".spec." in path), path
