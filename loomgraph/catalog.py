@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import planted, planted_files, planted_graphs
+from .plans import content, planted, planted_files, planted_graphs
 from .plans import queries as plans
 
-#: These two fill the tables of planted queries.
-PLANTED = (planted_files, planted_graphs)
+#: These fill the tables of queries.
+MODULES = (content, planted_files, planted_graphs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

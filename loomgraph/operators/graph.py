@@ -73,6 +73,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.unionByName(into).groupBy("id").agg(F.sum("n").alias("degree"))
 
 
+def node_scale(edges: DataFrame) -> DataFrame:
+    """``id, degree, scale``: how large the knowledge view draws a node, by its edges."""
+    n = degrees(edges)
+    return n.select("id", "degree", F.round(F.least(F.greatest(0.85 + 0.03 * F.col("degree"), F.lit(0.85)), F.lit(1.5)), 4).alias("scale"))
+
+
 def most_connected(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """The k nodes of highest degree, the earlier one first on a tie."""
     return nodes.join(degrees(edges), "id").orderBy(F.desc("degree"), "ord").limit(k).select("id", "degree")

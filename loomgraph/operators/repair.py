@@ -39,6 +39,12 @@ def canonical_complexity(value: Column) -> Column:
     return F.struct(found.alias("complexity"), status.alias("status"))
 
 
+def sound_edges(edges: DataFrame) -> DataFrame:
+    """Edges (``source, target, type, direction, weight`` as text) as they are kept: without a type they depend on their target, without a known direction they go forward."""
+    kind = F.trim(F.coalesce("type", F.lit("")))
+    return edges.withColumns({"type": F.when(kind == "", "depends_on").otherwise(canonical_edge_type(kind)), "direction": canonical_direction(F.trim("direction")), "weight": canonical_weight(F.col("weight"))})
+
+
 def canonical_weight(weight: Column) -> Column:
     """A number from the string's beginning, 0.5 without one, held within 0 and 1."""
     return F.least(F.greatest(F.coalesce(number_prefix(weight), F.lit(0.5)), F.lit(0.0)), F.lit(1.0))

@@ -107,6 +107,25 @@ def review(nodes: DataFrame, edges: DataFrame, members: DataFrame, tour: DataFra
     return reduce(DataFrame.unionByName, rows).where("n > 0")
 
 
+#: Steps that a tour should have, from and to.
+STEPS = (5, 15)
+
+
+def tour_review(tour: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``check, n`` of a tour (``step, id``): places from 1 on that no step has, steps too few or too many (one row of their number), steps without a known node, nodes that come twice."""
+    steps = tour.groupBy("step").agg(F.count_distinct("id").alias("n"))
+    one = steps.agg(F.count(F.lit(1)).alias("steps"), F.coalesce(F.max("step"), F.lit(0)).alias("last"), F.count(F.when(F.col("step") >= 1, 1)).alias("placed"))
+    known = tour.join(nodes.select("id"), "id", "left_semi").select("step").distinct()
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
+    found = {
+        "missing place": one.select((F.greatest(F.col("last"), F.lit(0)) - F.col("placed")).alias("n")),
+        "number of steps": one.select(F.when(~F.col("steps").between(*STEPS), F.col("steps")).otherwise(0).alias("n")),
+        "step without a node": count(steps.join(known, "step", "left_anti")),
+        "node in several steps": count(tour.groupBy("id").agg(F.count_distinct("step").alias("k")).where("k > 1")),
+    }
+    return reduce(DataFrame.unionByName, (df.select(F.lit(check).alias("check"), F.col("n").cast("long").alias("n")) for check, df in found.items())).where("n > 0")
+
+
 def sound_layers(members: DataFrame, layers: DataFrame, nodes: DataFrame) -> DataFrame:
     """``layer_id, nodes``: members (``layer_id, member_ord, node_id``) that exist, in order (without ``member_ord`` by id); layers that lose all of theirs stay, empty."""
     kept = members.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
