@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as v
+from ..functions.columns import lookup
 from ..plans.loops import cut
 from . import parse
 
@@ -199,3 +201,59 @@ def wiki_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     placed = filed.select("node_id", "topic").unionByName(children).select(layer, "node_id").distinct()
     rest = nodes.select(F.col("id").alias("node_id")).join(placed.select("node_id"), "node_id", "left_anti")
     return placed.unionByName(rest.select(F.lit("layer:other").alias("layer_id"), "node_id"))
+
+
+#: Kinds of nodes that answers about wikis name otherwise.
+NODE_NAMES = {kind: v.NODE_ALIASES[kind] + v.OTHER_NODE_ALIASES.get(kind, []) for kind in v.NODE_TYPES["knowledge"]}
+# fixed values: kinds of edges that such answers name otherwise
+EDGE_NAMES = {
+    "cites": ["references", "cites_source"],
+    "contradicts": ["conflicts_with", "disagrees_with"],
+    "builds_on": ["refines", "elaborates"],
+    "exemplifies": ["illustrates", "instance_of", "example_of"],
+    "categorized_under": ["belongs_to", "tagged_with"],
+    "authored_by": ["written_by", "created_by"],
+    "related": ["relates_to", "related_to"],
+}
+
+
+def merged_answers(base_nodes: DataFrame, base_edges: DataFrame, nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """A wiki's nodes (``id, type, name``) and edges (``source, target, type, weight``) with those of answers about it, which come in batches (``batch, ord`` and these columns).
+
+    Nodes of unknown kinds are dropped, of equal ids the last stays.  Of entities whose names differ in case and blanks alone the first stays,
+    and edges of its batch and later ones follow to it.  Edges of unknown kinds are ``related``; an edge whose end no batch up to its own has
+    brought is dropped; of equal edges the first stays.  Also a ``report``: ``what, n``.
+    """
+    spark = nodes.sparkSession
+    kinds = [t for family, types in v.NODE_TYPES.items() if family != "design" for t in types]
+    links = [t for category, types in v.EDGE_CATEGORIES.items() if category != "design" for t in types]
+    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    place = F.struct("batch", "ord")
+    known = cut(spark, nodes.withColumn("type", lookup(low("type"), NODE_NAMES, default=low("type"))).where(F.col("type").isin(kinds)))
+    name = F.regexp_replace(low("name"), r"\s+", " ")
+    entities = known.where("type = 'entity'").withColumn("key", name)
+    first = entities.groupBy("key").agg(F.min_by("id", place).alias("new"), F.min(place).alias("at"))
+    told = cut(spark, entities.join(first, "key").select("batch", "ord", "id", "new", (place == F.col("at")).alias("first")))
+    kept = known.join(told.where("not first").select("batch", "ord"), ["batch", "ord"], "left_anti").select("batch", "ord", "id", "type", "name")
+    every = base_nodes.select(F.lit(-1).alias("batch"), F.lit(0).cast("long").alias("ord"), "id", "type", "name").unionByName(kept)
+    last = cut(spark, every.groupBy("id").agg(F.max_by(F.struct("type", "name"), place).alias("r"), F.min("batch").alias("since")))
+    remap = told.where("not first").select(F.col("id").alias("old"), "new", F.col("batch").alias("b"), F.col("ord").alias("o"))
+    kind = lookup(low("type"), EDGE_NAMES, default=low("type"))
+    rows = edges.select("batch", "ord", "source", "target", F.when(kind.isin(links), kind).otherwise("related").alias("type"), F.coalesce("weight", F.lit(0.5)).alias("weight"))
+    for end in ("source", "target"):
+        # the last word of the batches up to the edge's own
+        met = rows.join(remap, (F.col("old") == F.col(end)) & (F.col("b") <= F.col("batch")), "left")
+        to = F.coalesce(F.max_by("new", F.when(F.col("new").isNotNull(), F.struct("b", "o"))), F.first(end)).alias(f"__{end}")
+        others = [c for c in ("source", "target", "type", "weight") if c != end]
+        rows = met.groupBy("batch", "ord").agg(to, *(F.first(c).alias(c) for c in others)).withColumnRenamed(f"__{end}", end)
+    rows = cut(spark, rows)
+    for end in ("source", "target"):
+        rows = rows.join(last.select(F.col("id").alias(end), F.col("since").alias(f"{end}_since")), end, "left")
+    whole = F.coalesce((F.col("source_since") <= F.col("batch")) & (F.col("target_since") <= F.col("batch")), F.lit(False))
+    rows = cut(spark, rows.withColumn("whole", whole))
+    numbered_base = base_edges.select("source", "target", "type", "weight", F.struct(F.lit(-1).alias("batch"), F.lit(0).cast("long").alias("ord")).alias("at"))
+    both = numbered_base.unionByName(rows.where("whole").select("source", "target", "type", "weight", place.alias("at")))
+    final = both.groupBy("source", "target", "type").agg(F.min_by("weight", "at").alias("weight"))
+    count = lambda what, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+    report = [count("new entities", told.where("first")), count("same entities", told.where("not first")), count("new claims", known.where("type = 'claim'")), count("dropped edges", rows.where("not whole")), count("unknown kinds of nodes", nodes.where(~lookup(low("type"), NODE_NAMES, default=low("type")).isin(kinds)))]
+    return {"nodes": last.select("id", "r.type", "r.name"), "edges": final, "report": reduce(DataFrame.unionByName, report)}

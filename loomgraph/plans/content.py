@@ -104,3 +104,17 @@ def reviewed_tour(spark, d):
     docs = _docs(spark, d).where(~(F.col("doc_id") % 40).isin(3, 4))
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id")
     return views.tour_review(docs.select((F.col("doc_id") % 40 + 1).alias("step"), name).distinct(), docs.where("doc_id % 8 <> 6").select(name).distinct())
+
+
+@query("""WITH n AS (SELECT DISTINCT doc_id, doc_id % 3 AS batch, lower(coalesce(source, '') || ' ' || coalesce(lang, '') || ' ' || (doc_id % 10)) AS name FROM documents WHERE doc_id IS NOT NULL), c AS (SELECT name, arg_min(doc_id, batch * 1000000000 + doc_id) AS canon FROM n GROUP BY name), m AS (SELECT * FROM n JOIN c USING (name))
+SELECT DISTINCT 'entity:' || a.canon AS source, 'entity:' || b.canon AS target, 'related' AS type, 0.5::DOUBLE AS weight FROM m a JOIN m b ON b.doc_id = a.doc_id + 1 WHERE b.batch <= a.batch""", False)
+def answered_entities(spark, d):
+    """Documents as entities of three batches, named by source and language with other case and blanks, each tied to the next: names meet, edges follow, and those that come before their end are dropped."""
+    docs = _docs(spark, d).groupBy("doc_id").agg(F.max("source").alias("source"), F.max("lang").alias("lang"))
+    at = ((F.col("doc_id") % 3).cast("int").alias("batch"), F.col("doc_id").alias("ord"))
+    name = F.concat_ws("  ", F.upper(F.coalesce("source", F.lit(""))), F.coalesce("lang", F.lit("")), (F.col("doc_id") % 10).cast("string"))
+    entity = lambda c: F.concat(F.lit("entity:"), c.cast("string"))
+    nodes = docs.select(*at, entity(F.col("doc_id")).alias("id"), F.lit("Person").alias("type"), name.alias("name"))
+    edges = docs.select(*at, entity(F.col("doc_id")).alias("source"), entity(F.col("doc_id") + 1).alias("target"), F.lit("relates_to").alias("type"), F.lit(None).cast("double").alias("weight"))
+    none = spark.createDataFrame([], "id string, type string, name string"), spark.createDataFrame([], "source string, target string, type string, weight double")
+    return wiki.merged_answers(*none, nodes, edges)["edges"]

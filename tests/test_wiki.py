@@ -54,3 +54,42 @@ def test_layers(spark):
     for r in wiki.wiki_layers(n, e).collect():
         got.setdefault(r.layer_id, set()).add(r.node_id)
     assert got == {"layer:core": {"topic:core", "article:alpha", "article:c/concept-loom", "entity:my-alpha-2"}, "layer:tools": {"topic:tools", "article:c/concept-loom", "article:z", "claim:concept-loom:x", "entity:loom", "entity:tied", "entity:qq1", "entity:qq2"}, "layer:other": {"entity:qq3", "source:s"}}
+
+
+def plain_answers(base, nodes, edges):
+    """One answer after the other."""
+    found, names, remap, out = dict(base), {}, {}, {}
+    for batch in sorted({x[0] for x in nodes} | {x[0] for x in edges}):
+        for _, _, i, kind, name in sorted((x for x in nodes if x[0] == batch), key=lambda x: x[1]):
+            kind = {"person": "entity", "note": "article", "thesis": "claim"}.get(kind.lower().strip(), kind.lower().strip())
+            if kind not in ("entity", "article", "claim"):
+                continue
+            key = " ".join(name.lower().split())
+            if kind == "entity" and key in names:
+                remap[i] = names[key]
+                continue
+            if kind == "entity":
+                names[key] = i
+            found[i] = (kind, name)
+        for _, _, a, b, kind, w in sorted((x for x in edges if x[0] == batch), key=lambda x: x[1]):
+            a, b = remap.get(a, a), remap.get(b, b)
+            if a in found and b in found:
+                out.setdefault((a, b, {"refines": "builds_on", "cites": "cites"}.get(kind, "related")), w if w is not None else 0.5)
+    return found, out
+
+
+def test_answers_are_merged_in_order(spark):
+    rng = random.Random(7)
+    for _ in range(3):
+        base = {f"a{k}": ("article", f"A{k}") for k in range(3)}
+        nodes = [(k % 3, k // 3, f"e{rng.randrange(9)}", rng.choice(["entity", "Person ", "note", "thesis", "thing"]), rng.choice(["Ada", " ada", "ADA  L", "ada l", "Bo"])) for k in range(24)]
+        ids = [f"e{k}" for k in range(9)] + ["a0", "a1", "none"]
+        edges = [(k % 3, k // 3, rng.choice(ids), rng.choice(ids), rng.choice(["refines", "cites", "odd"]), rng.choice([None, 0.25])) for k in range(36)]
+        got = wiki.merged_answers(
+            spark.createDataFrame([(i, *x) for i, x in base.items()], "id string, type string, name string"), spark.createDataFrame([], "source string, target string, type string, weight double"),
+            spark.createDataFrame(nodes, "batch int, ord long, id string, type string, name string"), spark.createDataFrame(edges, "batch int, ord long, source string, target string, type string, weight double"),
+        )
+        want_nodes, want_edges = plain_answers(base, nodes, edges)
+        assert {r.id: (r.type, r.name) for r in got["nodes"].collect()} == want_nodes
+        assert {(r.source, r.target, r.type): r.weight for r in got["edges"].collect()} == want_edges
+        assert {r.what: r.n for r in got["report"].collect()}["unknown kinds of nodes"] == sum(x[3] == "thing" for x in nodes)
