@@ -4,11 +4,11 @@ A file becomes a table of tokens, each with its line and with how many braces an
 sums over the file's places).  Comments are no tokens, and a string is one, so neither braces nor words in them count.
 
 * A brace's partner is the next brace of the same level.
-* A statement ends at ``;``, ``{`` or ``}`` outside brackets (in some languages also at the end of a line); its tokens, joined by
+* A statement ends at ``;``, ``{`` or before ``}`` outside brackets (in some languages also at the end of a line); its tokens, joined by
   single blanks, are what a language's rules are about.
 * A declaration is a statement that a rule knows, in a place where it may stand: at the top, in a namespace or directly in a
   type's block.  What it belongs to is the last block of the level around it that was opened before.
-* A call is a chain of names before a bracket; its caller is the innermost function whose interval of places contains it.
+* A call is a chain of names before a bracket; its caller is the innermost declared function whose interval of places contains it (functions inside functions are not declared).
 
 Windows and joins are within a file, so the work is spread by files; nothing is collected but the tokens of one statement.
 A null or empty content has no rows; braces that nothing closes end with the file.
@@ -59,6 +59,7 @@ class Rules:
     named: str = r"(\w+) ?(?:=.*)?$"  # a parameter's name
     exported: Callable[[Column, Column], Column] = lambda mods, name: mods.contains("public")
     lines: bool = False  # a line's end ends a statement
+    top: str = ""  # what a function must hold outside types, where its head could be a call
 
 
 _ANNOTATED = r"^(?:@ \w+(?: \. \w+)*(?: \( (?:[^()]|\([^()]*\))*\))? )*"
@@ -66,6 +67,9 @@ _JAVA = _words("public|private|protected|static|final|abstract|synchronized|nati
 _CS = _words("public|private|protected|internal|static|virtual|override|abstract|sealed|async|partial|readonly|unsafe|extern|new|const|required")
 _KT = _words("public|private|protected|internal|open|abstract|final|override|suspend|inline|operator|data|sealed|inner|tailrec|infix|enum|annotation|value|companion|const|lateinit")
 _SWIFT = _words("public|private|fileprivate|internal|open|static|class|final|override|mutating|nonmutating|convenience|required|indirect|lazy|weak")
+_SC_TYPE = _words(r"private(?: \[ [^]]* \])?|protected|final|sealed|abstract|implicit|lazy|case|open|override|inline|transparent")
+_SC_DEF = _words(r"private(?: \[ [^]]* \])?|protected|final|override|implicit|inline|abstract")
+_SC_VAL = _words(r"private(?: \[ [^]]* \])?|protected|final|override|implicit|lazy")
 _NOT = r"(?!return |new |else |throw |await |case |using |package |import |goto |yield )"
 _RUST = r"^(?:# !? ?\[ (?:[^\[\]]|\[[^\[\]]*\])*\] )*((?:pub (?:\( [^)]*\) )?)?)(?:(?:const|async|unsafe|default|extern) )*"
 _CPP = r"^(?:(?:public|private|protected) : )*(?:template < .*? > )?"
@@ -144,7 +148,30 @@ RULES: dict[str, Rules] = {
         exported=lambda mods, name: ~mods.contains("private"),
         lines=True,
     ),
+    "typescript": Rules(
+        _tokens(r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`", _STRING, _CHARS),
+        rf"{_ANNOTATED}((?:(?:export|default|declare|abstract) )*)(class|interface|enum) ({_ID})\b",
+        rf"{_ANNOTATED}((?:(?:export|default|declare|async|public|private|protected|static|readonly|override|abstract|get|set) )*)(?:function (?:\* )?|(?:const|let|var) )?(?!(?:if|for|while|switch|catch|return|new|function|super)\b)(?:\* |# ?)?([A-Za-z_$][\w$]*)(?: \?)?(?: < [^(]* >)?(?: : [^=(]*)?(?: = (?:async )?(?:function )?(?:< [^(]* > )?)? ?\( ?{_INSIDE} ?\)(?: : (.*?))?(?: => .*| => \{{| \{{| ;)?$",
+        (1, 0, 2, 3, 4),
+        rf"{_ANNOTATED}((?:(?:public|private|protected|static|readonly|declare|override|abstract) )*)([A-Za-z_$][\w$]*)(?: [?!])?(?: : .*)?(?: = .*)?(?: ;)?$",
+        around=r"^(?:export )?(?:declare )?(?:namespace|module) ()[\w.]+ [{]$",
+        named=r"^(?:(?:public|private|protected|readonly) )*(?:\.\.\. ?)?(\w+)",
+        exported=lambda mods, name: mods.contains("export"),
+        lines=True,
+        top=r"\b(?:function|const|let|var)\b.*(?:\bfunction\b|=>|\{$)|\bfunction\b",
+    ),
+    "scala": Rules(
+        _tokens(_LONG, _STRING, r"'(?:\\[^'\n]*|[^'\\\n])'"),
+        rf"{_ANNOTATED}{_SC_TYPE}(class|trait|object|enum) ({_ID})\b",
+        rf"{_ANNOTATED}{_SC_DEF}def ([A-Za-z_]\w*)(?: \[ .*? \])?(?: \( ?{_INSIDE} ?\))?(?: \(.*?\))*(?: : ([^=]*?))?(?: = .*| =| = \{{| \{{)?$",
+        (1, 0, 2, 3, 4),
+        rf"{_ANNOTATED}{_SC_VAL}(?:val|var) ({_ID})\b.*$",
+        named=r"^(?:implicit |using )?(\w+) ?:",
+        exported=lambda mods, name: ~mods.startswith("private"),
+        lines=True,
+    ),
 }
+RULES["javascript"] = RULES["tsx"] = RULES["typescript"]
 #: Words that a line's beginning, or its end, goes on with.
 _GOES_ON, _LEFT_OPEN = [".", "?.", "->", ":", "{", "=", "where", "throws", "&&", "||", ")"], [",", "=", "->", "(", "+", "-", ".", "&&", "||", ":"]
 #: Words before a bracket that call nothing.
@@ -189,7 +216,7 @@ def statements(toks: DataFrame) -> DataFrame:
     """``path, language, start, stop, line, last, level, text``: places and lines of each statement's first and last token, and its tokens in a row."""
     order = Window.partitionBy("path", "language").orderBy("at")
     prior, above = F.lag("token").over(order), F.lag("line").over(order)
-    ended = prior.isin(";", "{", "}") & (F.col("inside") == 0)
+    ended = (prior.isin(";", "{", "}") | (F.col("token") == "}")) & (F.col("inside") == 0)
     by_line = F.col("language").isin(*(n for n, r in RULES.items() if r.lines)) & (F.col("line") > above) & (F.col("inside") == 0) & ~F.col("token").isin(*_GOES_ON) & ~prior.isin(*_LEFT_OPEN)
     begun = toks.withColumn("begins", F.when(prior.isNull() | ended | by_line, 1).otherwise(0)).withColumn("nth", F.sum("begins").over(order))
     held = F.array_sort(F.collect_list(F.struct("at", "token", "line", "level")))
@@ -237,6 +264,8 @@ def declarations(toks: DataFrame) -> DataFrame:
     upto = Window.partitionBy("path", "level").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("frame", F.last("frame", True).over(upto)).where("kind is not null")
     around = F.when(F.col("level") > 0, F.col("frame.what")).otherwise("top")
+    must = group(lambda r: text.rlike(r.top) if r.top else F.lit(True))
+    placed = placed.where((around != "top") | ~F.col("kind").isin("function", "signature") | must)
     placed = placed.where((F.col("kind") != "around") & (F.col("kind") != "statement") & around.isin("top", "class", "around") & ((F.col("kind") != "field") | (around == "class")))
     mods = F.when(F.col("kind") == "class", group(lambda r: got(r.types, 1))).when(F.col("kind") == "field", group(lambda r: got(r.fields, 1))).otherwise(group(lambda r: got(r.functions, r.parts[0])))
     own = F.nullif(group(lambda r: got(r.functions, r.parts[1])), F.lit(""))
@@ -261,7 +290,7 @@ def calls(toks: DataFrame, declared: DataFrame) -> DataFrame:
     per = linked.groupBy("path", "language", "chain").agg(F.array_sort(F.collect_list(F.struct("at", "token", "line", "next", "prior"))).alias("held"))
     first, last = F.element_at("held", 1), F.element_at("held", -1)
     text = F.regexp_replace(F.array_join(F.transform("held", lambda x: F.when(x["token"] == "new", "new ").otherwise(x["token"])), ""), r"^(?:\.|::|->|\?\.|\?->)", "")
-    made = per.where((last["next"] == "(") & ~F.coalesce(first["prior"] == "@", F.lit(False))).select("path", "language", first["at"].alias("at"), first["line"].alias("line"), text.alias("callee"))
+    made = per.where((last["next"] == "(") & ~F.coalesce(first["prior"].isin("@", "function", "fun", "func", "def", "fn"), F.lit(False))).select("path", "language", first["at"].alias("at"), first["line"].alias("line"), text.alias("callee"))
     made = made.where(~F.col("callee").isin(*_NO_CALLS)).withColumn("callee", F.when(F.col("language") == "kotlin", F.regexp_extract("callee", r"(\w+)$", 1)).otherwise(F.col("callee")))
     bodies = declared.where("kind = 'function' and open is not null").select("path", F.col("name").alias("caller"), "open", "close")
     met = made.join(bodies, "path").where("at > open and at < close")

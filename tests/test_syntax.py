@@ -1,4 +1,4 @@
-"""Declarations and calls of eight languages against what stands in small files: nesting, overloads, brackets in strings and comments."""
+"""Declarations and calls of ten languages against what stands in small files: nesting, overloads, brackets in strings and comments."""
 
 import pytest
 
@@ -258,6 +258,74 @@ fileprivate func helper() { Shelf.make() }
         ],
         [("init", "super.init", 7), ("init", "reset", 8), ("find", "items.filter", 12), ("twice", "add", 17), ("helper", "Shelf.make", 22)],
     ),
+    "typescript": (
+        """import { a } from './a';
+export default class Shelf<T> extends Base implements Runs {
+  private size: number = 0;
+  static open = "{";
+  constructor(private name: string, n?: number) {
+    super(name);
+    reset(`}${n}`);
+  }
+  async find<K>(key: Map<string, K>, ...rest: number[]): Promise<T[]> {
+    if (this.size) { return this.items.filter(key); }
+    return new Finder(key).run();
+  }
+  get total(): number { return this.size }
+}
+export interface Runs {
+  run(n: number): boolean;
+  label?: string
+}
+export async function load(path: string, most = 3): Promise<void> {
+  // }
+  const text = await read(path)
+  helper(text)
+}
+const inner = (x: number): string => { return String(x); };
+export const short = async (x) => twice(x)
+enum Kind { A, B }
+run(1);
+function outer() { function nested() { deep() } }
+""",
+        [
+            ("class", "Shelf", None, 2, 14, True, None, None), ("field", "size", "Shelf", 3, 3, False, None, None), ("field", "open", "Shelf", 4, 4, False, None, None), ("function", "constructor", "Shelf", 5, 8, False, ["name", "n"], None),
+            ("function", "find", "Shelf", 9, 12, False, ["key", "rest"], "Promise<T[]>"), ("function", "total", "Shelf", 13, 13, False, [], "number"), ("class", "Runs", None, 15, 18, True, None, None), ("signature", "run", "Runs", 16, 16, False, ["n"], "boolean"),
+            ("field", "label", "Runs", 17, 17, False, None, None), ("function", "load", None, 19, 23, True, ["path", "most"], "Promise<void>"), ("function", "inner", None, 24, 24, False, ["x"], "string"), ("function", "short", None, 25, 25, True, ["x"], None),
+            ("class", "Kind", None, 26, 26, False, None, None), ("function", "outer", None, 28, 28, False, [], None),
+        ],
+        [("constructor", "reset", 7), ("find", "this.items.filter", 10), ("find", "new Finder", 11), ("find", "run", 11), ("load", "read", 21), ("load", "helper", 22), ("inner", "String", 24), ("outer", "deep", 28)],
+    ),
+    "scala": (
+        """package a.b
+import x.y._
+
+case class Point(x: Int, y: Int)
+
+sealed abstract class Shelf[T](name: String) extends Base(name) with Runs {
+  private val open = "{"
+  var size: Int = 0
+  def find[K](key: Map[String, K], most: Int = 3): List[T] = {
+    items.filter(key).toList()
+  }
+  private def one = first(size)
+  override def run(n: Int): Boolean = check(n)
+}
+object Shelf {
+  def make(): Shelf[Int] = {
+    // }
+    new Maker('{').build()
+  }
+}
+private[b] trait Runs { def run(n: Int): Boolean }
+""",
+        [
+            ("class", "Point", None, 4, 4, True, None, None), ("class", "Shelf", None, 6, 14, True, None, None), ("field", "open", "Shelf", 7, 7, False, None, None), ("field", "size", "Shelf", 8, 8, True, None, None),
+            ("function", "find", "Shelf", 9, 11, True, ["key", "most"], "List[T]"), ("function", "one", "Shelf", 12, 12, False, [], None), ("function", "run", "Shelf", 13, 13, True, ["n"], "Boolean"),
+            ("class", "Shelf", None, 15, 20, True, None, None), ("function", "make", "Shelf", 16, 19, True, [], "Shelf[Int]"), ("class", "Runs", None, 21, 21, False, None, None), ("function", "run", "Runs", 21, 21, True, ["n"], "Boolean"),
+        ],
+        [("find", "items.filter", 10), ("find", "toList", 10), ("make", "new Maker", 18), ("make", "build", 18)],
+    ),
 }
 
 
