@@ -205,6 +205,43 @@ def domain_files(spark, d):
 SQL["domain_files"] = "SELECT path FROM (" + SQL["domain_files"] + f") ORDER BY path LIMIT {domain.FILES}"
 
 
+NESTED = {
+    "d{id}/Depot.java": ("java", "public class Depot{id} {\n  // void ghost() { }\n  public Depot{id}(String a) { open(\"}\"); }\n  int put(int n) { return add(n); }\n  int put(String[] a, Map<String, Integer> m) { return m.get(a); }\n  static class Shelf { void run() { new Depot{id}('{'); } }\n}\n"),
+    "d{id}/grid.cpp": ("cpp", "namespace n {\nclass Grid{id} {\n  int w_;\npublic:\n  int size();\n};\n}\nint n::Grid{id}::size() { return std::max(w_, {id}); }\n"),
+    "d{id}/s.ts": ("typescript", "export class S{id} {\n  get(k: string): T { return this.m.get(`}${k}`); }\n}\nexport const f{id} = (x: number): string => { return g(x) }\n"),
+    "d{id}/e.rs": ("rust", "pub struct E{id}<'a> { n: &'a str }\nimpl<'a> E{id}<'a> {\n    pub fn new(n: &'a str) -> Self { Self::with('{') }\n}\n"),
+}
+
+
+def _nested(spark, d):
+    from ..operators import syntax
+
+    files = planted(spark, d, "path string, language string, content string", [(f, lang, text) for f, (lang, text) in NESTED.items()])
+    toks = syntax.tokens(files)
+    return syntax, toks, syntax.declarations(toks)
+
+
+@example("path kind name owner line last exported params", [
+    ("d{id}/Depot.java", "class", "Depot{id}", None, 1, 7, True, None), ("d{id}/Depot.java", "function", "Depot{id}", "Depot{id}", 3, 3, True, ["a"]), ("d{id}/Depot.java", "function", "put", "Depot{id}", 4, 4, False, ["n"]),
+    ("d{id}/Depot.java", "function", "put", "Depot{id}", 5, 5, False, ["a", "m"]), ("d{id}/Depot.java", "class", "Shelf", "Depot{id}", 6, 6, False, None), ("d{id}/Depot.java", "function", "run", "Shelf", 6, 6, False, []),
+    ("d{id}/grid.cpp", "class", "Grid{id}", None, 2, 6, True, None), ("d{id}/grid.cpp", "field", "w_", "Grid{id}", 3, 3, True, None), ("d{id}/grid.cpp", "signature", "size", "Grid{id}", 4, 5, True, []), ("d{id}/grid.cpp", "function", "size", "Grid{id}", 8, 8, True, []),
+    ("d{id}/s.ts", "class", "S{id}", None, 1, 3, True, None), ("d{id}/s.ts", "function", "get", "S{id}", 2, 2, False, ["k"]), ("d{id}/s.ts", "function", "f{id}", None, 4, 4, True, ["x"]),
+    ("d{id}/e.rs", "class", "E{id}", None, 1, 1, True, None), ("d{id}/e.rs", "function", "new", "E{id}", 3, 3, True, ["n"]),
+])
+def owned_declarations(spark, d):
+    """Overloads, nested types, definitions outside their class, braces in strings and comments."""
+    return _nested(spark, d)[2].select("path", "kind", "name", "owner", "line", "last", "exported", "params")
+
+
+@example("path caller callee line", [
+    ("d{id}/Depot.java", "Depot{id}", "open", 3), ("d{id}/Depot.java", "put", "add", 4), ("d{id}/Depot.java", "put", "m.get", 5), ("d{id}/Depot.java", "run", "new Depot{id}", 6),
+    ("d{id}/grid.cpp", "size", "std::max", 8), ("d{id}/s.ts", "get", "this.m.get", 2), ("d{id}/s.ts", "f{id}", "g", 4), ("d{id}/e.rs", "new", "Self::with", 3),
+])
+def attributed_calls(spark, d):
+    syntax, toks, declared = _nested(spark, d)
+    return syntax.calls(toks, declared).select("path", "caller", "callee", "line")
+
+
 def rooted(spark, d, files: dict[str, str]):
     """``root, path, content`` of a tree for every document."""
     return planted(spark, d, "root string, path string, content string", [("t{id}", f, c) for f, c in files.items()])
