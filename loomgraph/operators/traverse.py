@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..plans.loops import Grown, cut, numbered
 
 
-def _passages(arcs: DataFrame, ends: DataFrame) -> DataFrame:
-    """``id, before, other``: nodes that a walk only passes, and the one or two that it may come from; never the given ends."""
+def _passages(arcs: DataFrame, ends: DataFrame, turns: bool) -> DataFrame:
+    """``id, before, other``: nodes that a walk only passes, and the one or two that it may come from (two where it may go either way, if turns); never the given ends."""
     null = F.lit(None).cast("string")
     per = (
         arcs.select(F.col("v").alias("id"), F.col("u").alias("i"), null.alias("o"))
@@ -28,13 +28,13 @@ def _passages(arcs: DataFrame, ends: DataFrame) -> DataFrame:
     )
     one_way = "ins = 1 and outs = 1 and before != after"
     both_ways = "ins = 2 and outs = 2 and before = after and other = last"
-    return per.where(f"({one_way}) or ({both_ways})").select("id", "before", "other").join(ends, "id", "left_anti")
+    return per.where(f"({one_way}) or ({both_ways})" if turns else one_way).select("id", "before", "other").join(ends, "id", "left_anti")
 
 
-def _jumped(arcs: DataFrame, ends: DataFrame) -> DataFrame:
-    """``u, v, w``: the edges from nodes that are more than passages, to every node that a walk then only passes, and their lengths."""
+def _jumped(arcs: DataFrame, ends: DataFrame, longest: bool = False) -> DataFrame:
+    """``u, v, w``: the edges from nodes that are more than passages, to every node that a walk then only passes, and their lengths; of several the shortest, or the longest (of edges in one direction)."""
     spark = arcs.sparkSession
-    via = cut(spark, _passages(arcs, ends))
+    via = cut(spark, _passages(arcs, ends, not longest))
     if via.isEmpty():
         return arcs.withColumn("w", F.lit(1).cast("long"))
     met = arcs.join(via.withColumnRenamed("id", "u"), "u", "left")
@@ -54,7 +54,7 @@ def _jumped(arcs: DataFrame, ends: DataFrame) -> DataFrame:
         if left == before:  # doubling ends every chain in time: these are rings that nothing leads into
             break
     done = made.all().where("root is not null")
-    return done.select(F.col("root").alias("u"), "v", "w").groupBy("u", "v").agg(F.min("w").alias("w"))
+    return done.select(F.col("root").alias("u"), "v", "w").groupBy("u", "v").agg((F.max("w") if longest else F.min("w")).alias("w"))
 
 
 def distances(arcs: DataFrame, start: DataFrame, end: str | None = None) -> DataFrame:
@@ -118,6 +118,37 @@ def shortest_path(edges: DataFrame, a: str, b: str) -> DataFrame:
     return path.select(F.col("depth").cast("int").alias("pos"), "id")
 
 
+def longest_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, level``: the longest way to each node from where no edge leads, as Kahn's order by levels has it; -1 on cycles and after them.
+
+    A round takes a level of what is left when chains are jumped over, so it is for long graphs what ``topological_levels`` is for flat ones; it gives no order within a level.
+    """
+    spark = nodes.sparkSession
+    ids = cut(spark, nodes.select("id").distinct())
+    known = edges.select(F.col("source").alias("u"), F.col("target").alias("v")).join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi")
+    arcs = cut(spark, known.distinct())
+    loops = arcs.where("u = v").select(F.col("u").alias("id"))
+    jumps = cut(spark, _jumped(arcs.where("u != v"), loops, longest=True))
+    degree = jumps.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    # a node that edges lead to, but no jump, is in a ring of passages; it is never free, and neither is one that leads to itself
+    led = arcs.groupBy(F.col("v").alias("id")).agg(F.max((F.col("u") == F.col("v")).cast("int")).alias("own"))
+    never = F.lit(1 << 40)
+    first = ids.join(degree, "id", "left").join(led, "id", "left").select("id", F.when(F.col("own") == 1, never).when(F.col("n").isNull() & F.col("own").isNotNull(), never).otherwise(F.coalesce("n", F.lit(0))).alias("n"), F.lit(0).cast("long").alias("level"))
+    left, done = cut(spark, first), None
+    while True:
+        ready = left.where("n = 0").select("id", "level")
+        if done is None:
+            done = Grown(ready)
+            level = done.all()
+        else:
+            level = done.add(ready)
+        if level.isEmpty():
+            break
+        freed = jumps.join(level.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("m"), F.max(F.col("level") + F.col("w")).alias("late"))
+        left = cut(spark, left.where("n > 0").join(freed, "id", "left").select("id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), F.greatest("level", F.coalesce("late", F.lit(0))).alias("level")))
+    return done.all().unionByName(left.select("id", F.lit(-1).cast("long").alias("level")))
+
+
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, level, pos``: Kahn's order by levels; nodes on cycles come last, level -1, in node order."""
     spark = nodes.sparkSession

@@ -79,6 +79,17 @@ def document_chain(spark, d):
     return found.select(F.substring("id", 2, 20).cast("long").alias("doc_id"), F.col("depth").cast("long").alias("depth")).join(ids, "doc_id", "left_semi")
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id // 2 ELSE -1 END AS level FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)", False)
+def chain_levels(spark, d):
+    """Two long strands of documents: the even ones in a chain, the odd ones in a ring."""
+    ids = _docs(spark, d).select("doc_id").distinct()
+    name = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    least, most = ids.where("doc_id % 2 = 1").agg(F.min("doc_id"), F.max("doc_id")).first()
+    following = F.when((F.col("doc_id") == most), least).otherwise(F.col("doc_id") + 2)
+    found = traverse.longest_depths(ids.select(name(F.col("doc_id")).alias("id")), ids.select(name(F.col("doc_id")).alias("source"), name(following).alias("target")))
+    return found.select(F.substring("id", 2, 20).cast("long").alias("doc_id"), "level")
+
+
 @query(", ends AS (SELECT source AS id FROM edges WHERE type = 'related' UNION ALL SELECT target FROM edges WHERE type = 'related') SELECT id, count(*) AS degree, round(least(greatest(0.85 + 0.03 * count(*), 0.85), 1.5), 4)::DOUBLE AS scale FROM ends GROUP BY id")
 def node_scales(spark, d):
     return graph.node_scale(p.edges(spark, d, "links"))

@@ -223,6 +223,26 @@ def test_depths_are_those_of_a_queue(spark):
         assert {r.id: r.depth for r in traverse.bfs_depth(e, spark.createDataFrame([("n0",), ("n5",)], "id string")).collect()} == depth
 
 
+def test_longest_depths_are_levels(spark):
+    rng = random.Random(3)
+    for _ in range(2):
+        ids = [f"n{i}" for i in range(24)] + [f"c{i}" for i in range(12)] + ["r0", "r1", "r2", "s"]
+        pairs = [(f"n{a}", f"n{b}") for a, b in ((rng.randrange(24), rng.randrange(24)) for _ in range(20)) if a < b or rng.random() < 0.1]
+        pairs += [(f"c{i}", f"c{i + 1}") for i in range(11)] + [("n0", "c0"), ("c11", "n23"), ("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("s", "s"), ("n0", "n23"), ("n0", "gone")]
+        left, level, want = {i: sum(b == i for _, b in set(pairs)) for i in ids}, dict.fromkeys(ids, 0), {}
+        queue = [i for i in ids if not left[i]]
+        for x in queue:
+            want[x] = level[x]
+            for a, b in set(pairs):
+                if a == x and b in left:
+                    left[b] -= 1
+                    level[b] = max(level[b], level[x] + 1)
+                    if not left[b]:
+                        queue.append(b)
+        got = traverse.longest_depths(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(edge_rows(pairs), EDGE))
+        assert {r.id: r.level for r in got.collect()} == {i: want.get(i, -1) for i in ids}
+
+
 def plain_louvain(ids, pairs):
     """One node after the other, as the method was first told; the modularity that it reaches."""
     weight = {}
