@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .loops import checkpoint_dir
+from .loops import checkpoint_dir, numbered
 
 #: Places of a kind's rows in the graph's order: kind number times SPAN, plus the row's own number.
 SPAN = 1 << 40
@@ -30,7 +31,7 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted(found))
 
 
-def _once(spark: SparkSession, sf_dir: str, part: str, df: DataFrame) -> DataFrame:
+def _once(spark: SparkSession, sf_dir: str, part: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The whole graph's nodes or edges are made of the tables once an application, and read from the shared folder after that; again if a table's files have changed.
 
     So links are cut from pages, contents hashed and events ordered once, and columns and filters reach the scan.
@@ -38,7 +39,7 @@ def _once(spark: SparkSession, sf_dir: str, part: str, df: DataFrame) -> DataFra
     key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), part)
     if key not in _WRITTEN:
         folder = f"{checkpoint_dir(spark)}/graph-{part}-{uuid.uuid4().hex}"
-        df.write.parquet(folder)
+        make().write.parquet(folder)
         _WRITTEN[key] = folder
     return spark.read.parquet(_WRITTEN[key])
 
@@ -130,7 +131,7 @@ def nodes(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
         "documents": of_documents, "pages": of_pages, "benchmark": of_benchmark, "users": of_users, "steps": of_steps, "topics": of_topics,
     }
     if not kinds:
-        return _once(spark, sf_dir, "nodes", reduce(DataFrame.unionByName, (f() for f in made.values())))
+        return _once(spark, sf_dir, "nodes", lambda: reduce(DataFrame.unionByName, (f() for f in made.values())))
     return reduce(DataFrame.unionByName, (made[k]() for k in kinds))
 
 
@@ -148,7 +149,10 @@ def edges(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
 
     def of_events() -> DataFrame:
-        df = t("events").select("event_id", "event_type", F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("next")).where("next is not null")
+        # events are numbered by ranges over all users and meet the next number, so a user of very many events is not one task's
+        placed = numbered(t("events").select("event_id", "event_type", "user_id", "ts"), [F.col("user_id"), F.col("ts"), F.col("event_id")], "n")
+        after = placed.select((F.col("n") - 1).alias("n"), F.col("user_id").alias("same"), F.col("event_type").alias("next"))
+        df = placed.join(after, "n").where(F.col("user_id").eqNullSafe(F.col("same"))).where("next is not null")
         return _edge(7, df, _id("step:event/", "event_type"), _id("step:event/", "next"), "triggers", 0.6, F.col("event_id"))
 
     def of_copies() -> DataFrame:
@@ -168,7 +172,7 @@ def edges(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
         "copies": of_copies,
     }
     if not kinds:
-        return _once(spark, sf_dir, "edges", reduce(DataFrame.unionByName, (f() for f in made.values())))
+        return _once(spark, sf_dir, "edges", lambda: reduce(DataFrame.unionByName, (f() for f in made.values())))
     return reduce(DataFrame.unionByName, (made[k]() for k in kinds))
 
 
