@@ -136,18 +136,18 @@ def sound_layers(members: DataFrame, layers: DataFrame, nodes: DataFrame) -> Dat
 
 def freshness(commits: DataFrame, built: str, head: str, changed: DataFrame) -> dict:
     """How a graph built at one commit stands to another (``commits``: child, parent; ``changed``: path not yet committed)."""
-    from .traverse import bfs_depth
+    from .traverse import distances
 
     if built == head:
         n = changed.count()
         return {"state": "dirty" if n else "fresh", "files": n}
-    links = commits.select(F.col("child").alias("source"), F.col("parent").alias("target"))
-    if links.where((F.col("source") == built) | (F.col("target") == built)).isEmpty():
+    links = cut(commits.sparkSession, commits.select(F.col("child").alias("u"), F.col("parent").alias("v")).where("u != v").distinct())
+    if links.where((F.col("u") == built) | (F.col("v") == built)).isEmpty():
         return {"state": "unknown", "files": 0}
 
     def above(a: str, b: str) -> bool:
         start = links.sparkSession.createDataFrame([(a,)], "id string")
-        return not bfs_depth(links, start).where(F.col("id") == b).isEmpty()
+        return not distances(links, start, b).where(F.col("id") == b).isEmpty()
 
     relation = "behind" if above(head, built) else "ahead" if above(built, head) else "diverged"
     return {"state": "stale", "relation": relation, "files": changed.count()}

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import domain, graph, parse, repair, traverse, views, wiki
-from ..sources import documents
+from ..sources import documents, graphs
+from ..sources import files as sources
 from . import projection as p
 from .loops import checkpoint_dir
 from .queries import query
@@ -129,3 +130,39 @@ def answered_entities(spark, d):
     edges = docs.select(*at, entity(F.col("doc_id")).alias("source"), entity(F.col("doc_id") + 1).alias("target"), F.lit("relates_to").alias("type"), F.lit(None).cast("double").alias("weight"))
     none = spark.createDataFrame([], "id string, type string, name string"), spark.createDataFrame([], "source string, target string, type string, weight double")
     return wiki.merged_answers(*none, nodes, edges)["edges"]
+
+
+@query("""WITH f AS (SELECT doc_id, len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) AS lines, CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'markdown' WHEN 2 THEN 'typescript' ELSE 'sql' END AS language, CASE doc_id % 4 WHEN 1 THEN 'docs' WHEN 3 THEN 'data' ELSE 'code' END AS category FROM documents WHERE doc_id IS NOT NULL)
+SELECT category, NULL AS language, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines FROM f GROUP BY category UNION ALL SELECT NULL, language, count(*), sum(lines) FROM f GROUP BY language UNION ALL SELECT NULL, NULL, count(*), sum(lines) FROM f""", False)
+def text_scan_stats(spark, d):
+    """Whole texts as files of four kinds: files and lines by category, by language and in all."""
+    ending = F.element_at(F.array(*map(F.lit, (".py", ".md", ".ts", ".sql"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    tree = _docs(spark, d).select(F.concat(F.lit("t/"), F.col("doc_id").cast("string"), ending).alias("path"), "text").withColumnRenamed("text", "content")
+    return sources.scan_stats(sources.inventory(tree))
+
+
+@query("SELECT count(*) FILTER (WHERE NOT (lang = 'de' OR doc_id % 10 = 3)) AS files, count(*) FILTER (WHERE lang = 'de' OR doc_id % 10 = 3) AS filtered FROM (SELECT doc_id, coalesce(lang, 'none') AS lang FROM documents WHERE doc_id IS NOT NULL)", False)
+def ignored_counts(spark, d):
+    """Files that stay, and those that only the caller's patterns drop."""
+    paths = _docs(spark, d).select(F.concat_ws("/", F.lit("t"), F.coalesce("lang", F.lit("none")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return sources.ignore_accounting(paths, ["de/", "*3.txt"])
+
+
+@query("SELECT count(*) AS nodes, CAST(floor(count(*) * 1.7) AS BIGINT) AS edges, true AS known FROM documents", False)
+def synthetic_graph(spark, d):
+    """A seeded graph of as many nodes as there are documents, whose edges all have their ends among them."""
+    nodes, edges = graphs.synthetic(spark, p.table(spark, d, "documents").count())
+    ends = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).join(nodes.select("id"), "id", "left_anti").agg((F.count(F.lit(1)) == 0).alias("known"))
+    return nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges"))).crossJoin(ends)  # one row each
+
+
+@query("SELECT 'stale' AS state, 'behind' AS relation, count(*) FILTER (WHERE doc_id % 9 = 0) AS files FROM documents WHERE doc_id IS NOT NULL", False)
+def chain_freshness(spark, d):
+    """Documents as a history of one line: a graph built at the first is behind the last."""
+    ids = _docs(spark, d)
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    first, last = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
+    commits = ids.select(name(F.col("doc_id")).alias("child"), name(F.col("doc_id") - 1).alias("parent"))
+    changed = ids.where("doc_id % 9 = 0").select(F.col("doc_id").cast("string").alias("path"))
+    told = views.freshness(commits, f"c{first}", f"c{last}", changed)
+    return spark.createDataFrame([(told["state"], told["relation"], told["files"])], "state string, relation string, files long")
