@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import pickle
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -42,6 +43,8 @@ LIMIT = 1024
 
 #: Fixed value: how a byte-level BPE of this kind parts a text (contractions; letters, numbers and others with a blank before them; blanks).
 PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for a text of ASCII characters alone, whose classes need no tables.
+ASCII_PRE_TOKEN = PRE_TOKEN.replace(r" ?\p{L}+", " ?[A-Za-z]+").replace(r" ?\p{N}+", " ?[0-9]+").replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]")
 
 
 def default_vocabulary() -> str:
@@ -54,9 +57,12 @@ class Splitter:
     """A text's pre-tokens, special strings apart."""
 
     def __init__(self, specials: list[str]) -> None:
-        self.pre = regex.compile(PRE_TOKEN).findall
+        self.wide, self.plain = regex.compile(PRE_TOKEN).findall, re.compile(ASCII_PRE_TOKEN, re.ASCII).findall
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
 
+    def pre(self, text: str) -> list[str]:
+        return self.plain(text) if text.isascii() else self.wide(text)
+
     def __call__(self, text: str) -> tuple[list[str], int]:
         if self.special is None or self.special.search(text) is None:
             return self.pre(text), 0
