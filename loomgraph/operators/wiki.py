@@ -1,6 +1,6 @@
 """Wiki pages to a graph: articles, topics, sources, links between them, layers and the places of entities and claims.
 
-Names are found in other names and in texts by a join on one part of them: the rarest run of up to three characters of what is looked for
+Names are found in other names and in texts by a join on one part of them: the rarest run of up to eight characters of what is looked for
 meets the texts that hold it, and only those are searched.  So no name is tried on every text.
 """
 
@@ -53,26 +53,29 @@ def merge_entities(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 #: Pages at the top of a wiki that are no articles.
 INFRASTRUCTURE = ["index.md", "log.md", "claude.md", "agents.md", "soul.md"]
-#: Characters of the runs by which texts are found.
-RUN = 3
+#: Characters of the runs by which texts are found: as many as a pattern has.
+RUNS = (1, 2, 4, 8)
 
 
 def containing(patterns: DataFrame, texts: DataFrame) -> DataFrame:
     """``pattern_id, text_id`` of all pairs where a text (``text_id, text``) contains a pattern (``pattern_id, pattern``, not empty), once each."""
 
     def runs(text, n: int):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substr(text, k, F.lit(n))))
+        # one pass over a text; substr would count its characters again for every place.  Half a surrogate pair begins a run of its own in patterns and texts alike
+        return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
     spark = texts.sparkSession
     patterns, texts = cut(spark, patterns), cut(spark, texts)
     found = [patterns.limit(0).select("pattern_id").crossJoin(texts.limit(0).select("text_id"))]  # no rows: the types
-    lengths = {r[0] for r in patterns.select(F.least(F.length("pattern"), F.lit(RUN))).distinct().collect()}  # RUN at most
-    for n in sorted(lengths - {0}):
-        own = patterns.where(F.length("pattern") == n if n < RUN else F.length("pattern") >= n)
-        held = texts.where(F.length("text") >= n).select("text_id", F.explode(runs(F.col("text"), n)).alias("run"))
-        asked = own.select("pattern_id", "pattern", F.explode(runs(F.col("pattern"), n)).alias("run"))
+    length = F.greatest(*(F.when(F.length("pattern") >= n, n) for n in RUNS))
+    lengths = {r[0] for r in patterns.select(length).distinct().collect()} - {None}  # as many as RUNS at most
+    for n in sorted(lengths):
+        asked = cut(spark, patterns.where(length == n).select("pattern_id", "pattern", F.explode(runs(F.col("pattern"), n)).alias("run")).distinct())
+        # of a text's runs only those that are asked for are kept, so where patterns are few nothing else is shuffled
+        wanted = cut(spark, asked.select("run").distinct())
+        held = cut(spark, texts.select("text_id", F.explode(runs(F.col("text"), n)).alias("run")).join(wanted, "run", "left_semi").distinct())
         # a pattern with a run that no text holds is in none
-        counts = held.join(asked.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+        counts = held.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
         rarest = asked.join(counts, "run", "left").groupBy("pattern_id", "pattern").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("run"))
         met = rarest.join(held, "run").join(texts, "text_id")
         found.append(met.where(F.col("text").contains(F.col("pattern"))).select("pattern_id", "text_id"))

@@ -1,6 +1,7 @@
 """Wikis: links, backlinks, topics, sources, places of entities and claims."""
 
 import random
+import time
 
 from loomgraph.operators import wiki
 
@@ -43,6 +44,16 @@ def test_patterns_in_texts(spark):
     assert sorted(rows) == sorted((p, k) for p in patterns for k, t in enumerate(texts) if p in t)
 
 
+def test_patterns_in_long_texts(spark):
+    """Runs are cut in time that grows with a text's length, not with its square; characters of two halves are whole."""
+    patterns = ["needle in hay", "a🧵b", "🧵", "xyxyxyxyxz", "no such needle"]
+    texts = ["xy" * 400_000 + "needle in hay", "xy" * 300_000 + "xz", "a🧵b", None, ""]
+    began = time.monotonic()
+    got = wiki.containing(spark.createDataFrame([(p, p) for p in patterns], "pattern_id string, pattern string"), spark.createDataFrame(list(enumerate(texts)), "text_id int, text string"))
+    assert sorted((r.pattern_id, r.text_id) for r in got.collect()) == sorted((p, k) for p in patterns for k, t in enumerate(texts) if t and p in t)
+    assert time.monotonic() - began < 60
+
+
 def test_layers(spark):
     nodes = [("article:alpha", "article", "Alpha page", "x"), ("article:c/concept-loom", "article", "Looms", "about"), ("article:z", "article", "Zed", "holds QUANTUM dust"), ("topic:core", "topic", "Core", None), ("topic:tools", "topic", "Tools", None),
              ("entity:tied", "entity", "T", None), ("claim:concept-loom:x", "claim", "C", None), ("entity:loom", "entity", "L", None), ("entity:my-alpha-2", "entity", "M", None), ("entity:qq1", "entity", "quantum", None), ("entity:qq2", "entity", "ZE", None), ("entity:qq3", "entity", "??", None), ("source:s", "source", "s", None)]
