@@ -12,7 +12,9 @@ a tie).  Of all moves that are wanted at once, a set is carried out that surely
 
 So the modularity rises in every round that moves a node, the move of least hash is always carried out, and no cap on
 rounds is needed.  After a round only neighbours of moved nodes, and those whose move had to wait, look again; when none is left all nodes
-look once more, and a level ends when none of them wants to move.  Levels end when one of them moves nothing.
+look once more, and a level ends when none of them wants to move.  Levels end when one of them moves nothing.  A group that a lower level
+put together wrongly cannot be parted by a higher one, so after the last level single nodes look again from where they are, and if any
+moves, levels follow anew; at the end no node and no community gains by moving.
 
 Rounds are aggregations and joins; no neighbourhood or community is collected in one task.
 """
@@ -88,11 +90,10 @@ def _carried(moves: DataFrame, total: float) -> DataFrame:
     return met.where(first | sure).select("id", "goal")
 
 
-def _moved(both: DataFrame, degree: DataFrame, total: float) -> DataFrame:
-    """``id, k, container`` of a weighted graph given in both directions (``s, t, w``)."""
+def _moved(both: DataFrame, labels: DataFrame, total: float) -> DataFrame:
+    """``id, k, container`` of a weighted graph given in both directions (``s, t, w``) and of its nodes' communities so far, after all moves that gain."""
     spark = both.sparkSession
     ties = cut(spark, both.where("s != t"))
-    labels = cut(spark, degree.select("id", "k", F.col("id").alias("container")))
     look, turn = None, 0
     while True:
         wanted = cut(spark, _wanted(ties, look, labels, total, turn))
@@ -108,18 +109,33 @@ def _moved(both: DataFrame, degree: DataFrame, total: float) -> DataFrame:
         turn += 1
 
 
+def _single(both: DataFrame) -> DataFrame:
+    """``id, k, container``: every node alone."""
+    return cut(both.sparkSession, both.groupBy(F.col("s").alias("id")).agg(F.sum("w").alias("k")).withColumn("container", F.col("id")))
+
+
+def _raised(both: DataFrame, labels: DataFrame, total: float) -> DataFrame:
+    """``id, k, container`` after communities have moved as wholes, level by level, until none does."""
+    spark, found = both.sparkSession, labels
+    while True:
+        a, b = found.select(F.col("id").alias("s"), F.col("container").alias("cs")), found.select(F.col("id").alias("t"), F.col("container").alias("ct"))
+        both = cut(spark, both.join(a, "s").join(b, "t").groupBy(F.col("cs").alias("s"), F.col("ct").alias("t")).agg(F.sum("w").alias("w")))
+        found = _moved(both, _single(both), total)
+        if found.where("id != container").isEmpty():
+            return labels
+        labels = cut(spark, labels.join(found.select(F.col("id").alias("container"), F.col("container").alias("new")), "container").select("id", "k", F.col("new").alias("container")))
+
+
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, container``: a community's name is one of its members' ids."""
     spark = nodes.sparkSession
     both = cut(spark, _both(edges, nodes))
     total = (both.agg(F.sum("w")).first()[0] or 0.0) / 2
-    out = cut(spark, nodes.select("id", F.col("id").alias("container")).distinct())
+    labels = _single(both)
     while total:
-        degree = cut(spark, both.groupBy(F.col("s").alias("id")).agg(F.sum("w").alias("k")))
-        found = _moved(both, degree, total)
-        if found.where("id != container").isEmpty():
+        found = _moved(both, labels, total)
+        was = labels.select("id", F.col("container").alias("was"))
+        if found.join(was, "id").where("container != was").isEmpty():
             break
-        out = cut(spark, out.join(found.select(F.col("id").alias("container"), F.col("container").alias("new")), "container", "left").select("id", F.coalesce("new", "container").alias("container")))
-        a, b = found.select(F.col("id").alias("s"), F.col("container").alias("cs")), found.select(F.col("id").alias("t"), F.col("container").alias("ct"))
-        both = cut(spark, both.join(a, "s").join(b, "t").groupBy(F.col("cs").alias("s"), F.col("ct").alias("t")).agg(F.sum("w").alias("w")))
-    return out
+        labels = _raised(both, found, total)
+    return nodes.select("id").distinct().join(labels.select("id", "container"), "id", "left").select("id", F.coalesce("container", "id").alias("container"))

@@ -307,6 +307,14 @@ def test_communities_are_as_good_as_one_node_at_a_time(spark, kind):
     assert reached >= 0.99 * plain_louvain(ids, pairs)
 
 
+def test_a_wrongly_grouped_node_moves_alone(spark):
+    """What a lower level put together wrongly is parted again, from the communities found so far."""
+    pairs = [(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(4) for j in range(i)] + [("a0", "b0")]
+    both = spark.createDataFrame([(*x, 1.0) for a, b in pairs for x in ((a, b), (b, a))], "s string, t string, w double")
+    labels = both.groupBy(F.col("s").alias("id")).agg(F.sum("w").alias("k")).withColumn("container", F.when(F.col("id") == "b0", "a").otherwise(F.substring("id", 1, 1)))
+    assert {(r.id, r.container) for r in community._moved(both, labels, float(len(pairs))).collect()} == {(f"{g}{i}", g) for g in "ab" for i in range(4)}
+
+
 def test_numbers_by_ranges(spark):
     from pyspark.sql import functions as F
 
