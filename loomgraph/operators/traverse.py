@@ -14,7 +14,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.loops import Grown, cut, numbered
+from ..plans.loops import SENT, Grown, cut, dealt, numbered
 
 
 def _passages(arcs: DataFrame, ends: DataFrame, turns: bool) -> DataFrame:
@@ -35,8 +35,11 @@ def _jumped(arcs: DataFrame, ends: DataFrame, longest: bool = False) -> DataFram
     """``u, v, w``: the edges from nodes that are more than passages, to every node that a walk then only passes, and their lengths; of several the shortest, or the longest (of edges in one direction)."""
     spark = arcs.sparkSession
     via = cut(spark, _passages(arcs, ends, not longest))
-    if via.isEmpty():
+    passed = via.count()
+    if not passed:
         return arcs.withColumn("w", F.lit(1).cast("long"))
+    if passed > SENT:
+        via = dealt(via)
     met = arcs.join(via.withColumnRenamed("id", "u"), "u", "left")
     came = F.when(F.col("before") != F.col("v"), F.col("before")).otherwise(F.col("other"))
     # an edge whose tail is a passage points to the edge before it (pu, pv = its tail); any other is at its root
@@ -48,7 +51,7 @@ def _jumped(arcs: DataFrame, ends: DataFrame, longest: bool = False) -> DataFram
         # what can be pointed at: edges that lead to passages, at their roots or on their way
         done = made.all().where("root is not null").join(via.select(F.col("id").alias("v")), "v", "left_semi").select(*state.columns)
         at = done.unionByName(open_).select(F.col("u").alias("pu"), F.col("v").alias("pv"), "root", F.col("pu").alias("qu"), F.col("pv").alias("qv"), F.col("w").alias("more"))
-        step = open_.drop("root").join(at, ["pu", "pv"]).select("u", "v", "root", F.col("qu").alias("pu"), F.col("qv").alias("pv"), (F.col("w") + F.col("more")).alias("w"))
+        step = open_.drop("root").join(dealt(at), ["pu", "pv"]).select("u", "v", "root", F.col("qu").alias("pu"), F.col("qv").alias("pv"), (F.col("w") + F.col("more")).alias("w"))
         open_ = made.add(step, lambda df: df.where("root is not null")).where("root is null")
         before, left = left, open_.count()
         if left == before:  # doubling ends every chain in time: these are rings that nothing leads into
@@ -68,9 +71,11 @@ def distances(arcs: DataFrame, start: DataFrame, end: str | None = None) -> Data
     frontier = known.all()
     while True:
         step = nearest(edges.join(frontier.withColumnRenamed("id", "u"), "u").select(F.col("v").alias("id"), (F.col("depth") + F.col("w")).alias("depth")))
-        better = step.join(nearest(known.all()).withColumnRenamed("depth", "was"), "id", "left").where("was is null or depth < was")
+        better = step.join(dealt(nearest(known.all()).withColumnRenamed("depth", "was")), "id", "left").where("was is null or depth < was")
         frontier = known.add(better, nearest)
-        least = frontier.agg(F.min("depth")).first()[0]
+        least, n = frontier.agg(F.min("depth"), F.count(F.lit(1))).first()
+        if n > SENT:
+            frontier = dealt(frontier)
         if least is None:
             break
         if end is not None:
@@ -125,15 +130,15 @@ def longest_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     spark = nodes.sparkSession
     ids = cut(spark, nodes.select("id").distinct())
-    known = edges.select(F.col("source").alias("u"), F.col("target").alias("v")).join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi")
+    known = edges.select(F.col("source").alias("u"), F.col("target").alias("v")).join(dealt(ids.withColumnRenamed("id", "u")), "u", "left_semi").join(dealt(ids.withColumnRenamed("id", "v")), "v", "left_semi")
     arcs = cut(spark, known.distinct())
     loops = arcs.where("u = v").select(F.col("u").alias("id"))
-    jumps = cut(spark, _jumped(arcs.where("u != v"), loops, longest=True))
+    jumps = cut(spark, _jumped(arcs.where("u != v"), dealt(loops), longest=True))
     degree = jumps.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     # a node that edges lead to, but no jump, is in a ring of passages; it is never free, and neither is one that leads to itself
     led = arcs.groupBy(F.col("v").alias("id")).agg(F.max((F.col("u") == F.col("v")).cast("int")).alias("own"))
     never = F.lit(1 << 40)
-    first = ids.join(degree, "id", "left").join(led, "id", "left").select("id", F.when(F.col("own") == 1, never).when(F.col("n").isNull() & F.col("own").isNotNull(), never).otherwise(F.coalesce("n", F.lit(0))).alias("n"), F.lit(0).cast("long").alias("level"))
+    first = ids.join(dealt(degree), "id", "left").join(dealt(led), "id", "left").select("id", F.when(F.col("own") == 1, never).when(F.col("n").isNull() & F.col("own").isNotNull(), never).otherwise(F.coalesce("n", F.lit(0))).alias("n"), F.lit(0).cast("long").alias("level"))
     left, done = cut(spark, first), None
     while True:
         ready = left.where("n = 0").select("id", "level")
@@ -144,8 +149,8 @@ def longest_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             level = done.add(ready)
         if level.isEmpty():
             break
-        freed = jumps.join(level.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("m"), F.max(F.col("level") + F.col("w")).alias("late"))
-        left = cut(spark, left.where("n > 0").join(freed, "id", "left").select("id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), F.greatest("level", F.coalesce("late", F.lit(0))).alias("level")))
+        freed = dealt(jumps).join(level.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("m"), F.max(F.col("level") + F.col("w")).alias("late"))
+        left = cut(spark, left.where("n > 0").join(dealt(freed), "id", "left").select("id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), F.greatest("level", F.coalesce("late", F.lit(0))).alias("level")))
     return done.all().unionByName(left.select("id", F.lit(-1).cast("long").alias("level")))
 
 

@@ -10,7 +10,7 @@ from ..operators import domain, graph, parse, repair, traverse, views, wiki
 from ..sources import documents, graphs
 from ..sources import files as sources
 from . import projection as p
-from .loops import checkpoint_dir
+from .loops import checkpoint_dir, dealt
 from .queries import query
 
 
@@ -77,7 +77,7 @@ def document_chain(spark, d):
     name = lambda c: F.concat(F.lit("d"), c.cast("string"))
     start = ids.agg(name(F.min("doc_id")).alias("id"))
     found = traverse.bfs_depth(ids.select(name(F.col("doc_id")).alias("source"), name(F.col("doc_id") + 1).alias("target")), start)
-    return found.select(F.substring("id", 2, 20).cast("long").alias("doc_id"), F.col("depth").cast("long").alias("depth")).join(ids, "doc_id", "left_semi")
+    return found.select(F.substring("id", 2, 20).cast("long").alias("doc_id"), F.col("depth").cast("long").alias("depth")).join(dealt(ids), "doc_id", "left_semi")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id // 2 ELSE -1 END AS level FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)", False)

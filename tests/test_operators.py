@@ -315,6 +315,17 @@ def test_a_wrongly_grouped_node_moves_alone(spark):
     assert {(r.id, r.container) for r in community._moved(both, labels, float(len(pairs))).collect()} == {(f"{g}{i}", g) for g in "ab" for i in range(4)}
 
 
+def test_growing_sides_of_chains_are_not_broadcast(spark, monkeypatch):
+    from loomgraph.plans import loops
+
+    plans, write = [], loops.write
+    monkeypatch.setattr(traverse, "SENT", 0)
+    monkeypatch.setattr(loops, "write", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    got = traverse.longest_depths(spark.createDataFrame([(f"n{i}",) for i in range(6)], "id string"), spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(5)], "source string, target string"))
+    assert sorted((r.id, r.level) for r in got.collect()) == [(f"n{i}", i) for i in range(6)]
+    assert any("SortMergeJoin" in x for x in plans) and not any("BroadcastHashJoin" in x for x in plans)
+
+
 def test_numbers_by_ranges(spark):
     from pyspark.sql import functions as F
 
