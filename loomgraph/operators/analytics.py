@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import basename, lookup, utf16_order
 from ..functions.vocabulary import ENTRY_FILES, FILE_LABELS, FOLDER_LABELS, LAYER_PATTERNS
-from ..plans.loops import numbered
+from ..plans.loops import held, numbered, parted
 
 
 def fan(edges: DataFrame, inward: bool, k: int = 20) -> DataFrame:
@@ -21,7 +21,7 @@ def type_matrix(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``source_type, target_type, type, n``."""
     s = nodes.select(F.col("id").alias("source"), F.col("type").alias("source_type"))
     t = nodes.select(F.col("id").alias("target"), F.col("type").alias("target_type"))
-    return edges.join(s, "source").join(t, "target").groupBy("source_type", "target_type", "type").agg(F.count(F.lit(1)).alias("n"))
+    return edges.join(held(s), "source").join(held(t), "target").groupBy("source_type", "target_type", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def group_density(edges: DataFrame, groups: DataFrame) -> DataFrame:

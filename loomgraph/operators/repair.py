@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
 from ..functions.columns import lookup, number_prefix
+from ..plans.loops import held
 
 PREFIXES = sorted({t for types in v.NODE_TYPES.values() for t in types})
 
@@ -99,7 +100,7 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """All edges with ``reason``: missing-source, missing-target, missing-both, or null for sound ones."""
     s = nodes.select(F.col("id").alias("source"), F.lit(True).alias("__s")).distinct()
     t = nodes.select(F.col("id").alias("target"), F.lit(True).alias("__t")).distinct()
-    met = edges.join(s, "source", "left").join(t, "target", "left")
+    met = edges.join(held(s), "source", "left").join(held(t), "target", "left")
     reason = F.when(F.col("__s").isNull() & F.col("__t").isNull(), "missing-both").when(F.col("__s").isNull(), "missing-source").when(F.col("__t").isNull(), "missing-target")
     return met.select(*edges.columns, reason.alias("reason"))
 

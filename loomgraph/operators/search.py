@@ -162,7 +162,7 @@ def chat_context(found: Index, nodes: DataFrame, edges: DataFrame, members: Data
 
     hits = indexed(found, query, k=k)
     around = neighbours(edges, F.broadcast(hits.select("id")))  # k rows at most
-    return {"hits": hits, "nodes": nodes.join(around, "id", "left_semi"), "edges": induced(edges, around), "layers": touched_layers(members, around)}
+    return {"hits": hits, "nodes": nodes.join(around, "id", "left_semi"), "edges": induced(edges, around, few=True), "layers": touched_layers(members, around)}
 
 
 def cosine(a: Column, b: list[float]) -> Column:
