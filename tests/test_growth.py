@@ -28,3 +28,16 @@ def test_edges_stream_past_nodes(large):
     for df in met:
         assert "ShuffledHashJoin" in plan(df) and "SortMergeJoin" not in plan(df)
     assert met[0].count() == 3000 and met[1].where("reason is not null").count() == 0
+
+
+def test_review_meets_once(large):
+    edges, nodes = large
+    members = nodes.where("id < 'n2'").select(F.lit("l").alias("layer_id"), F.col("id").alias("node_id"))
+    tour = nodes.where("id in ('n1', 'n7')").select(F.lit(1).alias("step"), "id").unionByName(nodes.limit(1).select(F.lit(2).alias("step"), F.lit("zz").alias("id")))
+    odd = edges.limit(2).select(F.lit(None).cast("string").alias("source"), F.lit("nowhere").alias("target"), "type", "weight")
+    twice = nodes.unionByName(nodes.where("id = 'n5'")).unionByName(nodes.limit(1).select(F.lit(None).cast("string").alias("id"), "type", "name"))
+    found = views.review(twice, edges.unionByName(odd), members, tour)
+    assert "Join" not in plan(found)
+    got = {r.check: r.n for r in found.collect()}
+    outside = nodes.where("id >= 'n2'").count() + 2  # n5 again, and the null
+    assert got == {"missing field": 1, "dangling source": 2, "dangling target": 2, "duplicate id": 1, "file in no layer": outside, "unknown tour member": 1, "orphan": 1, "self edge": 50, "id without its type": 3001}
