@@ -13,7 +13,7 @@ from ..plans.loops import held, numbered, parted
 def fan(edges: DataFrame, inward: bool, k: int = 20) -> DataFrame:
     """``id, fan``: the k nodes with most distinct others that point to them (or that they point to)."""
     own, other = ("target", "source") if inward else ("source", "target")
-    few = edges.where("source != target").select(own, other).distinct()
+    few = parted(edges.where("source != target").select(own, other), edges.count(), own, other).distinct()
     return few.groupBy(F.col(own).alias("id")).agg(F.count(F.lit(1)).alias("fan")).orderBy(F.desc("fan"), "id").limit(k)
 
 

@@ -41,3 +41,11 @@ def test_review_meets_once(large):
     got = {r.check: r.n for r in found.collect()}
     outside = nodes.where("id >= 'n2'").count() + 2  # n5 again, and the null
     assert got == {"missing field": 1, "dangling source": 2, "dangling target": 2, "duplicate id": 1, "file in no layer": outside, "unknown tour member": 1, "orphan": 1, "self edge": 50, "id without its type": 3001}
+
+
+def test_fans_tell_pairs_apart_by_parts(spark, large, monkeypatch):
+    edges, _ = large
+    monkeypatch.setattr("loomgraph.plans.loops.PART", 100)
+    df = analytics.fan(edges, True)
+    assert "REPARTITION_BY_NUM" in plan(df) and ", 30)" in plan(df)
+    assert [(r.id, r.fan) for r in df.limit(2).collect()] == [("n0", 59), ("n1", 59)]
