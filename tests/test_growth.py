@@ -49,3 +49,9 @@ def test_fans_tell_pairs_apart_by_parts(spark, large, monkeypatch):
     df = analytics.fan(edges, True)
     assert "REPARTITION_BY_NUM" in plan(df) and ", 30)" in plan(df)
     assert [(r.id, r.fan) for r in df.limit(2).collect()] == [("n0", 59), ("n1", 59)]
+
+
+def test_trade_is_told_apart_by_keys(spark, monkeypatch):
+    monkeypatch.setattr("loomgraph.plans.loops.PART", 1000)
+    text = plan(queries.trade(spark, "/root/testdata/sf0.001"))
+    assert "REPARTITION_BY_NUM" in text and "HashAggregate(keys=[o_custkey" in text
