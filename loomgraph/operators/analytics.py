@@ -118,11 +118,11 @@ def merge_small(groups: DataFrame, least: int = 3, size: int = 25) -> DataFrame:
 
 def batch_neighbours(edges: DataFrame, batches: DataFrame, most: int = 50) -> DataFrame:
     """``id, neighbour`` in other batches, either direction; the most most-connected where a node has more."""
-    both = edges.select(F.col("source").alias("id"), F.col("target").alias("neighbour")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("neighbour"))).where("id != neighbour").distinct()
+    both = edges.where("source != target").select(F.inline(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("neighbour")), F.struct(F.col("target").alias("id"), F.col("source").alias("neighbour"))))).where("id is not null and neighbour is not null").distinct()
     degree = both.groupBy(F.col("id").alias("neighbour")).agg(F.count(F.lit(1)).alias("degree"))
     own = batches.select("id", "batch")
-    other = batches.select(F.col("id").alias("neighbour"), F.col("batch").alias("other"))
-    met = both.join(own, "id").join(other, "neighbour").where("batch != other").join(degree, "neighbour")
+    other = batches.select(F.col("id").alias("neighbour"), F.col("batch").alias("other")).join(degree, "neighbour")
+    met = both.join(held(other), "neighbour").join(held(own), "id").where("batch != other")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("degree"), "neighbour"))
     return met.withColumn("rank", rank).where(F.col("rank") <= most).select("id", "neighbour")
 

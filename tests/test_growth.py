@@ -55,3 +55,12 @@ def test_trade_is_told_apart_by_keys(spark, monkeypatch):
     monkeypatch.setattr("loomgraph.plans.loops.PART", 1000)
     text = plan(queries.trade(spark, "/root/testdata/sf0.001"))
     assert "REPARTITION_BY_NUM" in text and "HashAggregate(keys=[o_custkey" in text
+
+
+def test_neighbours_join_what_is_known_of_nodes_once(large):
+    edges, nodes = large
+    batches = nodes.select("id", F.substring("id", 2, 1).alias("batch"))
+    df = analytics.batch_neighbours(edges, batches, 2)
+    assert plan(df).count("ShuffledHashJoin") == 2
+    got = sorted((r.id, r.neighbour) for r in df.where("id = 'n55' or id = 'n1'").collect())
+    assert got == [("n1", "n2001"), ("n1", "n201")], got
