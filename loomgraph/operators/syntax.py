@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of text, about, whose tokens one task holds.
+TEXT = 1 << 22
 _LINE = r"//[^\n]*|/\*[\s\S]*?\*/"
 _STRING = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
 _CHARS = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
@@ -189,7 +191,10 @@ def _by(language: Column, make: Callable[[str, Rules], Column | None], otherwise
 
 def tokens(files: DataFrame) -> DataFrame:
     """``path, language, at, token, line, level, inside``: places from 0, lines from 1; braces and brackets that are open before a token."""
-    known = files.where(F.col("language").isin(*RULES) & F.col("content").isNotNull())
+    # files are dealt by path before they are cut, so that no window over their tokens deals those again
+    known = files.where(F.col("language").isin(*RULES) & F.col("content").isNotNull()).select("path", "language", "content")
+    size = known.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    known = known.repartition(max(1, -(-size // TEXT)), "path")
     found = _by(F.col("language"), lambda _, r: F.regexp_extract_all("content", F.lit(r.tokens), F.lit(0)))
     return nested(known.select("path", "language", F.posexplode(found).alias("at", "token")), ["path", "language"])
 
@@ -205,15 +210,8 @@ def nested(rows: DataFrame, key: list[str], comments: bool = True) -> DataFrame:
     return lined.where(~comment).select(*key, "at", "token", "line", open_(["{"], ["}"]).alias("level"), open_(["(", "["], [")", "]"]).alias("inside"))
 
 
-def block_pairs(toks: DataFrame) -> DataFrame:
-    """``path, level, open, close, last``: places of a brace and its partner, and the partner's line."""
-    braces = toks.where("token in ('{', '}')").select("path", "at", "token", "line", (F.col("level") - F.when(F.col("token") == "}", 1).otherwise(0)).alias("level"))
-    same = Window.partitionBy("path", "level").orderBy("at")
-    return braces.select("path", "level", "token", F.col("at").alias("open"), F.lead("at").over(same).alias("close"), F.lead("line").over(same).alias("last")).where("token = '{'").drop("token")
-
-
 def statements(toks: DataFrame) -> DataFrame:
-    """``path, language, start, stop, line, last, level, text``: places and lines of each statement's first and last token, and its tokens in a row."""
+    """``path, language, start, stop, line, last, level, text, braces``: places and lines of each statement's first and last token, its tokens in a row, and its braces (``place, row, pair``: place, line and level)."""
     order = Window.partitionBy("path", "language").orderBy("at")
     prior, above = F.lag("token").over(order), F.lag("line").over(order)
     ended = (prior.isin(";", "{", "}") | (F.col("token") == "}")) & (F.col("inside") == 0)
@@ -222,7 +220,8 @@ def statements(toks: DataFrame) -> DataFrame:
     held = F.array_sort(F.collect_list(F.struct("at", "token", "line", "level")))
     per = begun.groupBy("path", "language", "nth").agg(held.alias("held"))
     first, last = F.element_at("held", 1), F.element_at("held", -1)
-    return per.select("path", "language", first["at"].alias("start"), last["at"].alias("stop"), first["line"].alias("line"), last["line"].alias("last"), first["level"].alias("level"), F.array_join(F.transform("held", lambda x: x["token"]), " ").alias("text"))
+    braces = F.transform(F.filter("held", lambda x: x["token"].isin("{", "}")), lambda x: F.struct(x["at"].alias("place"), x["line"].alias("row"), (x["level"] - F.when(x["token"] == "}", 1).otherwise(0)).alias("pair")))
+    return per.select("path", "language", first["at"].alias("start"), last["at"].alias("stop"), first["line"].alias("line"), last["line"].alias("last"), first["level"].alias("level"), F.array_join(F.transform("held", lambda x: x["token"]), " ").alias("text"), braces.alias("braces"))
 
 
 def _tight(text: Column) -> Column:
@@ -243,10 +242,16 @@ def _parameters(text: Column, language: Column) -> Column:
 def declarations(toks: DataFrame) -> DataFrame:
     """``path, language, kind, name, owner, line, last, open, close, exported, params, returns`` of types, functions, signatures and fields, in ``start`` order."""
     lang, text = F.col("language"), F.col("text")
-    blocks = block_pairs(toks)
-    ends = toks.groupBy("path").agg(F.max("at").alias("end_at"), F.max("line").alias("end_line"))
-    took = statements(toks).join(blocks.select("path", F.col("open").alias("stop"), "close", F.col("last").alias("closed")), ["path", "stop"], "left").join(ends, "path")
     opens = F.col("text").endswith("{")
+    # a statement that opens a block stands for its brace, the other braces for themselves: partners are found, and below blocks around, in one pass over them
+    parts = ("language", "start", "stop", "line", "last", "level", "text")
+    own = F.struct(F.col("stop").alias("place"), F.col("last").alias("row"), F.when(opens, F.col("level_at_stop")).alias("pair"), F.struct(*parts).alias("own"))
+    took = statements(toks).withColumn("level_at_stop", F.try_element_at("braces", F.lit(-1))["pair"])
+    other = F.transform(F.filter("braces", lambda x: ~opens | (x["place"] != F.col("stop"))), lambda x: F.struct(x["place"].alias("place"), x["row"].alias("row"), x["pair"].alias("pair"), F.lit(None).cast(took.select(F.struct(*parts).alias("x")).schema["x"].dataType).alias("own")))
+    rows = took.select("path", F.inline(F.concat(F.array(own), other)))
+    same, whole = Window.partitionBy("path", "pair").orderBy("place"), Window.partitionBy("path")
+    rows = rows.select("*", F.lead("place").over(same).alias("close"), F.lead("row").over(same).alias("closed"), F.max("place").over(whole).alias("end_at"), F.max("row").over(whole).alias("end_line"))
+    took = rows.where("own is not null").select("path", "own.*", "close", "closed", "end_at", "end_line")
     took = took.withColumn("close", F.when(opens, F.coalesce("close", F.col("end_at") + 1))).withColumn("last", F.when(opens, F.coalesce("closed", "end_line")).otherwise(F.col("last")))
     group = lambda pick: _by(lang, lambda _, r: pick(r))
     got = lambda pattern, k: F.regexp_extract("text", pattern, k) if pattern and k else F.lit("")
@@ -259,10 +264,14 @@ def declarations(toks: DataFrame) -> DataFrame:
     name = F.when(F.col("kind") == "class", group(lambda r: got(r.types, 3))).when(F.col("kind") == "around", group(lambda r: got(r.around, 1))).when(F.col("kind").isin("function", "signature"), group(lambda r: got(r.functions, r.parts[2]))).when(F.col("kind") == "field", group(lambda r: got(r.fields, 2)))
     told = told.withColumn("name", F.regexp_replace(F.when((lang == "swift") & F.col("kind").isin("function", "signature") & (name == ""), "init").otherwise(name), " ", ""))
     # the block around a statement is the last one of the level below that was opened before it
-    frames = told.where(opens).select("path", (F.col("level") + 1).alias("level"), F.col("stop").alias("place"), F.struct("stop", F.col("kind").alias("what"), F.col("name").alias("whose")).alias("frame"))
-    rows = told.withColumn("place", F.col("start")).withColumn("frame", F.lit(None).cast(frames.schema["frame"].dataType)).unionByName(frames, True)
+    held = F.struct(*[F.col(c) for c in told.columns if c not in ("path", "level")])
+    of, frame = told.select(held.alias("x"), F.struct("stop", F.col("kind").alias("what"), F.col("name").alias("whose")).alias("f")).schema.fields
+    row = lambda level, place, frame, own: F.struct(level.alias("level"), place.alias("place"), frame.alias("frame"), own.alias("own"))
+    statement = row(F.col("level"), F.col("start"), F.lit(None).cast(frame.dataType), held)
+    opened = row(F.col("level") + 1, F.col("stop"), F.struct("stop", F.col("kind").alias("what"), F.col("name").alias("whose")), F.lit(None).cast(of.dataType))
+    rows = told.select("path", F.inline(F.when(opens, F.array(statement, opened)).otherwise(F.array(statement))))
     upto = Window.partitionBy("path", "level").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("frame", F.last("frame", True).over(upto)).where("kind is not null")
+    placed = rows.withColumn("frame", F.last("frame", True).over(upto)).where("own is not null").select("path", "level", "frame", "own.*")
     around = F.when(F.col("level") > 0, F.col("frame.what")).otherwise("top")
     must = group(lambda r: text.rlike(r.top) if r.top else F.lit(True))
     placed = placed.where((around != "top") | ~F.col("kind").isin("function", "signature") | must)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import analytics, graph, repair, views
+from loomgraph.operators import analytics, graph, repair, structure, syntax, views
 from loomgraph.plans import queries
 
 
@@ -64,3 +64,14 @@ def test_neighbours_join_what_is_known_of_nodes_once(large):
     assert plan(df).count("ShuffledHashJoin") == 2
     got = sorted((r.id, r.neighbour) for r in df.where("id = 'n55' or id = 'n1'").collect())
     assert got == [("n1", "n2001"), ("n1", "n201")], got
+
+
+def test_files_are_dealt_once_for_their_tokens(spark, monkeypatch):
+    monkeypatch.setattr(syntax, "TEXT", 1000, raising=False)
+    text = "class A {\n  int f(int x) { if (x) { g(x); } return h(x); }\n}\n"
+    files = spark.range(40).select(F.concat(F.lit("f"), "id").alias("path"), F.lit("java").alias("language"), F.lit(text).alias("content"))
+    toks = syntax.tokens(files)
+    declared = syntax.declarations(toks)
+    assert plan(declared).count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan(declared) and "Join" not in plan(declared)
+    assert {(r.kind, r.name, r.owner, r.line, r.last) for r in declared.where("path = 'f7'").collect()} == {("class", "A", None, 1, 3), ("function", "f", "A", 2, 2)}
+    assert declared.count() == 80 and syntax.calls(toks, declared).count() == 80
