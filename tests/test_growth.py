@@ -75,3 +75,12 @@ def test_files_are_dealt_once_for_their_tokens(spark, monkeypatch):
     assert plan(declared).count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan(declared) and "Join" not in plan(declared)
     assert {(r.kind, r.name, r.owner, r.line, r.last) for r in declared.where("path = 'f7'").collect()} == {("class", "A", None, 1, 3), ("function", "f", "A", 2, 2)}
     assert declared.count() == 80 and syntax.calls(toks, declared).count() == 80
+
+
+def test_a_worker_holds_few_files(spark, monkeypatch):
+    """All rows of a batch of 10,000 files once stood in a worker's memory, and then in one batch."""
+    files = spark.range(2000).coalesce(1).select(F.concat(F.lit("f"), "id").alias("path"), F.lit("python").alias("language"), F.lit("def f(): pass\ndef g(): pass\n").alias("content"))
+    found = structure.structure(files)
+    sizes = [r.n for r in found.mapInArrow(lambda batches: (__import__("pyarrow").RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long").collect()]
+    assert sum(sizes) == 6000 and found.where("kind = 'function'").count() == 4000
+    assert structure.HELD <= 256
