@@ -439,6 +439,21 @@ def test_lines_of_rows_whose_short_hashes_are_equal(spark):
     assert got == Counter([(0, texts[0]), (None, ""), (None, texts[1])])
 
 
+def test_lines_run_no_python(docs):
+    plan = line_dedup.clean_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_lines_with_frequent_tokens(spark, monkeypatch):
+    r = random.Random(31)
+    passage = prose(12, 5)
+    data = [(i, "\n".join([passage + " " + prose(r.randrange(0, 40), 100 + i % 23), "\t" + passage.upper() + "  " + prose(3, i % 7) + " ", "a a a a a a a" + " a" * (i % 3), "b c"])) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert line_dedup.frequent_tokens(df, 1)
+    monkeypatch.setattr(line_dedup, "PART", 2)
+    assert {x.doc_id: x.text for x in line_dedup.clean_lines(df).collect()} == cleaned(data)
+
+
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     r = random.Random(3)
     text = "".join(r.choice("abAB é\n\t  ") for _ in range(5000)).encode()
