@@ -6,7 +6,7 @@ each of the three states it may begin in (outside strings, inside one, after a b
 levels it opens; composing these, one after the other, gives every block's true beginning (a few numbers a block).  Then every block
 cuts out the elements that begin in it, reading on into the next block where the last of them goes on.
 
-Both readings are data sources of Spark (``graph_blocks``, ``graph_elements``), a partition a block; ``graph_document`` is the sink.
+Both readings are data sources of Spark (``graph_blocks``, ``graph_elements``), a partition a run of blocks; ``graph_document`` is the sink.
 A filter on ``part`` is pushed to the source: elements of other parts are passed over without being made rows.
 
 Defined cases: an empty file has no elements; a file that is cut off has those that end; a key whose value is no array
@@ -24,8 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
 
-#: Bytes of a file that one task reads.
+#: Bytes of a file that are read as one.
 BLOCK = 16 << 20
+#: Bytes of blocks that one task takes, one after the other, where blocks are smaller.
+RUN = 16 << 20
+#: Runs (about, at least) that blocks are dealt to, if they are as many.
+LEAST = 64
 #: Bytes that a task reads on at a time, beyond its block.
 MORE = 1 << 20
 
@@ -142,19 +146,39 @@ class _Block(InputPartition):
         self.file, self.k, self.start, self.length, self.state, self.depth = file, k, start, length, state, depth
 
 
+class _Run(InputPartition):
+    def __init__(self, blocks: list[_Block]) -> None:
+        self.blocks = blocks
+
+
+def runs(blocks: list[_Block]) -> list[_Run]:
+    """Blocks in order, by runs of about RUN bytes, or of a LEAST-th of all where that is less; so the tasks' number does not follow the blocks'."""
+    out: list[_Run] = []
+    most = min(RUN, sum(b.length for b in blocks) / LEAST)
+    size = most
+    for b in blocks:
+        if size + b.length > most:
+            out.append(_Run([]))
+            size = 0
+        out[-1].blocks.append(b)
+        size += b.length
+    return out
+
+
 class BlockReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.block = options["path"], int(options.get("block", BLOCK))
 
-    def partitions(self) -> list[_Block]:
-        return [_Block(f, k, at, min(self.block, size - at)) for f, size in list_files(self.path) for k, at in enumerate(range(0, size, self.block))]
+    def partitions(self) -> list[_Run]:
+        return runs([_Block(f, k, at, min(self.block, size - at)) for f, size in list_files(self.path) for k, at in enumerate(range(0, size, self.block))])
 
-    def read(self, partition: _Block) -> Iterator[tuple]:
-        with _open(partition.file) as f:
-            f.seek(partition.start)
-            data = f.read(partition.length)
-        told = [x for s in (OUTSIDE, INSIDE, ESCAPED) for x in transition(data, s)]
-        yield (partition.file, partition.k, partition.start, partition.length, *told)
+    def read(self, partition: _Run) -> Iterator[tuple]:
+        for b in partition.blocks:
+            with _open(b.file) as f:
+                f.seek(b.start)
+                data = f.read(b.length)
+            told = [x for s in (OUTSIDE, INSIDE, ESCAPED) for x in transition(data, s)]
+            yield (b.file, b.k, b.start, b.length, *told)
 
 
 class BlockSource(DataSource):
@@ -173,25 +197,29 @@ class BlockSource(DataSource):
 
 class ElementReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.blocks = json.loads(options["blocks"])
+        self.blocks, self.keys = json.loads(options["blocks"]), options.get("keys") == "true"
         self.part: str | None = None
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"blocks": []}  # a task gets its own blocks, not all of them
+
     def pushFilters(self, filters):  # noqa: N802
         for x in filters:
             if isinstance(x, EqualTo) and x.attribute == ("part",):
                 self.part = x.value
             yield x  # the keys before a block are known after it has been read, so the filter is applied again
 
-    def partitions(self) -> list[_Block]:
-        return [_Block(*x) for x in self.blocks]
+    def partitions(self) -> list[_Run]:
+        return runs([_Block(*x) for x in self.blocks])
 
-    def read(self, partition: _Block) -> Iterator[tuple]:
-        with _open(partition.file) as f:
-            f.seek(partition.start)
-            data = f.read(partition.length)
-            for nth, (part, raw) in enumerate(cut_elements(data, partition.length, partition.state, partition.depth, lambda: f.read(MORE))):
-                if self.part is None or part is None or part == self.part or not raw:
-                    yield (partition.file, partition.k, nth, part, raw.decode() if raw else None)
+    def read(self, partition: _Run) -> Iterator[tuple]:
+        for b in partition.blocks:
+            with _open(b.file) as f:
+                f.seek(b.start)
+                data = f.read(b.length)
+                for nth, (part, raw) in enumerate(cut_elements(data, b.length, b.state, b.depth, lambda: f.read(MORE))):
+                    if not raw or (not self.keys and (self.part is None or part is None or part == self.part)):
+                        yield (b.file, b.k, nth, part, raw.decode() if raw else None)
 
 
 class ElementSource(DataSource):
@@ -286,8 +314,9 @@ def read_document(spark: SparkSession, path: str, part: str | None = None, block
     plan = composed(spark.read.format("graph_blocks").option("block", block).load(path).collect())  # a few numbers a block
     if not plan:
         return spark.createDataFrame([], "file string, part string, ord long, raw string")
-    found = spark.read.format("graph_elements").option("blocks", json.dumps(plan)).load(path)
-    keys = found.where("raw is null").groupBy("file", "k").agg(F.max_by("part", "nth").alias("last"))
+    elements = spark.read.format("graph_elements").option("blocks", json.dumps(plan))
+    found = elements.load(path)
+    keys = elements.option("keys", "true").load(path).where("raw is null").groupBy("file", "k").agg(F.max_by("part", "nth").alias("last"))
     every = spark.createDataFrame([(x[0], x[1]) for x in plan], "file string, k int").join(keys, ["file", "k"], "left")
     names = {f: n for n, f in enumerate(sorted({x[0] for x in plan}))}
     numbers = spark.createDataFrame(list(names.items()), "file string, nth_file long")

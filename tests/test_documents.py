@@ -1,7 +1,9 @@
 """Graph documents by blocks: any cut of the bytes gives the same elements."""
 
 import json
+import pickle
 import random
+from types import SimpleNamespace
 
 import pytest
 
@@ -62,3 +64,15 @@ def test_batches_are_reported(spark, tmp_path):
         (tmp_path / name).write_text(text)
     got = {(r.file.rsplit("/", 1)[-1], r.issue) for r in documents.batch_report(spark, str(tmp_path)).collect()}
     assert got == {("other.json", "unknown name"), ("batch-3-part-2.json", "empty batch"), ("batch-5.json", "empty batch"), ("batch-2.json", "missing number"), ("batch-4.json", "missing number")}
+
+
+def test_small_blocks_share_tasks(tmp_path):
+    (tmp_path / "a.json").write_text('{"nodes":[' + ",".join('{"id":"%d"}' % i for i in range(8000)) + "]}")
+    reader = documents.BlockReader({"path": str(tmp_path), "block": "100"})
+    dealt = reader.partitions()
+    blocks = [b for run in dealt for b in run.blocks]
+    assert len(dealt) <= 2 * documents.LEAST < len(blocks) / 4 and [b.k for b in blocks] == list(range(len(blocks)))
+    told = [SimpleNamespace(**dict(zip(("file", "k", "start", "length", "s0", "d0", "s1", "d1", "s2", "d2"), x))) for run in dealt for x in reader.read(run)]
+    elements = documents.ElementReader({"blocks": json.dumps(documents.composed(told))})
+    assert len(pickle.dumps(elements)) < 1000  # what each task is sent does not hold all blocks
+    assert sum(x[4] is not None for run in elements.partitions() for x in elements.read(run)) == 8000
