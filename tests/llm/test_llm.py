@@ -431,6 +431,31 @@ def test_lines_in_small_batches(spark, monkeypatch):
     assert {x.doc_id: x.text for x in line_dedup.clean_lines(df).collect()} == cleaned(data)
 
 
+def test_prefixes_of_lines(spark):
+    """Frequent tokens alone come last in the order, not those near them."""
+    df = spark.createDataFrame([([1, 2, 3, 4, 5, 6],), ([7, 8, 9],), (None,)], "tokens array<long>")
+    for frequent, want in (([1, 3, *range(100, 120)], [[2, 4, 5, 6], [7, 8, 9], None]), ([2, -(1 << 63)], [[1, 3, 4, 5], [7, 8, 9], None]), ([], [[1, 2, 3, 4], [7, 8, 9], None])):
+        assert sorted((r.prefix for r in line_dedup.with_prefixes(df, frequent).collect()), key=str) == sorted(want, key=str)
+
+
+def test_bins_of_lines(spark):
+    """Bins never part lines that match, and part nearly all others before their sets are met."""
+    r = random.Random(21)
+    sets = []
+    for n in [r.randrange(1, 120) for _ in range(60)]:
+        own = {r.getrandbits(64) - (1 << 63) for _ in range(n)}
+        for k in range(n // 4 + 2):
+            fewer = set(r.sample(sorted(own), max(1, n - k)))
+            sets.append((own, fewer | {r.getrandbits(64) - (1 << 63) for _ in range(r.randrange(2))}))
+        sets.append((own, {r.getrandbits(64) - (1 << 63) for _ in range(n)}))
+    rows = [(i, 9 * len(a & b) >= 4 * (len(a) + len(b)), sorted(a), sorted(b)) for i, (a, b) in enumerate(sets)]
+    df = spark.createDataFrame(rows, "i long, same boolean, a array<long>, b array<long>")
+    both = [df.select("i", "same", F.col(x).alias("tokens")).select("i", "same", F.size("tokens").alias(f"n{x}"), *(c.alias(f"{x}{k}") for k, c in enumerate(line_dedup._odd_bins()))) for x in "ab"]
+    met = both[0].join(both[1].drop("same"), "i").withColumn("near", line_dedup._near(F.col("na"), F.col("nb"), ("a0", "b0"), ("a1", "b1"))).collect()
+    assert len(met) == len(rows) and all(x.near for x in met if x.same) and sum(x.same for x in met) > 400
+    assert sum(x.near and not set(sets[x.i][0]) & set(sets[x.i][1]) for x in met) <= 3
+
+
 def test_lines_of_rows_whose_short_hashes_are_equal(spark):
     texts = [f"alpha beta gamma delta number {n} zeta eta theta" for n in (125493, 158551)]
     df = spark.createDataFrame([(0, texts[0]), (None, texts[0]), (None, texts[1])], "doc_id long, text string")
