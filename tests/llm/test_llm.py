@@ -438,6 +438,14 @@ def test_prefixes_of_lines(spark):
         assert sorted((r.prefix for r in line_dedup.with_prefixes(df, frequent).collect()), key=str) == sorted(want, key=str)
 
 
+def test_lower_case_of_lines(spark):
+    """A-Z alone in lower case, whatever else a text holds, by way of JSON."""
+    texts = ["\u00c0\u00c9 \x00\x01 A\"B\\C\\U00DC \\N x/Y\tZ\r\n\u2028\u03a9\U0001f600 \u0130I \u017fK \x7f\x85\u00a0Q\ufeff\uffffE", "{\"T\": 1}\u00c4", "\u1e9eS'\b\f", "\u00dc", "", "ABC", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = [t and "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for t in texts]
+    assert [r.low for r in df.select(line_dedup._lower("text").alias("low")).collect()] == want
+
+
 def test_bins_of_lines(spark):
     """Bins never part lines that match, and part nearly all others before their sets are met."""
     r = random.Random(21)
