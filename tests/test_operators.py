@@ -315,6 +315,21 @@ def test_a_wrongly_grouped_node_moves_alone(spark):
     assert {(r.id, r.container) for r in community._moved(both, labels, float(len(pairs))).collect()} == {(f"{g}{i}", g) for g in "ab" for i in range(4)}
 
 
+def test_a_round_deals_ties_once(spark, monkeypatch):
+    """Ties meet the labels by one join, and a heavy node's ties by parts; both ways a node wants the same."""
+    pairs = [("hub", f"x{i}") for i in range(9)] + [("x0", "x1"), ("x1", "x2")]
+    k = {n: float(sum(n in x for x in pairs)) for x in pairs for n in x}
+    ties = spark.createDataFrame([(a, b, 1.0, k[a]) for x in pairs for a, b in (x, x[::-1])], "s string, t string, w double, k double")
+    labels = spark.createDataFrame([(n, x, n) for n, x in k.items()], "id string, k double, container string")
+    plan = community._wanted(ties, None, labels, float(len(pairs)), 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 3  # the labels with their communities' weights, once for either side of ties
+    got = []
+    for hub in (1 << 16, 1):
+        monkeypatch.setattr(community, "HUB", hub)
+        got.append(sorted((r.id, r.own, r.goal, round(r.gain, 6)) for r in community._wanted(ties, None, labels, float(len(pairs)), 0).collect()))
+    assert got[0] == got[1] and ("x1", "x1", "x0", round(1 - 3 * 2 / 22, 6)) in got[0]
+
+
 def test_growing_sides_of_chains_are_not_broadcast(spark, monkeypatch):
     from loomgraph.plans import loops
 
